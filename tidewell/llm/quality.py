@@ -20,11 +20,11 @@ from .common import SPACES, only, slices
 
 SYMBOLS = b"#*$%&|<>"
 #: Hash buckets of the n-grams.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 15
 #: Labelled documents that the target is counted on, at most; the least by a hash of doc_id.
 TARGET_DOCS = 20_000
 #: A document with a lower mean log-likelihood ratio is rejected.
-THRESHOLD = -0.25
+THRESHOLD = -0.08
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SCHEMA = (

@@ -28,6 +28,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.sample(docs.where(~language.held_out())))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact
 
@@ -51,7 +59,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op7_token_shards, op8_exact_dedup, op9_simhash, op10_packing)
+    for f in (op1_quality, op3_language, op7_token_shards, op8_exact_dedup, op9_simhash, op10_packing)
 }
 
 SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
