@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, only, slices
 
-SYMBOLS = b"#*$%&|<>"
+SYMBOLS = "#*$%&|<>"
 #: Hash buckets of the n-grams.
 BUCKETS = 1 << 15
 #: Labelled documents that the target is counted on, at most; the least by a hash of doc_id.
@@ -138,6 +138,19 @@ def log_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most:
     return np.log((target + prior * p) / (target.sum() + prior)) - np.log(p)
 
 
+def _judged(text: str | None, ratio: np.ndarray, threshold: float) -> tuple:
+    symbols = sum(map((text or "").count, SYMBOLS))
+    words = words_of(text)
+    if not words:
+        return 0, 0, symbols, 0, 0, True, 0.0, False
+    codes, distinct = coded(words)
+    n, again = len(words), repeated_words(codes, len(distinct))
+    score = float(ratio[ngram_buckets(codes, distinct, len(ratio))].mean())
+    failed = n < MIN_WORDS or 100 * again > MAX_REPEATED_PERCENT * n
+    chars = len(text) - sum(map(text.count, SPACES))
+    return n, chars, symbols, repeated_lines(text), again, failed, score, not failed and score >= threshold
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, most: int = TARGET_DOCS) -> DataFrame:
     """One row per row of docs with its counts, its score and the verdict; columns as in SCHEMA.
 
@@ -147,22 +160,23 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
     """
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, labels, buckets, most))
 
-    def one(text: str | None) -> tuple:
-        words = words_of(text)
-        if not words:
-            return 0, 0, sum(map((text or "").count, SYMBOLS.decode())), 0, 0, True, 0.0, False
-        codes, distinct = coded(words)
-        n, again = len(words), repeated_words(codes, len(distinct))
-        score = float(ratio.value[ngram_buckets(codes, distinct, buckets)].mean())
-        failed = n < MIN_WORDS or 100 * again > MAX_REPEATED_PERCENT * n
-        chars = len(text) - sum(map(text.count, SPACES))
-        return n, chars, sum(map(text.count, SYMBOLS.decode())), repeated_lines(text), again, failed, score, not failed and score >= threshold
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            rows = [(i, *one(t)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            rows = [(i, *_judged(t, ratio.value, threshold)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.bool_()], strict=True)], names=_NAMES
             )
 
     return only(docs, "doc_id", "text").mapInArrow(work, SCHEMA)
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, most: int = TARGET_DOCS) -> DataFrame:
+    """The rows of docs that judge() keeps, all columns as they are; no text moves."""
+    ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, labels, buckets, most))
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield part.filter(pa.array([_judged(t, ratio.value, threshold)[-1] for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

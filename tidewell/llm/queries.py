@@ -51,6 +51,12 @@ FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coales
 """
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact
 
@@ -74,7 +80,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op3_language, op4_arc_to_warc, op7_token_shards, op8_exact_dedup, op9_simhash, op10_packing)
+    for f in (op1_quality, op3_language, op4_arc_to_warc, op5_mixing, op7_token_shards, op8_exact_dedup, op9_simhash, op10_packing)
 }
 
 SQL: dict[str, str] = {"op4_arc_to_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL}
