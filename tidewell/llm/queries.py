@@ -28,6 +28,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lines
+
+    return lines.similar_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
@@ -80,7 +86,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op3_language, op4_arc_to_warc, op5_mixing, op7_token_shards, op8_exact_dedup, op9_simhash, op10_packing)
+    for f in (op1_quality, op2_line_dedup, op3_language, op4_arc_to_warc, op5_mixing, op7_token_shards, op8_exact_dedup, op9_simhash, op10_packing)
 }
 
 SQL: dict[str, str] = {"op4_arc_to_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL}
