@@ -63,6 +63,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact
 
@@ -86,7 +92,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_line_dedup, op3_language, op4_arc_to_warc, op5_mixing, op7_token_shards, op8_exact_dedup, op9_simhash, op10_packing)
+    for f in (op1_quality, op2_line_dedup, op3_language, op4_arc_to_warc, op5_mixing, op6_suffix_dedup, op7_token_shards, op8_exact_dedup, op9_simhash, op10_packing)
 }
 
 SQL: dict[str, str] = {"op4_arc_to_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL}
