@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import band
-from tidewell.operators.panel import BY_STATION
+from tidewell.operators.panel import by_station
 
-CENTS = F.col("decicents") / 10
+
+def cents():
+    return F.col("decicents") / 10
 
 
 def classify(panel: DataFrame, by: str = "council", width: float = 10.0) -> DataFrame:
@@ -19,11 +21,11 @@ def classify(panel: DataFrame, by: str = "council", width: float = 10.0) -> Data
     """
     def premiums(rows: DataFrame, reference: DataFrame) -> DataFrame:
         met = rows.join(reference, [by, "price_date"])
-        return met.groupBy("station_code", by).agg(F.median(CENTS - F.col("ref")).alias("premium")).withColumn("class", band(F.col("premium"), width))
+        return met.groupBy("station_code", by).agg(F.median(cents() - F.col("ref")).alias("premium")).withColumn("class", band(F.col("premium"), width))
 
-    first = premiums(panel, panel.groupBy(by, "price_date").agg(F.median(CENTS).alias("ref")))
+    first = premiums(panel, panel.groupBy(by, "price_date").agg(F.median(cents()).alias("ref")))
     fair = first.where(F.col("class") == "Competitive").select("station_code")
-    second = premiums(panel, panel.join(fair, "station_code", "left_semi").groupBy(by, "price_date").agg(F.median(CENTS).alias("ref")))
+    second = premiums(panel, panel.join(fair, "station_code", "left_semi").groupBy(by, "price_date").agg(F.median(cents()).alias("ref")))
     groups = second.select(by).distinct()
     alone = first.join(groups, by, "left_anti")
     return second.unionByName(alone).select("station_code", by, "class", "premium")
@@ -41,8 +43,8 @@ def class_counts(classes: DataFrame, by: str = "council") -> DataFrame:
 
 def rolling_premium(panel: DataFrame, by: str = "council", days: int = 45) -> DataFrame:
     """First-pass median premium over the `days` days before each day, for every day at once: a moving calendar frame."""
-    ref = panel.groupBy(by, "price_date").agg(F.median(CENTS).alias("ref"))
-    rows = panel.join(ref, [by, "price_date"]).withColumn("_premium", CENTS - F.col("ref"))
+    ref = panel.groupBy(by, "price_date").agg(F.median(cents()).alias("ref"))
+    rows = panel.join(ref, [by, "price_date"]).withColumn("_premium", cents() - F.col("ref"))
     w = Window.partitionBy("station_code").orderBy(F.unix_date("price_date")).rangeBetween(-days, -1)
     return rows.select("station_code", "price_date", F.percentile("_premium", F.lit(0.5)).over(w).alias("premium"))
 
@@ -53,11 +55,11 @@ def labels(daily: DataFrame, lookback: int = 90, horizon: int = 7, percentile: f
     Buy (1) if today's price is at most the given percentile of the `lookback` days before, and no price of the next
     `horizon` days is lower by more than `threshold` cents. Days whose frames span a gap have no label.
     """
-    past, future = BY_STATION.rowsBetween(-lookback, -1), BY_STATION.rowsBetween(1, horizon)
+    past, future = by_station().rowsBetween(-lookback, -1), by_station().rowsBetween(1, horizon)
     day = F.col("price_date")
     rows = daily.withColumns({
-        "past_threshold": F.percentile(CENTS, F.lit(percentile)).over(past), "future_min": F.min(CENTS).over(future),
-        "_back": F.datediff(day, F.lag(day, lookback).over(BY_STATION)), "_ahead": F.datediff(F.lead(day, horizon).over(BY_STATION), day), "today": CENTS,
+        "past_threshold": F.percentile(cents(), F.lit(percentile)).over(past), "future_min": F.min(cents()).over(future),
+        "_back": F.datediff(day, F.lag(day, lookback).over(by_station())), "_ahead": F.datediff(F.lead(day, horizon).over(by_station()), day), "today": cents(),
     })
     whole = rows.where((F.col("_back") == lookback) & (F.col("_ahead") == horizon))
     cheap, no_better = F.round("today", 6) <= F.round("past_threshold", 6), F.round("future_min", 6) >= F.round(F.col("today") - threshold, 6)

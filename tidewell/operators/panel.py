@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_STATION = Window.partitionBy("station_code").orderBy("price_date")
+
+def by_station():
+    """Rows of a station in the order of days."""
+    return Window.partitionBy("station_code").orderBy("price_date")
 
 
 def gap_fill(prices: DataFrame, end: DataFrame | None = None, max_gap: int = 28) -> DataFrame:
@@ -17,7 +20,7 @@ def gap_fill(prices: DataFrame, end: DataFrame | None = None, max_gap: int = 28)
 
     end has one row and column with the day up to which the last price is carried, under the same limit.
     """
-    nxt = F.lead("price_date").over(BY_STATION)
+    nxt = F.lead("price_date").over(by_station())
     rows = prices.withColumn("next_date", nxt)
     stop = F.when(F.datediff("next_date", "price_date") <= max_gap, F.date_sub("next_date", 1))
     if end is not None:

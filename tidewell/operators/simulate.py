@@ -33,12 +33,13 @@ def evaluation_days(daily: DataFrame, start: str, end: str, interval: int) -> Da
     return calendar.join(priced, ["station_code", "day"], "left").select("station_code", "i", "day", "price")
 
 
-def replay(decisions: DataFrame, tank: Tank, by: list[str]) -> DataFrame:
+def replay(decisions: DataFrame, tank: Tank, by: list[str], strict: bool = True) -> DataFrame:
     """by, spend, litres, fills: array of (i, day, price, litres, emergency). decisions has by, i, day, price, buy.
 
     Decisions don't depend on the tank, so they are made for all days at once; what is left is a fold over the days of
     a group, a few hundred rows, in order. A missing price skips the decision but not the consumption. On the last
-    day there is nothing to survive to. A level below zero at a day with a price is an error of the configuration.
+    day there is nothing to survive to. A level below zero at a day with a price is an error if `strict`, and else an empty tank:
+    a series with gaps longer than the tank lasts can't be replayed strictly.
     """
     rows = decisions.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "day", "price", "buy"))).alias("days"))
     number = lambda x: F.lit(float(x))
@@ -48,7 +49,7 @@ def replay(decisions: DataFrame, tank: Tank, by: list[str]) -> DataFrame:
     def step(s: Column, d: Column) -> Column:
         before = F.when(d["i"] > 0, F.greatest(number(0), s["level"] - tank.depletion)).otherwise(s["level"])
         dry = (d["i"] > 0) & d["price"].isNotNull() & (s["level"] - tank.depletion < -1e-9)
-        level = F.when(dry, F.raise_error(F.concat(F.lit("tank ran dry on "), d["day"].cast("string"))).cast("double")).otherwise(before)
+        level = F.when(dry, F.raise_error(F.concat(F.lit("tank ran dry on "), d["day"].cast("string"))).cast("double")).otherwise(before) if strict else before
         buy = d["price"].isNotNull() & d["buy"] & (level < tank.size)
         low = ((d["i"] != F.col("last")) & (level < tank.depletion)) | (level / tank.size < tank.floor)
         urgent = d["price"].isNotNull() & ~d["buy"] & low & (level < tank.size / 2)

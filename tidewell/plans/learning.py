@@ -1 +1,51 @@
-"""Queries."""
+"""Queries that fit models; rows only, held to invariants by tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewell.operators import models
+from tidewell.registry import query
+from tidewell.sources.adapter import Tables
+
+FEATURES = ["proba", "price", "litres"]
+
+
+def rows(t: Tables) -> DataFrame:
+    return t.scores.select("fold", "seed", "arm", "price_date", "label", F.col("proba").alias("proba"), "price", "litres")
+
+
+def renamed(t: Tables) -> DataFrame:
+    return rows(t).withColumnRenamed("proba", "signal")
+
+
+USE = ["signal", "price", "litres"]
+
+
+@query()
+def logistic_folds(t: Tables) -> DataFrame:
+    """ML1, ML3, ML5: out-of-fold losses of a logistic regression."""
+    return models.score(models.out_of_fold(models.logistic(USE), renamed(t), "fold", [0, 1, 2]), "label", "proba", "fold")
+
+
+@query()
+def boosted_test(t: Tables) -> DataFrame:
+    """ML2, ML7: boosted trees, trained on some folds, scored on another."""
+    r = renamed(t)
+    model = models.boosted(USE, rounds=10, depth=3).fit(r.where("fold < 4"))
+    return models.score(models.predict(model, r.where("fold = 4")), "label", "proba", "arm")
+
+
+@query()
+def calibrated(t: Tables) -> DataFrame:
+    """ML4."""
+    method, out = models.calibrate(rows(t).select("fold", "label", "proba"))
+    return models.score(out, "label", "calibrated", "fold").withColumn("method", F.lit(method))
+
+
+@query()
+def explained_variance(t: Tables) -> DataFrame:
+    """AG36 with many predictors."""
+    x = models.r2(t.scores, "price", ["litres", "proba"])
+    return t.scores.agg(F.count(F.lit(1)).alias("n")).withColumn("r2", F.lit(x))

@@ -9,8 +9,6 @@ from tidewell.operators import joins, panel, signals
 from tidewell.registry import query
 from tidewell.sources.adapter import Tables
 
-D = F.col("price_date")
-
 
 @query("""WITH g AS (SELECT price_date, price, lag(price) OVER w AS p, lead(price) OVER w AS n FROM metro WINDOW w AS (ORDER BY price_date))
 SELECT price_date, round(price, 4) AS price, round(coalesce((n - p) / 2, n - price, price - p), 4) AS gradient,
@@ -123,7 +121,7 @@ max(price_date) AS last_any FROM prices GROUP BY 1""")
 def conditional_bounds(t: Tables) -> DataFrame:
     """AG13: conditional maxima and minima."""
     high = F.col("decicents") >= 1750
-    return t.prices.groupBy("station_code").agg(F.max(F.when(high, D)).alias("last_high"), F.min(F.when(~high, D)).alias("first_low"), F.max(D).alias("last_any"))
+    return t.prices.groupBy("station_code").agg(F.max(F.when(high, F.col("price_date"))).alias("last_high"), F.min(F.when(~high, F.col("price_date"))).alias("first_low"), F.max(F.col("price_date")).alias("last_any"))
 
 
 @query("SELECT council, brand, count(*) AS stations FROM stations GROUP BY 1, 2")
@@ -182,14 +180,14 @@ i AS (SELECT *, sum(CAST(NOT fell AS INTEGER)) OVER (PARTITION BY station_code O
 SELECT station_code, price_date, CAST(sum(CAST(fell AS INTEGER)) OVER (PARTITION BY station_code, island ORDER BY price_date) AS BIGINT) AS falls FROM i""")
 def runs_islands(t: Tables) -> DataFrame:
     """WN14: length of the present run of falls."""
-    fell = t.prices.withColumn("fell", F.coalesce(F.col("decicents") < F.lag("decicents").over(panel.BY_STATION), F.lit(False)))
+    fell = t.prices.withColumn("fell", F.coalesce(F.col("decicents") < F.lag("decicents").over(panel.by_station()), F.lit(False)))
     return panel.islands(fell, "fell", ("station_code",), name="falls").select("station_code", "price_date", "falls")
 
 
 @query("""WITH f AS (SELECT station_code, price_date, decicents - lag(decicents) OVER w >= 100 AS jump FROM prices WINDOW w AS (PARTITION BY station_code ORDER BY price_date))
 SELECT station_code, price_date, price_date - max(CASE WHEN jump THEN price_date END) OVER (PARTITION BY station_code ORDER BY price_date) AS days_since FROM f""")
 def days_since_jump(t: Tables) -> DataFrame:
-    jump = t.prices.withColumn("jump", F.col("decicents") - F.lag("decicents").over(panel.BY_STATION) >= 100)
+    jump = t.prices.withColumn("jump", F.col("decicents") - F.lag("decicents").over(panel.by_station()) >= 100)
     return panel.presence_since(jump, "jump", ("station_code",)).select("station_code", "price_date", F.col("days_since").cast("long").alias("days_since"))
 
 
@@ -198,17 +196,17 @@ s AS (SELECT *, CAST(sum(reset) OVER (PARTITION BY station_code ORDER BY price_d
 SELECT station_code, segment, min(price_date) AS first_date, max(price_date) AS last_date, count(*) AS n, max(decicents) AS high, min(decicents) AS low, first(decicents ORDER BY price_date) - last(decicents ORDER BY price_date) AS drop FROM s GROUP BY 1, 2""")
 def reset_segments(t: Tables) -> DataFrame:
     """WN15: segments between resets, and their shapes."""
-    reset = F.coalesce(F.col("decicents") - F.lag("decicents").over(panel.BY_STATION) >= 100, F.lit(False)).cast("int")
-    s = t.prices.withColumn("reset", reset).withColumn("segment", F.sum("reset").over(panel.BY_STATION))
+    reset = F.coalesce(F.col("decicents") - F.lag("decicents").over(panel.by_station()) >= 100, F.lit(False)).cast("int")
+    s = t.prices.withColumn("reset", reset).withColumn("segment", F.sum("reset").over(panel.by_station()))
     return s.groupBy("station_code", "segment").agg(
-        F.min(D).alias("first_date"), F.max(D).alias("last_date"), F.count(F.lit(1)).alias("n"), F.max("decicents").alias("high"), F.min("decicents").alias("low"),
-        (F.min_by("decicents", D) - F.max_by("decicents", D)).alias("drop"),
+        F.min(F.col("price_date")).alias("first_date"), F.max(F.col("price_date")).alias("last_date"), F.count(F.lit(1)).alias("n"), F.max("decicents").alias("high"), F.min("decicents").alias("low"),
+        (F.min_by("decicents", F.col("price_date")) - F.max_by("decicents", F.col("price_date"))).alias("drop"),
     )
 
 
 @query("""SELECT station_code, price_date, decicents - lag(decicents, 14) OVER (PARTITION BY station_code ORDER BY price_date) AS slope_14 FROM daily""")
 def positional_slope(t: Tables) -> DataFrame:
-    return t.daily.select("station_code", "price_date", (F.col("decicents") - F.lag("decicents", 14).over(panel.BY_STATION)).alias("slope_14"))
+    return t.daily.select("station_code", "price_date", (F.col("decicents") - F.lag("decicents", 14).over(panel.by_station())).alias("slope_14"))
 
 
 @query("""SELECT station_code, price_date, median(decicents) OVER (PARTITION BY station_code ORDER BY price_date RANGE BETWEEN INTERVAL 730 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS frozen FROM daily QUALIFY price_date IN (SELECT DATE '1999-01-01' + CAST(90 * range AS INTEGER) FROM range(5))""")
@@ -216,8 +214,8 @@ def frozen_baseline(t: Tables) -> DataFrame:
     """WN25: 730-day median before each fold begins, by range join with the folds' first days."""
     starts = F.broadcast(t.spark.range(5).select(F.date_add(F.to_date(F.lit("1999-01-01")), (F.col("id") * 90).cast("int")).alias("fold_start")))
     rows = t.daily.join(starts, F.datediff("fold_start", "price_date").between(0, 730))
-    past = F.when(D < F.col("fold_start"), F.col("decicents"))
-    m = rows.groupBy("station_code", "fold_start").agg(F.median(past).alias("frozen"), F.max((D == F.col("fold_start")).cast("int")).alias("there"))
+    past = F.when(F.col("price_date") < F.col("fold_start"), F.col("decicents"))
+    m = rows.groupBy("station_code", "fold_start").agg(F.median(past).alias("frozen"), F.max((F.col("price_date") == F.col("fold_start")).cast("int")).alias("there"))
     return m.where("there = 1").select("station_code", F.col("fold_start").alias("price_date"), "frozen")
 
 
@@ -256,7 +254,7 @@ def recent_prices(t: Tables) -> DataFrame:
 @query("""SELECT station_code, max(price_date) AS price_date, arg_max(decicents, price_date) AS decicents, count(*) AS events FROM prices GROUP BY 1 ORDER BY 3 DESC NULLS LAST, 1""")
 def latest_board(t: Tables) -> DataFrame:
     """SO1: sorted with nulls last."""
-    latest = t.prices.groupBy("station_code").agg(F.max(D).alias("price_date"), F.max_by("decicents", D).alias("decicents"), F.count(F.lit(1)).alias("events"))
+    latest = t.prices.groupBy("station_code").agg(F.max(F.col("price_date")).alias("price_date"), F.max_by("decicents", F.col("price_date")).alias("decicents"), F.count(F.lit(1)).alias("events"))
     return latest.orderBy(F.col("decicents").desc_nulls_last(), "station_code")
 
 
@@ -286,7 +284,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY station_code ORDER BY price_date
 SELECT station_code, count(*) AS days, round(avg(p), 4) AS mean_price, max(p) AS high, min(p) AS low FROM r GROUP BY 1""")
 def window_slice(t: Tables) -> DataFrame:
     """PRJ15: an inclusive range of days."""
-    s = t.daily.where(D.between("2000-01-01", "2000-03-31")).withColumn("p", F.col("decicents") / 10)
+    s = t.daily.where(F.col("price_date").between("2000-01-01", "2000-03-31")).withColumn("p", F.col("decicents") / 10)
     return s.groupBy("station_code").agg(F.count(F.lit(1)).alias("days"), F.round(F.avg("p"), 4).alias("mean_price"), F.max("p").alias("high"), F.min("p").alias("low"))
 
 
@@ -309,7 +307,7 @@ def combined_signal(t: Tables) -> DataFrame:
     """DS1, DS2: three rules and their mean, on every day of the metro series with a fixed 28-day calendar cycle."""
     w = Window.partitionBy().orderBy("price_date")
     past = w.rowsBetween(-28, -1)
-    s = panel.gradient(t.metro, "price").withColumns({"lo": F.min("price").over(past), "hi": F.max("price").over(past), "since": F.datediff(D, F.lit("1995-01-01")) % 28})
+    s = panel.gradient(t.metro, "price").withColumns({"lo": F.min("price").over(past), "hi": F.max("price").over(past), "since": F.datediff(F.col("price_date"), F.lit("1995-01-01")) % 28})
     s = s.select("price_date", F.round("price", 8).alias("price"), F.round("gradient", 6).alias("grad"), F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"), "since")
     v = s.select("price_date", signals.cycle_time(F.col("since") / 28.0).alias("cycle"), signals.flatline([F.col("grad")], F.col("since"), F.lit(28.0)).alias("flat"), signals.near_extremes("price", "lo", "hi", 3.0).alias("near"))
     return signals.combine(v, ["cycle", "flat", "near"])

@@ -1 +1,178 @@
-"""Queries."""
+"""Queries over cycles: peaks, troughs, states, leads."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidewell.operators import classify as cl
+from tidewell.operators import cycles, joins, panel
+from tidewell.registry import query
+from tidewell.sources.adapter import Tables
+
+#: Strict local maxima and minima of the metro mean and of the councils' means, which SQL can name too.
+_TURNS = """m AS (SELECT price_date, round(price, 6) AS price FROM metro),
+mt AS (SELECT price_date, price, lag(price) OVER w AS b, lead(price) OVER w AS a, lead(price_date) OVER w AS next_day FROM m WINDOW w AS (ORDER BY price_date)),
+peaks AS (SELECT price_date AS peak_date, next_day AS confirmed_on FROM mt WHERE price > b + 0.5 AND price > a + 0.5),
+lows AS (SELECT price_date AS anchor_date FROM mt WHERE price < b AND price < a),
+cm AS (SELECT council, price_date, round(avg(decicents) / 10, 6) AS price FROM panel GROUP BY 1, 2),
+ct AS (SELECT council, price_date, price, lag(price) OVER w AS b, lead(price) OVER w AS a FROM cm WINDOW w AS (PARTITION BY council ORDER BY price_date)),
+events AS (SELECT council, price_date AS event_date FROM ct WHERE price < b AND price < a)"""
+
+
+def turns(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Peaks and lows of the metro mean, lows of the councils' means."""
+    w, v = Window.partitionBy().orderBy("price_date"), Window.partitionBy("council").orderBy("price_date")
+    m = t.metro.withColumn("price", F.round("price", 6)).withColumns({"b": F.lag("price").over(w), "a": F.lead("price").over(w), "next_day": F.lead("price_date").over(w)})
+    c = panel.mean_price(t.panel, "council").withColumn("price", F.round("price", 6)).withColumns({"b": F.lag("price").over(v), "a": F.lead("price").over(v)})
+    peaks = m.where("price > b + 0.5D and price > a + 0.5D").select(F.col("price_date").alias("peak_date"), F.col("next_day").alias("confirmed_on"))
+    return peaks, m.where("price < b and price < a").select(F.col("price_date").alias("anchor_date")), c.where("price < b and price < a").select("council", F.col("price_date").alias("event_date"))
+
+
+@query(f"""WITH {_TURNS}, d AS (SELECT price_date, 'metro' AS s FROM m),
+j AS (SELECT d.price_date, max(peak_date) AS last_peak, min(peak_date) AS first_peak, count(peak_date) AS n FROM d LEFT JOIN peaks ON confirmed_on <= d.price_date GROUP BY 1)
+SELECT price_date, n AS n_peaks, last_peak, price_date - last_peak AS days_since, round(CAST(last_peak - first_peak AS DOUBLE) / nullif(n - 1, 0), 2) AS mean_length,
+ round((price_date - last_peak) / nullif(round(CAST(last_peak - first_peak AS DOUBLE) / nullif(n - 1, 0), 2), 0), 4) AS pct_through FROM j""")
+def cycle_state(t: Tables) -> DataFrame:
+    """TS4-6: the state on each day from the peaks confirmed by then."""
+    peaks, _, _ = turns(t)
+    days = t.metro.select("price_date", F.lit("metro").alias("series"))
+    s = cycles.cycle_state(days, peaks.withColumn("series", F.lit("metro")), ["series"])
+    return s.select("price_date", "n_peaks", "last_peak", F.col("days_since").cast("long").alias("days_since"), "mean_length", "pct_through")
+
+
+@query(f"""WITH {_TURNS}, c AS (SELECT a.anchor_date, e.council, e.event_date, a.anchor_date - e.event_date AS lead, row_number() OVER (PARTITION BY a.anchor_date, e.council ORDER BY abs(a.anchor_date - e.event_date), e.event_date) AS k
+ FROM lows a JOIN events e ON abs(a.anchor_date - e.event_date) <= 10) SELECT council, anchor_date, event_date, lead FROM c WHERE k = 1""")
+def nearest_match(t: Tables) -> DataFrame:
+    """JN9."""
+    _, lows, events = turns(t)
+    return joins.nearest_within(lows, events, "council", 10).withColumn("lead", F.col("lead").cast("long"))
+
+
+@query(f"""WITH {_TURNS}, c AS (SELECT a.anchor_date, e.council, a.anchor_date - e.event_date AS lead, row_number() OVER (PARTITION BY a.anchor_date, e.council ORDER BY abs(a.anchor_date - e.event_date), e.event_date) AS k
+ FROM lows a JOIN events e ON abs(a.anchor_date - e.event_date) <= 60)
+SELECT council, median(lead) AS median_lead, round(1 / nullif(stddev_pop(lead), 0), 6) AS consistency, round(count(*) / (SELECT count(*) FROM lows), 4) AS matched FROM c WHERE k = 1 GROUP BY 1""")
+def leadership_score(t: Tables) -> DataFrame:
+    """AG43, TS10."""
+    _, lows, events = turns(t)
+    return cycles.leadership(lows, events, "council")
+
+
+@query(f"""WITH {_TURNS}, i AS (SELECT peak_date AS a, lead(peak_date) OVER (ORDER BY peak_date) AS b FROM peaks)
+SELECT council, a AS cycle_start, b AS cycle_end, arg_min(price_date, (price, price_date)) AS trough_date, min(price) AS trough FROM i JOIN cm ON price_date BETWEEN a AND b GROUP BY 1, 2, 3""")
+def interpeak_trough(t: Tables) -> DataFrame:
+    """JN17, TS11: the lowest day of each series between two peaks, both included. A day belongs to one interval, or two at a peak."""
+    peaks, _, _ = turns(t)
+    i = peaks.select(F.col("peak_date").alias("cycle_start"), F.lead("peak_date").over(Window.partitionBy().orderBy("peak_date")).alias("cycle_end")).dropna()
+    days = i.select("cycle_start", "cycle_end", F.explode(F.sequence("cycle_start", "cycle_end")).alias("price_date"))
+    c = panel.mean_price(t.panel, "council").withColumn("price", F.round("price", 6))
+    return c.join(days, "price_date").groupBy("council", "cycle_start", "cycle_end").agg(F.min_by("price_date", F.struct("price", "price_date")).alias("trough_date"), F.min("price").alias("trough"))
+
+
+@query(f"""WITH {_TURNS}, l AS (SELECT peak_date, peak_date - lag(peak_date) OVER (ORDER BY peak_date) AS len FROM peaks), r AS (SELECT CASE WHEN peak_date < DATE '1998-07-01' THEN 'before' ELSE 'after' END AS regime, CAST(len AS DOUBLE) AS len FROM l WHERE len IS NOT NULL),
+p AS (SELECT median(len) AS prior FROM r), x AS (SELECT regime, len FROM r UNION ALL SELECT DISTINCT regime, prior FROM r, p UNION ALL SELECT DISTINCT regime, prior FROM r, p)
+SELECT regime, median(len) AS typical, count(*) - 2 AS observed FROM x GROUP BY 1""")
+def regime_cycle_length(t: Tables) -> DataFrame:
+    """TS12: median length by regime, with two further observations of the overall median."""
+    peaks, _, _ = turns(t)
+    w = Window.partitionBy().orderBy("peak_date")
+    l = peaks.select("peak_date", F.datediff("peak_date", F.lag("peak_date").over(w)).cast("double").alias("len")).dropna()  # noqa: E741
+    prior = l.agg(F.median("len").alias("p")).scalar()
+    r = l.withColumns({"regime": F.when(F.col("peak_date") < "1998-07-01", "before").otherwise("after"), "prior": prior})
+    g = r.groupBy("regime").agg(F.collect_list("len").alias("lens"), F.max("prior").alias("prior"))
+    every = g.select("regime", F.size("lens").cast("long").alias("observed"), F.explode(F.concat("lens", F.array_repeat("prior", 2))).alias("len"))
+    return every.groupBy("regime").agg(F.median("len").alias("typical"), F.max("observed").alias("observed"))
+
+
+@query(f"""WITH {_TURNS}, n AS (SELECT price_date, min(anchor_date) AS next_low FROM m LEFT JOIN lows ON anchor_date > price_date GROUP BY 1)
+SELECT n.price_date, next_low - n.price_date AS days_to_low, round(m.price - x.price, 6) AS depth FROM n JOIN m USING (price_date) LEFT JOIN m x ON x.price_date = next_low""")
+def next_trough(t: Tables) -> DataFrame:
+    """TS16: days to the next low, and how much deeper it is: a look ahead, for diagnosis."""
+    _, lows, _ = turns(t)
+    m = t.metro.withColumn("price", F.round("price", 6)).join(lows.select(F.col("anchor_date").alias("price_date"), F.lit(True).alias("low")), "price_date", "left")
+    ahead = Window.partitionBy().orderBy("price_date").rowsBetween(1, Window.unboundedFollowing)
+    n = m.withColumn("next", F.min(F.when(F.col("low"), F.struct("price_date", "price"))).over(ahead))
+    return n.select("price_date", F.datediff("next.price_date", "price_date").cast("long").alias("days_to_low"), F.round(F.col("price") - F.col("next.price"), 6).alias("depth"))
+
+
+_FEATURES = """f AS (SELECT d.station_code, d.price_date, d.decicents, council, brand FROM panel d WHERE year(d.price_date) = 1999),
+cmn AS (SELECT price_date, council, avg(decicents) / 10 AS council_mean, count(*) AS n FROM panel GROUP BY 1, 2), bm AS (SELECT price_date, brand, avg(decicents) / 10 AS brand_mean FROM panel GROUP BY 1, 2 HAVING count(*) >= 3),
+sd AS (SELECT price_date, stddev_samp(decicents / 10) AS px_std FROM daily GROUP BY 1)"""
+
+
+@query(f"""WITH {_FEATURES} SELECT f.station_code, f.price_date, f.decicents / 10 AS today, round(metro.price, 4) AS metro_mean, round(CASE WHEN cmn.n >= 3 THEN council_mean END, 4) AS council_mean, round(brand_mean, 4) AS brand_mean,
+ round(sd.px_std, 4) AS px_std, f.decicents - b.decicents AS delta_7d, round(f.decicents / 10 - metro.price, 4) AS premium, tgp.tgp IS NOT NULL AS has_upstream
+FROM f JOIN metro USING (price_date) LEFT JOIN cmn ON cmn.price_date = f.price_date AND cmn.council = f.council LEFT JOIN bm ON bm.price_date = f.price_date AND bm.brand = f.brand LEFT JOIN sd ON sd.price_date = f.price_date
+LEFT JOIN daily b ON b.station_code = f.station_code AND b.price_date = f.price_date - 7 LEFT JOIN tgp ON tgp_date = f.price_date""")
+def feature_frame(t: Tables) -> DataFrame:
+    """TS17, JN3: features of a year, by left joins of tables with a row a day, or a day and group; an absent aggregate is null and drops no row."""
+    rows = t.panel.join(joins.exact_lag(t.daily, 7).select("station_code", "price_date", "decicents_lag"), ["station_code", "price_date"]).where("year(price_date) = 1999")
+    council = panel.mean_price(t.panel, "council", least=3, name="council_mean")
+    brand = panel.mean_price(t.panel, "brand", least=3, name="brand_mean")
+    up = t.tgp.select(F.col("tgp_date").alias("price_date"), F.lit(True).alias("up"))
+    j = rows.join(t.metro.withColumnRenamed("price", "metro_mean"), "price_date").join(council, ["price_date", "council"], "left").join(brand, ["price_date", "brand"], "left").join(panel.dispersion(t.daily), "price_date", "left").join(up, "price_date", "left")
+    today = F.col("decicents") / 10
+    return j.select("station_code", "price_date", today.alias("today"), *[F.round(c, 4).alias(c) for c in ("metro_mean", "council_mean", "brand_mean", "px_std")], (F.col("decicents") - F.col("decicents_lag")).alias("delta_7d"), F.round(today - F.col("metro_mean"), 4).alias("premium"), F.col("up").isNotNull().alias("has_upstream"))
+
+
+@query("""WITH b AS (SELECT station_code, price_date, decicents / 10 AS p, median(decicents / 10) OVER (PARTITION BY station_code ORDER BY price_date RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS base FROM daily WHERE year(price_date) IN (1998, 1999))
+SELECT station_code, price_date, round(p - base, 4) AS elongation, round((p - base) * ((price_date - DATE '1995-01-01') % 28) / 28.0, 4) AS interaction FROM b""")
+def elongation(t: Tables) -> DataFrame:
+    """TS14."""
+    rows = t.daily.where("year(price_date) in (1998, 1999)").withColumn("p", F.col("decicents") / 10)
+    gap = F.col("p") - F.percentile("p", F.lit(0.5)).over(panel.days_window("station_code", start=-90, end=-1))
+    phase = F.datediff("price_date", F.lit("1995-01-01")) % 28
+    return rows.select("station_code", "price_date", F.round(gap, 4).alias("elongation"), F.round(gap * phase / 28.0, 4).alias("interaction"))
+
+
+@query()
+def savitzky_golay(t: Tables) -> DataFrame:
+    """WN13; tests hold it against a polynomial fit."""
+    m = t.metro.withColumn("series", F.lit("metro"))
+    return cycles.smooth(m, "price", ["series"]).select("price_date", F.round("smooth", 6).alias("smooth"))
+
+
+@query()
+def station_peaks(t: Tables) -> DataFrame:
+    """TS3, TS4: confirmed peaks of every station."""
+    return cycles.confirmed_peaks(t.daily.withColumn("price", F.col("decicents") / 10), ["station_code"])
+
+
+@query()
+def council_troughs(t: Tables) -> DataFrame:
+    """TS7, TS8."""
+    return cycles.trough_events(panel.mean_price(t.panel, "council"), ["council"])
+
+
+@query()
+def days_since_trough(t: Tables) -> DataFrame:
+    """TS9: of each council on each day from 2000 on, from that day's past alone."""
+    return cycles.days_since_trough(panel.mean_price(t.panel, "council"), ["council"], start="2000-01-01")
+
+
+@query()
+def leadership_board(t: Tables) -> DataFrame:
+    """TS10, WN20: leads of the councils against the mean of all others, at the last day."""
+    means = panel.mean_price(t.panel, "council", least=1)
+    anchor = cycles.trough_events(t.metro.withColumn("series", F.lit("metro")), ["series"]).select(F.col("event_date").alias("anchor_date"))
+    return cycles.leadership(anchor, cycles.trough_events(means, ["council"]), "council")
+
+
+@query()
+def lead_lag(t: Tables) -> DataFrame:
+    """TS11: median lag of each brand's troughs behind the metro's, between the metro's peaks."""
+    peaks = cycles.confirmed_peaks(t.metro.withColumn("series", F.lit("metro")), ["series"], distance=7, drop=1.0)
+    i = peaks.select(F.col("peak_date").alias("a"), F.lead("peak_date").over(Window.partitionBy().orderBy("peak_date")).alias("b")).dropna()
+    days = i.select("a", F.explode(F.sequence("a", "b")).alias("price_date"))
+    low = lambda df, *by: df.join(days, "price_date").groupBy("a", *by).agg(F.min_by("price_date", F.struct("price", "price_date")).alias("low"))
+    brands, metro = low(panel.mean_price(t.panel, "brand"), "brand"), low(t.metro).withColumnRenamed("low", "metro_low")
+    return brands.join(metro, "a").groupBy("brand").agg(F.median(F.datediff("low", "metro_low")).alias("median_lag"), F.count(F.lit(1)).alias("cycles"))
+
+
+@query()
+def triplet(t: Tables) -> DataFrame:
+    """TS15: dispersion and its three-day change, among stations that aren't Sticky."""
+    snap = t.panel.where(F.col("price_date").between("1999-03-17", "1999-04-30"))
+    fair = snap.join(cl.classify(snap).where("class <> 'Sticky'").select("station_code"), "station_code")
+    s = panel.dispersion(fair)
+    return s.select("price_date", F.round("px_std", 4).alias("px_std"), F.round(panel.calendar_delta(s, "px_std", 3), 4).alias("delta"))

@@ -35,44 +35,44 @@ def decisions(t: Tables, taus: list[float]) -> DataFrame:
 
 @query(f"WITH {ONE} SELECT station_code, round(sum(fill * coalesce(price, 0)), 4) AS spend, round(sum(fill), 4) AS litres, count(*) FILTER (fill > 0) AS fills, count(*) FILTER (emergency) AS emergencies FROM run GROUP BY 1")
 def tank_replay(t: Tables) -> DataFrame:
-    r = sim.replay(decisions(t, [172.0]), TANK, ["station_code"])
+    r = sim.replay(decisions(t, [172.0]), TANK, ["station_code"], strict=False)
     return r.select("station_code", F.round("spend", 4).alias("spend"), F.round("litres", 4).alias("litres"), F.size("fills").cast("long").alias("fills"), F.size(F.filter("fills", lambda f: f["emergency"])).cast("long").alias("emergencies"))
 
 
 @query(f"WITH {ONE} SELECT station_code, i, day, price, round(fill, 4) AS litres, emergency FROM run WHERE fill > 0")
 def fill_ledger(t: Tables) -> DataFrame:
     """DS5."""
-    return sim.ledger(sim.replay(decisions(t, [172.0]), TANK, ["station_code"]), ["station_code"]).withColumn("litres", F.round("litres", 4))
+    return sim.ledger(sim.replay(decisions(t, [172.0]), TANK, ["station_code"], strict=False), ["station_code"]).withColumn("litres", F.round("litres", 4))
 
 
 @query(f"WITH {MANY} SELECT tau, round(sum(fill * coalesce(price, 0)) / sum(fill), 4) AS cpl, round(sum(fill), 2) AS litres, count(*) FILTER (fill > 0) AS fills FROM run GROUP BY 1")
 def tau_sweep(t: Tables) -> DataFrame:
     """DS9: stations pooled, for each threshold."""
-    r = sim.replay(decisions(t, [160.0 + 5 * k for k in range(7)]), TANK, ["station_code", "tau"])
+    r = sim.replay(decisions(t, [160.0 + 5 * k for k in range(7)]), TANK, ["station_code", "tau"], strict=False)
     return r.groupBy("tau").agg(F.round(F.sum("spend") / F.sum("litres"), 4).alias("cpl"), F.round(F.sum("litres"), 2).alias("litres"), F.sum(F.size("fills")).alias("fills"))
 
 
 @query(f"WITH {MANY}, c AS (SELECT tau, round(sum(fill * coalesce(price, 0)) / sum(fill), 6) AS cpl FROM run GROUP BY 1) SELECT arg_min(tau, cpl) AS tau, round(min(cpl), 4) AS cpl FROM c")
 def best_tau(t: Tables) -> DataFrame:
     """AG55."""
-    r = sim.replay(decisions(t, [160.0 + 5 * k for k in range(7)]), TANK, ["station_code", "tau"])
+    r = sim.replay(decisions(t, [160.0 + 5 * k for k in range(7)]), TANK, ["station_code", "tau"], strict=False)
     c = r.groupBy("tau").agg(F.round(F.sum("spend") / F.sum("litres"), 6).alias("cpl"))
     return c.agg(F.min_by("tau", "cpl").alias("tau"), F.round(F.min("cpl"), 4).alias("cpl"))
 
 
-@query(f"WITH {ONE} SELECT station_code, round(min(lv), 4) AS min_level FROM (SELECT station_code, CASE WHEN i = 0 THEN 25.0 ELSE lv END AS lv FROM run) GROUP BY 1")
+@query(f"WITH {ONE} SELECT station_code, round(min(lv), 4) AS min_level FROM (SELECT station_code, 25 + coalesce(sum(fill) OVER (PARTITION BY station_code ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - i * (50.0::DOUBLE / 14) AS lv FROM run) GROUP BY 1")
 def dry_audit(t: Tables) -> DataFrame:
     """DS10: the lowest level, from the ledger."""
     d = decisions(t, [172.0])
-    return sim.audit(d.select("station_code", "i"), sim.ledger(sim.replay(d, TANK, ["station_code"]), ["station_code"]), TANK)
+    return sim.audit(d.select("station_code", "i"), sim.ledger(sim.replay(d, TANK, ["station_code"], strict=False), ["station_code"]), TANK)
 
 
-@query(f"""WITH {ONE}, b AS (SELECT station_code, sum(fill) AS bought, 119 * 50.0::DOUBLE / 14 AS used FROM run GROUP BY 1)
+@query(f"""WITH {ONE}, b AS (SELECT station_code, sum(fill) AS bought, least(25 + sum(fill), 119 * 50.0::DOUBLE / 14) AS used FROM run GROUP BY 1)
 SELECT station_code, round(bought, 3) AS bought, round(used, 3) AS used, round(25 + bought - used, 3) AS leftover FROM b""")
 def fifo_reconciled(t: Tables) -> DataFrame:
     """DS11, DS12: consumption attributed first in, first out, and what was bought against it."""
     d = decisions(t, [172.0])
-    fills = sim.ledger(sim.replay(d, TANK, ["station_code"]), ["station_code"])
+    fills = sim.ledger(sim.replay(d, TANK, ["station_code"], strict=False), ["station_code"])
     used = sim.attribute_fifo(fills, d, TANK).groupBy("station_code").agg(F.sum("litres").alias("used"))
     bought = fills.groupBy("station_code").agg(F.sum("litres").alias("bought"))
     return bought.join(used, "station_code").select("station_code", F.round("bought", 3).alias("bought"), F.round("used", 3).alias("used"), F.round(TANK.size / 2 + F.col("bought") - F.col("used"), 3).alias("leftover"))

@@ -24,4 +24,4 @@ def query(sql: str | None = None, prelude: bool = True):
     return put
 
 
-from tidewell.plans import cleaning, evaluation, experiments, learning, panel, series, simulation, storage  # noqa: E402, F401
+from tidewell.plans import cleaning, evaluation, experiments, learning, panel, series, simulation, storage, streams  # noqa: E402, F401
