@@ -125,7 +125,7 @@ def equal_strings(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, n
     key = np.zeros(n, dtype=np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal keys may come in any order: what counts is decided within `length` bytes
     depth = 8
     while True:
         k = key[order]
@@ -135,7 +135,7 @@ def equal_strings(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, n
             break
         key = rank << np.uint64(32)
         key[: n - depth] |= rank[depth:]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         depth *= 2
     row = np.empty(n, dtype=np.int64)
     row[order] = np.arange(n)
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
 
     def sift(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         h, c1, c2, doc, at, check = _unpack(blobs, _ANCHOR)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, doc = h[order], doc[order]
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.append(starts, len(h)))
@@ -292,13 +292,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     dealt_anchors = rows.select("doc_id", "data").mapInArrow(find, "bucket long, blob binary")
     marks = settle(dealt_anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(sift), schema), "marks")
 
-    def flags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.unique(_unpack(b.column(0).to_pylist(), _MARK)[0])
-            yield pa.RecordBatch.from_arrays([pa.array([None if i == NO_ID else i for i in ids.tolist()], pa.int64())], names=["doc_id"])
+    def flags_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ids = np.unique(_unpack(blobs, _MARK)[0])
+        yield pa.RecordBatch.from_arrays([pa.array([None if i == NO_ID else i for i in ids.tolist()], pa.int64())], names=["doc_id"])
 
     def flagged(marks: DataFrame, name: str) -> DataFrame:
-        ids = marks.select("blob").mapInArrow(flags_of, "doc_id long")
+        """Numbers of the documents that have marks; a document's marks are all in its bucket, so that it comes once."""
+        ids = marks.select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(flags_of), "doc_id long")
         return settle(ids.select(F.pmod(F.xxhash64(F.xxhash64("doc_id")), F.lit(FLAGS)).alias("flag")).distinct(), name)
 
     def fetch(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         for i, j in ((before - half, before + gram), (before, before + gram + (before - half))):
             k = _gram_hash(contexts[:, i:j]) ^ _mix(h)
             k[(low > i) | (high < j)] = _mix(np.arange(len(h), dtype=np.uint64) + np.uint64(1 << 62))[(low > i) | (high < j)]
-            order = np.argsort(k, kind="stable")
+            order = np.argsort(k)
             same = k[order][1:] == k[order][:-1]
             keep[order[1:][same]] = keep[order[:-1][same]] = True
         pick = np.flatnonzero(keep)
