@@ -110,7 +110,7 @@ def pack(docs: DataFrame, size: int = 1024, window: int = 50_000, vocabulary: st
         def out(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_ARROW)
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1_000_000):
             ids = part.column(0).to_pylist()
             for doc_id, data in zip(ids, encode(part.column(1).to_pylist()), strict=True):
                 data += b"\0\0\0\0"

@@ -130,13 +130,13 @@ class Shard:
         bucket = ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
         slot = _slots(h, self.displacements[bucket], self.slots)
         same = self.fingerprints[slot] == (mix(hashed, 1000) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return np.where(same, self.places[slot], -1).astype(np.int64)
+        return np.where(same, self.places[slot].astype(np.int64), -1)
 
     def span(self, place: int) -> tuple[int, int]:
         return (int(self.ends[place - 1]) if place else 0), int(self.ends[place])
 
 
-def write(docs: DataFrame, path: str, shard_ids: int = 4_000_000, range_rows: int = 20_000, vocabulary: str | None = None) -> str:
+def write(docs: DataFrame, path: str, shard_ids: int = 2_000_000, range_rows: int = 20_000, vocabulary: str | None = None) -> str:
     """Encode every whole text, and write shards of about `shard_ids` ids in ascending doc_id order to `path`.
 
     docs needs doc_id and text; further columns are ignored. Null or empty texts have the one id 0, their end; a null
@@ -166,7 +166,7 @@ def write(docs: DataFrame, path: str, shard_ids: int = 4_000_000, range_rows: in
             keys.clear(), lengths.clear(), payload.clear()
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
 
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", 1_000_000):
             for doc_id, data in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1).to_pylist()), strict=True):
                 ids = np.frombuffer(data + b"\0\0\0\0", "<u4")
                 if held and held + len(ids) > shard_ids:

@@ -16,7 +16,6 @@ import numpy as np
 MEMO = 600_000
 #: White space other than the space and the line feed, as Unicode has it; ASCII's four separators are added with care.
 _ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
-_RUN = re.compile("[ \n][ \n]")
 #: Neither letters, digits nor white space: after letters they always form a piece of their own.
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-\u024f]+)([.,;:!?*#%&$|-]*)").fullmatch
 
@@ -35,6 +34,25 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _crowded(text: str) -> bool:
+    """Whether the text has white space beside white space, or other than spaces and line feeds."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return True
+    return not text.replace("\n", "").isprintable() and bool(_ODD.search(text))  # white space but the space isn't printable
+
+
+class _Memo(dict):
+    """Ids of chunks, learnt where they are missed."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.learn(chunk)
+        return ids
+
+
 class Encoder:
     """encode(texts) gives for each text its ids as little-endian unsigned 32-bit integers."""
 
@@ -42,7 +60,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary())
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self._learn)
         self.most = memo
         self.feed = self._plain("\n")
         self.splits = self._plain("a b\nc.") == b"".join(map(self._plain, ("a", " b", "\n", "c", ".")))
@@ -68,39 +86,27 @@ class Encoder:
             ids += self.marks[marks] if marks in self.marks else self.marks.setdefault(marks, self._plain(marks))
         return ids
 
-    def _learn(self, pieces: set[str]) -> None:
-        memo = self.memo
-        for p in pieces:
-            if p[:1] == "\n":
-                memo[p] = self.feed + (self._word("", p[1:]) if len(p) > 1 else b"")
-            else:
-                memo[p] = self._word(" ", p) if p else self._plain(" ")
+    def _learn(self, p: str) -> bytes:
+        if p[:1] == "\n":
+            return self.feed + (self._word("", p[1:]) if len(p) > 1 else b"")
+        return self._word(" ", p) if p else self._plain(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A group of texts should be of a few megabytes at most; null counts as empty."""
-        plain: dict[int, bytes] = {}
-        cut: list[list[str] | None] = []
-        pieces: set[str] = set()
-        for i, text in enumerate(texts):
+        out = []
+        get = self.memo.__getitem__
+        for text in texts:
             if not text:
-                plain[i] = b""
-                cut.append(None)
-            elif not self.splits or _RUN.search(text) or _ODD.search(text):
-                plain[i] = self._plain(text)
-                cut.append(None)
+                out.append(b"")
+            elif not self.splits or _crowded(text):
+                out.append(self._plain(text))
             else:
-                parts = text.replace("\n", " \n").split(" ")
-                cut.append(parts)
-                pieces.update(parts[1:])
-        new = pieces.difference(self.memo)
-        if len(self.memo) + len(new) > self.most:
-            self.memo.clear()
-            new = pieces
-        if new:
-            self._learn(new)
-        get = self.memo.__getitem__
-        first = lambda p: self.feed + self._word("", p[1:]) if p[:1] == "\n" and p[1:] else self._word("", p) if p else b""
-        return [plain[i] if p is None else first(p[0]) + b"".join(map(get, p[1:])) for i, p in enumerate(cut)]
+                if len(self.memo) > self.most:
+                    self.memo.clear()
+                head, *parts = text.replace("\n", " \n").split(" ")
+                first = self.feed + self._word("", head[1:]) if head[:1] == "\n" and len(head) > 1 else self._word("", head) if head else b""
+                out.append(first + b"".join(map(get, parts)))
+        return out
 
 
 def crc(data: bytes) -> int:
