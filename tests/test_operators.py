@@ -238,3 +238,19 @@ def test_streams_agree_with_batches(spark, sf_dir):
     got = ingest.run_to_end(spark, ingest.first_wins(source, ["user_id", "event_type"]).select("user_id", "event_type"))
     want = Tables(spark, sf_dir).table("events").select("user_id", "event_type").distinct()
     assert got.count() == want.count()
+
+
+def test_columns_are_declared_once():
+    from tidewell.operators import metrics
+
+    assert metrics.unclassified(["a", "b", "c"], ["a"], ["b"]) == ["c"]
+    with pytest.raises(ValueError, match="twice"):
+        metrics.unclassified(["a"], ["a"], ["a"])
+
+
+def test_ablation_keeps_the_feature_that_matters(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    df = spark.createDataFrame([(float(a), float(b), int(a + 0.3 * e > 0), i % 2) for i, ((a, b), e) in enumerate(zip(x, rng.normal(size=300), strict=True))], "f1 double, f2 double, label int, fold int").cache()
+    got = {r[0]: r[3] for r in models.ablation(lambda use, seed: models.logistic(use), df, ["f1", "f2"], "fold = 0", "fold = 1", [0])}
+    assert got["none"] == "baseline" and got["f1"] == "keep"

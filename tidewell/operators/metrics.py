@@ -47,6 +47,60 @@ def threshold_sweep(rows: DataFrame, steps: int = 20, tp: float = TP, fp: float
     return out.withColumn("expected_cents", F.round((F.col("tp") * tp - F.col("fp") * fp - F.col("fn") * fn) / F.col("n"), 6)).drop("n")
 
 
+def regret(rows: DataFrame, by: str, steps: int = 20) -> DataFrame:
+    """by, best_k, regret: what each group loses, a row, by the threshold that is best over all groups, against its own best."""
+    k = F.explode(F.sequence(F.lit(1), F.lit(steps - 1))).alias("k")
+    # a row reaches the thresholds up to its own; counts by that come first, so that they, not the rows, meet the thresholds
+    own = F.floor(F.round(F.col("proba") * steps, 6)).cast("int")
+    by_reach = rows.groupBy(by, own.alias("reach")).agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n"))
+    said = F.col("reach") >= F.col("k")
+    value = F.sum(F.when(said, F.col("yes") * TP - (F.col("n") - F.col("yes")) * FP).otherwise(-F.col("yes") * FN))
+    cells = by_reach.select("*", k).groupBy(by, "k").agg(value.alias("value"), F.sum("n").alias("n"))
+    total = cells.groupBy("k").agg(F.round(F.sum("value"), 4).alias("value"))
+    common = total.agg(F.max_by("k", F.struct("value", -F.col("k"))).alias("k")).scalar()
+    w = cells.withColumns({"_common": common, "value": F.round("value", 4)})
+    best = F.max_by("k", F.struct("value", -F.col("k")))
+    lost = F.max("value") - F.max(F.when(F.col("k") == F.col("_common"), F.col("value")))
+    return w.groupBy(by).agg(best.alias("best_k"), F.round(lost / F.max("n"), 6).alias("regret"))
+
+
+def id_like(df: DataFrame, least: int = 20) -> DataFrame:
+    """(column, distinct_values, id_like): whole-number columns of more than `least` values look like identifiers."""
+    whole = [c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint")]
+    one = df.agg(*[F.count_distinct(c).alias(c) for c in whole])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("distinct_values"), (F.col(c) > least).alias("id_like")) for c in whole])))
+
+
+def unclassified(columns: list[str], *sets: list[str]) -> list[str]:
+    """Columns that none of the declared sets has; a column in two sets is an error."""
+    seen: dict[str, int] = {}
+    for i, s in enumerate(sets):
+        for c in s:
+            if seen.setdefault(c, i) != i:
+                raise ValueError(f"{c} is declared twice")
+    return [c for c in columns if c not in seen]
+
+
+def attributions(rows: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(feature, mean_abs, signed_r, null_share) of each feature's values, by mean absolute value."""
+    from tidewell.functions.stats import safe_corr
+
+    aggs = []
+    for f in features:
+        aggs.append(F.struct(F.lit(f).alias("feature"), F.round(F.avg(F.abs(f)), 4).alias("mean_abs"), F.round(safe_corr(f, target), 4).alias("signed_r"), F.round(F.avg(F.col(f).isNull().cast("int")), 4).alias("null_share")))
+    return rows.agg(F.array(*aggs).alias("x")).select(F.inline("x"))
+
+
+def chunked_interaction(rows: DataFrame, x: str, y: str, by: str, chunks: int = 10) -> DataFrame:
+    """Sum of |r| between x and y over equally filled chunks of `by`: high where x works differently along `by`."""
+    from tidewell.functions.stats import safe_corr
+
+    edges = rows.agg(F.array_distinct(F.percentile(by, F.array(*[F.lit(i / chunks) for i in range(1, chunks)]))).alias("e")).scalar()
+    binned = rows.withColumn("_e", edges).withColumn("_c", F.size(F.filter("_e", lambda e: e <= F.col(by))))
+    r = binned.groupBy("_c").agg(safe_corr(x, y).alias("r"))
+    return r.agg(F.count("r").alias("chunks"), F.round(F.sum(F.abs("r")), 4).alias("strength"))
+
+
 def pick_tau(sweep: DataFrame, step: float = 0.05) -> DataFrame:
     """The lowest of the best thresholds for each calibration method."""
     best = sweep.agg(F.min_by("k", F.struct(-F.col("expected_cents"), F.col("k"))).alias("k"))

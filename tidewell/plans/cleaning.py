@@ -56,7 +56,7 @@ def slug(t: Tables) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT o_orderkey, o_orderdate AS d, CAST(o_orderkey % 6 AS INTEGER) AS k FROM orders)
-SELECT o_orderkey, CASE k WHEN 0 THEN date_trunc('day', d) WHEN 5 THEN NULL ELSE date_trunc('day', d) END AS parsed FROM r""")
+SELECT o_orderkey, CASE WHEN k <> 5 THEN CAST(d AS DATE) END AS parsed FROM r""")
 def multi_date(t: Tables) -> DataFrame:
     """PRJ7: dates written in five forms, and one that none fits."""
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
@@ -64,7 +64,7 @@ def multi_date(t: Tables) -> DataFrame:
         F.when(k == 0, F.date_format(d, "d/M/yyyy")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).when(k == 2, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" 00:00:00")))
         .when(k == 3, F.date_format(d, "d-MMM-yyyy")).when(k == 4, F.date_format(d, "yyyyMMdd")).otherwise("soon")
     )
-    return t.table("orders").select("o_orderkey", text.parse_date(raw).alias("parsed"))
+    return t.table("orders").select("o_orderkey", F.to_date(text.parse_date(raw)).alias("parsed"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER) AS day_int, CAST(l_shipdate AS DATE) AS day, strftime(l_shipdate, '%Y-%m') AS month FROM lineitem", prelude=False)
@@ -196,3 +196,14 @@ def api_json(t: Tables) -> DataFrame:
     path = files.scratch(t.spark, "api")
     s.withColumn("prices", p.select("prices").scalar()).write.json(path)
     return files.read_api(t.spark, path)
+
+
+@query(f"""WITH {ADDRESS_SQL} SELECT count(*) FILTER (station_code % 7 <> 0) AS matched, count(*) FILTER (station_code % 7 = 0) AS skipped FROM addresses""")
+def address_match(t: Tables) -> DataFrame:
+    """JN4, SRC2: history rows meet stations by their normalised addresses, however these are written; the others are counted."""
+    s = addresses(t)
+    a = F.col("address")
+    written = F.when(F.col("station_code") % 7 == 0, F.lit("1 Nowhere St")).when(F.col("station_code") % 2 == 0, F.upper(a)).otherwise(F.replace(a, F.lit(" "), F.lit("  ")))
+    history = s.select(text.normalise_address(written).alias("k"))
+    known = s.select(text.normalise_address(a).alias("k"), F.lit(True).alias("known")).distinct()
+    return history.join(known, "k", "left").agg(F.count_if("known").alias("matched"), F.count_if(F.col("known").isNull()).alias("skipped"))

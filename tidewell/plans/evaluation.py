@@ -106,7 +106,7 @@ def threshold_sweep(t: Tables) -> DataFrame:
 @query("""WITH taus AS (SELECT CAST(range + 1 AS INTEGER) AS k, (range + 1) * 0.05 AS tau FROM range(19)),
 c AS (SELECT k, round((count(*) FILTER (proba >= tau AND label = 1) * 6.37 - count(*) FILTER (proba >= tau AND label = 0) * 5.80 - count(*) FILTER (proba < tau AND label = 1) * 11.14) / count(*), 6) AS e FROM taus, scores GROUP BY 1),
 b AS (SELECT k FROM c ORDER BY e DESC, k LIMIT 1)
-SELECT m.method, round(least(0.95, greatest(0.05, k * 0.05 + m.step)), 4) AS tau FROM b, (VALUES ('isotonic', 0.0), ('sigmoid', 0.05), ('raw', 0.05)) AS m(method, step)""")
+SELECT m.method, CAST(round(least(0.95, greatest(0.05, k * 0.05 + m.step)), 4) AS DOUBLE) AS tau FROM b, (VALUES ('isotonic', 0.0), ('sigmoid', 0.05), ('raw', 0.05)) AS m(method, step)""")
 def pick_tau(t: Tables) -> DataFrame:
     """AG27: the best threshold, moved up for smooth calibrations, within bounds."""
     return metrics.pick_tau(metrics.threshold_sweep(t.scores))
@@ -252,14 +252,14 @@ def outcome_tally(t: Tables) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT arm, fold, round(avg(price), 6) AS score, CASE WHEN fold = 2 THEN NULL ELSE round(avg(litres), 6) END AS zone FROM scores GROUP BY 1, 2)
-SELECT arm, fold, row_number() OVER (ORDER BY zone IS NULL, zone DESC, score DESC, arm, fold) AS place FROM x""")
+SELECT arm, fold, CAST(row_number() OVER (ORDER BY zone IS NULL, zone DESC, score DESC, arm, fold) AS INTEGER) AS place FROM x""")
 def leaderboard(t: Tables) -> DataFrame:
     """SO5: order by a key that may be missing, then by others."""
     x = t.scores.groupBy("arm", "fold").agg(F.round(F.avg("price"), 6).alias("score"), F.when(F.col("fold") != 2, F.round(F.avg("litres"), 6)).alias("zone"))
     return x.select("arm", "fold", F.row_number().over(Window.partitionBy().orderBy(F.col("zone").desc_nulls_last(), F.desc("score"), "arm", "fold")).alias("place"))
 
 
-@query("""WITH x AS (SELECT p_brand AS feature, round(avg(p_retailprice), 4) AS s FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY s DESC, feature) AS k, max(s) OVER () AS top FROM x) SELECT feature, s, k FROM r WHERE k <= 6 OR s >= 0.5 * top""", prelude=False)
+@query("""WITH x AS (SELECT p_brand AS feature, round(avg(p_retailprice), 4) AS s FROM part GROUP BY 1), r AS (SELECT *, CAST(row_number() OVER (ORDER BY s DESC, feature) AS INTEGER) AS k, max(s) OVER () AS top FROM x) SELECT feature, s, k FROM r WHERE k <= 6 OR s >= 0.5 * top""", prelude=False)
 def hybrid_cutoff(t: Tables) -> DataFrame:
     """WN16, WN17: the first six, and all of half the top score or more."""
     return metrics.hybrid_cutoff(t.table("part").groupBy(F.col("p_brand").alias("feature")).agg(F.round(F.avg("p_retailprice"), 4).alias("s")), "feature", "s")
@@ -277,3 +277,58 @@ def interaction_entropy(t: Tables) -> DataFrame:
     m = t.table("part").groupBy(F.col("p_brand").alias("a"), F.col("p_type").alias("b")).agg(F.sum("p_size").alias("w"))
     q = m.withColumn("q", F.col("w") / F.sum("w").over(Window.partitionBy("a")))
     return q.groupBy("a").agg(F.round(-F.sum(F.col("q") * F.log("q")), 6).alias("entropy"), F.round(F.max("q"), 6).alias("main_share"))
+
+
+@query("""WITH taus AS (SELECT CAST(range + 1 AS INTEGER) AS k FROM range(19)), s AS (SELECT fold, label, CAST(floor(round(proba * 20, 6)) AS INTEGER) AS reach FROM scores),
+c AS (SELECT fold, k, round(sum(CASE WHEN reach >= k THEN label * 6.37 - (1 - label) * 5.80 ELSE -label * 11.14 END), 4)::DOUBLE AS value, count(*) AS n FROM taus, s GROUP BY 1, 2),
+b AS (SELECT k FROM (SELECT k, round(sum(value), 4) AS v FROM c GROUP BY 1) ORDER BY v DESC, k LIMIT 1)
+SELECT fold, arg_max(k, (value, -k)) AS best_k, round((max(value) - max(value) FILTER (k = (SELECT k FROM b))) / max(n), 6) AS regret FROM c GROUP BY 1""")
+def regret_by_fold(t: Tables) -> DataFrame:
+    """AG51."""
+    return metrics.regret(t.scores, "fold")
+
+
+@query("""SELECT 'l_orderkey' AS "column", count(DISTINCT l_orderkey) AS distinct_values, count(DISTINCT l_orderkey) > 20 AS id_like FROM lineitem UNION ALL SELECT 'l_partkey', count(DISTINCT l_partkey), count(DISTINCT l_partkey) > 20 FROM lineitem
+UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey), count(DISTINCT l_suppkey) > 20 FROM lineitem UNION ALL SELECT 'l_linenumber', count(DISTINCT l_linenumber), count(DISTINCT l_linenumber) > 20 FROM lineitem""", prelude=False)
+def id_columns(t: Tables) -> DataFrame:
+    """PRJ23."""
+    return metrics.id_like(t.table("lineitem"))
+
+
+@query("""WITH u AS (UNPIVOT (SELECT label::DOUBLE AS label, price, litres, proba::DOUBLE AS proba FROM scores) ON price, litres, proba INTO NAME feature VALUE x)
+SELECT feature, round(avg(abs(x)), 4) AS mean_abs, round(corr(x, label), 4) AS signed_r, round(avg(CAST(x IS NULL AS INTEGER)), 4) AS null_share FROM u GROUP BY 1""")
+def attribution_summary(t: Tables) -> DataFrame:
+    """AG38."""
+    return metrics.attributions(t.scores, ["price", "litres", "proba"], "label")
+
+
+@query("""WITH q AS (SELECT list_distinct(quantile_cont(litres, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM scores), b AS (SELECT price, proba, len(list_filter(e, lambda x: x <= litres)) AS c FROM scores, q),
+r AS (SELECT c, corr(price, proba) AS r FROM b GROUP BY 1) SELECT count(r) AS chunks, round(sum(abs(r)), 4) AS strength FROM r""")
+def chunked_interaction(t: Tables) -> DataFrame:
+    """WN23."""
+    return metrics.chunked_interaction(t.scores, "price", "proba", "litres")
+
+
+def _window_classes(day: str) -> str:
+    return _CLASS.replace("DATE '1999-03-17' AND DATE '1999-04-30'", f"DATE '{day}' - 45 AND DATE '{day}' - 1")
+
+
+HEALTH = ("1999-05-01", "1999-08-01", "1999-11-01")
+
+
+@query(
+    "WITH "
+    + ", ".join(
+        f"h{i} AS (WITH {_window_classes(d)} SELECT DATE '{d}' AS snapshot_date, council, count(*) FILTER (class = 'Competitive') AS competitive, count(*) AS stations FROM cls GROUP BY 2)" for i, d in enumerate(HEALTH)
+    )
+    + ", h AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) SELECT *, min(competitive) OVER (PARTITION BY council) = 0 AS ever_zero FROM h"
+)
+def class_health(t: Tables) -> DataFrame:
+    """AG19: classes at several snapshots, and councils that were ever without a Competitive station."""
+    parts = []
+    for d in HEALTH:
+        day = F.lit(d).cast("date")
+        c = cl.classify(t.panel.where(F.col("price_date").between(F.date_sub(day, 45), F.date_sub(day, 1))))
+        parts.append(c.groupBy("council").agg(F.count_if(F.col("class") == "Competitive").alias("competitive"), F.count(F.lit(1)).alias("stations")).withColumn("snapshot_date", day))
+    h = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return h.withColumn("ever_zero", F.min("competitive").over(Window.partitionBy("council")) == 0)

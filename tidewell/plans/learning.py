@@ -49,3 +49,24 @@ def explained_variance(t: Tables) -> DataFrame:
     """AG36 with many predictors."""
     x = models.r2(t.scores, "price", ["litres", "proba"])
     return t.scores.agg(F.count(F.lit(1)).alias("n")).withColumn("r2", F.lit(x))
+
+
+@query()
+def feature_clusters(t: Tables) -> DataFrame:
+    """ML9: columns that go together, by average linkage of their correlations; a column's cluster is a number."""
+    import numpy as np
+
+    from tidewell.operators import trials
+
+    s = t.scores.select("price", "litres", "proba", (F.col("price") * 1.1 + F.col("litres")).alias("gross"), (F.col("price") + F.col("proba")).alias("near_price"))
+    names = s.columns
+    rho = np.eye(len(names))
+    for r in trials.pairwise(s, names).collect():  # a row for each two columns
+        i, j = names.index(r.a), names.index(r.b)
+        rho[i, j] = rho[j, i] = r.rho or 0.0
+    found = models.clusters(names, rho, 0.5)
+    label = F.lit(None).cast("int")
+    for k, group in enumerate(found):
+        label = F.when(F.col("feature").isin(group), k).otherwise(label)
+    long = s.agg(*[F.avg(c).alias(c) for c in names]).unpivot([], names, "feature", "mean")
+    return long.withColumn("cluster", label)

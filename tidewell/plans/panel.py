@@ -259,7 +259,7 @@ def latest_board(t: Tables) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT 'brand' AS kind, brand AS name, count(*) AS n FROM stations GROUP BY 2 UNION ALL SELECT 'council', council, count(*) FROM stations GROUP BY 2),
-r AS (SELECT *, row_number() OVER (ORDER BY CASE kind WHEN 'brand' THEN 0 ELSE 1 END, n DESC, name) AS pos, count(*) OVER () AS total FROM k)
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE kind WHEN 'brand' THEN 0 ELSE 1 END, n DESC, name) AS INTEGER) AS pos, count(*) OVER () AS total FROM k)
 SELECT kind, name, n, pos, CAST(total - 10 AS BIGINT) AS hidden FROM r WHERE pos <= 10""")
 def capped_series_list(t: Tables) -> DataFrame:
     """SO3: series by priority, the first ten and how many are hidden."""

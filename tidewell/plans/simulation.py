@@ -22,8 +22,8 @@ run AS (
  FROM (SELECT e.*, greatest(0, r.level - 50.0::DOUBLE / 14) AS lv, (e.i <> 119 AND greatest(0, r.level - 50.0::DOUBLE / 14) < 50.0::DOUBLE / 14) OR greatest(0, r.level - 50.0::DOUBLE / 14) / 50 < 0.15 AS low
        FROM run r JOIN evals e ON e.station_code = r.station_code AND e.tau = r.tau AND e.i = r.i + 1))"""
 _REPLAY = "\n".join(x for x in _REPLAY.split("\n") if not x.startswith("ev AS"))
-ONE = _REPLAY.replace("GRID g", "(SELECT 172.0 AS tau) g")
-MANY = _REPLAY.replace("GRID g", "(SELECT 160.0 + 5 * range AS tau FROM range(7)) g")
+ONE = _REPLAY.replace("GRID g", "(SELECT 172.0::DOUBLE AS tau) g")
+MANY = _REPLAY.replace("GRID g", "(SELECT (160.0 + 5 * range)::DOUBLE AS tau FROM range(7)) g")
 
 
 def decisions(t: Tables, taus: list[float]) -> DataFrame:
