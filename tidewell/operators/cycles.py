@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.shipping import ship
+
 
 def local_maxima(x: np.ndarray) -> np.ndarray:
     """Middles of the runs of equal values that are higher than both neighbours; ends don't count."""
@@ -71,6 +73,7 @@ def confirmed_peaks(series: DataFrame, by: list[str], value: str = "price", dist
         out = {c: [pdf[c].iloc[0]] * len(taken) for c in by} if len(pdf) else {c: [] for c in by}
         return pd.DataFrame(out | {"peak_date": [days[p] for _, p in taken], "confirmed_on": [days[c] for c, _ in taken]})
 
+    ship(series.sparkSession)
     return series.groupBy(*by).applyInPandas(find, schema)
 
 
@@ -95,6 +98,7 @@ def trough_events(series: DataFrame, by: list[str], value: str = "price", **how)
         at = troughs(pdf[value].to_numpy(dtype=float), **how)
         return pd.DataFrame({c: [pdf[c].iloc[0]] * len(at) for c in by} | {"event_date": pdf["price_date"].to_numpy()[at]})
 
+    ship(series.sparkSession)
     return series.groupBy(*by).applyInPandas(find, ", ".join(f"{c} {kind[c]}" for c in by) + ", event_date date")
 
 
@@ -121,6 +125,7 @@ def days_since_trough(series: DataFrame, by: list[str], value: str = "price", st
         frame["days_since"] = frame["days_since"].astype("Int32")
         return frame[[*by, "price_date", "days_since"]]
 
+    ship(series.sparkSession)
     return series.groupBy(*by).applyInPandas(find, schema)
 
 
