@@ -12,6 +12,8 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.shipping import ship
+
 #: White space of the word definition: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -22,6 +24,7 @@ _own_dir: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +45,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df below spark.checkpoint.dir and read it back: lineage ends there, and lost executors cost no recomputation."""
+    ship(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -65,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
 
 def only(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns; further columns of a table never reach an operator's inner names."""
+    ship(docs.sparkSession)
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 

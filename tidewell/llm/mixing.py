@@ -27,34 +27,44 @@ TARGETS = (0.98, 0.02, 0.0)
 #: Labelled documents that the classifier is fitted on at most, the least by a hash of doc_id.
 SAMPLE = 20_000
 #: Hash buckets of the words; a word counts once in a document.
-BUCKETS = 1 << 16
-#: A bucket speaks for or against a domain where its log ratio is as many standard errors from zero.
-ERRORS = 4.0
+BUCKETS = 1 << 18
+#: A bucket speaks for or against a domain where its shares there and in the first domain differ by as many standard errors.
+ERRORS = 8.0
+#: Documents' worth of the overall share that smooths both.
+LEAN = 50
 GRID = 256
 ROUNDS = 40
 
 
 def buckets_of(text: str | None, buckets: int = BUCKETS) -> tuple[int, np.ndarray]:
-    """Words of the text, and the buckets of its distinct words (A-Z lower-cased)."""
+    """Words of the text, and the buckets of its distinct words (A-Z lower-cased), as they are and without marks around them."""
     words = text.encode().lower().split() if text else []
     distinct = set(words)
+    distinct |= {w.strip(b".,;:!?") for w in distinct}
     return len(words), np.unique(np.fromiter((zlib.crc32(w) for w in distinct), dtype=np.int64, count=len(distinct)) % buckets)
 
 
 class Classifier:
-    """Naive Bayes over the presence of hashed words, without the buckets whose log ratio may be chance."""
+    """Multinomial naive Bayes over a document's distinct hashed words; buckets whose difference may be chance are one class."""
 
     def __init__(self, documents: np.ndarray, seen: np.ndarray, errors: float = ERRORS):
         """documents: labelled documents of each domain; seen: those with each bucket, domain by bucket."""
         self.prior = np.log((documents + 1) / (documents.sum() + len(documents)))
         weights = np.zeros(seen.shape)
-        overall = (seen.sum(axis=0) + 0.5) / (documents.sum() + 1)
-        for k in range(len(documents)):
-            inside, outside = seen[k], seen.sum(axis=0) - seen[k]
-            # both rates lean on the overall one, so that a domain without documents says nothing
-            ratio = np.log((inside + overall) / (documents[k] + 1)) - np.log((outside + overall) / (documents.sum() - documents[k] + 1))
-            error = np.sqrt(1 / (inside + 0.5) + 1 / (outside + 0.5))
-            weights[k] = np.where(np.abs(ratio) > errors * error, ratio, 0)
+        for k in range(1, len(documents)):  # each domain against the first
+            n, m, a, b = documents[k], documents[0], seen[k].sum(), seen[0].sum()
+            if not (n and m and a and b):
+                continue
+            overall = (seen[k] + seen[0]) / (n + m)
+            error = np.sqrt(overall * (1 - overall) * (1 / n + 1 / m)) + 1e-12
+            telling = np.abs(seen[k] / n - seen[0] / m) > errors * error  # test of two proportions
+            # shares of all buckets that documents have; both lean on the common share by LEAN documents
+            lean = LEAN * (a + b) / (n + m)
+            common = lean * (seen[k] + seen[0] + 1e-9) / (a + b)
+            ratio = np.log((seen[k] + common) / (a + lean)) - np.log((seen[0] + common) / (b + lean))
+            # the other buckets are one class: where some buckets are more likely, the rest are less so
+            rest = np.log((seen[k][~telling].sum() + 1) / (a + 1)) - np.log((seen[0][~telling].sum() + 1) / (b + 1))
+            weights[k] = np.where(telling, ratio, rest)
         self.weights = np.ascontiguousarray(weights.T)
 
     def posteriors(self, buckets: np.ndarray) -> np.ndarray:

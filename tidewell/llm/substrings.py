@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices
+from .common import only, settle, slices
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text to a bucket, about.
@@ -175,7 +175,7 @@ def earlier_strings(contexts: np.ndarray, low: np.ndarray, high: np.ndarray, doc
 
 def _texts(docs: DataFrame, doc_buckets: int) -> DataFrame:
     spread = F.xxhash64("doc_id")
-    return docs.select(
+    return only(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
         F.pmod(spread, F.lit(doc_buckets)).alias("bucket"), F.pmod(F.xxhash64(spread), F.lit(FLAGS)).alias("flag"),
     )
