@@ -254,3 +254,11 @@ def test_ablation_keeps_the_feature_that_matters(spark):
     df = spark.createDataFrame([(float(a), float(b), int(a + 0.3 * e > 0), i % 2) for i, ((a, b), e) in enumerate(zip(x, rng.normal(size=300), strict=True))], "f1 double, f2 double, label int, fold int").cache()
     got = {r[0]: r[3] for r in models.ablation(lambda use, seed: models.logistic(use), df, ["f1", "f2"], "fold = 0", "fold = 1", [0])}
     assert got["none"] == "baseline" and got["f1"] == "keep"
+
+
+def test_paired_backtest_has_a_row_for_each_fold_and_arm(spark, sf_dir):
+    from tidewell import registry
+
+    got = registry.QUERIES["paired_backtest"](spark, sf_dir).collect()
+    assert [(r.fold, r.arm) for r in got] == [(0, "base"), (0, "trial"), (1, "base"), (1, "trial")]
+    assert all(r.delta == 0 for r in got if r.arm == "base") and all(150 < r.cpl < 200 and "interval=1d" in r.cadence for r in got)

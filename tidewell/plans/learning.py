@@ -70,3 +70,15 @@ def feature_clusters(t: Tables) -> DataFrame:
         label = F.when(F.col("feature").isin(group), k).otherwise(label)
     long = s.agg(*[F.avg(c).alias(c) for c in names]).unpivot([], names, "feature", "mean")
     return long.withColumn("cluster", label)
+
+
+@query()
+def paired_backtest(t: Tables) -> DataFrame:
+    """ML12: two arms over two folds, with what each would have paid."""
+    from tidewell.operators import backtest, classify, joins, metrics, simulate
+
+    lag = joins.exact_lag(t.daily, 7).select("station_code", "price_date", (F.col("decicents") - F.col("decicents_lag")).cast("double").alias("delta_7d"))
+    frame = classify.labels(t.daily).join(t.metro, "price_date").join(lag, ["station_code", "price_date"]).withColumn("gap", F.col("today") - F.col("price"))
+    frame = frame.select("station_code", "price_date", "label", "today", "gap", "delta_7d")
+    windows = metrics.folds(t.spark, "1996-01-01", 2, 1095, 90, 365, 7)
+    return backtest.paired_backtest(frame, t.daily, windows, {"base": ["today", "gap"], "trial": ["today", "gap", "delta_7d"]}, "base", simulate.Tank())
