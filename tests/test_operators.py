@@ -262,3 +262,34 @@ def test_paired_backtest_has_a_row_for_each_fold_and_arm(spark, sf_dir):
     got = registry.QUERIES["paired_backtest"](spark, sf_dir).collect()
     assert [(r.fold, r.arm) for r in got] == [(0, "base"), (0, "trial"), (1, "base"), (1, "trial")]
     assert all(r.delta == 0 for r in got if r.arm == "base") and all(150 < r.cpl < 200 and "interval=1d" in r.cadence for r in got)
+
+
+def test_candidates_get_a_status(spark):
+    from tidewell.operators import backtest
+
+    rng = np.random.default_rng(12)
+    n = 400
+    x, z = rng.normal(size=n), rng.normal(size=n)
+    rows = [(1, d, float(a), float(b), int(a + b + 0.3 * e > 0)) for d, a, b, e in zip(days(n), x, z, rng.normal(size=n), strict=True)]
+    frame = spark.createDataFrame(rows, "station_code long, price_date date, x double, z double, label int").cache()
+    make = lambda f, inputs=("z", "price_date", "station_code"): trials.Candidate("c", list(inputs), ["c"], lambda df: df.withColumn("c", f(df)))
+    run = lambda c: backtest.try_candidate(c, frame, ["x"], "price_date < '2020-10-01'", "price_date >= '2020-10-01'", "2020-06-30")[0]
+    from pyspark.sql import Window
+
+    assert run(make(lambda df: F.col("z") * 2)) == "promising"
+    assert run(make(lambda df: F.col("x") * 3, ("x", "price_date", "station_code"))) == "redundant"
+    assert run(make(lambda df: F.lead("z").over(Window.partitionBy("station_code").orderBy("price_date")))) == "leaky"
+    assert run(make(lambda df: F.col("label"), ("label",))) == "invalid"
+
+
+def test_noise_floor_of_placebos(spark):
+    from tidewell.operators import backtest, metrics
+
+    rng = np.random.default_rng(13)
+    cents = 1600 + rng.integers(0, 200, 300)
+    daily = spark.createDataFrame([(1, d, int(p)) for d, p in zip(days(300), cents, strict=True)], "station_code long, price_date date, decicents int")
+    frame = daily.select("station_code", "price_date", (F.col("decicents") / 10).alias("today"), (F.col("decicents") < 1680).cast("int").alias("label"))
+    windows = metrics.folds(spark, "2020-01-01", 1, 200, 60, 60, 7)
+    series_ = daily.select("price_date", (F.col("decicents") / 7).alias("v"))
+    got = backtest.noise_floor(frame, series_, "v", daily, windows, ["today"], simulate.Tank(), [1, 2], 30).collect()
+    assert [(r.draw, r.fold) for r in got] == [(1, 0), (2, 0)] and all(abs(r.delta) < 5 for r in got)

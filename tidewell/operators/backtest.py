@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators import metrics, models
+from tidewell.operators import metrics, models, trials
 from tidewell.operators import simulate as sim
 
 
@@ -37,3 +37,41 @@ def paired_backtest(frame: DataFrame, daily: DataFrame, windows: DataFrame, arms
     rows = reduce(DataFrame.unionByName, parts).withColumn("cpl", F.try_divide("spend", "litres"))
     base = F.max(F.when(F.col("arm") == baseline, F.col("cpl"))).over(Window.partitionBy("fold"))
     return rows.withColumns({"delta": F.col("cpl") - base, "cadence": F.lit(tank.stamp())})
+
+
+def noise_floor(frame: DataFrame, series: DataFrame, value: str, daily: DataFrame, windows: DataFrame, features: list[str], tank: sim.Tank, shifts: list[int], block: int = 90) -> DataFrame:
+    """(draw, fold, delta): what a market-wide column of no worth changes, for each placebo draw of the series.
+
+    A draw is the series with its blocks moved round, so that it has the series' own distribution and smoothness.
+    """
+    parts = []
+    for k in shifts:
+        placebo = trials.block_placebo(series.select("price_date", value), value, block, k).select("price_date", "placebo")
+        arms = {"base": features, "draw": [*features, "placebo"]}
+        got = paired_backtest(frame.join(placebo, "price_date"), daily, windows, arms, "base", tank)
+        parts.append(got.where("arm = 'draw'").select(F.lit(k).alias("draw"), "fold", "delta"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def try_candidate(candidate: trials.Candidate, frame: DataFrame, features: list[str], train: str, test: str, cut: str, gate: float = 0.85) -> tuple[str, str]:
+    """(status, reason) of a candidate feature: invalid, leaky, redundant, no_gain or promising, in this order.
+
+    It is computed from its declared inputs; recomputed on rows up to `cut`, where nothing may change; correlated with
+    the features that there are, where what can't be computed doesn't pass; and must lower the log loss of the test rows.
+    """
+    try:
+        trials.validate(candidate, frame).collect()
+    except Exception as e:  # noqa: BLE001  the reason is the result
+        return "invalid", str(e).splitlines()[0]
+    keys = ["station_code", "price_date"]
+    build = lambda df: candidate.add(df).select(*keys, *candidate.columns)
+    rows = frame.select(*dict.fromkeys([*keys, *candidate.inputs]))
+    if changed := trials.leaks(build, rows, cut).count():
+        return "leaky", f"{changed} rows up to {cut} change with later rows"
+    wide = frame.join(build(rows), keys).cache()
+    pairs = trials.redundancy(trials.pairwise(wide, [*features, *candidate.columns]), gate).where(F.col("b").isin(candidate.columns) & ~F.col("a").isin(candidate.columns))
+    if bad := pairs.where("verdict != 'pass'").orderBy("a", "b").first():
+        return "redundant", f"{bad.b} with {bad.a}: {bad.verdict}"
+    losses = [models.score(models.predict(models.logistic(f).fit(wide.where(train)), wide.where(test))).first()["log_loss"] for f in (features, [*features, *candidate.columns])]
+    wide.unpersist()
+    return ("promising" if losses[1] < losses[0] else "no_gain"), f"log loss {losses[0]:.5f} without, {losses[1]:.5f} with"
