@@ -100,6 +100,12 @@ def field(head: bytes, name: str) -> str | None:
     return m[1].decode("utf-8", "replace") if m else None
 
 
+def key_of(name: str | None) -> int | None:
+    """A key header's value if it is a signed 64-bit number; other values are no key."""
+    key = int(name) if name and re.fullmatch(r"-?[0-9]{1,19}", name) else None
+    return key if key is not None and -(1 << 63) <= key < 1 << 63 else None
+
+
 def iso(date: str) -> str:
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
@@ -186,7 +192,7 @@ def _arc_rows(files: list) -> Iterator[tuple]:
             head, payload = parts if parts else (None, r["content"])
             source = f"{path.rsplit('/', 1)[-1]}:{r['offset']}"
             name = field(head, KEY) if head else None
-            key = int(name) if name and re.fullmatch(r"-?\d{1,18}", name) else None
+            key = key_of(name)
             digest = hashlib.sha256(payload).hexdigest()
             yield source, key, r["url"], r["ip"], iso(r["date"]), r["mime"], head, payload, digest, record_id(r["url"], r["date"], name or source, digest)
 
@@ -261,7 +267,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     else:
                         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
                     refers = field(head, "WARC-Refers-To")
-                    out.append((int(name) if name else None, (field(head, "WARC-Record-ID") or "")[1:-1], kind, refers[1:-1] if refers else None, field(head, "WARC-Target-URI"), field(head, "WARC-Date"), size, digest))
+                    out.append((key_of(name), (field(head, "WARC-Record-ID") or "")[1:-1], kind, refers[1:-1] if refers else None, field(head, "WARC-Target-URI"), field(head, "WARC-Date"), size, digest))
                 for at in range(0, len(out), 5_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 5_000], strict=True), kinds, strict=True)], names=names)
 
