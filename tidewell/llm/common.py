@@ -43,12 +43,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark drops the shuffle files of a statement when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it back: lineage ends there, and lost executors cost no recomputation."""
-    ship(df.sparkSession)
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df below spark.checkpoint.dir and read it back: lineage ends there, and lost executors cost no recomputation.
+
+    The shuffle files behind the written table are of no more use, and go when it is written.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
