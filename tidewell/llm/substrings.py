@@ -5,9 +5,14 @@ A byte goes if it is covered by a string of `length` bytes that also starts in a
 1. Anchors. Of the `GRAM`-byte grams inside each string of `length` bytes the one with the least hash is an anchor, so
    that equal strings have equal anchors at the same place. Anchors go to buckets by their hash, with a hash of the
    context: all strings of `length` bytes that hold the anchor lie in it.
+   Each task settles the repeats of a context among its own documents, and sends on the smallest only, so that a
+   passage that very many documents have sends a record for each task and context.
 2. Buckets. Anchors of one document alone are dropped. A context that a smaller document has too settles itself: all
-   of it goes. What is left, the first of each distinct context of an anchor, is at the edge of a match.
-3. Edges. The contexts' bytes are fetched from their documents, and meet by anchor.
+   of it goes. What is left, the first of each distinct context of an anchor, is at the edge of a match. A context and
+   its place are known by 64 bits beside the 64 of the anchor: among a million contexts of one anchor two different
+   ones are taken for equal with a chance of about 3 in 100 million.
+3. Edges. The contexts' bytes are fetched from their documents, and meet by anchor. An anchor with more than `HOT`
+   contexts is cut: a string around it holds one of two longer grams, and its contexts meet by either of these.
 4. Intervals. The contexts of a bucket are suffix-sorted, and the lengths of common prefixes are derived by increasing
    value, breadth first: backward extension of the Burrows-Wheeler transform takes each boundary between rows at
    length l to boundaries at l + 1. It stops at the minimum length: rows without a boundary by then are in one
@@ -32,10 +37,12 @@ from .common import only, settle, slices
 LENGTH, GRAM = 50, 20
 #: Bytes of text to a bucket, about.
 BUCKET_BYTES = 8_000_000
+#: Contexts of an anchor that meet in one group at most, about.
+HOT = 20_000
 FLAGS = 1 << 20
 NO_ID = np.iinfo(np.int64).max  # a null doc_id comes last
-_ANCHOR = ("<u8", "<u4", "<u2", "<i8", "<u4", "<u2")  # hash, context hash (48 bits), doc_id, place, text check
-_MARK = ("<i8", "<u2", "<u4", "<u4")  # doc_id, text check, from, to
+_ANCHOR = ("<u8", "<u8", "<i8", "<u4", "<u4")  # hash, context hash, doc_id, place, text check
+_MARK = ("<i8", "<u4", "<u4", "<u4")  # doc_id, text check, from, to
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -111,8 +118,8 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
 
 
 def check_of(data: bytes) -> int:
-    """16 bits that tell apart the texts of a repeated doc_id."""
-    return int.from_bytes(hashlib.blake2b(data, digest_size=2).digest(), "little")
+    """32 bits that tell apart the texts of a repeated doc_id."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=4).digest(), "little")
 
 
 def equal_strings(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +192,7 @@ def _keys(ids: pa.Array) -> np.ndarray:
     return ids.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, with_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, with_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """One row per row of docs: (doc_id, n_bytes, n_removed, n_spans, kept_sha256), and the kept bytes if with_bytes.
 
     Texts are UTF-8 bytes, null counts as empty; matches never cross documents, and are judged on the input. Texts
@@ -198,20 +205,41 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     rows = _texts(docs, buckets)
     before, width = length - gram, 2 * length - gram
 
+    def doc_buckets(doc: np.ndarray) -> np.ndarray:
+        return (_mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+    def dealt(kind: int, cols: list[np.ndarray], to: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(to, kind="stable")
+        cols, to = [c[order] for c in cols], to[order]
+        cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else []
+        for a in range(0, max(len(cuts) - 1, 0), 64):
+            spans = list(zip(cuts[a : a + 64], cuts[a + 1 : a + 65], strict=False))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(to[i]) for i, _ in spans], pa.int64()), pa.array([kind] * len(spans), pa.int32()), pa.array([_pack(*(c[i:j] for c in cols)) for i, j in spans], pa.binary())],
+                names=["bucket", "kind", "blob"],
+            )
+
+    def covered(doc: np.ndarray, check: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Marks over the contexts of anchors."""
+        a = at.astype(np.int64)
+        return [doc, check, np.maximum(a - before, 0).astype(np.uint32), (a + length).astype(np.uint32)]
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
 
         def deal() -> Iterator[pa.RecordBatch]:
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            h, c, doc, at, check = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            to = (cols[0] >> np.uint64(8)) % np.uint64(buckets)
-            order = np.argsort(to, kind="stable")
-            cols, to = [c[order] for c in cols], to[order]
-            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else []
-            for a in range(0, max(len(cuts) - 1, 0), 64):
-                spans = list(zip(cuts[a : a + 64], cuts[a + 1 : a + 65], strict=False))
-                yield pa.RecordBatch.from_arrays([pa.array([int(to[i]) for i, _ in spans], pa.int64()), pa.array([_pack(*(c[i:j] for c in cols)) for i, j in spans], pa.binary())], names=["bucket", "blob"])
+            order = np.lexsort((doc, c ^ _mix(h)))
+            h, c, doc, at, check = h[order], c[order], doc[order], at[order], check[order]
+            new = np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])])
+            starts = np.flatnonzero(new)
+            later = doc > np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))
+            if later.any():  # a smaller document of this task has the context: settled here, on the way to the documents' buckets
+                yield from dealt(0, covered(doc[later], check[later], at[later]), doc_buckets(doc[later]))
+                h, c, doc, at, check = (x[~later] for x in (h, c, doc, at, check))
+            yield from dealt(2, [h, c, doc, at, check], (h >> np.uint64(8)) % np.uint64(buckets))
 
         for part in slices(batches, "data"):
             ids = _keys(part.column(0))
@@ -220,7 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
                 at, h, c = anchors(data, length, gram)
                 if len(at):
                     m = len(at)
-                    held.append([h, c.astype(np.uint32), (c >> np.uint64(32)).astype(np.uint16), np.full(m, doc, np.int64), at.astype(np.uint32), np.full(m, check_of(data), np.uint16)])
+                    held.append([h, c, np.full(m, doc, np.int64), at.astype(np.uint32), np.full(m, check_of(data), np.uint32)])
                     size += m
                     if size >= 1_000_000:
                         yield from deal()
@@ -229,12 +257,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
             yield from deal()
 
     def by_bucket(work):
-        """Run work(bucket, blobs) on each bucket of a partition that is sorted by bucket."""
+        """Run work(blobs) on each bucket of a partition that is sorted by bucket."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, blobs = None, []
             for b in batches:
-                for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for bucket, blob in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1), strict=True):
                     if bucket != now and blobs:
                         yield from work(blobs)
                         blobs = []
@@ -245,22 +273,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
 
         return run
 
-    def doc_buckets(doc: np.ndarray) -> np.ndarray:
-        return (_mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """sift() on the anchors of each bucket; marks that came with them go on to their documents' buckets."""
 
-    def dealt(kind: int, cols: list[np.ndarray], to: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(to, kind="stable")
-        cols, to = [c[order] for c in cols], to[order]
-        cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else []
-        for a in range(0, max(len(cuts) - 1, 0), 64):
-            spans = list(zip(cuts[a : a + 64], cuts[a + 1 : a + 65], strict=False))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(to[i]) for i, _ in spans], pa.int64()), pa.array([kind] * len(spans), pa.int32()), pa.array([_pack(*(c[i:j] for c in cols)) for i, j in spans], pa.binary())],
-                names=["bucket", "kind", "blob"],
-            )
+        def anchors_only() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                marks = pa.compute.equal(b.column(1), 0)
+                ready.append(b.filter(marks))
+                yield b.filter(pa.compute.invert(marks))
+
+        ready: list[pa.RecordBatch] = []
+        for out in by_bucket(sift)(anchors_only()):
+            yield out
+            yield from ready
+            ready.clear()
+        yield from ready
 
     def sift(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        h, c1, c2, doc, at, check = _unpack(blobs, _ANCHOR)
+        h, c, doc, at, check = _unpack(blobs, _ANCHOR)
         order = np.argsort(h)
         h, doc = h[order], doc[order]
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -270,8 +300,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         if not keep.any():
             return
         order, h, doc = order[keep], h[keep], doc[keep]
-        c = c2[order].astype(np.uint64) << np.uint64(32) | c1[order]
-        at, check = at[order], check[order]
+        c, at, check = c[order], at[order], check[order]
         order = np.lexsort((doc, c, h))
         h, c, doc, at, check = h[order], c[order], doc[order], at[order], check[order]
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
@@ -279,18 +308,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         starts = np.flatnonzero(new_c)
         least = np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))
         settled = doc > least
-        group = np.cumsum(new_h) - 1
-        mixed = np.bincount(group, weights=new_c)[group] > 1  # more than one context has this anchor
-        asked = ~settled & mixed
-        for kind, which in ((0, settled), (1, asked)):
-            if which.any():
-                a = at[which].astype(np.int64)
-                low, high = (np.maximum(a - before, 0), a + length) if kind == 0 else (a, a)
-                yield from dealt(kind, [doc[which], check[which], low.astype(np.uint32), high.astype(np.uint32)], doc_buckets(doc[which]))
+        contexts = np.bincount(np.cumsum(new_h) - 1, weights=new_c)[np.cumsum(new_h) - 1]
+        asked = ~settled & (contexts > 1)  # more than one context has this anchor
+        if settled.any():
+            yield from dealt(0, covered(doc[settled], check[settled], at[settled]), doc_buckets(doc[settled]))
+        if asked.any():
+            a = at[asked]
+            yield from dealt(1, [doc[asked], check[asked], a, (contexts[asked] > hot).astype(np.uint32)], doc_buckets(doc[asked]))
 
     schema = "bucket long, kind int, blob binary"
-    dealt_anchors = rows.select("doc_id", "data").mapInArrow(find, "bucket long, blob binary")
-    marks = settle(dealt_anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(sift), schema), "marks")
+    dealt_anchors = rows.select("doc_id", "data").mapInArrow(find, schema)
+    marks = settle(dealt_anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sifted, schema), "marks")
 
     def flags_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids = np.unique(_unpack(blobs, _MARK)[0])
@@ -298,14 +326,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
 
     def flagged(marks: DataFrame, name: str) -> DataFrame:
         """Numbers of the documents that have marks; a document's marks are all in its bucket, so that it comes once."""
-        ids = marks.select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(flags_of), "doc_id long")
+        ids = marks.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(flags_of), "doc_id long")
         return settle(ids.select(F.pmod(F.xxhash64(F.xxhash64("doc_id")), F.lit(FLAGS)).alias("flag")).distinct(), name)
 
+    def longer(h: np.ndarray, low: np.ndarray, high: np.ndarray, contexts: np.ndarray) -> Iterator[np.ndarray]:
+        """For either longer gram around the anchors h its hash; a context that doesn't hold it gets a number of its own."""
+        half = before // 2
+        for i, j in ((before - half, before + gram), (before, before + gram + (before - half))):
+            k = _gram_hash(contexts[:, i:j]) ^ _mix(h)
+            short = (low > i) | (high < j)
+            alone = _mix(_gram_hash(contexts) ^ np.uint64(1 << 62))
+            k[short] = alone[short]
+            yield k
+
     def fetch(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x.as_py() for b in right for x in b.column(b.schema.get_field_index("blob"))]
-        doc, check, at, _ = _unpack(blobs, _MARK)
+        doc, check, at, many = _unpack(blobs, _MARK)
         order = np.lexsort((at, check, doc))
-        doc, check, at = doc[order], check[order], at[order].astype(np.int64)
+        doc, check, at, many = doc[order], check[order], at[order].astype(np.int64), many[order] > 0
         for part in left if len(doc) else ():
             ids = _keys(part.column(part.schema.get_field_index("doc_id")))
             out: list[list[np.ndarray]] = []
@@ -315,15 +353,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
                 if a == b:
                     continue
                 data = value.as_py()
-                mine = at[a:b][check[a:b] == check_of(data)]
-                mine = mine[mine + gram <= len(data)]
+                here = (check[a:b] == check_of(data)) & (at[a:b] + gram <= len(data))
+                mine, cut = at[a:b][here], many[a:b][here]
                 if not len(mine):
                     continue
                 padded = np.frombuffer(bytes(before) + data + bytes(length), np.uint8)
                 contexts = np.lib.stride_tricks.sliding_window_view(padded, width)[mine]
                 low, high = np.maximum(before - mine, 0), np.minimum(len(data) - mine + before, width)
                 grams = _mix(_gram_hash(contexts[:, before : before + gram]))
-                out.append([grams, np.full(len(mine), i, np.int64), np.full(len(mine), check_of(data), np.uint16), mine.astype(np.uint32), low.astype(np.uint8), high.astype(np.uint8), contexts])
+                cols = [grams, np.full(len(mine), i, np.int64), np.full(len(mine), check_of(data), np.uint32), mine.astype(np.uint32), low.astype(np.uint8), high.astype(np.uint8), contexts]
+                out.append([c[~cut] for c in cols])
+                for k in longer(grams, low, high, contexts) if cut.any() else ():  # of a hot anchor: by either longer gram
+                    out.append([k[cut], *(c[cut] for c in cols[1:])])
             if out:
                 cols = [np.concatenate(x) for x in zip(*out, strict=True)]
                 to = ((cols[0] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
@@ -334,10 +375,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         contexts = np.concatenate([np.frombuffer(b, np.uint8, offset=len(b) - int.from_bytes(b[:4], "little") * width) for b in blobs]).reshape(-1, width)
         # a string around the anchor holds one of two longer grams; those that no other context shares can't matter
         keep = np.zeros(len(h), dtype=bool)
-        half = before // 2
-        for i, j in ((before - half, before + gram), (before, before + gram + (before - half))):
-            k = _gram_hash(contexts[:, i:j]) ^ _mix(h)
-            k[(low > i) | (high < j)] = _mix(np.arange(len(h), dtype=np.uint64) + np.uint64(1 << 62))[(low > i) | (high < j)]
+        for k in longer(h, low, high, contexts):
             order = np.argsort(k)
             same = k[order][1:] == k[order][:-1]
             keep[order[1:][same]] = keep[order[:-1][same]] = True
@@ -421,7 +459,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     placed = "doc_id long, data binary, bucket long, flag long"
     asked = marks.where("kind = 1")
     contexts = grouped(texts(flagged(asked, "asked-flags"), True).mapInArrow(place, placed)).cogroup(asked.select("bucket", "blob").groupBy("bucket")).applyInArrow(tables(fetch, dealt_schema), schema)
-    edges = settle(contexts.select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(expand), schema), "edges")
+    edges = settle(contexts.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(expand), schema), "edges")
     gone = marks.where("kind = 0").unionByName(edges)
     flags = flagged(gone, "flags")
     with_marks = grouped(texts(flags, True).mapInArrow(place, placed)).cogroup(gone.select("bucket", "blob").groupBy("bucket")).applyInArrow(tables(cut, result_schema), result)
@@ -433,7 +471,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     return with_marks.unionByName(texts(flags, False).select("doc_id", "data").mapInArrow(whole, result))
 
 
-_EDGE = ("<u8", "<i8", "<u2", "<u4", "<u1", "<u1")  # anchor, doc_id, text check, place, bytes of the context from, to
+_EDGE = ("<u8", "<i8", "<u4", "<u4", "<u1", "<u1")  # anchor, doc_id, text check, place, bytes of the context from, to
 
 
 def _gram_hash(grams: np.ndarray) -> np.ndarray:
