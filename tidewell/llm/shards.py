@@ -16,11 +16,12 @@ and the place of its first row; rows with the same key follow each other.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import only, scratch_path, slices
@@ -28,6 +29,10 @@ from .tokens import crc, encoder
 
 MAGIC = b"TWSHARD1"
 HEAD = "<12q"
+#: Ranges that are summed up together.
+BLOCK = 4_096
+#: Keys that are looked up one by one at most.
+MOST_KEYS = 10_000
 NULL_KEY = np.uint64(0x9E3779B97F4A7C15)  # stands for a null key in the hash
 
 
@@ -122,6 +127,8 @@ class Shard:
         self.displacements, self.fingerprints, self.places = take("<i4", self.buckets), take("<u4", self.slots), take("<u4", self.slots)
         self.keys, self.null, self.ends = take("<i8", self.rows), take("u1", self.rows).astype(bool), take("<i8", self.rows)
         self.ids = take("<u2" if self.width == 2 else "<u4", self.n_ids)
+        there = self.keys[~self.null]
+        self.low, self.high = (int(there[0]), int(there[-1])) if len(there) else (0, -1)
 
     def find(self, keys: np.ndarray, null: np.ndarray) -> np.ndarray:
         """Place of the first row of each key, -1 for keys whose fingerprint isn't there."""
@@ -140,10 +147,12 @@ def write(docs: DataFrame, path: str, shard_ids: int = 2_000_000, range_rows: in
     """Encode every whole text, and write shards of about `shard_ids` ids in ascending doc_id order to `path`.
 
     docs needs doc_id and text; further columns are ignored. Null or empty texts have the one id 0, their end; a null
-    doc_id comes first, as one key; rows with the same doc_id follow each other in one shard or in neighbouring ones; a
-    text longer than a shard gets a shard of its own; no rows give no shard. The shards' names have no order: their
-    headers have it (range number, shard number). Texts are dealt by ranges of doc_id, about range_rows in each, and
-    encoded after that, so that each text moves once and its ids never. The last byte of a file is a line feed.
+    doc_id comes first, as one key; rows with the same doc_id follow each other, ordered by text, in one shard or in
+    neighbouring ones; a text longer than a shard gets a shard of its own; no rows give no shard. A shard is the one
+    file of a folder whose name has its facts: range, place in the range, ids before it in the range, its ids, first and
+    last key. So a listing of the folders is the table of all shards, and no file is read to find a key's. Texts are
+    dealt by ranges of doc_id, about range_rows in each, and encoded after that, so that each text moves once and its
+    ids never. The last byte of a file is a line feed.
     """
     rows = only(docs, "doc_id", "text")
     parts = max(1, rows.select("doc_id").count() // range_rows)
@@ -161,10 +170,12 @@ def write(docs: DataFrame, path: str, shard_ids: int = 2_000_000, range_rows: in
 
         def shard() -> pa.RecordBatch:
             nonlocal held, before, part
+            plain = [k for k in keys if k is not None]
+            name = "_".join(map(str, (number, part, before, held, plain[0] if plain else "", plain[-1] if plain else "")))
             data = write_shard(number, part, before, keys, lengths, b"".join(payload), size)
             before, part, held = before + held, part + 1, 0
             keys.clear(), lengths.clear(), payload.clear()
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], names=["shard", "value"])
 
         for piece in slices(batches, "text", 1_000_000):
             for doc_id, data in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1).to_pylist()), strict=True):
@@ -178,31 +189,35 @@ def write(docs: DataFrame, path: str, shard_ids: int = 2_000_000, range_rows: in
         if keys:
             yield shard()
 
-    blobs = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(work, "value binary")
-    blobs.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    blobs = rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(work, "shard string, value binary")
+    blobs.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
     return path
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files if "shard" in files.columns else files.withColumn("shard", F.lit(None).cast("string"))  # no shard, no folder
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, number, part, before, n, low, high): the facts in the names of the shards' folders; a shard of null keys alone has no bounds."""
+    facts = F.split("shard", "_")
+    names = ("number", "part", "before", "n", "low", "high")
+    return _files(spark, path).select("shard", *[facts[i].try_cast("long").alias(c) for i, c in enumerate(names)])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per document, from the files: (doc_id, start, n_tokens, ids_crc32).
 
     Each key of a shard is looked up through the index, its fingerprint is checked, and its ids are cut from the
-    payload. start counts all ids of smaller doc_ids: the ids before the document in its range, which the file has,
-    plus those of earlier ranges. There are as many ranges as tasks wrote, so that their totals fit the driver.
+    payload. start counts all ids of smaller doc_ids: those of earlier shards, summed up from the folders' names first
+    within blocks of ranges, then over the blocks, plus those before it in the shard.
     """
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [struct.unpack_from(HEAD, memoryview(x.as_buffer()), 8) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in h], pa.int64()), pa.array([x[6] for x in h], pa.int64())], names=["number", "n"])
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blob in b.column(0):
+            for shard, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = Shard(blob.as_py())
                 first = s.find(s.keys, s.null)
                 if (first < 0).any():
@@ -213,49 +228,42 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     k = seen.get(place, 0)  # rows with the same key follow each other
                     seen[place] = k + 1
                     i, j = s.span(place + k)
-                    out.append((None if null else key, s.before + i, j - i, crc(s.ids[i:j].astype("<u4").tobytes()), s.number))
+                    out.append((None if null else key, i, j - i, crc(s.ids[i:j].astype("<u4").tobytes())))
                 for at in range(0, len(out), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[at : at + 20_000], strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "number"])
+                    cols = [pa.array(c, pa.int64()) for c in zip(*out[at : at + 20_000], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([shard] * len(cols[0]))], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
-    files = _files(spark, path)
-    totals = sorted((r.number, r.n) for r in files.mapInArrow(heads, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).collect())
-    ends = np.cumsum([n for _, n in totals]).tolist()
-    bases = spark.createDataFrame([(k, e - n) for (k, n), e in zip(totals, ends, strict=True)] or [(-1, 0)], "number long, base long")
-    rows = files.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, number long")
-    return rows.join(F.broadcast(bases), "number").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+    found = manifest(spark, path).withColumn("block", F.floor(F.col("number") / BLOCK))
+    w = Window.partitionBy("block").orderBy("number", "part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = found.groupBy("block").agg(F.sum("n").alias("ids"))
+    earlier = Window.partitionBy().orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each BLOCK ranges
+    bases = found.withColumn("_in", F.sum("n").over(w)).join(blocks.withColumn("_to", F.sum("ids").over(earlier)), "block")
+    bases = bases.select("shard", (F.coalesce("_in", F.lit(0)) + F.coalesce("_to", F.lit(0))).alias("base"))
+    rows = _files(spark, path).select("shard", "content").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    return rows.join(bases, "shard").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(path: str, keys: DataFrame) -> DataFrame:
+def lookup(path: str, keys: DataFrame, most: int = MOST_KEYS) -> DataFrame:
     """Ids of the given doc_ids: (doc_id, ids array<int>). Unknown keys give no row; null never matches.
 
-    A shard covers its range of keys; the shards' first keys (8 bytes a shard) go to the tasks, which send each key to
-    the shards that may hold it, where the index answers.
+    Up to `most` keys go to the driver, which picks the shards that may hold one by the bounds in their folders' names;
+    only these files are read, and the index of each takes a key to its ids in constant time. More keys than that are
+    a join: all shards are read, and their keys meet the wanted ones by hash.
     """
     spark = keys.sparkSession
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [struct.unpack_from(HEAD, memoryview(x.as_buffer()), 8) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in h], pa.int64()) for i in (0, 1, 8, 9)], names=["number", "part", "low", "high"])
-
-    files = _files(spark, path)
-    shards = F.broadcast(files.mapInArrow(heads, "number long, part long, low long, high long"))
     wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
-    sent = wanted.join(shards, F.col("doc_id").between(F.col("low"), F.col("high"))).groupBy("number", "part").agg(F.collect_list("doc_id").alias("keys"))
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [struct.unpack_from(HEAD, memoryview(x.as_buffer()), 8) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in h], pa.int64()), pa.array([x[1] for x in h], pa.int64()), b.column(0)], names=["number", "part", "content"])
+    some = sorted(r.doc_id for r in wanted.limit(most + 1).collect())
+    if len(some) > most:
+        return _all(spark, path).join(wanted, "doc_id", "left_semi")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content, ks in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            for content in b.column(0):
                 s = Shard(content.as_py())
-                k = np.array(ks, dtype=np.int64)
+                k = np.array(some[bisect_left(some, s.low) : bisect_right(some, s.high)], dtype=np.int64)
                 at = s.find(k, np.zeros(len(k), dtype=bool))
                 ids, got = [], []
-                for key, place in zip(ks, at.tolist(), strict=True):
+                for key, place in zip(k.tolist(), at.tolist(), strict=True):
                     while 0 <= place < s.rows and s.keys[place] == key and not s.null[place]:
                         i, j = s.span(place)
                         got.append(key)
@@ -263,7 +271,24 @@ def lookup(path: str, keys: DataFrame) -> DataFrame:
                         place += 1
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return files.mapInArrow(named, "number long, part long, content binary").join(sent, ["number", "part"]).select("content", "keys").mapInArrow(answer, "doc_id long, ids array<int>")
+    held = F.exists(F.array(*map(F.lit, some)).cast("array<bigint>"), lambda k: k.between(F.col("low"), F.col("high")))
+    names = [r.shard for r in manifest(spark, path).where(held).select("shard").collect()] if some else []  # two or so for each key at most
+    return _files(spark, path).where(F.col("shard").isin(names)).select("content").mapInArrow(answer, "doc_id long, ids array<int>")
+
+
+def _all(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, ids) of every document that has a doc_id."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                s = Shard(content.as_py())
+                for at in range(0, s.rows, 256):
+                    place = [i for i in range(at, min(at + 256, s.rows)) if not s.null[i]]
+                    ids = [s.ids[slice(*s.span(i))].astype(np.int32) for i in place]
+                    yield pa.RecordBatch.from_arrays([pa.array(s.keys[place]), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return _files(spark, path).select("content").mapInArrow(work, "doc_id long, ids array<int>")
 
 
 def write_and_read(docs: DataFrame) -> DataFrame:
