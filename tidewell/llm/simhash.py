@@ -8,6 +8,10 @@ fingerprints, and by the triangle inequality a pair whose distances to any pivot
 be linked. Rows of a cell are ordered by their distance to the first pivot, so that only rows within `radius` of each
 other there are looked at; the maximum difference over the other pivots discards most of the rest, and the survivors
 are verified bit by bit. A cell yields a spanning forest of its links, never its pairs.
+
+A cell with more than `CELL` classes is cut by the pivots themselves: rings of distances, each with what lies within
+`radius` below it, so that linked classes meet in the ring of the one further out. Each pivot cuts a cell to a third or
+so and repeats about half of its rows; as many pivots are used as the cell is large.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from .components import components
 
 #: Reference fingerprints of the table.
 PIVOTS = 16
-#: Classes in a cell, about; a cell with more is split into pairs of parts.
+#: Classes in a cell, about; a cell with more is cut into rings.
 CELL = 4_096
+#: Bits of a ring, as a multiple of the radius.
+RING = 2
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -38,6 +44,14 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
         return x ^ x >> np.uint64(31)
 
 
+def votes(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of 64-bit hashes: a bit is set if it is in more than half of them."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 4096):
+        total += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Unsigned fingerprint of a text: see op9_simhash's contract."""
     import xxhash
@@ -50,11 +64,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     k = min(width, len(words))
     starts = [0, *ends[: len(words) - k].tolist()]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[i : j - 1], 42) for i, j in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
-    votes = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 4096):
-        votes += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
+    return votes(np.array([h(joined[i : j - 1], 42) for i, j in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -102,6 +112,35 @@ def keyed(classes: DataFrame, blocks: int, radius: int, n_pivots: int) -> DataFr
     return classes.select("fp").mapInArrow(work, "key long, fp long, pivot_row binary")
 
 
+def ringed(radius: int):
+    """Rows (cell, fp, pivot_row, cuts) once for each combination of rings of the first `cuts` pivots that they belong to."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = RING * radius
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                key, cuts = part.column(0).to_numpy().view(np.uint64), part.column(3).to_numpy()
+                table = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(cuts), -1)
+                row = np.arange(len(cuts))
+                for c in range(int(cuts.max())):
+                    d = table[row, c].astype(np.int64)
+                    own, next_ring = d // width, (d + radius) // width
+                    cut = cuts[row] > c
+                    both = np.flatnonzero(cut & (next_ring != own))
+                    ring = np.where(cut, own, -1)
+                    row, key, ring = np.concatenate([row, row[both]]), np.concatenate([key, key[both]]), np.concatenate([ring, next_ring[both]])
+                    with np.errstate(over="ignore"):
+                        mixed = (key ^ (ring + 64 * c + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)
+                        mixed ^= mixed >> np.uint64(29)
+                    key = np.where(ring >= 0, mixed, key)
+                for i in range(0, len(row), 20_000):
+                    r = pa.array(row[i : i + 20_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 20_000].view(np.int64)), part.column(1).take(r), part.column(2).take(r), part.column(3).take(r)], names=["cell", "fp", "pivot_row", "cuts"])
+
+    return work
+
+
 def forest(cell: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (a, b) of the links within cells; rows are ordered by cell, then by the table's first column."""
     n = len(fp)
@@ -141,14 +180,12 @@ def links(classes: DataFrame, radius: int = 3, n_pivots: int = PIVOTS, cell: int
     """(a, b): links between fingerprints such that linked fingerprints are connected; classes needs distinct, non-null fp."""
     blocks = blocks_for(classes.count(), radius)
     rows = settle(keyed(classes, blocks, radius, n_pivots), "keyed")
-    hot = settle(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select("key", F.ceil(F.col("n") * 2 / cell).cast("int").alias("parts")), "hot")
-    # a key with many classes is cut into parts, and each pair of parts is a cell of its own
-    own = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-    cells = (
-        rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .select(F.explode(F.when(F.col("parts") == 1, F.array("key")).otherwise(pairs)).alias("cell"), "fp", "pivot_row")
-    )
+    # each pivot leaves about half of a cell's rows in one ring, repeated ones included
+    cuts = F.least(F.ceil(F.log2(F.col("n") / cell)), F.lit(n_pivots)).cast("int")
+    hot = settle(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select("key", cuts.alias("cuts")), "hot")
+    cells = rows.join(hot, "key", "left").select(F.col("key").alias("cell"), "fp", "pivot_row", F.coalesce("cuts", F.lit(0)).alias("cuts"))
+    if not hot.isEmpty():
+        cells = cells.where("cuts = 0").unionByName(cells.where("cuts > 0").mapInArrow(ringed(radius), "cell long, fp long, pivot_row binary, cuts int"))
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -174,7 +211,7 @@ def links(classes: DataFrame, radius: int = 3, n_pivots: int = PIVOTS, cell: int
         if size:
             yield from done(True)
 
-    ordered = cells.repartition("cell").sortWithinPartitions("cell", F.substring("pivot_row", 1, 1))
+    ordered = cells.drop("cuts").repartition("cell").sortWithinPartitions("cell", F.substring("pivot_row", 1, 1))
     return ordered.mapInArrow(sweep, "a long, b long").distinct()
 
 
