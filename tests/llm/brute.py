@@ -110,3 +110,14 @@ def phrases(sample, text):
         at += max(k, 1)
         n += 1
     return n
+
+
+def near_copies(rows):
+    """{id: smallest id that links of 5-word Jaccard 4/5 or more reach} of (id, text) rows with distinct ids."""
+    rows = sorted(rows, key=lambda r: r[0])
+    sets = []
+    for _, t in rows:
+        w = [x.encode().lower() for x in WORDS.findall(t or "")]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = [[j for j in range(len(sets)) if not sets[i] and not sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in range(len(sets))]
+    return {rows[i][0]: rows[k][0] for i, k in enumerate(closure(len(sets), near))}

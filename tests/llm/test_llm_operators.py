@@ -128,10 +128,10 @@ def test_language_counts_phrases_and_tells_languages(spark, docs, empty, odd):
     assert np.mean([got[i].lang_pred == k for i, _, k in held]) >= 0.95
     letter = language.letter_table()
     plain = {k: "".join(map(chr, language.symbols(t, letter))) for k, t in samples.items()}
-    for i, t, _ in data[:20]:
+    for i, t, _ in [*data[:20], data[-1]]:
         s = "".join(map(chr, language.symbols(t, letter)))
-        if len(s) <= language.RUN:
-            assert got[i].phrases == brute.phrases(plain[got[i].lang_pred], s)
+        assert got[i].phrases == brute.phrases(plain[got[i].lang_pred], s)
+    assert len(data[-1][1]) > 10_000
     assert language.identify(empty, samples).count() == 0 and language.identify(odd, {}).where("lang_pred != 'und'").count() == 0
     assert language.identify(docs, samples).count() == docs.count()
     assert language.sample(empty) == {}
@@ -140,7 +140,10 @@ def test_language_counts_phrases_and_tells_languages(spark, docs, empty, odd):
 def test_suffix_automaton_holds_all_substrings():
     r = random.Random(3)
     codes = [r.randint(1, 3) for _ in range(200)]
-    table = language.automaton(codes, 4)
+    edges, states = language.automaton(codes)
+    auto = language.Transitions(edges, 4)
+    auto.prepare()
+    table = auto.table.reshape(states, 4)
     text, subs = "".join(map(str, codes)), None
     subs = {text[i:j] for i in range(200) for j in range(i + 1, min(i + 9, 201))}
     for _ in range(500):
@@ -153,6 +156,34 @@ def test_suffix_automaton_holds_all_substrings():
         assert bool(state) == ("".join(map(str, s)) in subs)
 
 
+def test_language_of_many_letters(spark, monkeypatch):
+    """Hundreds of letters, texts parsed side by side and one by one, dense and hashed tables: the language is that of brute force."""
+    r = random.Random(8)
+    letters = {"aa": [chr(0x4E00 + i) for i in range(600)], "bb": [chr(0x4E00 + i) for i in range(300, 900)]}
+    words = {k: ["".join(r.choice(x) for _ in range(r.randint(1, 3))) for _ in range(900)] for k, x in letters.items()}
+    samples = {k: " ".join(r.choice(w) for _ in range(1500)) for k, w in words.items()}
+    data = [(i, " ".join(r.choice(words["ab"[i % 2] * 2]) for _ in range(r.choice([0, 3, 40, 200]))), None) for i in range(70)] + [(99, " ".join(r.choice(words["aa"]) for _ in range(4000)), None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").coalesce(1)
+    letter = language.letter_table()
+    plain = {k: "".join(map(chr, language.symbols(t, letter))) for k, t in samples.items()}
+    assert len(data[-1][1]) > 10_000 and len(set(plain["aa"])) > 400
+    want = {}
+    for i, t, _ in data:
+        s = "".join(map(chr, language.symbols(t, letter)))
+        n = {k: brute.phrases(p, s) for k, p in plain.items()}
+        best = min(n, key=lambda k: (n[k] * np.log2(len(plain[k]) + 1), k))
+        want[i] = (best, n[best]) if s.strip() else ("und", 0)
+    assert {x.doc_id: (x.lang_pred, x.phrases) for x in language.identify(df, samples).collect()} == want
+    model = language.Model(samples)
+    codes = [model.codes[0][model.letters(language.symbols(t, letter))] for _, t, _ in data]
+    lengths = np.array([len(c) for c in codes])
+    for dense in (1 << 24, 0):
+        monkeypatch.setattr(language, "DENSE", dense)
+        auto = language.Transitions(*[language.automaton(model.codes[0][model.letters(language.symbols(samples["aa"], letter))].tolist())[0], model.automata[0].width])
+        got = language.phrases(auto, np.concatenate(codes), np.cumsum(lengths) - lengths, lengths, 8)
+        assert got.tolist() == [brute.phrases(plain["aa"], "".join(map(chr, language.symbols(t, letter)))) for _, t, _ in data]
+
+
 def test_archives_round_trip(spark):
     big = "<p>" + "x" * 300 + "</p>"
     pages = [(5, "http://a/1", big), (2, "http://a/2", big), (9, None, big), (1, "http://b c/\n", None), (3, "u", ""), (4, "u", "short"), (6, "u", "short"), (7, "u", "z" * 3_000_000), (8, "é", "ü\r\n\r\nWARC/1.1\r\n"), (None, "n", big)]

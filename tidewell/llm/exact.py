@@ -19,17 +19,18 @@ def _repeated(keys: DataFrame, key: list[str], bucket: Column) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, prefix: int = 64, buckets: int = 1 << 20, hash_all: bool = False) -> DataFrame:
-    """One row per row of docs: (doc_id, keep_id, group_size, kept, text_sha256).
+    """One row per row of docs: (doc_id, keep_id, group_size, kept, text_sha256, text_hash).
 
     Texts are equal when identical after each run of white space is replaced by one space; null counts as empty. Of
     equal texts the smallest doc_id stays; rows of a repeated doc_id with the same text stay or go together. A row
     whose doc_id is null stays only if all rows of its group have none. Very long texts are read whole where their
     length and beginning recur. Further columns are ignored; no rows give none. text_sha256 is null for texts that
-    an earlier level has found unique, unless hash_all asks for the hashes of all.
+    an earlier level has found unique, unless hash_all asks for the hashes of all. text_hash is of the text as it is; with
+    doc_id it tells rows apart.
     """
-    text = only(docs, "doc_id", "text").select("doc_id", normalised().alias("norm"))
+    text = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), normalised().alias("norm"))
     size_bucket = F.pmod(F.col("n"), F.lit(buckets))
-    sized = text.select("doc_id", "norm", F.length("norm").alias("n"))
+    sized = text.select("doc_id", "text_hash", "norm", F.length("norm").alias("n"))
     lengths = settle(_repeated(sized.select("n"), ["n"], size_bucket), "lengths")
 
     marked = sized.join(F.broadcast(lengths.select("bucket", F.lit(True).alias("length_recurs"))), size_bucket == F.col("bucket"), "left").drop("bucket")
@@ -41,7 +42,7 @@ def exact_duplicates(docs: DataFrame, prefix: int = 64, buckets: int = 1 << 20,
     full = F.sha2(F.col("norm").cast("binary"), 256)
     hashed = settle(
         marked.withColumn("start", start).join(F.broadcast(pairs), pair_bucket == F.col("bucket"), "left")
-        .select("doc_id", survives.alias("survives"), (full if hash_all else F.when(survives, full)).alias("text_sha256")),
+        .select("doc_id", "text_hash", survives.alias("survives"), (full if hash_all else F.when(survives, full)).alias("text_sha256")),
         "hashed",
     )
     groups = settle(
@@ -53,5 +54,5 @@ def exact_duplicates(docs: DataFrame, prefix: int = 64, buckets: int = 1 << 20,
     alone = hashed.where("not survives").withColumns({"keep_id": F.lit(None).cast("long"), "group_size": F.lit(None).cast("long")})
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.unionByName(alone).select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256"
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256", "text_hash"
     )

@@ -35,6 +35,8 @@ ERRORS = 8.0
 LEAN = 50
 GRID = 256
 ROUNDS = 40
+#: Rounds after which the rates so far are stored with the sums, so that no round repeats all before it.
+STORE = 8
 #: A total that is further from its target than this share of all tokens is warned of.
 MISS = 1e-3
 
@@ -126,12 +128,13 @@ def _number_array(values) -> Column:
     return F.array(*[F.lit(float(x)) for x in values])
 
 
-def rate(posteriors: Column, steps: list[np.ndarray]) -> Column:
-    """The rate after the given rounds: from one, less each round's step as the posteriors see it, never below zero."""
+def rate(posteriors: Column, steps: list[np.ndarray], start: Column | None = None) -> Column:
+    """The rate after the given rounds: from `start` (one), less each round's step as the posteriors see it, never below zero."""
+    start = F.lit(1.0) if start is None else start
     if not steps:
-        return F.lit(1.0)
+        return start
     dot = lambda g: F.aggregate(F.zip_with(posteriors, g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(F.array(*[_number_array(g) for g in steps]), F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+    return F.aggregate(F.array(*[_number_array(g) for g in steps]), start, lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
 
 def solve(members: DataFrame, targets: tuple[float, ...] = TARGETS, anchor: float = 1.0, rounds: int = ROUNDS, tolerance: float = 1e-7) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -141,7 +144,7 @@ def solve(members: DataFrame, targets: tuple[float, ...] = TARGETS, anchor: floa
     a scarce one by rates above one. Totals that the rates can't meet, as of a domain without tokens, are warned of.
     """
     n = len(targets)
-    cells = settle(members.groupBy("posteriors").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
+    cells = settle(members.groupBy("posteriors").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").withColumn("rate", F.lit(1.0)), "cells")
     p = [F.col("posteriors")[k] for k in range(n)]
 
     def totals(*columns: Column) -> np.ndarray:
@@ -160,27 +163,36 @@ def solve(members: DataFrame, targets: tuple[float, ...] = TARGETS, anchor: floa
     now = have
     while len(steps) < rounds and np.abs(now - want).max() > tolerance * scale:
         steps.append(np.where(have > 0, whiten @ ((now - want) / scale), 0.0))
-        r = rate(F.col("posteriors"), steps)
+        r = rate(F.col("posteriors"), steps[-((len(steps) - 1) % STORE + 1) :], F.col("rate"))
         now = totals(*[x * r for x in p])
-    if (missed := float(np.abs(now - want).max() / max(want.sum(), 1.0))) > MISS:
+        if len(steps) % STORE == 0:
+            cells = settle(cells.withColumn("rate", r), "cells")
+    if (missed := residual(now, want)) > MISS:
         share = [round(float(x), 4) for x in now / max(now.sum(), 1.0)]
         warnings.warn(f"the mix misses a target by {missed:.4f} of all tokens: shares {share} for {[round(float(x), 4) for x in w]}", stacklevel=2)
     return steps, now, want
 
 
+def residual(now: np.ndarray, want: np.ndarray) -> float:
+    """How far the worst domain's total is from its target, as a share of all tokens wanted."""
+    return float(np.abs(now - want).max() / max(want.sum(), 1.0)) if len(want) else 0.0
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, anchor: float = 1.0, seed: int = 5) -> DataFrame:
-    """One row per row of docs: (doc_id, tokens, p_clean, p_low, p_toxic, rate, copies).
+    """One row per row of docs: (doc_id, tokens, p_clean, p_low, p_toxic, rate, copies, missed).
 
     copies is the rate rounded up or down by a hash of doc_id, so that its expectation is the rate. A null or empty
     text has no tokens and the posteriors of the priors; very long texts are read whole; repeated rows get the same
-    copies each; rows with a null doc_id share one hash. Without labelled documents all posteriors are alike. Further
-    columns are ignored; no rows give none.
+    copies each; rows with a null doc_id share one hash. Without labelled documents all posteriors are alike. missed
+    is the same in all rows: how far the fit stays from its targets (see residual), zero if they are met. Targets that
+    can't be met, as of a domain without tokens, or of none for a domain in which clean documents have a share, are
+    warned of too. Further columns are ignored; no rows give none.
     """
     members = settle(memberships(docs, fit(docs, labels)), "members")
-    steps, _, _ = solve(members, targets, anchor)
+    steps, now, want = solve(members, targets, anchor)
     r = rate(F.col("posteriors"), steps)
     shares = [F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return members.select("doc_id", "tokens", *shares, r.alias("rate"), copies(r, seed).alias("copies"))
+    return members.select("doc_id", "tokens", *shares, r.alias("rate"), copies(r, seed).alias("copies"), F.lit(residual(now, want)).alias("missed"))
 
 
 def copies(rate: Column, seed: int = 5) -> Column:

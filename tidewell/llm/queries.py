@@ -72,7 +72,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact
 
-    return exact.exact_duplicates(table(spark, sf_dir, "documents"), hash_all=True)
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"), hash_all=True).drop("text_hash")
 
 
 OP8_SQL = r"""
