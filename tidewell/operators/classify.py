@@ -13,22 +13,37 @@ def cents():
     return F.col("decicents") / 10
 
 
-def classify(panel: DataFrame, by: str = "council", width: float = 10.0) -> DataFrame:
-    """(station_code, by, class, premium): two passes of medians over the rows of one snapshot's window.
+def classify(panel: DataFrame, by: str = "council", width: float = 10.0, snapshot: tuple[str, ...] = ()) -> DataFrame:
+    """(snapshot, station_code, by, class, premium): two passes of medians over the rows of a snapshot's window.
 
     The first pass takes each day's median of the group as reference; the second that of the stations the first calls
-    Competitive. A group without any keeps the first pass; a station without a day of reference is left out.
+    Competitive. A group without any keeps the first pass; a station without a day of reference is left out. The panel
+    is read once: both references and the first premium are frames over the rows of a day, or of a station.
     """
-    def premiums(rows: DataFrame, reference: DataFrame) -> DataFrame:
-        met = rows.join(reference, [by, "price_date"])
-        return met.groupBy("station_code", by).agg(F.median(cents() - F.col("ref")).alias("premium")).withColumn("class", band(F.col("premium"), width))
-
-    first = premiums(panel, panel.groupBy(by, "price_date").agg(F.median(cents()).alias("ref")))
-    fair = first.where(F.col("class") == "Competitive").select("station_code")
-    second = premiums(panel, panel.join(fair, "station_code", "left_semi").groupBy(by, "price_date").agg(F.median(cents()).alias("ref")))
-    groups = second.select(by).distinct()
-    alone = first.join(groups, by, "left_anti")
-    return second.unionByName(alone).select("station_code", by, "class", "premium")
+    station, day, group = (Window.partitionBy(*snapshot, *x) for x in (("station_code",), (by, "price_date"), (by,)))
+    fair = F.col("_first").between(-width, width)
+    rows = panel.withColumn("_gap", cents() - F.median(cents()).over(day)).withColumn("_first", F.median("_gap").over(station))
+    rows = rows.withColumn("_gap", cents() - F.median(F.when(fair, cents())).over(day))
+    each = rows.groupBy(*snapshot, "station_code", by).agg(F.first("_first").alias("_first"), F.median("_gap").alias("_second"))
+    premium = F.when(F.max(fair.cast("int")).over(group) == 1, F.col("_second")).otherwise(F.col("_first"))
+    out = each.withColumn("premium", premium).where(F.col("premium").isNotNull())
+    return out.select(*snapshot, "station_code", by, band(F.col("premium"), width).alias("class"), "premium")
+
+
+def classify_snapshots(panel: DataFrame, by: str = "council", days: int = 45, step: int = 1, width: float = 10.0) -> DataFrame:
+    """classify() for every `step`-th day: (snapshot_date, station_code, by, class, premium), on the `days` days before each.
+
+    Snapshots are counted from the panel's first day. A row takes part in the days/step snapshots that see it, so that
+    all of them are one pass over the panel, whatever their number.
+    """
+    first = panel.agg(F.min("price_date").alias("d")).scalar()
+    last = panel.agg(F.date_add(F.max("price_date"), 1).alias("d")).scalar()
+    seen = panel.withColumns({"_d": first, "_e": last}).withColumn("_k", F.ceil((F.datediff("price_date", "_d") + 1) / step).cast("int"))
+    upto = F.least(F.floor((F.datediff("price_date", "_d") + days) / step), F.floor(F.datediff("_e", "_d") / step)).cast("int")
+    numbers = F.when(upto >= F.col("_k"), F.sequence("_k", upto))
+    rows = seen.select("station_code", by, "price_date", "decicents", "_d", F.explode(numbers).alias("_s"))
+    rows = rows.select("station_code", by, "price_date", "decicents", F.date_add("_d", F.col("_s") * step).alias("snapshot_date"))
+    return classify(rows, by, width, ("snapshot_date",))
 
 
 def published(classes: DataFrame, by: str = "council") -> DataFrame:

@@ -26,38 +26,51 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (starts[top] + ends[top]) // 2
 
 
+def spaced(x: np.ndarray, at: np.ndarray, distance: int) -> np.ndarray:
+    """Of the rows `at`, in order, those that no higher one (of equal ones no later one) that stays is closer to than `distance`."""
+    keep = np.ones(len(at), dtype=bool)
+    place = at.tolist()
+    for i in np.argsort(x[at], kind="stable")[::-1].tolist():
+        if not keep[i]:
+            continue
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(place) and abs(place[j] - place[i]) < distance:
+                keep[j] = False
+                j += step
+    return at[keep]
+
+
+def base(x: np.ndarray, peak: int, step: int) -> float:
+    """Lowest value from the peak to the next higher one, to the left (-1) or to the right (1)."""
+    side = x[peak::-1] if step < 0 else x[peak:]
+    higher = np.flatnonzero(side > x[peak])
+    return float(side[: higher[0] if len(higher) else None].min())
+
+
 def peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.ndarray:
     """Local maxima, the higher of any two closer than `distance` (of equal ones the later), then those prominent enough."""
-    at = local_maxima(x)
-    keep = np.ones(len(at), dtype=bool)
-    for i in np.argsort(x[at], kind="stable")[::-1]:
-        if keep[i]:
-            near = np.abs(at - at[i]) < distance
-            near[i] = False
-            keep[near] = False
-    at = at[keep]
-    out = []
-    for p in at:
-        left, right = x[: p + 1][::-1], x[p:]
-        a, b = np.flatnonzero(left > x[p]), np.flatnonzero(right > x[p])
-        low = max(left[: a[0] if len(a) else None].min(), right[: b[0] if len(b) else None].min())
-        if x[p] - low >= prominence:
-            out.append(p)
-    return np.array(out, dtype=np.int64)
+    at = spaced(x, local_maxima(x), distance)
+    if prominence <= 0:
+        return at
+    return np.array([p for p in at.tolist() if x[p] - max(base(x, p, -1), base(x, p, 1)) >= prominence], dtype=np.int64)
 
 
 def confirmation(x: np.ndarray, peak: int, drop: float) -> int | None:
-    """First row after the peak that is lower by `drop`: from then on the peak is known."""
-    later = np.flatnonzero(x[peak] - np.minimum.accumulate(x[peak + 1 :]) >= drop)
-    return int(peak + 1 + later[0]) if len(later) else None
+    """First row after the peak that is lower by `drop`, unless a higher one comes before: from then on the peak is known."""
+    later = x[peak + 1 :]
+    low, high = np.flatnonzero(x[peak] - later >= drop), np.flatnonzero(later > x[peak])
+    return int(peak + 1 + low[0]) if len(low) and (not len(high) or low[0] < high[0]) else None
 
 
 def confirmed_peaks(series: DataFrame, by: list[str], value: str = "price", distance: int = 7, drop: float = 1.0, point_in_time: bool = True) -> DataFrame:
     """by, peak_date, confirmed_on: peaks of each series with the day they became known.
 
-    In point-in-time mode a later, higher peak can't take back one that was confirmed before: peaks are settled in the
-    order of confirmation, and one within `distance` of a settled peak is passed over. Otherwise the distance is
-    settled over the whole series. Series of fewer than three rows have none.
+    A peak rises by `drop` or more from the lowest value since the last higher one before it, and is known once the
+    price has fallen by `drop`. In point-in-time mode a later, higher peak can't take back one that was known before:
+    peaks are settled in the order of confirmation, and one within `distance` of a settled peak is passed over.
+    Otherwise the distance is settled over the whole series, the higher peak first. On series whose peaks are further
+    apart than `distance` both modes agree. Series of fewer than three rows have none.
     """
     kind = dict(series.dtypes)
     schema = ", ".join(f"{c} {kind[c]}" for c in by) + ", peak_date date, confirmed_on date"
@@ -65,11 +78,12 @@ def confirmed_peaks(series: DataFrame, by: list[str], value: str = "price", dist
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("price_date")
         x, days = pdf[value].to_numpy(dtype=float), pdf["price_date"].to_numpy()
-        known = [(c, p) for p in (local_maxima(x) if point_in_time else peaks(x, distance, drop)) if (c := confirmation(x, int(p), drop)) is not None]
+        at = local_maxima(x) if point_in_time else peaks(x, distance, drop)
+        known = sorted((c, p) for p in at.tolist() if (c := confirmation(x, p, drop)) is not None and x[p] - base(x, p, -1) >= drop)
         taken: list[tuple[int, int]] = []
-        for c, p in sorted(known):
-            if not point_in_time or all(abs(p - q) >= distance for _, q in taken):
-                taken.append((c, int(p)))
+        for c, p in known:
+            if not point_in_time or all(abs(p - q) >= distance for _, q in taken[-distance:]):
+                taken.append((c, p))
         out = {c: [pdf[c].iloc[0]] * len(taken) for c in by} if len(pdf) else {c: [] for c in by}
         return pd.DataFrame(out | {"peak_date": [days[p] for _, p in taken], "confirmed_on": [days[c] for c, _ in taken]})
 
@@ -81,7 +95,8 @@ def troughs(x: np.ndarray, spacing: int = 18, smooth: int = 7, snap: int = 5) ->
     """Minima of the centred mean, `spacing` apart, each moved to the lowest value within `snap` rows."""
     if len(x) < 2 * smooth:
         return np.zeros(0, dtype=np.int64)
-    mean = pd.Series(x).rolling(smooth, center=True, min_periods=1).mean().to_numpy()
+    ones = np.ones(smooth)
+    mean = np.convolve(x, ones, "same") / np.convolve(np.ones(len(x)), ones, "same")
     out = set()
     for t in peaks(-mean, spacing):
         lo = max(0, t - snap)
@@ -102,10 +117,11 @@ def trough_events(series: DataFrame, by: list[str], value: str = "price", **how)
     return series.groupBy(*by).applyInPandas(find, ", ".join(f"{c} {kind[c]}" for c in by) + ", event_date date")
 
 
-def days_since_trough(series: DataFrame, by: list[str], value: str = "price", start: str | None = None, look: int = 400, **how) -> DataFrame:
-    """by, price_date, days_since: days since the last trough that the rows up to that day show, for each day from `start`.
+def days_since_trough(series: DataFrame, by: list[str], value: str = "price", **how) -> DataFrame:
+    """by, price_date, days_since: days since the last trough that the rows up to that day show, for every day.
 
-    Every day is detected on its own past, of `look` rows at most, so that no later row can change it.
+    Every day is detected on its own past, from the series' first row, so that no later row can change it. A series
+    has a row a day; the work is the square of its days, and series are spread over the tasks.
     """
     kind = dict(series.dtypes)
     schema = ", ".join(f"{c} {kind[c]}" for c in by) + ", price_date date, days_since int"
@@ -113,12 +129,10 @@ def days_since_trough(series: DataFrame, by: list[str], value: str = "price", st
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("price_date")
         x, days = pdf[value].to_numpy(dtype=float), pd.to_datetime(pdf["price_date"])
-        first = 0 if start is None else int((days < pd.Timestamp(start)).sum())
         out = []
-        for i in range(first, len(x)):
-            lo = max(0, i + 1 - look)
-            at = troughs(x[lo : i + 1], **how)
-            out.append((days.iloc[i].date(), int((days.iloc[i] - days.iloc[lo + at[-1]]).days) if len(at) else None))
+        for i in range(len(x)):
+            at = troughs(x[: i + 1], **how)
+            out.append((days.iloc[i].date(), int((days.iloc[i] - days.iloc[at[-1]]).days) if len(at) else None))
         frame = pd.DataFrame(out, columns=["price_date", "days_since"])
         for c in by:
             frame[c] = pdf[c].iloc[0]
@@ -129,6 +143,48 @@ def days_since_trough(series: DataFrame, by: list[str], value: str = "price", st
     return series.groupBy(*by).applyInPandas(find, schema)
 
 
+def leads(own: list, anchor: list, reach: int = 60) -> list[int]:
+    """For each anchor day the lead of the nearest own day (of two as near the earlier), if within `reach` days."""
+    out = []
+    days = np.array(own, dtype="datetime64[D]")
+    for a in np.array(anchor, dtype="datetime64[D]"):
+        lead = (a - days).astype(np.int64)
+        if len(lead) and np.abs(lead).min() <= reach:
+            out.append(int(lead[np.argmin(np.abs(lead))]))
+    return out
+
+
+def leadership_snapshots(series: DataFrame, by: str, window: int = 730, step: int = 7, reach: int = 60) -> DataFrame:
+    """by, snapshot_date, median_lead, consistency, matched, events: scores of every `step` days, each on the `window` days before it.
+
+    series has by, price_date, price and anchor_price, either of which may be null. The first snapshot is the day after
+    the first day of all series. A group without a price in the window has no row; one without matched troughs has
+    null scores and a match share of zero; consistency needs two matches that differ. One group is one task: a row a day.
+    """
+    kind = dict(series.dtypes)
+    first = series.agg(F.min("price_date").alias("d"), F.max("price_date").alias("e")).first()
+    schema = f"{by} {kind[by]}, snapshot_date date, median_lead double, consistency double, matched double, events int"
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("price_date")
+        days = pdf["price_date"].to_numpy().astype("datetime64[D]")
+        price, other = pdf["price"].to_numpy(dtype=float), pdf["anchor_price"].to_numpy(dtype=float)
+        out = []
+        for snap in np.arange(np.datetime64(first.d, "D") + 1, np.datetime64(first.e, "D") + 2, step):
+            i, j = np.searchsorted(days, [snap - window, snap])
+            here, there = i + np.flatnonzero(~np.isnan(price[i:j])), i + np.flatnonzero(~np.isnan(other[i:j]))
+            if not len(here):
+                continue
+            own, anchor = days[here][troughs(price[here])], days[there][troughs(other[there])]
+            found = leads(own, anchor, reach)
+            spread = float(np.std(found)) if len(found) >= 2 else 0.0
+            out.append((pdf[by].iloc[0], snap.item(), float(np.median(found)) if found else None, 1 / spread if spread else None, len(found) / len(anchor) if len(anchor) else 0.0, len(own)))
+        return pd.DataFrame(out, columns=[by, "snapshot_date", "median_lead", "consistency", "matched", "events"])
+
+    ship(series.sparkSession)
+    return series.groupBy(by).applyInPandas(find, schema)
+
+
 def cycle_state(days: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
     """days with last_peak, days_since, mean_length (2 decimals), pct_through and n_peaks, as known on each day.
 

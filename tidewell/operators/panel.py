@@ -30,6 +30,13 @@ def gap_fill(prices: DataFrame, end: DataFrame | None = None, max_gap: int = 28)
     return rows.withColumn("stop", days).select("station_code", F.explode("stop").alias("price_date"), "decicents")
 
 
+def gap_fill_between(prices: DataFrame, first: str, last: str, end: DataFrame | None = None, max_gap: int = 28) -> DataFrame:
+    """The filled rows of the days from `first` to `last`, from the prices within `max_gap` days of them."""
+    low, high = F.to_date(F.lit(first)), F.to_date(F.lit(last))
+    near = prices.where(F.col("price_date").between(F.date_sub(low, max_gap), F.date_add(high, max_gap)))
+    return gap_fill(near, end, max_gap).where(F.col("price_date").between(low, high))
+
+
 def gap_fill_since(prices: DataFrame, since: str, end: DataFrame | None = None, max_gap: int = 28) -> DataFrame:
     """The filled rows from `since` on; each station's fill starts at its last price at or before that day."""
     day = F.to_date(F.lit(since))
@@ -49,11 +56,17 @@ def sums(daily: DataFrame, by: str, least: int = 3) -> DataFrame:
 
 
 def leave_one_out(daily: DataFrame, by: str, least: int = 3) -> DataFrame:
-    """Mean of all other groups' prices, for each day and group: the day's total less the group's own."""
+    """Mean of all other groups' prices, for each day and group: the day's total less the group's own.
+
+    A group has an anchor on days without a row of its own too. The groups are few (councils, brands): their names go
+    to each day as one array; days times groups are the rows.
+    """
     own = daily.groupBy("price_date", by).agg(F.sum("decicents").alias("own"), F.count(F.lit(1)).alias("n"))
-    day = Window.partitionBy("price_date")
-    rest, others = F.sum("own").over(day) - F.col("own"), F.sum("n").over(day) - F.col("n")
-    return own.select("price_date", by, rest.alias("rest"), others.alias("others")).where(F.col("others") >= least).select("price_date", by, (F.col("rest") / F.col("others") / 10).alias("anchor_price"))
+    names = daily.agg(F.collect_set(by).alias("names")).scalar()
+    day = own.groupBy("price_date").agg(F.sum("own").alias("all"), F.sum("n").alias("rows")).select("*", F.explode(names).alias(by))
+    others = F.col("rows") - F.coalesce("n", F.lit(0))
+    rest = day.join(own, ["price_date", by], "left").select("price_date", by, (F.col("all") - F.coalesce("own", F.lit(0))).alias("rest"), others.alias("others"))
+    return rest.where(F.col("others") >= least).select("price_date", by, (F.col("rest") / F.col("others") / 10).alias("anchor_price"))
 
 
 def gradient(series: DataFrame, value: str, order: str = "price_date", by: tuple[str, ...] = (), name: str = "gradient") -> DataFrame:

@@ -11,10 +11,12 @@ from tidewell.sources import files
 from tidewell.sources.adapter import Tables
 
 KINDS = list(text.STREETS)
+_STATES = "|".join(text.STATES)
+_TYPES = "|".join([*text.STREETS.values(), *text.STREETS])
 _SQL_KINDS = "['" + "','".join(KINDS) + "']"
 #: Addresses made of the suppliers' keys and nations.
 ADDRESS_SQL = f"""addresses AS (SELECT s_suppkey AS station_code, s_suppkey || ' Main ' || {_SQL_KINDS}[s_suppkey % 18 + 1] || CASE WHEN s_suppkey % 3 = 0 THEN '.' ELSE '' END || CASE WHEN s_suppkey % 4 = 3 THEN ' ' ELSE ', ' END
- || replace(n_name, ' ', '-') || CASE WHEN s_suppkey % 5 = 4 THEN '' ELSE ' NSW ' || (2000 + s_suppkey % 900) END AS address, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+ || n_name || CASE WHEN s_suppkey % 5 = 4 THEN '' ELSE ' ' || {text.STATES}[s_suppkey % 8 + 1] || ' ' || (2000 + s_suppkey % 900) END AS address, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
 def addresses(t: Tables) -> DataFrame:
@@ -22,8 +24,8 @@ def addresses(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     kind = F.element_at(F.array(*[F.lit(x) for x in KINDS]), (k % 18 + 1).cast("int"))
     address = F.concat(
-        k.cast("string"), F.lit(" Main "), kind, F.when(k % 3 == 0, ".").otherwise(""), F.when(k % 4 == 3, " ").otherwise(", "), F.replace("n_name", F.lit(" "), F.lit("-")),
-        F.when(k % 5 == 4, "").otherwise(F.concat(F.lit(" NSW "), (2000 + k % 900).cast("string"))),
+        k.cast("string"), F.lit(" Main "), kind, F.when(k % 3 == 0, ".").otherwise(""), F.when(k % 4 == 3, " ").otherwise(", "), F.col("n_name"),
+        F.when(k % 5 == 4, "").otherwise(F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, text.STATES)), (k % 8 + 1).cast("int")), F.lit(" "), (2000 + k % 900).cast("string"))),
     )
     return s.join(n, s.s_nationkey == n.n_nationkey).select(k.alias("station_code"), address.alias("address"), F.col("s_name").alias("name"))
 
@@ -41,12 +43,25 @@ def address_norm(t: Tables) -> DataFrame:
     return addresses(t).select("station_code", text.normalise_address(F.col("address")).alias("address_key"))
 
 
-@query(f"""WITH {ADDRESS_SQL} SELECT station_code, nullif(regexp_extract(address, '(\\d{{4}})\\s*$', 1), '') AS postcode,
-coalesce(nullif(trim(regexp_extract(address, ',\\s*([^,]+?)\\s+(?:NSW|ACT)\\s+\\d{{4}}\\s*$', 1)), ''), nullif(regexp_extract(address, '(\\w+)\\s+(?:NSW|ACT)\\s+\\d{{4}}\\s*$', 1), ''), nullif(trim(regexp_extract(address, ',\\s*([^,]+?)\\s*$', 1)), '')) IS NOT NULL AS has_suburb,
-lower(coalesce(nullif(trim(regexp_extract(address, ',\\s*([^,]+?)\\s+(?:NSW|ACT)\\s+\\d{{4}}\\s*$', 1)), ''), nullif(regexp_extract(address, '(\\w+)\\s+(?:NSW|ACT)\\s+\\d{{4}}\\s*$', 1), ''), nullif(trim(regexp_extract(address, ',\\s*([^,]+?)\\s*$', 1)), ''))) AS suburb FROM addresses""")
+@query(f"""WITH {ADDRESS_SQL},
+b AS (SELECT station_code, address, nullif(regexp_extract(address, '\\s(?:{_STATES})\\s+(\\d{{4}})\\s*$', 1), '') AS code, regexp_replace(address, '\\s+(?:{_STATES})\\s+\\d{{4}}\\s*$', '') AS before FROM addresses),
+l AS (SELECT *, trim(split_part(before, ',', -1)) AS tail, trim(trim(trim(list_extract(regexp_split_to_array(before, '(?i)\\b(?:{_TYPES})\\.?\\b'), -1)), ',-')) AS last FROM b)
+SELECT station_code, coalesce(code, nullif(regexp_extract(address, '\\b(\\d{{4}})\\b[^0-9]*$', 1), '')) AS postcode,
+lower(CASE WHEN code IS NOT NULL THEN nullif(CASE WHEN contains(before, ',') AND tail <> '' THEN tail ELSE last END, '') END) AS suburb FROM l""")
 def suburb_postcode(t: Tables) -> DataFrame:
+    """PRJ5."""
     a = F.col("address")
-    return addresses(t).select("station_code", text.postcode_of(a).alias("postcode"), text.suburb_of(a).isNotNull().alias("has_suburb"), F.lower(text.suburb_of(a)).alias("suburb"))
+    return addresses(t).select("station_code", text.postcode_of(a).alias("postcode"), F.lower(text.suburb_of(a)).alias("suburb"))
+
+
+@query("""SELECT s_suppkey AS station_code, CASE WHEN s_suppkey % 50 = 7 THEN NULL WHEN s_suppkey % 50 = 8 THEN '2505' WHEN s_suppkey % 50 = 9 THEN '2506' WHEN s_suppkey % 3 = 0 THEN CAST(2000 + s_suppkey % 400 AS VARCHAR) ELSE CAST(2100 + s_suppkey % 300 AS VARCHAR) END AS postcode,
+CASE WHEN s_suppkey % 4 <> 0 THEN 'E10' END AS fuel_code FROM supplier""", prelude=False)
+def postcode_and_fuel(t: Tables) -> DataFrame:
+    """PRJ11, PRJ13: postcodes as given, else the address's last word, corrected or refused; blank fuel codes are none."""
+    k = F.col("s_suppkey")
+    given = F.when(k % 50 == 7, "2609").when(k % 50 == 8, "2505").when(k % 50 == 9, "2056").when(k % 3 == 0, "").otherwise((2100 + k % 300).cast("string"))
+    address = F.concat(F.lit("1 Main St X NSW "), (2000 + k % 400).cast("string"))
+    return t.table("supplier").select(k.alias("station_code"), text.clean_postcode(given, address).alias("postcode"), F.nullif(F.trim(F.when(k % 4 == 0, " ").otherwise("E10")), F.lit("")).alias("fuel_code"))
 
 
 @query("SELECT n_nationkey AS id, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM nation UNION ALL SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') FROM part", prelude=False)
@@ -55,15 +70,12 @@ def slug(t: Tables) -> DataFrame:
     return a.unionByName(t.table("part").select(F.col("p_partkey").alias("id"), text.slug(F.col("p_type")).alias("slug")))
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_orderdate AS d, CAST(o_orderkey % 6 AS INTEGER) AS k FROM orders)
-SELECT o_orderkey, CASE WHEN k <> 5 THEN CAST(d AS DATE) END AS parsed FROM r""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 6 THEN CAST(o_orderdate AS DATE) END AS parsed FROM orders""", prelude=False)
 def multi_date(t: Tables) -> DataFrame:
-    """PRJ7: dates written in five forms, and one that none fits."""
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
-    raw = (
-        F.when(k == 0, F.date_format(d, "d/M/yyyy")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).when(k == 2, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" 00:00:00")))
-        .when(k == 3, F.date_format(d, "d-MMM-yyyy")).when(k == 4, F.date_format(d, "yyyyMMdd")).otherwise("soon")
-    )
+    """PRJ7: dates written in six forms, and one that none fits."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    forms = ["d/MM/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "d/MM/yyyy hh:mm:ss a", "d/MM/yyyy HH:mm"]
+    raw = F.coalesce(*[F.when(k == i, F.date_format(d, f)) for i, f in enumerate(forms)], F.lit("soon"))
     return t.table("orders").select("o_orderkey", F.to_date(text.parse_date(raw)).alias("parsed"))
 
 
@@ -79,15 +91,28 @@ def price_units(t: Tables) -> DataFrame:
     return t.table("part").select("p_partkey", text.to_decicents(p).alias("decicents"), text.clean_price(p.cast("string")).alias("capped"))
 
 
-@query("""WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE day(o_orderdate) <= 12)
-SELECT o_orderkey, d AS repaired FROM r""")
+_WRITTEN = """w AS (SELECT o_orderkey AS line, strftime(o_orderdate, '%Y-%m') AS file, CAST(o_orderdate AS DATE) AS d, CASE WHEN day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE CAST(o_orderdate AS DATE) END AS shown FROM orders),
+f AS (SELECT file, coalesce(arg_min(month(shown), line) FILTER (day(shown) > 12), CASE WHEN min(day(shown)) = max(day(shown)) AND min(month(shown)) < max(month(shown)) THEN min(day(shown)) END, arg_max(month(shown), line)) AS month FROM w GROUP BY 1)"""
+
+
+def written(t: Tables) -> DataFrame:
+    """Orders as lines of monthly files, in which days up to 12 are written with day and month changed round."""
+    d = F.col("o_orderdate")
+    at = F.when(F.dayofmonth(d) <= 12, F.make_date(F.year(d), F.dayofmonth(d), F.month(d))).otherwise(F.to_date(d))
+    return t.table("orders").select(F.col("o_orderkey").alias("line"), F.date_format(d, "yyyy-MM").alias("file"), at.alias("at"))
+
+
+@query(f"WITH {_WRITTEN} SELECT file, CAST(month AS INTEGER) AS month FROM f")
+def file_months(t: Tables) -> DataFrame:
+    """PRJ8: the month that a file is of, from the days written in it."""
+    return files.file_month(written(t))
+
+
+@query(f"""WITH {_WRITTEN} SELECT line AS o_orderkey, CASE WHEN month(shown) = f.month THEN shown WHEN day(shown) = f.month THEN make_date(year(shown), day(shown), month(shown)) END AS repaired FROM w JOIN f USING (file)""")
 def day_month_swap(t: Tables) -> DataFrame:
-    """PRJ8: days written with day and month changed round, repaired by the month they are known to be of."""
-    d = F.to_date("o_orderdate")
-    o = t.table("orders").select("o_orderkey", d.alias("d")).where(F.dayofmonth("d") <= 12)
-    swapped = F.to_date(F.concat_ws("-", F.year("d"), F.lpad(F.dayofmonth("d").cast("string"), 2, "0"), F.lpad(F.month("d").cast("string"), 2, "0")))
-    given = o.withColumn("written", F.when(F.col("o_orderkey") % 2 == 0, swapped).otherwise(F.col("d")))
-    return given.select("o_orderkey", text.swap_day_month(F.col("written"), F.month("d")).alias("repaired"))
+    """PRJ8: days put right by the month of their file; those that fit it neither way are null, as future ones would be."""
+    rows = written(t)
+    return rows.join(files.file_month(rows), "file").select(F.col("line").alias("o_orderkey"), text.swap_day_month(F.col("at"), F.col("month"), F.current_date()).alias("repaired"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders""", prelude=False)
@@ -166,36 +191,61 @@ def page_links(t: Tables) -> DataFrame:
     return files.links(t.table("pages"))
 
 
-@query("""SELECT s_suppkey AS station_code, s_nationkey + 2000 AS postcode, CAST(round_even(s_acctbal, 1) AS DOUBLE) AS price FROM supplier WHERE s_suppkey % 4 <> 3 AND s_nationkey < 20""", prelude=False)
+@query("""SELECT s_suppkey AS station_code, s_name AS name, n_name AS suburb, 'E10' AS fuel_code, DATE '2024-01-01' + CAST(s_suppkey % 9 AS INTEGER) AS price_date, CAST(round_even(s_acctbal * 10, 0) AS INTEGER) AS decicents
+FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 <> 3 AND s_nationkey < 20 AND s_suppkey % 3 = 0 AND s_suppkey % 10 <> 5""", prelude=False)
 def snapshot_csv(t: Tables) -> DataFrame:
-    """SRC1: a snapshot CSV with bad numbers, written to the shared folder and read back with coercion and filters."""
-    s = t.table("supplier")
-    code = F.when(F.col("s_suppkey") % 4 == 3, F.lit("n/a")).otherwise(F.col("s_suppkey").cast("string"))
+    """SRC1: snapshot CSVs of nine columns with bad codes and prices, written to the shared folder, read and filtered by postcode and fuel."""
+    s = t.table("supplier").join(F.broadcast(t.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey")
+    values = {
+        "station_code": F.when(k % 4 == 3, "n/a").otherwise(k.cast("string")), "name": F.col("s_name"), "address": F.lit("1 Main St"), "suburb": F.col("n_name"), "postcode": (F.col("s_nationkey") + 2000).cast("string"),
+        "brand": F.lit("B"), "fuel_code": F.element_at(F.array(F.lit("E10"), F.lit("P98"), F.lit("")), (k % 3 + 1).cast("int")), "price": F.when(k % 10 == 5, "bad").otherwise(F.col("s_acctbal").cast("string")), "date": F.date_add(F.lit("2024-01-01").cast("date"), (k % 9).cast("int")),
+    }
     path = files.scratch(t.spark, "snapshot")
-    s.select(code.alias("station_code"), (F.col("s_nationkey") + 2000).cast("string").alias("postcode"), F.col("s_acctbal").cast("string").alias("price")).write.option("header", True).csv(path)
-    return files.read_snapshot(t.spark, path).where("postcode < 2020")
+    s.select(*[values[c].alias(c) for c in files.SNAPSHOT]).write.option("header", True).csv(path)
+    stations, prices = files.read_snapshot(t.spark, path, [str(2000 + i) for i in range(20)], ["E10"])
+    return prices.join(stations, "station_code").select("station_code", "name", "suburb", "fuel_code", "price_date", "decicents")
 
 
-@query("""SELECT s_suppkey AS station_code, n_name AS suburb, s_acctbal AS price FROM supplier JOIN nation ON n_nationkey = s_nationkey""", prelude=False)
+@query("""WITH k AS (SELECT s_suppkey, n_name, s_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) AS k FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+g AS (SELECT *, first_value(s_suppkey) OVER (PARTITION BY n_name, (k - 1) // 3 ORDER BY k) AS lead FROM k)
+SELECT 'Shell ' || lead AS name, ['E10', 'P98', 'DL'][(k - 1) % 3 + 1] AS fuel_code, lower(n_name) AS suburb, CAST(2000 + lead % 300 AS VARCHAR) AS postcode, 'Shell' AS brand, DATE '2001-05-13' + CAST(lead % 9 AS INTEGER) AS price_date, round_even(least(999.0, s_acctbal), 1) AS price FROM g""")
 def shifted_csv(t: Tables) -> DataFrame:
-    """SRC3: rows that lack their first columns, which begin with a number, take them from the row before."""
+    """SRC3: raw histories of eight columns: rows without station or date, rows shifted by a number in front, blank brands and postcodes."""
     s = t.table("supplier").join(F.broadcast(t.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    lines = s.select("n_name", "s_suppkey", "s_acctbal", F.row_number().over(Window.partitionBy("n_name").orderBy("s_suppkey")).alias("k"))
-    full = F.when(F.col("k") == 1, F.struct(F.col("n_name").alias("a"), F.col("s_suppkey").cast("string").alias("b"), F.col("s_acctbal").cast("string").alias("c"))).otherwise(
-        F.struct(F.col("s_suppkey").cast("string").alias("a"), F.col("s_acctbal").cast("string").alias("b"), F.lit(None).cast("string").alias("c"))
-    )
-    raw = lines.select(F.col("n_name").alias("file"), F.col("k").alias("line"), full.alias("f")).select("file", "line", "f.*")
-    return files.unshift(raw)
-
-
-@query("""SELECT s_suppkey AS code, s_name AS name, p_partkey AS price_key, p_retailprice AS price FROM supplier JOIN part ON p_partkey % 50 = s_suppkey % 50 AND p_partkey <= 60 AND s_suppkey <= 50""", prelude=False)
+    rows = s.select("n_name", "s_suppkey", "s_acctbal", F.row_number().over(Window.partitionBy("n_name").orderBy("s_suppkey")).alias("k"))
+    rows = rows.withColumn("lead", F.first("s_suppkey").over(Window.partitionBy("n_name", F.floor((F.col("k") - 1) / 3)).orderBy("k")))
+    turn, blank = (F.col("k") - 1) % 3, F.lit("")
+    full = [F.concat(F.lit("Shell "), F.col("lead")), F.concat(F.lit("1 Main St NSW "), 2000 + F.col("lead") % 300), F.col("n_name"), blank, blank]
+    details = [F.when(turn == 1, "").otherwise(c) for c in full]
+    fuel = F.element_at(F.array(F.lit("E10"), F.lit("P98"), F.lit("DL")), (turn + 1).cast("int"))
+    day = F.when(turn == 1, "").otherwise(F.date_format(F.date_add(F.lit("2001-05-13").cast("date"), (F.col("lead") % 9).cast("int")), "d/MM/yyyy HH:mm"))
+    cells = F.array(*[c.cast("string") for c in [*details, fuel, day, F.col("s_acctbal")]])
+    cells = F.when(turn == 2, F.concat(F.array(F.col("s_suppkey").cast("string")), cells)).otherwise(F.concat(cells, F.array(blank)))
+    path = files.scratch(t.spark, "raw")
+    lines = rows.withColumn("cells", cells).repartition("n_name").sortWithinPartitions("n_name", "k")
+    lines.select(*[F.col("cells")[i].alias(c) for i, c in enumerate((*files.RAW, "_id"))]).write.option("header", True).csv(path)
+    clean = files.read_raw(t.spark, path, [("shell", "Shell")])
+    return clean.select("name", "fuel_code", F.lower("suburb").alias("suburb"), "postcode", "brand", "price_date", "price")
+
+
+@query("""SELECT s_suppkey AS station_code, s_name AS name, lower(n_name) AS suburb, CAST(2000 + s_suppkey % 900 AS VARCHAR) AS postcode, p_brand AS fuel_code, p_retailprice AS price, p_partkey AS part
+FROM part JOIN supplier ON s_suppkey = p_partkey % 1000 + 1 JOIN nation ON n_nationkey = s_nationkey""", prelude=False)
 def api_json(t: Tables) -> DataFrame:
-    """SRC6: a document with an array of stations and one of prices, read as JSON, exploded and joined."""
-    s = t.table("supplier").where("s_suppkey <= 50").agg(F.collect_list(F.struct(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"))).alias("stations"))
-    p = t.table("part").where("p_partkey <= 60").agg(F.collect_list(F.struct((F.col("p_partkey") % 50).alias("stationcode"), F.col("p_partkey").alias("price_key"), F.col("p_retailprice").alias("price"))).alias("prices"))
+    """SRC6: documents with an array of stations and one of prices, for each hundred stations; prices of unknown stations go."""
+    s = t.table("supplier").join(F.broadcast(t.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    k, code = F.col("s_suppkey"), F.col("p_partkey") % 1000 + 1
+    block = lambda c: F.floor(c / 100)
+    address = F.concat(k, F.lit(" Main St, "), F.col("n_name"), F.lit(" NSW "), 2000 + k % 900)
+    where = F.struct(F.lit(-33.5).alias("latitude"), F.lit(151.0).alias("longitude"))
+    stations = s.groupBy(block(k).alias("block")).agg(F.collect_list(F.struct(F.lit("B").alias("brand"), k.cast("string").alias("code"), F.col("s_name").alias("name"), address.alias("address"), where.alias("location"))).alias("stations"))
+    fuel = F.concat_ws("|", "p_brand", F.col("p_partkey").cast("string"))
+    prices = t.table("part").groupBy(block(code).alias("block")).agg(F.collect_list(F.struct(code.cast("string").alias("stationcode"), fuel.alias("fueltype"), F.col("p_retailprice").alias("price"), F.lit("01/02/2024 10:00:00").alias("lastupdated"))).alias("prices"))
     path = files.scratch(t.spark, "api")
-    s.withColumn("prices", p.select("prices").scalar()).write.json(path)
-    return files.read_api(t.spark, path)
+    stations.join(prices, "block").write.partitionBy("block").json(path)
+    rows = files.read_api(t.spark, path)
+    parts = F.split("fuel_code", "[|]")
+    return rows.select("station_code", "name", F.lower("suburb").alias("suburb"), "postcode", parts[0].alias("fuel_code"), "price", parts[1].cast("long").alias("part"))
 
 
 @query(f"""WITH {ADDRESS_SQL} SELECT count(*) FILTER (station_code % 7 <> 0) AS matched, count(*) FILTER (station_code % 7 = 0) AS skipped FROM addresses""")

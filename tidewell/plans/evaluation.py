@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import stats
 from tidewell.operators import classify as cl
-from tidewell.operators import joins, metrics
+from tidewell.operators import joins, metrics, panel
 from tidewell.registry import query
 from tidewell.sources.adapter import Tables
 
@@ -25,7 +25,7 @@ labels AS (SELECT station_code, price_date, today, future_min, past_threshold, C
 
 
 def snapshot(t: Tables) -> DataFrame:
-    return t.panel.where(F.col("price_date").between("1999-03-17", "1999-04-30"))
+    return panel.gap_fill_between(t.prices, "1999-03-17", "1999-04-30", t.last_day).join(t.stations, "station_code")
 
 
 @query(f"WITH {_CLASS} SELECT station_code, council, class, round(premium, 4) AS premium FROM cls")
@@ -58,10 +58,24 @@ def cohort_dispersion(t: Tables) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT council, price_date, median(decicents / 10) AS ref FROM panel GROUP BY 1, 2), p AS (SELECT station_code, price_date, decicents / 10 - ref AS premium FROM panel JOIN r USING (council, price_date))
-SELECT station_code, price_date, round(median(premium) OVER (PARTITION BY station_code ORDER BY price_date RANGE BETWEEN INTERVAL 45 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 4) AS premium FROM p WHERE year(price_date) = 1999""")
+SELECT station_code, price_date, round(median(premium) OVER (PARTITION BY station_code ORDER BY price_date RANGE BETWEEN INTERVAL 45 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 4) AS premium FROM p""")
 def rolling_premium(t: Tables) -> DataFrame:
-    """WN19: the 45-day premium of every day of a year."""
-    return cl.rolling_premium(t.panel.where("year(price_date) = 1999")).withColumn("premium", F.round("premium", 4))
+    """WN19: the 45-day premium of the first pass, of every day."""
+    return cl.rolling_premium(t.panel).withColumn("premium", F.round("premium", 4))
+
+
+@query("""WITH b AS (SELECT min(price_date) AS lo, max(price_date) + 1 AS hi FROM panel),
+days AS (SELECT CAST(unnest(generate_series(CAST(lo + 28 AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 28 DAY)) AS DATE) AS snapshot_date FROM b),
+snap AS MATERIALIZED (SELECT d.snapshot_date, p.* FROM days d JOIN panel p ON p.price_date >= d.snapshot_date - 45 AND p.price_date < d.snapshot_date),
+r1 AS (SELECT snapshot_date, council, price_date, median(decicents / 10) AS ref FROM snap GROUP BY 1, 2, 3),
+c1 AS MATERIALIZED (SELECT snapshot_date, station_code, council, median(decicents / 10 - ref) AS premium FROM snap JOIN r1 USING (snapshot_date, council, price_date) GROUP BY 1, 2, 3),
+r2 AS (SELECT snapshot_date, council, price_date, median(decicents / 10) AS ref FROM snap JOIN c1 USING (snapshot_date, station_code, council) WHERE premium BETWEEN -10 AND 10 GROUP BY 1, 2, 3),
+c2 AS MATERIALIZED (SELECT snapshot_date, station_code, council, median(decicents / 10 - ref) AS premium FROM snap JOIN r2 USING (snapshot_date, council, price_date) GROUP BY 1, 2, 3)
+SELECT snapshot_date, station_code, council, CASE WHEN premium > 10 THEN 'Sticky' WHEN premium < -10 THEN 'Discount' ELSE 'Competitive' END AS class, round(premium, 4) AS premium
+FROM (SELECT * FROM c2 UNION ALL SELECT c1.* FROM c1 ANTI JOIN c2 USING (snapshot_date, council))""")
+def class_history(t: Tables) -> DataFrame:
+    """WN19: classes of both passes at every 28th day."""
+    return cl.classify_snapshots(t.panel, step=28).withColumn("premium", F.round("premium", 4))
 
 
 @query(f"WITH {_LABELS} SELECT station_code, price_date, round(today, 4) AS today, round(past_threshold, 4) AS past_threshold, round(future_min, 4) AS future_min, label FROM labels")

@@ -66,8 +66,8 @@ def council_sums(t: Tables) -> DataFrame:
     return panel.sums(t.panel, "council")
 
 
-@query("""WITH own AS (SELECT price_date, council, sum(decicents) AS s, count(*) AS n FROM panel GROUP BY 1, 2),
-r AS (SELECT price_date, council, sum(s) OVER (PARTITION BY price_date) - s AS rest, sum(n) OVER (PARTITION BY price_date) - n AS others FROM own)
+@query("""WITH own AS (SELECT price_date, council, sum(decicents) AS s, count(*) AS n FROM panel GROUP BY 1, 2), d AS (SELECT price_date, sum(s) AS s, sum(n) AS n FROM own GROUP BY 1), c AS (SELECT DISTINCT council FROM panel),
+r AS (SELECT price_date, council, d.s - coalesce(own.s, 0) AS rest, d.n - coalesce(own.n, 0) AS others FROM d CROSS JOIN c LEFT JOIN own USING (price_date, council))
 SELECT price_date, council, round(rest / others / 10, 4) AS anchor_price FROM r WHERE others >= 3""")
 def loo_anchor(t: Tables) -> DataFrame:
     return panel.leave_one_out(t.panel, "council").withColumn("anchor_price", F.round("anchor_price", 4))
@@ -145,7 +145,7 @@ def last_gradients(t: Tables) -> DataFrame:
     return g.select("price_date", F.round(F.lag("gradient", 2).over(w), 4).alias("g1"), F.round(F.lag("gradient").over(w), 4).alias("g2"), F.round("gradient", 4).alias("g3"))
 
 
-@query("""SELECT a.station_code, a.price_date, a.decicents - b.decicents AS delta_7d FROM daily a LEFT JOIN daily b ON a.station_code = b.station_code AND b.price_date = a.price_date - 7""")
+@query("""SELECT station_code, price_date, decicents - max(decicents) OVER (PARTITION BY station_code ORDER BY price_date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY PRECEDING) AS delta_7d FROM daily""")
 def px_lag_self_join(t: Tables) -> DataFrame:
     """JN7: the price exactly seven days before, by a join on unique keys."""
     return joins.exact_lag(t.daily, 7).select("station_code", "price_date", (F.col("decicents") - F.col("decicents_lag")).alias("delta_7d"))

@@ -115,11 +115,11 @@ def feature_frame(t: Tables) -> DataFrame:
     return j.select("station_code", "price_date", today.alias("today"), *[F.round(c, 4).alias(c) for c in ("metro_mean", "council_mean", "brand_mean", "px_std")], (F.col("decicents") - F.col("decicents_lag")).alias("delta_7d"), F.round(today - F.col("metro_mean"), 4).alias("premium"), F.col("up").isNotNull().alias("has_upstream"))
 
 
-@query("""WITH b AS (SELECT station_code, price_date, decicents / 10 AS p, median(decicents / 10) OVER (PARTITION BY station_code ORDER BY price_date RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS base FROM daily WHERE year(price_date) IN (1998, 1999))
+@query("""WITH b AS (SELECT station_code, price_date, decicents / 10 AS p, median(decicents / 10) OVER (PARTITION BY station_code ORDER BY price_date RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS base FROM daily)
 SELECT station_code, price_date, round(p - base, 4) AS elongation, round((p - base) * ((price_date - DATE '1995-01-01') % 28) / 28.0, 4) AS interaction FROM b""")
 def elongation(t: Tables) -> DataFrame:
     """TS14."""
-    rows = t.daily.where("year(price_date) in (1998, 1999)").withColumn("p", F.col("decicents") / 10)
+    rows = t.daily.withColumn("p", F.col("decicents") / 10)
     gap = F.col("p") - F.percentile("p", F.lit(0.5)).over(panel.days_window("station_code", start=-90, end=-1))
     phase = F.datediff("price_date", F.lit("1995-01-01")) % 28
     return rows.select("station_code", "price_date", F.round(gap, 4).alias("elongation"), F.round(gap * phase / 28.0, 4).alias("interaction"))
@@ -146,16 +146,17 @@ def council_troughs(t: Tables) -> DataFrame:
 
 @query()
 def days_since_trough(t: Tables) -> DataFrame:
-    """TS9: of each council on each day from 2000 on, from that day's past alone."""
-    return cycles.days_since_trough(panel.mean_price(t.panel, "council"), ["council"], start="2000-01-01")
+    """TS9: of each council on each day, from that day's past alone."""
+    return cycles.days_since_trough(panel.mean_price(t.panel, "council"), ["council"])
 
 
 @query()
 def leadership_board(t: Tables) -> DataFrame:
-    """TS10, WN20: leads of the councils against the mean of all others, at the last day."""
-    means = panel.mean_price(t.panel, "council", least=1)
-    anchor = cycles.trough_events(t.metro.withColumn("series", F.lit("metro")), ["series"]).select(F.col("event_date").alias("anchor_date"))
-    return cycles.leadership(anchor, cycles.trough_events(means, ["council"]), "council")
+    """TS10, WN20: weekly scores of the councils against the mean of all others, each on the 730 days before."""
+    daily = t.panel
+    own = panel.mean_price(daily, "council", least=3)
+    both = own.join(panel.leave_one_out(daily, "council"), ["price_date", "council"], "full_outer")
+    return cycles.leadership_snapshots(both, "council")
 
 
 @query()

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import text
+
 _own: dict[str, str] = {}
 
 
@@ -23,28 +25,92 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex}"
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """station_code, postcode and price of a snapshot CSV; rows whose code or price is no number are skipped."""
-    raw = spark.read.schema("station_code string, postcode string, price string").option("header", True).csv(path)
-    typed = raw.select(F.col("station_code").try_cast("long").alias("station_code"), F.col("postcode").try_cast("int").alias("postcode"), F.bround(F.col("price").try_cast("double"), 1).alias("price"))
-    return typed.dropna()
+#: Columns of a snapshot CSV, and of a raw price history.
+SNAPSHOT = ("station_code", "name", "address", "suburb", "postcode", "brand", "fuel_code", "price", "date")
+RAW = ("ServiceStationName", "Address", "Suburb", "Postcode", "Brand", "FuelCode", "PriceUpdatedDate", "Price")
+DETAILS = RAW[:5]
+
+
+def read_snapshot(spark: SparkSession, path: str, postcodes: list[str] | None = None, fuel_codes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(stations, prices) of snapshot CSVs, whose columns are found by name.
+
+    Rows whose code is no number are skipped, as are those of other postcodes. Prices need a fuel code, of the given
+    ones if any, and a number. A station needs a price among these.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    rows = raw.select(F.col("station_code").try_cast("long").alias("station_code"), *[F.coalesce(c, F.lit("")).alias(c) for c in SNAPSHOT[1:6]], "fuel_code", F.col("price").try_cast("double").alias("cents"), "date")
+    rows = rows.where("station_code is not null")
+    if postcodes is not None:
+        rows = rows.where(F.col("postcode").isin(postcodes))
+    priced = rows.where("fuel_code <> '' and cents is not null")
+    if fuel_codes is not None:
+        priced = priced.where(F.col("fuel_code").isin(fuel_codes))
+    prices = priced.select("station_code", "fuel_code", F.to_date("date").alias("price_date"), F.bround(F.col("cents") * 10).cast("int").alias("decicents"))
+    stations = rows.join(priced.select("station_code").distinct(), "station_code", "left_semi").select(*SNAPSHOT[:6]).distinct()
+    return stations, prices
 
 
 def unshift(raw: DataFrame) -> DataFrame:
-    """Lines (file, line, a, b, c) whose first field is a number lack the name that an earlier line of the file has."""
-    w = Window.partitionBy("file").orderBy("line")
-    short = F.col("a").rlike(r"^\d+$")
-    name = F.last(F.when(~short, F.col("a")), ignorenulls=True).over(w)
-    code, price = F.when(short, F.col("a")).otherwise(F.col("b")), F.when(short, F.col("b")).otherwise(F.col("c"))
-    return raw.select(code.try_cast("long").alias("station_code"), name.alias("suburb"), price.try_cast("double").alias("price"))
+    """Rows whose station name is a number have one field too many in front: all others move to the left."""
+    shifted = F.coalesce(F.col(RAW[0]).rlike(r"^\d+$"), F.lit(False))
+    return raw.select(*[F.when(shifted, F.col(n)).otherwise(F.col(c)).alias(c) for c, n in zip(RAW, [*RAW[1:], "_extra"], strict=True)], *[c for c in raw.columns if c not in (*RAW, "_extra")])
+
+
+def file_month(rows: DataFrame, at: str = "at") -> DataFrame:
+    """(file, month): the month of the first line whose day is above 12; else, if all days are the same number in several months, that number; else the last line's."""
+    day, month = F.dayofmonth(at), F.month(at)
+    g = rows.where(F.col(at).isNotNull()).groupBy("file").agg(
+        F.min(F.when(day > 12, F.struct("line", month.alias("m")))).alias("sure"), F.min(day).alias("d0"), F.max(day).alias("d1"), F.min(month).alias("m0"), F.max(month).alias("m1"), F.max_by(month, "line").alias("last"),
+    )
+    return g.select("file", F.coalesce("sure.m", F.when((F.col("d0") == F.col("d1")) & (F.col("m0") < F.col("m1")), F.col("d0")), "last").alias("month"))
+
+
+def read_raw(spark: SparkSession, path: str, brands: list[tuple[str, str]]) -> DataFrame:
+    """Clean rows of raw price histories, one per station, fuel and day: the latest of the day.
+
+    Shifted rows are put right. A row without a station name is of the station above it; one without a date has that of
+    the row above it of the same station. Dates follow the file's month; rows with an unreadable or future date, without
+    a price, fuel, suburb, brand or postcode are left out. Lines are windows of a file, which is a month of data.
+    """
+    schema = ", ".join(f"{c} string" for c in (*RAW, "_extra"))
+    line = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.schema(schema).option("header", True).csv(path).select("*", F.col("_metadata.file_path").alias("file"), line.alias("line"))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rows = unshift(raw).where(~(blank("FuelCode") & blank("Price") & blank("PriceUpdatedDate")))
+    above = Window.partitionBy("file").orderBy("line")
+    named = F.when(~blank(RAW[0]), F.struct("line", *DETAILS))
+    rows = rows.withColumn("_of", F.last(named, ignorenulls=True).over(above)).where("_of is not null")
+    rows = rows.select("file", "line", *[F.col(f"_of.{c}").alias(c) for c in DETAILS], "FuelCode", "Price", F.col("_of.line").alias("_station"), "PriceUpdatedDate").withColumn("at", text.parse_date(F.col("PriceUpdatedDate")))
+    rows = rows.join(file_month(rows), "file")
+    day = text.swap_day_month(F.col("at"), F.col("month"), F.current_date())
+    stamp = F.when(day.isNotNull(), F.make_timestamp(F.year(day), F.month(day), F.dayofmonth(day), F.hour("at"), F.minute("at"), F.second("at").cast("decimal(8,6)")))
+    rows = rows.withColumn("stamp", stamp)
+    # consecutive rows of one name are one station
+    other = F.coalesce((F.col(RAW[0]) != F.lag(RAW[0]).over(above)).cast("int"), F.lit(0))
+    rows = rows.withColumn("_block", F.sum(other).over(above))
+    same = Window.partitionBy("file", "_block").orderBy("line")
+    rows = rows.withColumn("stamp", F.when(blank("PriceUpdatedDate"), F.last("stamp", ignorenulls=True).over(same)).otherwise(F.col("stamp")))
+    clean = rows.select(
+        "file", "line", F.col(RAW[0]).alias("name"), F.col("Address").alias("address"), text.title(F.nullif(F.trim("Suburb"), F.lit(""))).alias("suburb"), text.clean_postcode(F.col("Postcode"), F.col("Address")).alias("postcode"),
+        F.coalesce(F.nullif(F.trim("Brand"), F.lit("")), text.brand_by_prefix(F.col(RAW[0]), brands, None)).alias("brand"), F.nullif(F.trim("FuelCode"), F.lit("")).alias("fuel_code"), "stamp", text.clean_price(F.col("Price")).alias("price"),
+    ).dropna()
+    last = Window.partitionBy("file", "name", "address", "brand", "fuel_code", F.to_date("stamp")).orderBy(F.desc("stamp"), "line")
+    return clean.withColumn("_k", F.row_number().over(last)).where("_k = 1").select("name", "address", "suburb", "postcode", "brand", "fuel_code", F.to_date("stamp").alias("price_date"), "price")
 
 
 def read_api(spark: SparkSession, path: str) -> DataFrame:
-    schema = "stations array<struct<code: long, name: string>>, prices array<struct<stationcode: long, price_key: long, price: double>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    stations = doc.select(F.inline("stations"))
-    prices = doc.select(F.inline("prices"))
-    return prices.join(stations, F.col("stationcode") == F.col("code") % 50).select("code", "name", "price_key", "price")
+    """Rows of API documents {stations: [brand, code, name, address, location], prices: [stationcode, fueltype, price, lastupdated]}.
+
+    (station_code, name, address, suburb, postcode, brand, fuel_code, price): each price with its station; prices of
+    unknown stations are left out. A file is one document; stations are known within it.
+    """
+    station = "brand: string, code: string, name: string, address: string, location: struct<latitude: double, longitude: double>"
+    price = "stationcode: string, fueltype: string, price: double, lastupdated: string"
+    doc = spark.read.schema(f"stations array<struct<{station}>>, prices array<struct<{price}>>").option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("file"))
+    stations = doc.select("file", F.inline("stations")).select("file", F.col("code").alias("stationcode"), "name", "address", "brand")
+    a = F.col("address")
+    rows = doc.select("file", F.inline("prices")).join(stations, ["file", "stationcode"])
+    return rows.select(F.col("stationcode").cast("long").alias("station_code"), "name", "address", F.coalesce(text.suburb_of(a), F.lit("")).alias("suburb"), F.coalesce(text.postcode_of(a), F.lit("")).alias("postcode"), "brand", F.col("fueltype").alias("fuel_code"), "price")
 
 
 def links(pages: DataFrame) -> DataFrame:
