@@ -293,3 +293,115 @@ def test_noise_floor_of_placebos(spark):
     series_ = daily.select("price_date", (F.col("decicents") / 7).alias("v"))
     got = backtest.noise_floor(frame, series_, "v", daily, windows, ["today"], simulate.Tank(), [1, 2], 30).collect()
     assert [(r.draw, r.fold) for r in got] == [(1, 0), (2, 0)] and all(abs(r.delta) < 5 for r in got)
+
+
+def test_a_bump_on_the_way_down_is_no_peak(spark):
+    x = [12, 11, 10, 9.5, 9.6, 8, 7, 6, 7, 8, 9, 8, 7]
+    for mode in (True, False):
+        got = cycles.confirmed_peaks(series(spark, x), ["series"], distance=7, drop=1.0, point_in_time=mode).collect()
+        assert [(r.peak_date, r.confirmed_on) for r in got] == [(DAY + dt.timedelta(10), DAY + dt.timedelta(11))]
+    assert cycles.confirmation(np.array([5.0, 4.5, 6.0, 3.0]), 0, 1.0) is None
+    saw = series(spark, sawtooth(230))
+    both = [sorted(r.peak_date for r in cycles.confirmed_peaks(saw, ["series"], point_in_time=m).collect()) for m in (True, False)]
+    assert both[0] == both[1] == [DAY + dt.timedelta(3 + 46 * k) for k in range(5)]
+
+
+def test_troughs_smooth_as_a_centred_mean():
+    rng = np.random.default_rng(7)
+    x = 150 + 8 * np.sin(np.arange(300) / 7) + rng.normal(0, 0.5, 300)
+    mean = np.array([x[max(0, i - 3) : i + 4].mean() for i in range(300)])
+    at = cycles.spaced(-mean, cycles.local_maxima(-mean), 18)
+    assert cycles.troughs(x).tolist() == sorted({max(0, t - 5) + int(np.argmin(x[max(0, t - 5) : t + 6])) for t in at})
+
+
+def test_leave_one_out_keeps_days_without_own_rows(spark):
+    rows = [(DAY, "a", 10)] * 3 + [(DAY, "b", 20)] * 3 + [(DAY + dt.timedelta(1), "b", 30)] * 3
+    got = {(r.price_date, r.g): r.anchor_price for r in panel.leave_one_out(spark.createDataFrame(rows, "price_date date, g string, decicents int"), "g").collect()}
+    assert got == {(DAY, "a"): 2.0, (DAY, "b"): 1.0, (DAY + dt.timedelta(1), "a"): 3.0}
+
+
+def test_weekly_leads_of_two_waves(spark):
+    wave = lambda lag: [150 + 10 * math.cos(2 * math.pi * (i + lag) / 45) for i in range(800)]
+    rows = [(d, g, p, a) for g, lag in (("early", 5), ("same", 0)) for d, p, a in zip(days(800), wave(lag), wave(0), strict=True)]
+    got = cycles.leadership_snapshots(spark.createDataFrame(rows, "price_date date, g string, price double, anchor_price double"), "g", window=400).collect()
+    late = [r for r in got if r.snapshot_date > DAY + dt.timedelta(420)]
+    assert {(r.g, r.median_lead) for r in late} == {("early", 5.0), ("same", 0.0)} and min(r.matched for r in late) > 0.8
+    assert {r.snapshot_date for r in got if r.g == "early"} == {DAY + dt.timedelta(1 + 7 * k) for k in range(115)}
+
+
+def test_suburbs_postcodes_and_dates(spark):
+    addresses = {
+        "123 Main St, Springwood NSW 2777": ("Springwood", "2777"), "Cnr A & B Rd Wagga Wagga NSW 2650": ("Wagga Wagga", "2650"), "1 High Street, Port Augusta WA 6000": ("Port Augusta", "6000"),
+        "12 Main St, NSW 2000": (None, "2000"), "Shop 4 2011 Plaza": (None, "2011"), "nowhere": (None, None), "5 Beach Road O'CONNOR ACT 2602": ("O'Connor", "2602"), None: (None, None),
+    }
+    df = spark.createDataFrame([(a,) for a in addresses], "a string")
+    got = {r.a: (r.s, r.p) for r in df.select("a", text.suburb_of(F.col("a")).alias("s"), text.postcode_of(F.col("a")).alias("p")).collect()}
+    assert got == addresses
+    when = dt.datetime(2024, 3, 5, 14, 30)
+    forms = {"2024-03-05T14:30:00": when, "2024-03-05 14:30:00": when, "2024-03-05": dt.datetime(2024, 3, 5), "5/03/2024 02:30:00 PM": when, "5/3/2024 14:30": when, "05/03/2024": dt.datetime(2024, 3, 5), "20240305": None, "5-Mar-2024": None, "": None}
+    rows = spark.createDataFrame([(x,) for x in forms], "x string").select("x", text.parse_date(F.col("x")).alias("t")).collect()
+    assert {r.x: r.t for r in rows} == forms
+    code = spark.createDataFrame([("2056", "x"), ("", "1 Main St 2461"), ("2609", "x"), (None, "a 2777"), ("2777", "x")], "c string, a string")
+    assert [r.p for r in code.select(text.clean_postcode(F.col("c"), F.col("a")).alias("p")).collect()] == ["2506", "2460", None, "2777", "2777"]
+
+
+def test_the_month_of_a_file(spark):
+    d = lambda m, day: dt.date(2019, m, day)
+    rows = [("sure", 1, d(5, 3)), ("sure", 2, d(3, 17)), ("constant", 1, d(1, 10)), ("constant", 2, d(2, 10)), ("last", 1, d(4, 2)), ("last", 2, d(6, 3)), ("none", 1, None)]
+    got = files.file_month(spark.createDataFrame(rows, "file string, line long, at date")).collect()
+    assert {r.file: r.month for r in got} == {"sure": 3, "constant": 10, "last": 6}
+    c = spark.createDataFrame([(d(3, 17),), (d(17 % 12, 3),), (d(9, 9),)], "at date")
+    assert [r.x for r in c.select(text.swap_day_month(F.col("at"), F.lit(3), F.lit(d(12, 31))).alias("x")).collect()] == [d(3, 17), d(3, 5), None]
+    assert c.select(text.swap_day_month(F.col("at"), F.lit(3), F.lit(d(1, 1))).alias("x")).dropna().count() == 0
+
+
+def test_raw_histories_are_cleaned(spark, tmp_path):
+    head = ",".join(files.RAW)
+    lines = [
+        'Shell A,"1 Main St NSW 2777",SPRINGWOOD,2777,Shell,E10,13/05/2001 10:00,150.04', ",,,,,P98,,170", ",,,,,,,", '7,Shell B,"2 Main St 2461",katoomba,,,E10,14/05/2001 09:00,151.26',
+        'Shell B,"2 Main St 2461",katoomba,,,E10,14/05/2001 18:00,160', "Nobody,1 X,Y,2000,,E10,14/05/2001,150", "Shell C,1 X,Y,2609,Shell,E10,14/05/2001,150", "Shell C,1 X,Y,2000,Shell,E10,5/13/2001,150", "Shell C,1 X,Y,2000,Shell,E10,5/06/2001,nil", "Shell C,1 X,Y,2000,Shell,E10,2001-07-05,1500",
+    ]
+    (tmp_path / "raw.csv").write_text("\n".join([head, *lines]) + "\n")
+    got = sorted(tuple(r) for r in files.read_raw(spark, str(tmp_path), [("shell", "Shell")]).collect())
+    day = dt.date(2001, 5, 13)
+    assert got == [
+        ("Shell A", "1 Main St NSW 2777", "Springwood", "2777", "Shell", "E10", day, 150.0), ("Shell A", "1 Main St NSW 2777", "Springwood", "2777", "Shell", "P98", day, 170.0),
+        ("Shell B", "2 Main St 2461", "Katoomba", "2460", "Shell", "E10", dt.date(2001, 5, 14), 160.0), ("Shell C", "1 X", "Y", "2000", "Shell", "E10", dt.date(2001, 5, 7), 999.0),
+    ]
+
+
+def test_attributions_add_up(spark):
+    from tidewell.operators import attribution
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] + x[:, 1] * x[:, 0] > 0).astype(int)
+    df = spark.createDataFrame([(i, int(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "i long, label int, a double, b double, c double")
+    model = models.boosted(["a", "b", "c"], rounds=4, depth=3).fit(df)
+    trees = attribution.exported(model)
+    base, phi, pairs = attribution.shapley(trees, x)
+    margin = sum(w * attribution.expected(t, frozenset(range(3)), x) for w, t in trees)
+    proba = np.array([r.proba for r in models.predict(model, df).orderBy("i").collect()])
+    assert np.allclose(base + phi.sum(axis=1), margin) and np.allclose(1 / (1 + np.exp(-2 * margin)), proba)
+    assert np.allclose(pairs.sum(axis=2), phi) and np.allclose(pairs, pairs.transpose(0, 2, 1))
+    got = attribution.attributed(model, df, ["a", "b", "c"], ["i"]).groupBy("feature").agg(F.avg("attribution").alias("m")).collect()
+    assert all(abs(r.m - phi[:, "abc".index(r.feature)].mean()) < 1e-9 for r in got)
+    stump = [(1.0, [(1, 0.0, 1, 2, 0.0, 4.0), (-1, 0.0, -1, -1, -1.0, 3.0), (-1, 0.0, -1, -1, 3.0, 1.0)])]
+    assert attribution.shapley(stump, np.array([[0.0, 1.0, 0.0]]))[1].tolist() == [[0.0, 3.0, 0.0]]
+
+
+def test_an_unsettled_tank_is_an_error():
+    with pytest.raises(ValueError, match="not settled"):
+        simulate.never_dry(simulate.Tank(), most=2)
+
+
+def test_frames_come_from_the_newer_file(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0)], "k int, x double")
+    path = str(tmp_path / "f")
+    storage.save_frame(df, path)
+    assert storage.load_frame(spark, path, "k int, x double").collect() == df.collect()
+    import time
+
+    time.sleep(1.1)
+    spark.createDataFrame([(7, 3.0)], "k int, x double").write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    assert [r.k for r in storage.load_frame(spark, path, "k int, x double").collect()] == [7]

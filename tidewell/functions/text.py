@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -70,6 +71,11 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def slug_of(name: str) -> str:
+    """slug() of a plain string, for column names."""
+    return re.sub("^_+|_+$", "", re.sub("[^a-z0-9]+", "_", name.lower()))
+
+
 def title(c: Column) -> Column:
     """Each run of letters with a capital first."""
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1)), F.initcap), "")
@@ -117,7 +123,8 @@ def month_of_name(name: Column) -> Column:
 
 
 def clean_price(c: Column, cap: float = 999.0) -> Column:
-    return F.bround(F.least(F.lit(cap), c.try_cast("double")), 1)
+    price = c.try_cast("double")
+    return F.when(price.isNotNull(), F.bround(F.least(F.lit(cap), price), 1))
 
 
 def clean_postcode(given: Column, address: Column) -> Column:

@@ -85,7 +85,8 @@ def confirmed_peaks(series: DataFrame, by: list[str], value: str = "price", dist
             if not point_in_time or all(abs(p - q) >= distance for _, q in taken[-distance:]):
                 taken.append((c, p))
         out = {c: [pdf[c].iloc[0]] * len(taken) for c in by} if len(pdf) else {c: [] for c in by}
-        return pd.DataFrame(out | {"peak_date": [days[p] for _, p in taken], "confirmed_on": [days[c] for c, _ in taken]})
+        dates = {"peak_date": [days[p] for _, p in taken], "confirmed_on": [days[c] for c, _ in taken]}
+        return pd.DataFrame(out | {k: pd.Series(v, dtype=object) for k, v in dates.items()})
 
     ship(series.sparkSession)
     return series.groupBy(*by).applyInPandas(find, schema)
@@ -186,7 +187,7 @@ def leadership_snapshots(series: DataFrame, by: str, window: int = 730, step: in
 
 
 def cycle_state(days: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
-    """days with last_peak, days_since, mean_length (2 decimals), pct_through and n_peaks, as known on each day.
+    """days with last_peak, previous_peak, days_since, mean_length (2 decimals), pct_through and n_peaks, as known on each day.
 
     events has by, peak_date and confirmed_on. Both meet in one window ordered by the day a row is known.
     """
@@ -194,7 +195,8 @@ def cycle_state(days: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
     rows = days.select(*days.columns, F.lit(1).alias("_day"), F.lit(None).cast("date").alias("peak_date")).unionByName(marks, allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy("price_date", "_day").rowsBetween(Window.unboundedPreceding, 0)
     n, last, first = F.count("peak_date").over(w), F.max("peak_date").over(w), F.min("peak_date").over(w)
-    seen = rows.withColumns({"n_peaks": n, "last_peak": last, "_first": first}).where("_day = 1")
+    known = F.array_sort(F.collect_list("peak_date").over(w))
+    seen = rows.withColumns({"n_peaks": n, "last_peak": last, "_first": first, "previous_peak": F.get(known, F.size(known) - 2)}).where("_day = 1")
     length = F.round(F.try_divide(F.datediff("last_peak", "_first").cast("double"), F.col("n_peaks") - 1), 2)
     since = F.datediff("price_date", "last_peak")
     return seen.withColumns({"days_since": since, "mean_length": length}).withColumn("pct_through", F.round(F.try_divide(F.col("days_since"), F.col("mean_length")), 4)).drop("_day", "_first", "peak_date")

@@ -8,7 +8,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import log_loss
@@ -64,6 +64,19 @@ def calibrate(rows: DataFrame, label: str = "label", proba: str = "proba") -> tu
     return best, out[best]
 
 
+def save(model: PipelineModel, path: str, features: list[str], tau: float | None = None) -> None:
+    """The fitted pipeline with the features in their order and the threshold that goes with it."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(features, tau)], "features array<string>, tau double").coalesce(1).write.mode("overwrite").json(f"{path}/contract")
+
+
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str], float | None]:
+    """(pipeline, features, threshold) as saved."""
+    r = spark.read.schema("features array<string>, tau double").json(f"{path}/contract").first()
+    return PipelineModel.load(f"{path}/model"), list(r.features), r.tau
+
+
 def importance(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
 

@@ -93,11 +93,16 @@ def attribute_fifo(fills: DataFrame, days: DataFrame, tank: Tank, start_price: f
     return met.groupBy("station_code", "day").agg(F.sum("litres").alias("litres"), F.sum(F.col("litres") * F.col("price")).alias("cost"))
 
 
-def never_dry(tank: Tank, most: int = 10_000) -> list[tuple[float, float]]:
-    """(level, depletion) of every reachable level that doesn't last to the next evaluation; none if the tank is safe."""
+def never_dry(tank: Tank, most: int = 100_000) -> list[tuple[float, float]]:
+    """(level, depletion) of every reachable level that doesn't last to the next evaluation; none if the tank is safe.
+
+    A tank with more than `most` reachable levels (to a millionth of a litre) is an error: it has not been proved safe.
+    """
     seen: set[float] = set()
     todo, bad = [tank.size / 2], []
-    while todo and len(seen) < most:
+    while todo:
+        if len(seen) > most:
+            raise ValueError(f"more than {most} reachable levels: not settled whether the tank is safe")
         level = todo.pop()
         if round(level, 6) in seen:
             continue

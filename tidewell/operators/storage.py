@@ -54,20 +54,48 @@ def rewrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written below the cluster's shared folder and read back: several readers share it, and lineage ends there."""
+    from tidewell.sources.files import scratch
+
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that path, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
+
+
 def append_log(df: DataFrame, path: str, compression: str = "zstd") -> None:
     """Append to a log whose columns must be the same, if it exists."""
     spark = df.sparkSession
-    try:
-        have = spark.read.parquet(path).columns
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        have = df.columns
+    have = spark.read.parquet(path).columns if exists(spark, path) else df.columns
     if have != df.columns:
         raise ValueError(f"the log has columns {have}, not {df.columns}")
     df.write.mode("append").option("compression", compression).parquet(path)
 
 
+def save_frame(df: DataFrame, path: str) -> None:
+    """A feature frame as CSV for others, and as Parquet, which is written last and so is the newer one."""
+    df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    df.write.mode("overwrite").parquet(f"{path}/parquet")
+
+
+def load_frame(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The frame from Parquet, if that is there and as new as the CSV, else from the CSV under the schema."""
+    def newest(kind: str):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/{kind}")
+        return files.agg(F.max("modificationTime").alias("t")).first()["t"]
+
+    if exists(spark, f"{path}/parquet") and (not exists(spark, f"{path}/csv") or newest("parquet") >= newest("csv")):
+        return spark.read.parquet(f"{path}/parquet")
+    return spark.read.schema(schema).option("header", True).csv(f"{path}/csv")
+
+
 def unloaded(files: DataFrame, ledger: DataFrame, force: bool = False) -> DataFrame:
     return files if force else files.join(ledger, "file", "left_anti")
 

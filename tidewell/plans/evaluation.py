@@ -24,6 +24,17 @@ _LABELS = """lab AS (SELECT station_code, price_date, decicents / 10 AS today, q
 labels AS (SELECT station_code, price_date, today, future_min, past_threshold, CAST(round(today, 6) <= round(past_threshold, 6) AND round(future_min, 6) >= round(today - 3, 6) AS INTEGER) AS label FROM lab WHERE back = 90 AND ahead = 7)"""
 
 
+_HISTORY = """b AS (SELECT min(price_date) AS lo, max(price_date) + 1 AS hi FROM panel),
+days AS (SELECT CAST(unnest(generate_series(CAST(lo + 28 AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 28 DAY)) AS DATE) AS snapshot_date FROM b),
+snap AS MATERIALIZED (SELECT d.snapshot_date, p.* FROM days d JOIN panel p ON p.price_date >= d.snapshot_date - 45 AND p.price_date < d.snapshot_date),
+r1 AS (SELECT snapshot_date, council, price_date, median(decicents / 10) AS ref FROM snap GROUP BY 1, 2, 3),
+c1 AS MATERIALIZED (SELECT snapshot_date, station_code, council, median(decicents / 10 - ref) AS premium FROM snap JOIN r1 USING (snapshot_date, council, price_date) GROUP BY 1, 2, 3),
+r2 AS (SELECT snapshot_date, council, price_date, median(decicents / 10) AS ref FROM snap JOIN c1 USING (snapshot_date, station_code, council) WHERE premium BETWEEN -10 AND 10 GROUP BY 1, 2, 3),
+c2 AS MATERIALIZED (SELECT snapshot_date, station_code, council, median(decicents / 10 - ref) AS premium FROM snap JOIN r2 USING (snapshot_date, council, price_date) GROUP BY 1, 2, 3),
+hist AS MATERIALIZED (SELECT snapshot_date, station_code, council, CASE WHEN premium > 10 THEN 'Sticky' WHEN premium < -10 THEN 'Discount' ELSE 'Competitive' END AS class, premium
+FROM (SELECT * FROM c2 UNION ALL SELECT c1.* FROM c1 ANTI JOIN c2 USING (snapshot_date, council)))"""
+
+
 def snapshot(t: Tables) -> DataFrame:
     return panel.gap_fill_between(t.prices, "1999-03-17", "1999-04-30", t.last_day).join(t.stations, "station_code")
 
@@ -64,15 +75,7 @@ def rolling_premium(t: Tables) -> DataFrame:
     return cl.rolling_premium(t.panel).withColumn("premium", F.round("premium", 4))
 
 
-@query("""WITH b AS (SELECT min(price_date) AS lo, max(price_date) + 1 AS hi FROM panel),
-days AS (SELECT CAST(unnest(generate_series(CAST(lo + 28 AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 28 DAY)) AS DATE) AS snapshot_date FROM b),
-snap AS MATERIALIZED (SELECT d.snapshot_date, p.* FROM days d JOIN panel p ON p.price_date >= d.snapshot_date - 45 AND p.price_date < d.snapshot_date),
-r1 AS (SELECT snapshot_date, council, price_date, median(decicents / 10) AS ref FROM snap GROUP BY 1, 2, 3),
-c1 AS MATERIALIZED (SELECT snapshot_date, station_code, council, median(decicents / 10 - ref) AS premium FROM snap JOIN r1 USING (snapshot_date, council, price_date) GROUP BY 1, 2, 3),
-r2 AS (SELECT snapshot_date, council, price_date, median(decicents / 10) AS ref FROM snap JOIN c1 USING (snapshot_date, station_code, council) WHERE premium BETWEEN -10 AND 10 GROUP BY 1, 2, 3),
-c2 AS MATERIALIZED (SELECT snapshot_date, station_code, council, median(decicents / 10 - ref) AS premium FROM snap JOIN r2 USING (snapshot_date, council, price_date) GROUP BY 1, 2, 3)
-SELECT snapshot_date, station_code, council, CASE WHEN premium > 10 THEN 'Sticky' WHEN premium < -10 THEN 'Discount' ELSE 'Competitive' END AS class, round(premium, 4) AS premium
-FROM (SELECT * FROM c2 UNION ALL SELECT c1.* FROM c1 ANTI JOIN c2 USING (snapshot_date, council))""")
+@query(f"WITH {_HISTORY} SELECT snapshot_date, station_code, council, class, round(premium, 4) AS premium FROM hist")
 def class_history(t: Tables) -> DataFrame:
     """WN19: classes of both passes at every 28th day."""
     return cl.classify_snapshots(t.panel, step=28).withColumn("premium", F.round("premium", 4))
@@ -346,3 +349,32 @@ def class_health(t: Tables) -> DataFrame:
         parts.append(c.groupBy("council").agg(F.count_if(F.col("class") == "Competitive").alias("competitive"), F.count(F.lit(1)).alias("stations")).withColumn("snapshot_date", day))
     h = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return h.withColumn("ever_zero", F.min("competitive").over(Window.partitionBy("council")) == 0)
+
+
+@query(f"""WITH {_HISTORY}, known AS (SELECT p.*, h.class FROM panel p ASOF JOIN hist h ON p.station_code = h.station_code AND p.price_date >= h.snapshot_date)
+SELECT price_date, council, round(avg(decicents) / 10, 4) AS price FROM known WHERE class <> 'Sticky' GROUP BY 1, 2 HAVING count(*) >= 3""")
+def fair_council_history(t: Tables) -> DataFrame:
+    """JN2: each day's mean of the stations that the last classes known by then don't call Sticky."""
+    classes = cl.classify_snapshots(t.panel, step=28)
+    known = joins.asof(t.panel, classes, "station_code", "price_date", "snapshot_date", ["class"])
+    return panel.mean_price(known.where("class <> 'Sticky'"), "council", least=3).withColumn("price", F.round("price", 4))
+
+
+@query("""WITH r AS (SELECT fold, arm, CASE WHEN price_date < DATE '1998-07-01' THEN 'before' ELSE 'after' END AS regime, -(label * ln(p) + (1 - label) * ln(1 - p)) AS loss FROM (SELECT *, greatest(1e-15, least(1 - 1e-15, proba)) AS p FROM scores))
+SELECT CASE WHEN fold IS NOT NULL THEN 'fold' WHEN regime IS NOT NULL THEN 'regime' ELSE 'arm' END AS axis, coalesce(CAST(fold AS VARCHAR), regime, arm) AS cell, count(*) AS n, round(avg(loss), 6) AS log_loss
+FROM r GROUP BY GROUPING SETS ((fold), (regime), (arm))""")
+def breakdowns(t: Tables) -> DataFrame:
+    """AG40: losses by fold, by regime and by arm, in one pass."""
+    rows = t.scores.select(F.col("fold").cast("string").alias("fold"), F.when(F.col("price_date") < "1998-07-01", "before").otherwise("after").alias("regime"), "arm", stats.log_loss("label", "proba").alias("loss"))
+    axes = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("cell")) for c in ("fold", "regime", "arm")])).alias("x")
+    return rows.select(axes, "loss").groupBy("x.axis", "x.cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("loss"), 6).alias("log_loss"))
+
+
+@query("""WITH m AS (SELECT station_code, price_date, arm, median(proba) AS p FROM scores GROUP BY 1, 2, 3),
+w AS (SELECT station_code, price_date, max(p) FILTER (arm = 'N') AS n, max(p) FILTER (arm = 'A') AS a FROM m GROUP BY 1, 2)
+SELECT CAST(floor(n * 4) AS BIGINT) AS bucket, count(*) AS days, round(avg(a - n), 6) AS gap FROM w WHERE n IS NOT NULL AND a IS NOT NULL GROUP BY 1""")
+def pivoted_gap(t: Tables) -> DataFrame:
+    """AG52: medians over the runs of a row, arms side by side, and their gap by the baseline's bucket."""
+    m = t.scores.groupBy("station_code", "price_date", "arm").agg(F.median("proba").alias("p"))
+    w = m.groupBy("station_code", "price_date").pivot("arm", ["N", "A"]).agg(F.max("p")).dropna()
+    return w.groupBy(F.floor(F.col("N") * 4).alias("bucket")).agg(F.count(F.lit(1)).alias("days"), F.round(F.avg(F.col("A") - F.col("N")), 6).alias("gap"))

@@ -26,7 +26,7 @@ USE = ["signal", "price", "litres"]
 @query()
 def logistic_folds(t: Tables) -> DataFrame:
     """ML1, ML3, ML5: out-of-fold losses of a logistic regression."""
-    return models.score(models.out_of_fold(models.logistic(USE), renamed(t), "fold", [0, 1, 2]), "label", "proba", "fold")
+    return models.score(models.out_of_fold(models.logistic(USE), renamed(t), "fold", [0, 1, 2, 3, 4]), "label", "proba", "fold")
 
 
 @query()
@@ -82,3 +82,113 @@ def paired_backtest(t: Tables) -> DataFrame:
     frame = frame.select("station_code", "price_date", "label", "today", "gap", "delta_7d")
     windows = metrics.folds(t.spark, "1996-01-01", 2, 1095, 90, 365, 7)
     return backtest.paired_backtest(frame, t.daily, windows, {"base": ["today", "gap"], "trial": ["today", "gap", "delta_7d"]}, "base", simulate.Tank())
+
+
+def price_frame(t: Tables) -> DataFrame:
+    """Label rows with three features, stored: the model queries below pass over them many times."""
+    from tidewell.operators import classify, joins, storage
+
+    lag = joins.exact_lag(t.daily, 7).select("station_code", "price_date", (F.col("decicents") - F.col("decicents_lag")).cast("double").alias("delta_7d"))
+    frame = classify.labels(t.daily).join(t.metro, "price_date").join(lag, ["station_code", "price_date"]).withColumn("gap", F.col("today") - F.col("price"))
+    return storage.stored(frame.select("station_code", "price_date", "label", "today", "gap", F.coalesce("delta_7d", F.lit(0.0)).alias("delta_7d")), "price-frame")
+
+
+INPUTS = ["today", "gap", "delta_7d"]
+
+
+@query()
+def tree_attribution(t: Tables) -> DataFrame:
+    """ML8, AG38, WN16: Shapley attributions of boosted trees over all rows, by feature and rank."""
+    from pyspark.sql import Window
+
+    from tidewell.operators import attribution
+
+    frame = price_frame(t)
+    model = models.boosted(INPUTS, rounds=5, depth=3).fit(frame.where("price_date < '1999-01-01'"))
+    parts = attribution.attributed(model, frame, INPUTS, ["station_code", "price_date"])
+    by = parts.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"), F.corr("value", "attribution").alias("signed_r"), F.count(F.lit(1)).alias("n"))
+    return by.withColumn("rank", F.rank().over(Window.partitionBy().orderBy(F.desc("mean_abs"))))  # a row for each feature
+
+
+@query()
+def tree_partners(t: Tables) -> DataFrame:
+    """ML8: strength of the interaction of each two features, mean over all rows."""
+    from tidewell.operators import attribution
+
+    frame = price_frame(t)
+    model = models.boosted(INPUTS, rounds=5, depth=3).fit(frame.where("price_date < '1999-01-01'"))
+    return attribution.partners(model, frame, INPUTS).groupBy("a", "b").agg((F.sum("strength") / F.sum("n")).alias("strength"), F.sum("n").alias("n"))
+
+
+@query()
+def leave_one_feature_out(t: Tables) -> DataFrame:
+    """ML6, AG30: losses without each feature over seeds, with a verdict."""
+    frame = price_frame(t)
+    make = lambda use, seed: models.boosted(use, rounds=3, depth=3, seed=seed)
+    found = models.ablation(make, frame, INPUTS, F.col("price_date") < "1999-01-01", F.col("price_date") >= "1999-01-01", [1, 2])
+    n = frame.agg(F.count(F.lit(1)).alias("n"))
+    return n.select("n", F.inline(F.array(*[F.struct(F.lit(f).alias("left_out"), F.lit(m).alias("mean_loss"), F.lit(d).alias("deviation"), F.lit(v).alias("verdict")) for f, m, d, v in found])))
+
+
+@query()
+def gain_importance(t: Tables) -> DataFrame:
+    """ML11: gain importance of the features of boosted trees."""
+    frame = price_frame(t)
+    model = models.boosted(INPUTS, rounds=5, depth=3).fit(frame)
+    found = models.importance(model, INPUTS)
+    return frame.agg(F.count(F.lit(1)).alias("n")).select("n", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(x)).alias("gain")) for f, x in found])))
+
+
+@query()
+def model_artifact(t: Tables) -> DataFrame:
+    """SRC10: a model saved with its contract, loaded again, and its losses by year."""
+    from tidewell.sources.files import scratch
+
+    frame = price_frame(t)
+    path = scratch(t.spark, "model")
+    models.save(models.logistic(INPUTS).fit(frame.where("price_date < '1999-01-01'")), path, INPUTS, 0.5)
+    model, features, _ = models.load(t.spark, path)
+    return models.score(models.predict(model, frame.select("price_date", "label", *features)).withColumn("year", F.year("price_date")), "label", "proba", "year")
+
+
+@query("""SELECT station_code, price_date, decicents / 10 AS today FROM daily""")
+def frame_artifact(t: Tables) -> DataFrame:
+    """SNK5, SRC8: a frame written as CSV and Parquet, and read back from the newer one."""
+    from tidewell.operators import storage
+    from tidewell.sources.files import scratch
+
+    path = scratch(t.spark, "frame")
+    storage.save_frame(t.daily.select("station_code", "price_date", (F.col("decicents") / 10).alias("today")), path)
+    return storage.load_frame(t.spark, path, "station_code long, price_date date, today double")
+
+
+@query()
+def placebo_floor(t: Tables) -> DataFrame:
+    """EX5: what placebo draws of the metro mean change in the realised cost of a fold."""
+    from tidewell.operators import backtest, metrics, simulate
+
+    windows = metrics.folds(t.spark, "1996-01-01", 1, 1095, 90, 365, 7)
+    return backtest.noise_floor(price_frame(t), t.metro, "price", t.daily, windows, ["today", "gap"], simulate.Tank(), [1, 2])
+
+
+@query()
+def candidate_trial(t: Tables) -> DataFrame:
+    """EX8: a candidate feature with its status and the reason."""
+    from tidewell.operators import backtest, trials
+
+    frame = price_frame(t)
+    c = trials.Candidate("gap_squared", ["gap"], ["gap_squared"], lambda df: df.withColumn("gap_squared", F.col("gap") * F.col("gap")))
+    status, reason = backtest.try_candidate(c, frame, INPUTS, "price_date < '1999-01-01'", "price_date >= '1999-01-01'", "1998-06-30")
+    return frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("gap_squared").alias("candidate"), F.lit(status).alias("status"), F.lit(reason).alias("reason"), "rows")
+
+
+@query()
+def family_verdicts(t: Tables) -> DataFrame:
+    """AG49: each arm's z against placebo groups, and the critical z for the best of all arms."""
+    from tidewell.operators import trials
+
+    v = F.avg(F.col("proba") - F.col("label"))
+    draws = t.scores.groupBy("arm", F.col("station_code") % 20).agg(v.alias("v"))
+    band = trials.noise_band(draws.join(t.scores.groupBy("arm").agg(v.alias("observed")), "arm"), "v", F.col("observed"), "arm")
+    critical = F.lit(trials.family_z(0.95, 3, 20))
+    return band.select("arm", "z", critical.alias("critical_z"), (F.abs("z") > critical).alias("beyond"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import classify as cl
-from tidewell.operators import cycles, joins, panel
+from tidewell.operators import cycles, features, joins, panel, storage
 from tidewell.registry import query
 from tidewell.sources.adapter import Tables
 
@@ -21,10 +21,12 @@ events AS (SELECT council, price_date AS event_date FROM ct WHERE price < b AND
 
 
 def turns(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Peaks and lows of the metro mean, lows of the councils' means."""
+    """Peaks and lows of the metro mean, lows of the councils' means; the panel is filled and summed up once for all."""
+    groups = storage.stored(t.panel.groupBy("council", "price_date").agg(F.sum("decicents").alias("total"), F.count(F.lit(1)).alias("n")), "council-days")
+    metro = groups.groupBy("price_date").agg((F.sum("total") / F.sum("n") / 10).alias("price"))
     w, v = Window.partitionBy().orderBy("price_date"), Window.partitionBy("council").orderBy("price_date")
-    m = t.metro.withColumn("price", F.round("price", 6)).withColumns({"b": F.lag("price").over(w), "a": F.lead("price").over(w), "next_day": F.lead("price_date").over(w)})
-    c = panel.mean_price(t.panel, "council").withColumn("price", F.round("price", 6)).withColumns({"b": F.lag("price").over(v), "a": F.lead("price").over(v)})
+    m = metro.withColumn("price", F.round("price", 6)).withColumns({"b": F.lag("price").over(w), "a": F.lead("price").over(w), "next_day": F.lead("price_date").over(w)})
+    c = groups.select("council", "price_date", F.round(F.col("total") / F.col("n") / 10, 6).alias("price")).withColumns({"b": F.lag("price").over(v), "a": F.lead("price").over(v)})
     peaks = m.where("price > b + 0.5D and price > a + 0.5D").select(F.col("price_date").alias("peak_date"), F.col("next_day").alias("confirmed_on"))
     return peaks, m.where("price < b and price < a").select(F.col("price_date").alias("anchor_date")), c.where("price < b and price < a").select("council", F.col("price_date").alias("event_date"))
 
@@ -95,7 +97,7 @@ def next_trough(t: Tables) -> DataFrame:
     return n.select("price_date", F.datediff("next.price_date", "price_date").cast("long").alias("days_to_low"), F.round(F.col("price") - F.col("next.price"), 6).alias("depth"))
 
 
-_FEATURES = """f AS (SELECT d.station_code, d.price_date, d.decicents, council, brand FROM panel d WHERE year(d.price_date) = 1999),
+_FEATURES = """f AS (SELECT d.station_code, d.price_date, d.decicents, council, brand FROM panel d),
 cmn AS (SELECT price_date, council, avg(decicents) / 10 AS council_mean, count(*) AS n FROM panel GROUP BY 1, 2), bm AS (SELECT price_date, brand, avg(decicents) / 10 AS brand_mean FROM panel GROUP BY 1, 2 HAVING count(*) >= 3),
 sd AS (SELECT price_date, stddev_samp(decicents / 10) AS px_std FROM daily GROUP BY 1)"""
 
@@ -105,12 +107,13 @@ sd AS (SELECT price_date, stddev_samp(decicents / 10) AS px_std FROM daily GROUP
 FROM f JOIN metro USING (price_date) LEFT JOIN cmn ON cmn.price_date = f.price_date AND cmn.council = f.council LEFT JOIN bm ON bm.price_date = f.price_date AND bm.brand = f.brand LEFT JOIN sd ON sd.price_date = f.price_date
 LEFT JOIN daily b ON b.station_code = f.station_code AND b.price_date = f.price_date - 7 LEFT JOIN tgp ON tgp_date = f.price_date""")
 def feature_frame(t: Tables) -> DataFrame:
-    """TS17, JN3: features of a year, by left joins of tables with a row a day, or a day and group; an absent aggregate is null and drops no row."""
-    rows = t.panel.join(joins.exact_lag(t.daily, 7).select("station_code", "price_date", "decicents_lag"), ["station_code", "price_date"]).where("year(price_date) = 1999")
-    council = panel.mean_price(t.panel, "council", least=3, name="council_mean")
-    brand = panel.mean_price(t.panel, "brand", least=3, name="brand_mean")
+    """JN3: features that SQL can say too, by left joins of tables with a row a day, or a day and group; an absent aggregate is null and drops no row."""
+    daily = storage.stored(t.panel, "panel")  # filled once, read by each part
+    rows = joins.exact_lag(daily, 7)
+    council = panel.mean_price(daily, "council", least=3, name="council_mean")
+    brand = panel.mean_price(daily, "brand", least=3, name="brand_mean")
     up = t.tgp.select(F.col("tgp_date").alias("price_date"), F.lit(True).alias("up"))
-    j = rows.join(t.metro.withColumnRenamed("price", "metro_mean"), "price_date").join(council, ["price_date", "council"], "left").join(brand, ["price_date", "brand"], "left").join(panel.dispersion(t.daily), "price_date", "left").join(up, "price_date", "left")
+    j = rows.join(panel.mean_price(daily, name="metro_mean"), "price_date").join(council, ["price_date", "council"], "left").join(brand, ["price_date", "brand"], "left").join(panel.dispersion(daily), "price_date", "left").join(up, "price_date", "left")
     today = F.col("decicents") / 10
     return j.select("station_code", "price_date", today.alias("today"), *[F.round(c, 4).alias(c) for c in ("metro_mean", "council_mean", "brand_mean", "px_std")], (F.col("decicents") - F.col("decicents_lag")).alias("delta_7d"), F.round(today - F.col("metro_mean"), 4).alias("premium"), F.col("up").isNotNull().alias("has_upstream"))
 
@@ -177,3 +180,31 @@ def triplet(t: Tables) -> DataFrame:
     fair = snap.join(cl.classify(snap).where("class <> 'Sticky'").select("station_code"), "station_code")
     s = panel.dispersion(fair)
     return s.select("price_date", F.round("px_std", 4).alias("px_std"), F.round(panel.calendar_delta(s, "px_std", 3), 4).alias("delta"))
+
+
+def names(t: Tables) -> tuple[list[str], list[str]]:
+    """Councils and brands: the given nations and regions."""
+    return tuple(sorted(r[0] for r in t.stations.select(c).distinct().collect()) for c in ("council", "brand"))
+
+
+@query()
+def locked_features(t: Tables) -> DataFrame:
+    """TS17: label rows with all feature columns; classes are those of every 28th day, the last one published by the day."""
+    classes = cl.classify_snapshots(t.panel, step=28)
+    return features.assemble(cl.labels(t.daily).select("station_code", "price_date", "label", "today", "future_min"), t.panel, classes, t.tgp, *names(t))
+
+
+@query()
+def frame_contract(t: Tables) -> DataFrame:
+    """PRJ19, PRJ20: each column of the feature frame with its role and its values; a column without a role is an error."""
+    from tidewell.operators import metrics
+
+    frame = locked_features(t)
+    councils, brands = names(t)
+    keys, model = ["station_code", "price_date", "label", "today", "future_min"], features.locked(councils)
+    held = [c for c in features.columns(councils, brands) if c not in model]
+    if left := metrics.unclassified(frame.columns, keys, model, held):
+        raise ValueError(f"columns without a role: {left}")
+    counts = frame.agg(*[F.count(c).alias(c) for c in frame.columns])
+    role = F.when(F.col("column").isin(model), "model").when(F.col("column").isin(keys), "key").otherwise("held out")
+    return counts.unpivot([], frame.columns, "column", "values").withColumn("role", role)
