@@ -40,6 +40,8 @@ BUCKET_BYTES = 8_000_000
 #: Contexts of an anchor that meet in one group at most, about.
 HOT = 20_000
 FLAGS = 1 << 20
+#: Partitions that the buckets are dealt to at most.
+PARTS = 20_000
 NO_ID = np.iinfo(np.int64).max  # a null doc_id comes last
 _ANCHOR = ("<u8", "<u8", "<i8", "<u4", "<u4")  # hash, context hash, doc_id, place, text check
 _MARK = ("<i8", "<u4", "<u4", "<u4")  # doc_id, text check, from, to
@@ -202,6 +204,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     """
     volume = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(4, -(-volume // bucket_bytes))
+    parts = min(buckets, PARTS)
     rows = _texts(docs, buckets)
     before, width = length - gram, 2 * length - gram
 
@@ -318,7 +321,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
 
     schema = "bucket long, kind int, blob binary"
     dealt_anchors = rows.select("doc_id", "data").mapInArrow(find, schema)
-    marks = settle(dealt_anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sifted, schema), "marks")
+    marks = settle(dealt_anchors.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(sifted, schema), "marks")
 
     def flags_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids = np.unique(_unpack(blobs, _MARK)[0])
@@ -326,7 +329,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
 
     def flagged(marks: DataFrame, name: str) -> DataFrame:
         """Numbers of the documents that have marks; a document's marks are all in its bucket, so that it comes once."""
-        ids = marks.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(flags_of), "doc_id long")
+        ids = marks.select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(flags_of), "doc_id long")
         return settle(ids.select(F.pmod(F.xxhash64(F.xxhash64("doc_id")), F.lit(FLAGS)).alias("flag")).distinct(), name)
 
     def longer(h: np.ndarray, low: np.ndarray, high: np.ndarray, contexts: np.ndarray) -> Iterator[np.ndarray]:
@@ -459,7 +462,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     placed = "doc_id long, data binary, bucket long, flag long"
     asked = marks.where("kind = 1")
     contexts = grouped(texts(flagged(asked, "asked-flags"), True).mapInArrow(place, placed)).cogroup(asked.select("bucket", "blob").groupBy("bucket")).applyInArrow(tables(fetch, dealt_schema), schema)
-    edges = settle(contexts.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(expand), schema), "edges")
+    edges = settle(contexts.select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(expand), schema), "edges")
     gone = marks.where("kind = 0").unionByName(edges)
     flags = flagged(gone, "flags")
     with_marks = grouped(texts(flags, True).mapInArrow(place, placed)).cogroup(gone.select("bucket", "blob").groupBy("bucket")).applyInArrow(tables(cut, result_schema), result)
