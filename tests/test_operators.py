@@ -297,9 +297,11 @@ def test_noise_floor_of_placebos(spark):
 
 def test_a_bump_on_the_way_down_is_no_peak(spark):
     x = [12, 11, 10, 9.5, 9.6, 8, 7, 6, 7, 8, 9, 8, 7]
-    for mode in (True, False):
-        got = cycles.confirmed_peaks(series(spark, x), ["series"], distance=7, drop=1.0, point_in_time=mode).collect()
-        assert [(r.peak_date, r.confirmed_on) for r in got] == [(DAY + dt.timedelta(10), DAY + dt.timedelta(11))]
+    true = [(DAY + dt.timedelta(10), DAY + dt.timedelta(11))]
+    # over the whole series the distance comes first, and the higher bump is six rows away
+    for mode, distance, want in ((True, 7, true), (False, 6, true), (False, 7, [])):
+        got = cycles.confirmed_peaks(series(spark, x), ["series"], distance=distance, drop=1.0, point_in_time=mode).collect()
+        assert [(r.peak_date, r.confirmed_on) for r in got] == want
     assert cycles.confirmation(np.array([5.0, 4.5, 6.0, 3.0]), 0, 1.0) is None
     saw = series(spark, sawtooth(230))
     both = [sorted(r.peak_date for r in cycles.confirmed_peaks(saw, ["series"], point_in_time=m).collect()) for m in (True, False)]

@@ -77,16 +77,17 @@ def confirmed_peaks(series: DataFrame, by: list[str], value: str = "price", dist
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("price_date")
-        x, days = pdf[value].to_numpy(dtype=float), pdf["price_date"].to_numpy()
+        x = pdf[value].to_numpy(dtype=float)
         at = local_maxima(x) if point_in_time else peaks(x, distance, drop)
         known = sorted((c, p) for p in at.tolist() if (c := confirmation(x, p, drop)) is not None and x[p] - base(x, p, -1) >= drop)
         taken: list[tuple[int, int]] = []
         for c, p in known:
             if not point_in_time or all(abs(p - q) >= distance for _, q in taken[-distance:]):
                 taken.append((c, p))
-        out = {c: [pdf[c].iloc[0]] * len(taken) for c in by} if len(pdf) else {c: [] for c in by}
-        dates = {"peak_date": [days[p] for _, p in taken], "confirmed_on": [days[c] for c, _ in taken]}
-        return pd.DataFrame(out | {k: pd.Series(v, dtype=object) for k, v in dates.items()})
+        # rows of pdf itself, so that none at all still have its types
+        one, other = ([t[k] for t in taken] for k in (1, 0))
+        out = pdf[[*by, "price_date"]].iloc[one].rename(columns={"price_date": "peak_date"}).reset_index(drop=True)
+        return out.assign(confirmed_on=pdf["price_date"].iloc[other].reset_index(drop=True))
 
     ship(series.sparkSession)
     return series.groupBy(*by).applyInPandas(find, schema)
@@ -112,7 +113,7 @@ def trough_events(series: DataFrame, by: list[str], value: str = "price", **how)
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("price_date")
         at = troughs(pdf[value].to_numpy(dtype=float), **how)
-        return pd.DataFrame({c: [pdf[c].iloc[0]] * len(at) for c in by} | {"event_date": pdf["price_date"].to_numpy()[at]})
+        return pdf[[*by, "price_date"]].iloc[at].rename(columns={"price_date": "event_date"})
 
     ship(series.sparkSession)
     return series.groupBy(*by).applyInPandas(find, ", ".join(f"{c} {kind[c]}" for c in by) + ", event_date date")
@@ -164,7 +165,7 @@ def leadership_snapshots(series: DataFrame, by: str, window: int = 730, step: in
     """
     kind = dict(series.dtypes)
     first = series.agg(F.min("price_date").alias("d"), F.max("price_date").alias("e")).first()
-    schema = f"{by} {kind[by]}, snapshot_date date, median_lead double, consistency double, matched double, events int"
+    schema = f"{by} {kind[by]}, snapshot_date date, median_lead double, consistency double, matched double, events double"
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("price_date")
@@ -179,8 +180,11 @@ def leadership_snapshots(series: DataFrame, by: str, window: int = 730, step: in
             own, anchor = days[here][troughs(price[here])], days[there][troughs(other[there])]
             found = leads(own, anchor, reach)
             spread = float(np.std(found)) if len(found) >= 2 else 0.0
-            out.append((pdf[by].iloc[0], snap.item(), float(np.median(found)) if found else None, 1 / spread if spread else None, len(found) / len(anchor) if len(anchor) else 0.0, len(own)))
-        return pd.DataFrame(out, columns=[by, "snapshot_date", "median_lead", "consistency", "matched", "events"])
+            out.append((snap.item(), float(np.median(found)) if found else None, 1 / spread if spread else None, len(found) / len(anchor) if len(anchor) else 0.0, len(own)))
+        frame = pdf[[by, "price_date"]].iloc[[0] * len(out)].rename(columns={"price_date": "snapshot_date"}).reset_index(drop=True)
+        frame["snapshot_date"] = [r[0] for r in out]
+        names = ("median_lead", "consistency", "matched", "events")
+        return frame.assign(**{c: pd.Series([r[k + 1] for r in out], dtype=float) for k, c in enumerate(names)})
 
     ship(series.sparkSession)
     return series.groupBy(by).applyInPandas(find, schema)
