@@ -209,14 +209,14 @@ def snapshot_csv(t: Tables) -> DataFrame:
 
 @query("""WITH k AS (SELECT s_suppkey, n_name, s_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) AS k FROM supplier JOIN nation ON n_nationkey = s_nationkey),
 g AS (SELECT *, first_value(s_suppkey) OVER (PARTITION BY n_name, (k - 1) // 3 ORDER BY k) AS lead FROM k)
-SELECT 'Shell ' || lead AS name, ['E10', 'P98', 'DL'][(k - 1) % 3 + 1] AS fuel_code, lower(n_name) AS suburb, CAST(2000 + lead % 300 AS VARCHAR) AS postcode, 'Shell' AS brand, DATE '2001-05-13' + CAST(lead % 9 AS INTEGER) AS price_date, round_even(least(999.0, s_acctbal), 1) AS price FROM g""")
+SELECT 'Shell ' || lead AS name, ['E10', 'P98', 'DL'][(k - 1) % 3 + 1] AS fuel_code, lower(n_name) AS suburb, CAST(3000 + lead % 300 AS VARCHAR) AS postcode, 'Shell' AS brand, DATE '2001-05-13' + CAST(lead % 9 AS INTEGER) AS price_date, round_even(least(999.0, s_acctbal), 1) AS price FROM g""")
 def shifted_csv(t: Tables) -> DataFrame:
     """SRC3: raw histories of eight columns: rows without station or date, rows shifted by a number in front, blank brands and postcodes."""
     s = t.table("supplier").join(F.broadcast(t.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = s.select("n_name", "s_suppkey", "s_acctbal", F.row_number().over(Window.partitionBy("n_name").orderBy("s_suppkey")).alias("k"))
     rows = rows.withColumn("lead", F.first("s_suppkey").over(Window.partitionBy("n_name", F.floor((F.col("k") - 1) / 3)).orderBy("k")))
     turn, blank = (F.col("k") - 1) % 3, F.lit("")
-    full = [F.concat(F.lit("Shell "), F.col("lead")), F.concat(F.lit("1 Main St NSW "), 2000 + F.col("lead") % 300), F.col("n_name"), blank, blank]
+    full = [F.concat(F.lit("Shell "), F.col("lead")), F.concat(F.lit("1 Main St NSW "), 3000 + F.col("lead") % 300), F.col("n_name"), blank, blank]
     details = [F.when(turn == 1, "").otherwise(c) for c in full]
     fuel = F.element_at(F.array(F.lit("E10"), F.lit("P98"), F.lit("DL")), (turn + 1).cast("int"))
     day = F.when(turn == 1, "").otherwise(F.date_format(F.date_add(F.lit("2001-05-13").cast("date"), (F.col("lead") % 9).cast("int")), "d/MM/yyyy HH:mm"))
