@@ -7,6 +7,7 @@ Texts with other white space or runs of it are encoded as they are. The ids are
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -34,6 +35,20 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def splits_plainly(spec: dict) -> bool:
+    """Whether the tokenizer is of the kind whose pieces this module cuts itself; any other encodes texts as they are.
+
+    That is: bytes shown as characters, cut by the usual pattern, merged by pairs; nothing else done to the text; and no
+    added token that a text without markup could hold.
+    """
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
+    byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex")
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    marked = all(t["content"].startswith("<|") and t["content"].endswith("|>") and " " not in t["content"] and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens", []))
+    return bool(plain and byte_level and merges and marked)
+
+
 def _crowded(text: str) -> bool:
     """Whether the text has white space beside white space, or other than spaces and line feeds."""
     if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
@@ -63,7 +78,7 @@ class Encoder:
         self.memo = _Memo(self._learn)
         self.most = memo
         self.feed = self._plain("\n")
-        self.splits = self._plain("a b\nc.") == b"".join(map(self._plain, ("a", " b", "\n", "c", ".")))
+        self.splits = splits_plainly(json.loads(self.tokenizer.to_str()))
         self.tokenize = self.tokenizer.model.tokenize
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.marks: dict[str, bytes] = {}
