@@ -138,10 +138,10 @@ def three_gates(rows: DataFrame, baseline: str) -> DataFrame:
     return d.groupBy("arm").agg(better.alias("better"), n.alias("folds"), F.round(mean, 5).alias("mean_delta"), F.round(median, 5).alias("median_delta"), ((mean < 0) & (median < 0) & (better * 2 > n)).alias("passed"))
 
 
-def week_ahead(daily: DataFrame, where: str, days: int = 7) -> DataFrame:
+def week_ahead(daily: DataFrame, days: int = 7) -> DataFrame:
     """x: the price a week on less today's, in cents, for days that have both."""
     later = daily.select("station_code", F.date_sub("price_date", days).alias("price_date"), F.col("decicents").alias("later"))
-    return daily.where(where).join(later, ["station_code", "price_date"]).select(F.round((F.col("later") - F.col("decicents")) / 10, 4).alias("x"))
+    return daily.join(later, ["station_code", "price_date"]).select(F.round((F.col("later") - F.col("decicents")) / 10, 4).alias("x"))
 
 
 def week_benefit(daily: DataFrame, days: int = 7) -> DataFrame:

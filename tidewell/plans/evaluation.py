@@ -182,26 +182,25 @@ def hard_quartile(t: Tables) -> DataFrame:
     return t.scores.withColumn("q", limit).groupBy("arm").agg(F.count_if(F.col("price") >= F.col("q")).alias("hard"), F.count(F.lit(1)).alias("n"))
 
 
-_AHEAD = """ahead AS (SELECT a.station_code, a.price_date, a.decicents / 10 AS p, b.decicents / 10 AS p7 FROM daily a LEFT JOIN daily b ON a.station_code = b.station_code AND b.price_date = a.price_date + 7 WHERE month(a.price_date) = 5),
-d AS (SELECT round(p7 - p, 4) AS x FROM ahead WHERE p7 IS NOT NULL)"""
+_AHEAD = """d AS (SELECT round((max(decicents) OVER (PARTITION BY station_code ORDER BY price_date RANGE BETWEEN INTERVAL 7 DAY FOLLOWING AND INTERVAL 7 DAY FOLLOWING) - decicents) / 10, 4) AS x FROM daily)"""
 
 
 @query(f"WITH {_AHEAD} SELECT count(x) AS n, round(avg(x), 4) AS mean, round(quantile_cont(x, 0.25), 4) AS p25, round(quantile_cont(x, 0.5), 4) AS median, round(quantile_cont(x, 0.75), 4) AS p75, round(quantile_cont(x, 0.9), 4) AS p90 FROM d WHERE x > 0")
 def cost_fn(t: Tables) -> DataFrame:
     """JN13, AG20: what waiting a week would have cost."""
-    return metrics.week_ahead(t.daily, "month(price_date) = 5").where("x > 0").agg(*stats.summary("x"))
+    return metrics.week_ahead(t.daily).where("x > 0").agg(*stats.summary("x"))
 
 
 @query(f"WITH {_AHEAD} SELECT count(x) AS n, round(avg(x), 4) AS mean, round(quantile_cont(x, 0.25), 4) AS p25, round(quantile_cont(x, 0.5), 4) AS median, round(quantile_cont(x, 0.75), 4) AS p75, round(quantile_cont(x, 0.9), 4) AS p90 FROM (SELECT -x AS x FROM d WHERE x < 0)")
 def cost_fp(t: Tables) -> DataFrame:
     """AG23."""
-    return metrics.week_ahead(t.daily, "month(price_date) = 5").where("x < 0").select((-F.col("x")).alias("x")).agg(*stats.summary("x"))
+    return metrics.week_ahead(t.daily).where("x < 0").select((-F.col("x")).alias("x")).agg(*stats.summary("x"))
 
 
 @query(f"WITH {_AHEAD}, q AS (SELECT quantile_cont(x, 0.95) AS q FROM d) SELECT round(avg(x), 4) AS trimmed_mean, count(*) AS kept FROM d, q WHERE x <= q")
 def trimmed_mean(t: Tables) -> DataFrame:
     """AG21."""
-    return stats.trimmed_mean(metrics.week_ahead(t.daily, "month(price_date) = 5"), "x")
+    return stats.trimmed_mean(metrics.week_ahead(t.daily), "x")
 
 
 @query("""WITH w AS (SELECT station_code, price_date, decicents, avg(decicents) OVER n AS m, count(*) OVER n AS k FROM daily WINDOW n AS (PARTITION BY station_code ORDER BY price_date RANGE BETWEEN INTERVAL 1 DAY FOLLOWING AND INTERVAL 7 DAY FOLLOWING))
@@ -378,3 +377,16 @@ def pivoted_gap(t: Tables) -> DataFrame:
     m = t.scores.groupBy("station_code", "price_date", "arm").agg(F.median("proba").alias("p"))
     w = m.groupBy("station_code", "price_date").pivot("arm", ["N", "A"]).agg(F.max("p")).dropna()
     return w.groupBy(F.floor(F.col("N") * 4).alias("bucket")).agg(F.count(F.lit(1)).alias("days"), F.round(F.avg(F.col("A") - F.col("N")), 6).alias("gap"))
+
+
+@query(f"""WITH {_HISTORY}, known AS (SELECT p.*, h.class FROM panel p ASOF JOIN hist h ON p.station_code = h.station_code AND p.price_date >= h.snapshot_date),
+g AS (SELECT price_date, stddev_samp(decicents / 10) FILTER (class = 'Competitive') AS std, median(decicents / 10) FILTER (class = 'Competitive') - median(decicents / 10) FILTER (class = 'Discount') AS gap FROM known GROUP BY 1),
+w AS (SELECT *, max(std) OVER b AS std3, max(gap) OVER b AS gap3 FROM g WINDOW b AS (ORDER BY price_date RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND INTERVAL 3 DAY PRECEDING))
+SELECT price_date, round(std, 4) AS px_std, round(std - std3, 4) AS px_std_delta, round(gap, 4) AS discount_gap, round(gap - gap3, 4) AS discount_gap_delta FROM w""")
+def triplet(t: Tables) -> DataFrame:
+    """TS15: dispersion of the Competitive stations and their distance from the Discount ones, with three-day changes; the phases' spread is in locked_features."""
+    known = joins.asof(t.panel, cl.classify_snapshots(t.panel, step=28), "station_code", "price_date", "snapshot_date", ["class"])
+    x, of = F.col("decicents") / 10, lambda c, v: F.when(F.col("class") == c, v)
+    g = known.where("class is not null").groupBy("price_date").agg(F.stddev_samp(of("Competitive", x)).alias("px_std"), (F.median(of("Competitive", x)) - F.median(of("Discount", x))).alias("discount_gap"))
+    deltas = {f"{c}_delta": panel.calendar_delta(g, c, 3) for c in ("px_std", "discount_gap")}
+    return g.withColumns(deltas).select("price_date", *[F.round(c, 4).alias(c) for c in ("px_std", "px_std_delta", "discount_gap", "discount_gap_delta")])

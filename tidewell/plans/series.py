@@ -173,15 +173,6 @@ def lead_lag(t: Tables) -> DataFrame:
     return brands.join(metro, "a").groupBy("brand").agg(F.median(F.datediff("low", "metro_low")).alias("median_lag"), F.count(F.lit(1)).alias("cycles"))
 
 
-@query()
-def triplet(t: Tables) -> DataFrame:
-    """TS15: dispersion and its three-day change, among stations that aren't Sticky."""
-    snap = t.panel.where(F.col("price_date").between("1999-03-17", "1999-04-30"))
-    fair = snap.join(cl.classify(snap).where("class <> 'Sticky'").select("station_code"), "station_code")
-    s = panel.dispersion(fair)
-    return s.select("price_date", F.round("px_std", 4).alias("px_std"), F.round(panel.calendar_delta(s, "px_std", 3), 4).alias("delta"))
-
-
 def names(t: Tables) -> tuple[list[str], list[str]]:
     """Councils and brands: the given nations and regions."""
     return tuple(sorted(r[0] for r in t.stations.select(c).distinct().collect()) for c in ("council", "brand"))

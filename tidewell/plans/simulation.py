@@ -78,12 +78,12 @@ def fifo_reconciled(t: Tables) -> DataFrame:
     return bought.join(used, "station_code").select("station_code", F.round("bought", 3).alias("bought"), F.round("used", 3).alias("used"), F.round(TANK.size / 2 + F.col("bought") - F.col("used"), 3).alias("leftover"))
 
 
-@query("""WITH a AS (SELECT d.station_code, d.price_date, s.proba FROM daily d LEFT JOIN (SELECT station_code, price_date, max(proba) AS proba FROM scores GROUP BY 1, 2) s USING (station_code, price_date) WHERE d.price_date BETWEEN DATE '1999-01-01' AND DATE '1999-04-30')
+@query("""WITH a AS (SELECT d.station_code, d.price_date, s.proba FROM daily d LEFT JOIN (SELECT station_code, price_date, max(proba) AS proba FROM scores GROUP BY 1, 2) s USING (station_code, price_date))
 SELECT station_code, count(*) AS always, count(*) FILTER (coalesce(proba >= 0.5, true)) AS model, count(*) FILTER (proba IS NULL) AS defaulted FROM a GROUP BY 1""")
 def strategies(t: Tables) -> DataFrame:
     """DS6: a strategy is a boolean column; a model without a score buys."""
     best = t.scores.groupBy("station_code", "price_date").agg(F.max("proba").alias("proba"))
-    a = t.daily.where(F.col("price_date").between(START, END)).join(best, ["station_code", "price_date"], "left")
+    a = t.daily.join(best, ["station_code", "price_date"], "left")
     return a.groupBy("station_code").agg(F.count(F.lit(1)).alias("always"), F.count_if(F.coalesce(F.col("proba") >= 0.5, F.lit(True))).alias("model"), F.count_if(F.col("proba").isNull()).alias("defaulted"))
 
 
