@@ -99,8 +99,8 @@ def test_quality_score_is_the_mean_log_ratio(spark):
 
 def test_similar_lines(spark, docs, empty, odd, rows):
     want = brute.lines([r[:2] for r in rows])
-    for few, block in ((lines.FEW, lines.BLOCK), (2, 4)):
-        got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.removed) for r in lines.similar_lines(docs, few=few, block=block).collect()}
+    for few, block, cluster in ((lines.FEW, lines.BLOCK, lines.CLUSTER), (2, 4, lines.CLUSTER), (2, 4, 5)):
+        got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.removed) for r in lines.similar_lines(docs, few=few, block=block, cluster=cluster).collect()}
         assert got == want
     assert lines.similar_lines(empty).count() == 0
     assert lines.similar_lines(odd).count() == sum(len((r.text or "").split("\n")) for r in odd.collect())
@@ -112,8 +112,9 @@ def test_similar_lines(spark, docs, empty, odd, rows):
 def test_variants_of_a_line_are_linked_without_pairs(spark):
     base = [f"w{j}" for j in range(20)]
     texts = [(i, " ".join(base[:k] + base[k + 1 :]) + f" v{i}") for i, k in enumerate([j % 20 for j in range(70)])]
-    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.removed) for r in lines.similar_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got == brute.lines(texts)
+    for cluster in (lines.CLUSTER, 30):
+        got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.removed) for r in lines.similar_lines(spark.createDataFrame(texts, "doc_id long, text string"), few=8, block=16, cluster=cluster).collect()}
+        assert got == brute.lines(texts)
 
 
 def test_language_counts_phrases_and_tells_languages(spark, docs, empty, odd):
