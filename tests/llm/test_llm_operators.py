@@ -185,7 +185,7 @@ def test_language_of_many_letters(spark, monkeypatch):
         assert got.tolist() == [brute.phrases(plain["aa"], "".join(map(chr, language.symbols(t, letter)))) for _, t, _ in data]
 
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, tmp_path):
     big = "<p>" + "x" * 300 + "</p>"
     pages = [(5, "http://a/1", big), (2, "http://a/2", big), (9, None, big), (1, "http://b c/\n", None), (3, "u", ""), (4, "u", "short"), (6, "u", "short"), (7, "u", "z" * 3_000_000), (8, "é", "ü\r\n\r\nWARC/1.1\r\n"), (None, "n", big)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("content", F.lit("c"))
@@ -200,6 +200,9 @@ def test_archives_round_trip(spark):
     assert archives.round_trip(df.limit(0)).count() == 0
     twice = df.where("page_id in (2, 5)").unionByName(df.where("page_id = 2"))
     assert sorted(r.record_type for r in archives.round_trip(twice).collect()) == ["response", "revisit", "revisit"]
+    again = spark.createDataFrame([(4, "u", "short")] * 3, "page_id long, url string, html string").coalesce(1)
+    warc = archives.convert(spark, archives.write_arc(again, str(tmp_path / "a")), str(tmp_path / "w"))
+    assert len({r.record_id for r in archives.read_warc(spark, warc).collect()}) == 3
 
 
 def test_arc_headers_and_lengths():

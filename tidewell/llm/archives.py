@@ -18,6 +18,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -187,6 +188,7 @@ _FACTS = "source string, key long, record_id string, digest string, payload_byte
 def _arc_rows(files: list) -> Iterator[tuple]:
     """Of each record: (source, key, url, ip, ISO date, mime, HTTP head or None, payload, digest, record id)."""
     for path, content in files:
+        again: Counter = Counter()  # repeated rows are dealt to one file, and get identifiers of their own
         for r in parse_arc(gunzip(content)):
             parts = split_http(r["content"])
             head, payload = parts if parts else (None, r["content"])
@@ -194,7 +196,10 @@ def _arc_rows(files: list) -> Iterator[tuple]:
             name = field(head, KEY) if head else None
             key = key_of(name)
             digest = hashlib.sha256(payload).hexdigest()
-            yield source, key, r["url"], r["ip"], iso(r["date"]), r["mime"], head, payload, digest, record_id(r["url"], r["date"], name or source, digest)
+            base = (r["url"], r["date"], name or source, digest)
+            again[base] += 1
+            number = f"#{again[base]}" if again[base] > 1 else ""
+            yield source, key, r["url"], r["ip"], iso(r["date"]), r["mime"], head, payload, digest, record_id(*base[:2], f"{base[2]}{number}", digest)
 
 
 def convert(spark: SparkSession, arc: str, path: str, least: int = REVISIT_BYTES) -> str:
