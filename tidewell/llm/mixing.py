@@ -53,8 +53,12 @@ class Classifier:
     """Multinomial naive Bayes over a document's distinct hashed words; buckets whose difference may be chance are one class."""
 
     def __init__(self, documents: np.ndarray, seen: np.ndarray, errors: float = ERRORS):
-        """documents: labelled documents of each domain; seen: those with each bucket, domain by bucket."""
-        self.prior = np.log((documents + 1) / (documents.sum() + len(documents)))
+        """documents: labelled documents of each domain; seen: those with each bucket, domain by bucket.
+
+        A domain that no labelled document is of has no share in any; without labelled documents all have the same.
+        """
+        known = (documents > 0) | (documents.sum() == 0)
+        self.prior = np.where(known, np.log((documents + 1) / (documents + 1)[known].sum()), -np.inf)
         weights = np.zeros(seen.shape)
         for k in range(1, len(documents)):  # each domain against the first
             n, m, a, b = documents[k], documents[0], seen[k].sum(), seen[0].sum()
