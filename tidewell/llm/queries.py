@@ -90,9 +90,60 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import dialogue
+
+    return dialogue.digests(*dialogue.repair(table(spark, sf_dir, "conversations")))
+
+
+def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import audit
+
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: All orders by which filter of each takes the document away first; copies by the text itself.
+OP13_SQL = r"""
+WITH read AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), failing AS (
+    SELECT doc_id, part, concat(
+        CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * list_unique(w) < 50 * len(w) THEN 'B' ELSE '' END,
+        CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END,
+        CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+    FROM read
+), kinds AS (
+    SELECT part, fails, count(*) AS n, coalesce(sum(CASE WHEN q THEN 1 ELSE 0 END), 0) AS good, coalesce(sum(CASE WHEN x THEN 1 ELSE 0 END), 0) AS toxic
+    FROM failing LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS q, bool_or(toxic = 1) AS x FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY part, fails
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+    SELECT concat(a.f, b.f, c.f, d.f, e.f) AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), gone AS (
+    SELECT part, filter_order, fails, n, good, toxic, coalesce((SELECT min(p) FROM unnest(range(1, 6)) AS s(p) WHERE contains(fails, filter_order[p])), 6) AS gone_at FROM kinds, orders
+), steps AS (
+    SELECT part, filter_order, step, filter_order[step] AS f, sum(CASE WHEN gone_at > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone_at = step THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN gone_at < step AND contains(fails, filter_order[step]) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = filter_order[step] THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN gone_at = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone_at = step THEN toxic ELSE 0 END) AS toxic_lost
+    FROM gone, range(1, 6) AS s(step) GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM steps
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_line_dedup, op3_language, op4_arc_to_warc, op5_mixing, op6_suffix_dedup, op7_token_shards, op8_exact_dedup, op9_simhash, op10_packing)
+    for f in (op1_quality, op2_line_dedup, op3_language, op4_arc_to_warc, op5_mixing, op6_suffix_dedup, op7_token_shards, op8_exact_dedup, op9_simhash, op10_packing, op11_conversation_repair, op12_permutation_index, op13_filter_audit)
 }
 
-SQL: dict[str, str] = {"op4_arc_to_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op4_arc_to_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op13_filter_audit": OP13_SQL}
