@@ -372,26 +372,6 @@ def test_raw_histories_are_cleaned(spark, tmp_path):
     ]
 
 
-def test_attributions_add_up(spark):
-    from tidewell.operators import attribution
-
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(400, 3))
-    y = (x[:, 0] + x[:, 1] * x[:, 0] > 0).astype(int)
-    df = spark.createDataFrame([(i, int(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "i long, label int, a double, b double, c double")
-    model = models.boosted(["a", "b", "c"], rounds=4, depth=3).fit(df)
-    trees = attribution.exported(model)
-    base, phi, pairs = attribution.shapley(trees, x)
-    margin = sum(w * attribution.expected(t, frozenset(range(3)), x) for w, t in trees)
-    proba = np.array([r.proba for r in models.predict(model, df).orderBy("i").collect()])
-    assert np.allclose(base + phi.sum(axis=1), margin) and np.allclose(1 / (1 + np.exp(-2 * margin)), proba)
-    assert np.allclose(pairs.sum(axis=2), phi) and np.allclose(pairs, pairs.transpose(0, 2, 1))
-    got = attribution.attributed(model, df, ["a", "b", "c"], ["i"]).groupBy("feature").agg(F.avg("attribution").alias("m")).collect()
-    assert all(abs(r.m - phi[:, "abc".index(r.feature)].mean()) < 1e-9 for r in got)
-    stump = [(1.0, [(1, 0.0, 1, 2, 0.0, 4.0), (-1, 0.0, -1, -1, -1.0, 3.0), (-1, 0.0, -1, -1, 3.0, 1.0)])]
-    assert attribution.shapley(stump, np.array([[0.0, 1.0, 0.0]]))[1].tolist() == [[0.0, 3.0, 0.0]]
-
-
 def test_an_unsettled_tank_is_an_error():
     with pytest.raises(ValueError, match="not settled"):
         simulate.never_dry(simulate.Tank(), most=2)

@@ -2,48 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import band
 from tidewell.operators.panel import by_station
+from tidewell.shipping import ship
 
 
 def cents():
     return F.col("decicents") / 10
 
 
-def classify(panel: DataFrame, by: str = "council", width: float = 10.0, snapshot: tuple[str, ...] = ()) -> DataFrame:
-    """(snapshot, station_code, by, class, premium): two passes of medians over the rows of a snapshot's window.
+def classify(panel: DataFrame, by: str = "council", width: float = 10.0) -> DataFrame:
+    """(station_code, by, class, premium): two passes of medians over the rows of a snapshot's window.
 
     The first pass takes each day's median of the group as reference; the second that of the stations the first calls
     Competitive. A group without any keeps the first pass; a station without a day of reference is left out. The panel
-    is read once: both references and the first premium are frames over the rows of a day, or of a station.
+    is read once: both references and the first premium are frames over the rows of a day, or of a station. Premiums are
+    compared as 6 decimals, so that a difference of just `width` is within it.
     """
-    station, day, group = (Window.partitionBy(*snapshot, *x) for x in (("station_code",), (by, "price_date"), (by,)))
+    station, day, group = (Window.partitionBy(*x) for x in (("station_code",), (by, "price_date"), (by,)))
     fair = F.col("_first").between(-width, width)
-    rows = panel.withColumn("_gap", cents() - F.median(cents()).over(day)).withColumn("_first", F.median("_gap").over(station))
+    rows = panel.withColumn("_gap", cents() - F.median(cents()).over(day)).withColumn("_first", F.round(F.median("_gap").over(station), 6))
     rows = rows.withColumn("_gap", cents() - F.median(F.when(fair, cents())).over(day))
-    each = rows.groupBy(*snapshot, "station_code", by).agg(F.first("_first").alias("_first"), F.median("_gap").alias("_second"))
+    each = rows.groupBy("station_code", by).agg(F.first("_first").alias("_first"), F.round(F.median("_gap"), 6).alias("_second"))
     premium = F.when(F.max(fair.cast("int")).over(group) == 1, F.col("_second")).otherwise(F.col("_first"))
     out = each.withColumn("premium", premium).where(F.col("premium").isNotNull())
-    return out.select(*snapshot, "station_code", by, band(F.col("premium"), width).alias("class"), "premium")
+    return out.select("station_code", by, band(F.col("premium"), width).alias("class"), "premium")
+
 
+def _medians(x: np.ndarray) -> np.ndarray:
+    """Medians down the columns, of the values that are there; nan where none is."""
+    n = (~np.isnan(x)).sum(axis=0)
+    ordered, column = np.sort(x, axis=0), np.arange(x.shape[1])
+    low, high = ordered[np.maximum(n - 1, 0) // 2, column], ordered[np.minimum(n // 2, len(x) - 1), column]
+    return np.where(n > 0, (low + high) / 2, np.nan)
 
-def classify_snapshots(panel: DataFrame, by: str = "council", days: int = 45, step: int = 1, width: float = 10.0) -> DataFrame:
-    """classify() for every `step`-th day: (snapshot_date, station_code, by, class, premium), on the `days` days before each.
 
-    Snapshots are counted from the panel's first day. A row takes part in the days/step snapshots that see it, so that
-    all of them are one pass over the panel, whatever their number.
+def _premiums(price: np.ndarray, days: int, width: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, premium by column) of the snapshots before row `days` + k of a matrix with a row a day and a column a station.
+
+    The first reference is one row of medians for all snapshots. Snapshots that call the same stations Competitive share
+    their second reference too: each set has one row of medians over the days that any of its snapshots sees.
+    """
+    gap = price - _medians(price.T)[:, None]
+    snaps = range(len(price) - days + 1)
+    first = {k: _medians(gap[k : k + days]) for k in snaps}
+    sets: dict[bytes, list[int]] = {}
+    for k in snaps:
+        sets.setdefault((np.abs(first[k]) <= width).tobytes(), []).append(k)
+    for fair, ks in sets.items():
+        fair = np.frombuffer(fair, bool)
+        if not fair.any():
+            yield from ((k, first[k]) for k in ks)
+            continue
+        second = np.full_like(price, np.nan)
+        seen = np.unique(np.concatenate([np.arange(k, k + days) for k in ks]))
+        second[seen] = price[seen] - _medians(price[np.ix_(seen, fair)].T)[:, None]
+        yield from ((k, _medians(second[k : k + days])) for k in ks)
+
+
+def classify_every_day(panel: DataFrame, by: str = "council", days: int = 45, width: float = 10.0, block: int = 90) -> DataFrame:
+    """classify() for every day: (snapshot_date, station_code, by, class, premium), on the `days` days before each.
+
+    The first snapshot is the day after the panel's first day, the last that after its last one. A task has one group over
+    `block` snapshots and the days before them as a matrix of days and stations, so that a row is sent (block + days) / block
+    times, however many snapshots see it. Values are tenths of a cent and their halves and quarters, so that medians and comparisons
+    are exact.
     """
-    first = panel.agg(F.min("price_date").alias("d")).scalar()
+    kind = dict(panel.dtypes)
     last = panel.agg(F.date_add(F.max("price_date"), 1).alias("d")).scalar()
-    seen = panel.withColumns({"_d": first, "_e": last}).withColumn("_k", F.ceil((F.datediff("price_date", "_d") + 1) / step).cast("int"))
-    upto = F.least(F.floor((F.datediff("price_date", "_d") + days) / step), F.floor(F.datediff("_e", "_d") / step)).cast("int")
-    numbers = F.when(upto >= F.col("_k"), F.sequence("_k", upto))
-    rows = seen.select("station_code", by, "price_date", "decicents", "_d", F.explode(numbers).alias("_s"))
-    rows = rows.select("station_code", by, "price_date", "decicents", F.date_add("_d", F.col("_s") * step).alias("snapshot_date"))
-    return classify(rows, by, width, ("snapshot_date",))
+    at = F.unix_date("price_date")
+    blocks = F.sequence(F.floor((at + 1) / block), F.floor((at + days) / block))
+    rows = panel.select("station_code", by, at.alias("day"), F.col("decicents").cast("double").alias("price"), F.explode(blocks).alias("block"))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["block"].iloc[0]) * block - days
+        stations, column = np.unique(pdf["station_code"].to_numpy(), return_inverse=True)
+        price = np.full((block + days - 1, len(stations)), np.nan)
+        price[pdf["day"].to_numpy() - first, column] = pdf["price"].to_numpy()
+        found = [(k, c, p[c]) for k, p in _premiums(price, days, 10 * width) if len(c := np.flatnonzero(~np.isnan(p)))]
+        k = np.concatenate([np.full(len(c), k) for k, c, _ in found])
+        out = pd.DataFrame({"snapshot_date": first + days + k, "station_code": stations[np.concatenate([c for _, c, _ in found])], by: pdf[by].iloc[0]})
+        return out.assign(premium=np.concatenate([p for *_, p in found]) / 10)
+
+    ship(panel.sparkSession)
+    found = rows.groupBy(by, "block").applyInPandas(work, f"snapshot_date int, station_code {kind['station_code']}, {by} {kind[by]}, premium double")
+    out = found.withColumn("snapshot_date", F.date_from_unix_date("snapshot_date")).withColumn("_e", last).where("snapshot_date <= _e")
+    return out.select("snapshot_date", "station_code", by, band(F.col("premium"), width).alias("class"), "premium")
+
+
+def on_its_day(panel: DataFrame, classes: DataFrame, how: str = "inner") -> DataFrame:
+    """The panel's rows with class and premium of the snapshot of their own day, which doesn't see the day itself."""
+    of = classes.select("station_code", F.col("snapshot_date").alias("price_date"), "class", "premium")
+    return panel.join(of, ["station_code", "price_date"], how)
 
 
 def published(classes: DataFrame, by: str = "council") -> DataFrame:

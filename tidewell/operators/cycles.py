@@ -182,7 +182,7 @@ def leadership_snapshots(series: DataFrame, by: str, window: int = 730, step: in
             spread = float(np.std(found)) if len(found) >= 2 else 0.0
             out.append((snap.item(), float(np.median(found)) if found else None, 1 / spread if spread else None, len(found) / len(anchor) if len(anchor) else 0.0, len(own)))
         frame = pdf[[by, "price_date"]].iloc[[0] * len(out)].rename(columns={"price_date": "snapshot_date"}).reset_index(drop=True)
-        frame["snapshot_date"] = [r[0] for r in out]
+        frame["snapshot_date"] = pd.Series([r[0] for r in out], dtype=object)  # else none at all would be numbers
         names = ("median_lead", "consistency", "matched", "events")
         return frame.assign(**{c: pd.Series([r[k + 1] for r in out], dtype=float) for k, c in enumerate(names)})
 

@@ -1,7 +1,7 @@
 """Feature assembly: cycle state, distances from references, troughs by group, network dispersion, upstream momentum.
 
 Every column is known on its day: states use confirmed peaks, troughs are detected on each day's own past, classes are
-the last ones published by that day. The panel is stored once and read by each part; the parts are tables with a row a
+those that the days before it give. The panel is stored once and read by each part; the parts are tables with a row a
 day, or a day and group, and are joined to the rows from the left, so that an absent value is null and drops no row.
 """
 
@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import slug_of
-from tidewell.operators import cycles, joins
+from tidewell.operators import cycles
 from tidewell.operators import panel as pn
+from tidewell.operators.classify import on_its_day
 from tidewell.operators.storage import stored
 
 #: Columns in the order that a model is fitted with; those of groups come between them.
@@ -55,12 +56,12 @@ def assemble(rows: DataFrame, panel: DataFrame, classes: DataFrame, upstream: Da
     """rows (station_code, price_date, ...) with the columns of columns(councils, brands).
 
     panel is the gap-filled one with council and brand; classes has snapshot_date, station_code, class and premium, and
-    the last of a station at or before a day counts; upstream has tgp_date and tgp. Rows of days without a cycle state
+    those of the day itself count; upstream has tgp_date and tgp. Rows of days without a cycle state
     are left out. Means of a council or brand need three stations that aren't Sticky.
     """
     daily = stored(panel, "features-panel")
     metro = stored(pn.mean_price(daily), "features-metro")
-    classed = stored(joins.asof(daily, classes, "station_code", "price_date", "snapshot_date", ["class", "premium"]), "features-classed")
+    classed = stored(on_its_day(daily, classes, "left"), "features-classed")
     fair = classed.where("class <> 'Sticky'")
     council, brand = (pn.mean_price(fair, by, least=3, name=f"{by}_mean") for by in ("council", "brand"))
     network = with_delta(pn.dispersion(classed.where("class = 'Competitive'")).withColumnRenamed("px_std", "network_std"), "network_std")

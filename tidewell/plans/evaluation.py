@@ -13,9 +13,9 @@ from tidewell.sources.adapter import Tables
 
 _CLASS = """snap AS (SELECT * FROM panel WHERE price_date BETWEEN DATE '1999-03-17' AND DATE '1999-04-30'),
 r1 AS (SELECT council, price_date, median(decicents / 10) AS ref FROM snap GROUP BY 1, 2),
-c1 AS (SELECT station_code, council, median(decicents / 10 - ref) AS premium FROM snap JOIN r1 USING (council, price_date) GROUP BY 1, 2),
+c1 AS (SELECT station_code, council, round(median(decicents / 10 - ref), 6) AS premium FROM snap JOIN r1 USING (council, price_date) GROUP BY 1, 2),
 r2 AS (SELECT council, price_date, median(decicents / 10) AS ref FROM snap WHERE station_code IN (SELECT station_code FROM c1 WHERE premium BETWEEN -10 AND 10) GROUP BY 1, 2),
-c2 AS (SELECT station_code, council, median(decicents / 10 - ref) AS premium FROM snap JOIN r2 USING (council, price_date) GROUP BY 1, 2),
+c2 AS (SELECT station_code, council, round(median(decicents / 10 - ref), 6) AS premium FROM snap JOIN r2 USING (council, price_date) GROUP BY 1, 2),
 cls AS (SELECT station_code, council, premium, CASE WHEN premium > 10 THEN 'Sticky' WHEN premium < -10 THEN 'Discount' ELSE 'Competitive' END AS class
  FROM (SELECT * FROM c2 UNION ALL SELECT * FROM c1 WHERE council NOT IN (SELECT council FROM c2)))"""
 _LABELS = """lab AS (SELECT station_code, price_date, decicents / 10 AS today, quantile_cont(decicents / 10, 0.33) OVER (PARTITION BY station_code ORDER BY price_date ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING) AS past_threshold,
@@ -25,12 +25,12 @@ labels AS (SELECT station_code, price_date, today, future_min, past_threshold, C
 
 
 _HISTORY = """b AS (SELECT min(price_date) AS lo, max(price_date) + 1 AS hi FROM panel),
-days AS (SELECT CAST(unnest(generate_series(CAST(lo + 28 AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 28 DAY)) AS DATE) AS snapshot_date FROM b),
+days AS (SELECT CAST(unnest(generate_series(CAST(lo + 1 AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS snapshot_date FROM b),
 snap AS MATERIALIZED (SELECT d.snapshot_date, p.* FROM days d JOIN panel p ON p.price_date >= d.snapshot_date - 45 AND p.price_date < d.snapshot_date),
 r1 AS (SELECT snapshot_date, council, price_date, median(decicents / 10) AS ref FROM snap GROUP BY 1, 2, 3),
-c1 AS MATERIALIZED (SELECT snapshot_date, station_code, council, median(decicents / 10 - ref) AS premium FROM snap JOIN r1 USING (snapshot_date, council, price_date) GROUP BY 1, 2, 3),
+c1 AS MATERIALIZED (SELECT snapshot_date, station_code, council, round(median(decicents / 10 - ref), 6) AS premium FROM snap JOIN r1 USING (snapshot_date, council, price_date) GROUP BY 1, 2, 3),
 r2 AS (SELECT snapshot_date, council, price_date, median(decicents / 10) AS ref FROM snap JOIN c1 USING (snapshot_date, station_code, council) WHERE premium BETWEEN -10 AND 10 GROUP BY 1, 2, 3),
-c2 AS MATERIALIZED (SELECT snapshot_date, station_code, council, median(decicents / 10 - ref) AS premium FROM snap JOIN r2 USING (snapshot_date, council, price_date) GROUP BY 1, 2, 3),
+c2 AS MATERIALIZED (SELECT snapshot_date, station_code, council, round(median(decicents / 10 - ref), 6) AS premium FROM snap JOIN r2 USING (snapshot_date, council, price_date) GROUP BY 1, 2, 3),
 hist AS MATERIALIZED (SELECT snapshot_date, station_code, council, CASE WHEN premium > 10 THEN 'Sticky' WHEN premium < -10 THEN 'Discount' ELSE 'Competitive' END AS class, premium
 FROM (SELECT * FROM c2 UNION ALL SELECT c1.* FROM c1 ANTI JOIN c2 USING (snapshot_date, council)))"""
 
@@ -77,8 +77,8 @@ def rolling_premium(t: Tables) -> DataFrame:
 
 @query(f"WITH {_HISTORY} SELECT snapshot_date, station_code, council, class, round(premium, 4) AS premium FROM hist")
 def class_history(t: Tables) -> DataFrame:
-    """WN19: classes of both passes at every 28th day."""
-    return cl.classify_snapshots(t.panel, step=28).withColumn("premium", F.round("premium", 4))
+    """WN19: classes of both passes on every day."""
+    return cl.classify_every_day(t.panel).withColumn("premium", F.round("premium", 4))
 
 
 @query(f"WITH {_LABELS} SELECT station_code, price_date, round(today, 4) AS today, round(past_threshold, 4) AS past_threshold, round(future_min, 4) AS future_min, label FROM labels")
@@ -350,12 +350,11 @@ def class_health(t: Tables) -> DataFrame:
     return h.withColumn("ever_zero", F.min("competitive").over(Window.partitionBy("council")) == 0)
 
 
-@query(f"""WITH {_HISTORY}, known AS (SELECT p.*, h.class FROM panel p ASOF JOIN hist h ON p.station_code = h.station_code AND p.price_date >= h.snapshot_date)
+@query(f"""WITH {_HISTORY}, known AS (SELECT p.*, h.class FROM panel p JOIN hist h ON p.station_code = h.station_code AND p.price_date = h.snapshot_date)
 SELECT price_date, council, round(avg(decicents) / 10, 4) AS price FROM known WHERE class <> 'Sticky' GROUP BY 1, 2 HAVING count(*) >= 3""")
 def fair_council_history(t: Tables) -> DataFrame:
-    """JN2: each day's mean of the stations that the last classes known by then don't call Sticky."""
-    classes = cl.classify_snapshots(t.panel, step=28)
-    known = joins.asof(t.panel, classes, "station_code", "price_date", "snapshot_date", ["class"])
+    """JN2: each day's mean of the stations that the day's own classes don't call Sticky."""
+    known = cl.on_its_day(t.panel, cl.classify_every_day(t.panel))
     return panel.mean_price(known.where("class <> 'Sticky'"), "council", least=3).withColumn("price", F.round("price", 4))
 
 
@@ -379,14 +378,14 @@ def pivoted_gap(t: Tables) -> DataFrame:
     return w.groupBy(F.floor(F.col("N") * 4).alias("bucket")).agg(F.count(F.lit(1)).alias("days"), F.round(F.avg(F.col("A") - F.col("N")), 6).alias("gap"))
 
 
-@query(f"""WITH {_HISTORY}, known AS (SELECT p.*, h.class FROM panel p ASOF JOIN hist h ON p.station_code = h.station_code AND p.price_date >= h.snapshot_date),
+@query(f"""WITH {_HISTORY}, known AS (SELECT p.*, h.class FROM panel p JOIN hist h ON p.station_code = h.station_code AND p.price_date = h.snapshot_date),
 g AS (SELECT price_date, stddev_samp(decicents / 10) FILTER (class = 'Competitive') AS std, median(decicents / 10) FILTER (class = 'Competitive') - median(decicents / 10) FILTER (class = 'Discount') AS gap FROM known GROUP BY 1),
 w AS (SELECT *, max(std) OVER b AS std3, max(gap) OVER b AS gap3 FROM g WINDOW b AS (ORDER BY price_date RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND INTERVAL 3 DAY PRECEDING))
 SELECT price_date, round(std, 4) AS px_std, round(std - std3, 4) AS px_std_delta, round(gap, 4) AS discount_gap, round(gap - gap3, 4) AS discount_gap_delta FROM w""")
 def triplet(t: Tables) -> DataFrame:
     """TS15: dispersion of the Competitive stations and their distance from the Discount ones, with three-day changes; the phases' spread is in locked_features."""
-    known = joins.asof(t.panel, cl.classify_snapshots(t.panel, step=28), "station_code", "price_date", "snapshot_date", ["class"])
+    known = cl.on_its_day(t.panel, cl.classify_every_day(t.panel))
     x, of = F.col("decicents") / 10, lambda c, v: F.when(F.col("class") == c, v)
-    g = known.where("class is not null").groupBy("price_date").agg(F.stddev_samp(of("Competitive", x)).alias("px_std"), (F.median(of("Competitive", x)) - F.median(of("Discount", x))).alias("discount_gap"))
+    g = known.groupBy("price_date").agg(F.stddev_samp(of("Competitive", x)).alias("px_std"), (F.median(of("Competitive", x)) - F.median(of("Discount", x))).alias("discount_gap"))
     deltas = {f"{c}_delta": panel.calendar_delta(g, c, 3) for c in ("px_std", "discount_gap")}
     return g.withColumns(deltas).select("price_date", *[F.round(c, 4).alias(c) for c in ("px_std", "px_std_delta", "discount_gap", "discount_gap_delta")])

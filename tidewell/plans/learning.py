@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions import stats
 from tidewell.operators import models
 from tidewell.registry import query
 from tidewell.sources.adapter import Tables
@@ -104,9 +105,9 @@ def tree_attribution(t: Tables) -> DataFrame:
     from tidewell.operators import attribution
 
     frame = price_frame(t)
-    model = models.boosted(INPUTS, rounds=5, depth=3).fit(frame.where("price_date < '1999-01-01'"))
+    model = models.boosted(INPUTS, rounds=5, depth=6).fit(frame.where("price_date < '1999-01-01'"))
     parts = attribution.attributed(model, frame, INPUTS, ["station_code", "price_date"])
-    by = parts.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"), F.corr("value", "attribution").alias("signed_r"), F.count(F.lit(1)).alias("n"))
+    by = parts.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"), stats.safe_corr("value", "attribution").alias("signed_r"), F.count(F.lit(1)).alias("n"))
     return by.withColumn("rank", F.rank().over(Window.partitionBy().orderBy(F.desc("mean_abs"))))  # a row for each feature
 
 
@@ -116,7 +117,7 @@ def tree_partners(t: Tables) -> DataFrame:
     from tidewell.operators import attribution
 
     frame = price_frame(t)
-    model = models.boosted(INPUTS, rounds=5, depth=3).fit(frame.where("price_date < '1999-01-01'"))
+    model = models.boosted(INPUTS, rounds=5, depth=6).fit(frame.where("price_date < '1999-01-01'"))
     return attribution.partners(model, frame, INPUTS).groupBy("a", "b").agg((F.sum("strength") / F.sum("n")).alias("strength"), F.sum("n").alias("n"))
 
 

@@ -181,8 +181,8 @@ def names(t: Tables) -> tuple[list[str], list[str]]:
 
 @query()
 def locked_features(t: Tables) -> DataFrame:
-    """TS17: label rows with all feature columns; classes are those of every 28th day, the last one published by the day."""
-    classes = cl.classify_snapshots(t.panel, step=28)
+    """TS17: label rows with all feature columns; classes are those of the day itself."""
+    classes = cl.classify_every_day(t.panel)
     return features.assemble(cl.labels(t.daily).select("station_code", "price_date", "label", "today", "future_min"), t.panel, classes, t.tgp, *names(t))
 
 
