@@ -93,17 +93,68 @@ def confirmed_peaks(series: DataFrame, by: list[str], value: str = "price", dist
     return series.groupBy(*by).applyInPandas(find, schema)
 
 
+def centred_mean(x: np.ndarray, width: int) -> np.ndarray:
+    """Mean of the rows within width // 2 of each, fewer at the ends; added in one order, so that a part has the values of the whole."""
+    half, n = width // 2, len(x)
+    padded, there = np.pad(x, half), np.pad(np.ones(n), half)
+    total, rows = padded[:n].copy(), there[:n].copy()
+    for k in range(1, width):
+        total += padded[k : k + n]
+        rows += there[k : k + n]
+    return total / rows
+
+
 def troughs(x: np.ndarray, spacing: int = 18, smooth: int = 7, snap: int = 5) -> np.ndarray:
     """Minima of the centred mean, `spacing` apart, each moved to the lowest value within `snap` rows."""
     if len(x) < 2 * smooth:
         return np.zeros(0, dtype=np.int64)
-    ones = np.ones(smooth)
-    mean = np.convolve(x, ones, "same") / np.convolve(np.ones(len(x)), ones, "same")
-    out = set()
-    for t in peaks(-mean, spacing):
-        lo = max(0, t - snap)
-        out.add(lo + int(np.argmin(x[lo : t + snap + 1])))
-    return np.array(sorted(out), dtype=np.int64)
+    return np.array(sorted({snapped(x, t, snap) for t in peaks(-centred_mean(x, smooth), spacing).tolist()}), dtype=np.int64)
+
+
+def snapped(x: np.ndarray, t: int, snap: int) -> int:
+    lo = max(0, t - snap)
+    return lo + int(np.argmin(x[lo : t + snap + 1]))
+
+
+def settled(v: np.ndarray, spacing: int) -> int | None:
+    """The start of the last peak of v that no row to come can take back, and that what comes after it can be told from.
+
+    That is a peak ahead of all others within `spacing`, where the row `spacing` behind it belongs to a run that has ended: no
+    further peak can come up within its reach. It stays and takes out those within its reach, so that peaks before it and
+    after it don't meet.
+    """
+    at = local_maxima(v)
+    for i in range(len(at) - 1, -1, -1):
+        c, end = at[i], at[i] + spacing
+        if end >= len(v) or (v[end:] == v[end]).all():
+            continue
+        near = at[np.abs(at - c) < spacing]
+        if all(v[k] < v[c] or k <= c and v[k] == v[c] for k in near.tolist()):
+            start = c
+            while v[start - 1] == v[c]:
+                start -= 1
+            return int(start)
+    return None
+
+
+def last_troughs(x: np.ndarray, spacing: int = 18, smooth: int = 7, snap: int = 5) -> np.ndarray:
+    """For each row the last of the troughs of the rows up to it, -1 where there is none.
+
+    What lies before a settled peak of the (negated) mean is never looked at again: only the rows behind the last one, some multiples of
+    `spacing`, are decided anew for each row, so that the work is in proportion to the rows.
+    """
+    out = np.full(len(x), -1, dtype=np.int64)
+    half, start = smooth // 2, 0
+    for n in range(2 * smooth, len(x) + 1):
+        low = max(0, start - half)
+        v = -centred_mean(x[low:n], smooth)[start - low :]
+        at = peaks(v, spacing)
+        if len(at):
+            # moving to the lowest row near can change the order of two troughs
+            out[n - 1] = max(snapped(x[:n], start + t, snap) for t in at[-2:].tolist())
+        if len(v) > 4 * spacing and (s := settled(v[: len(v) - half], spacing)) is not None and s > 1:
+            start += s - 1
+    return out
 
 
 def trough_events(series: DataFrame, by: list[str], value: str = "price", **how) -> DataFrame:
@@ -123,22 +174,18 @@ def days_since_trough(series: DataFrame, by: list[str], value: str = "price", **
     """by, price_date, days_since: days since the last trough that the rows up to that day show, for every day.
 
     Every day is detected on its own past, from the series' first row, so that no later row can change it. A series
-    has a row a day; the work is the square of its days, and series are spread over the tasks.
+    has a row a day, and the work is in proportion to its days; series are spread over the tasks.
     """
     kind = dict(series.dtypes)
     schema = ", ".join(f"{c} {kind[c]}" for c in by) + ", price_date date, days_since int"
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("price_date")
-        x, days = pdf[value].to_numpy(dtype=float), pd.to_datetime(pdf["price_date"])
-        out = []
-        for i in range(len(x)):
-            at = troughs(x[: i + 1], **how)
-            out.append((days.iloc[i].date(), int((days.iloc[i] - days.iloc[at[-1]]).days) if len(at) else None))
-        frame = pd.DataFrame(out, columns=["price_date", "days_since"])
+        days, last = pdf["price_date"].to_numpy().astype("datetime64[D]"), last_troughs(pdf[value].to_numpy(dtype=float), **how)
+        since = pd.Series((days - days[last]).astype(np.int64)).where(last >= 0).astype("Int32")
+        frame = pd.DataFrame({"price_date": pdf["price_date"].to_numpy(), "days_since": since})
         for c in by:
             frame[c] = pdf[c].iloc[0]
-        frame["days_since"] = frame["days_since"].astype("Int32")
         return frame[[*by, "price_date", "days_since"]]
 
     ship(series.sparkSession)
