@@ -259,9 +259,13 @@ def test_ablation_keeps_the_feature_that_matters(spark):
 def test_paired_backtest_has_a_row_for_each_fold_and_arm(spark, sf_dir):
     from tidewell import registry
 
-    got = registry.QUERIES["paired_backtest"](spark, sf_dir).collect()
+    got = registry.QUERIES["paired_backtest"](spark, sf_dir).orderBy("fold", "arm").collect()
     assert [(r.fold, r.arm) for r in got] == [(0, "base"), (0, "trial"), (1, "base"), (1, "trial")]
-    assert all(r.delta == 0 for r in got if r.arm == "base") and all(150 < r.cpl < 200 and "interval=1d" in r.cadence for r in got)
+    assert all(r.delta_held == r.delta_own == 0 for r in got if r.arm == "base") and all(150 < r.cpl_own < 200 and "interval=1d" in r.cadence for r in got)
+    pooled = {r.arm: r for r in registry.QUERIES["cached_backtest"](spark, sf_dir).collect()}
+    for arm in ("base", "trial"):
+        mine = [r for r in got if r.arm == arm]
+        assert abs(pooled[arm].cpl_held - sum(r.spend_held for r in mine) / sum(r.litres_held for r in mine)) < 1e-9
 
 
 def test_candidates_get_a_status(spark):
@@ -291,7 +295,7 @@ def test_noise_floor_of_placebos(spark):
     frame = daily.select("station_code", "price_date", (F.col("decicents") / 10).alias("today"), (F.col("decicents") < 1680).cast("int").alias("label"))
     windows = metrics.folds(spark, "2020-01-01", 1, 200, 60, 60, 7)
     series_ = daily.select("price_date", (F.col("decicents") / 7).alias("v"))
-    got = backtest.noise_floor(frame, series_, "v", daily, windows, ["today"], simulate.Tank(), [1, 2], 30).collect()
+    got = backtest.noise_floor(frame, series_, "v", daily, windows, ["today"], backtest.Setup(simulate.Tank()), [1, 2], 30).collect()
     assert [(r.draw, r.fold) for r in got] == [(1, 0), (2, 0)] and all(abs(r.delta) < 5 for r in got)
 
 

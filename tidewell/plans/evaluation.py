@@ -389,3 +389,16 @@ def triplet(t: Tables) -> DataFrame:
     g = known.groupBy("price_date").agg(F.stddev_samp(of("Competitive", x)).alias("px_std"), (F.median(of("Competitive", x)) - F.median(of("Discount", x))).alias("discount_gap"))
     deltas = {f"{c}_delta": panel.calendar_delta(g, c, 3) for c in ("px_std", "discount_gap")}
     return g.withColumns(deltas).select("price_date", *[F.round(c, 4).alias(c) for c in ("px_std", "px_std_delta", "discount_gap", "discount_gap_delta")])
+
+
+@query(f"WITH {_LABELS} SELECT CAST(year(price_date) AS INTEGER) AS year, count(*) AS rows, CAST(sum(label) AS BIGINT) AS buys, round(avg(today), 4) AS mean_price FROM labels GROUP BY 1")
+def frozen_batch(t: Tables) -> DataFrame:
+    """EX7: label rows frozen as a batch, checked against its manifest and counted by year."""
+    from tidewell.operators import freeze, simulate
+    from tidewell.sources.files import scratch
+
+    windows, cadence, keys = metrics.folds(t.spark, "1996-01-01", 4, 1095, 90, 365, 7), simulate.Tank().stamp(), ["station_code", "price_date", "label"]
+    path = scratch(t.spark, "batch")
+    freeze.freeze(cl.labels(t.daily).select(*keys, "today", "future_min"), path, ["today"], keys, ["future_min"], windows, cadence)
+    frame, _ = freeze.thaw(t.spark, path, ["today"], windows, cadence)
+    return frame.groupBy(F.year("price_date").alias("year")).agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("buys"), F.round(F.avg("today"), 4).alias("mean_price"))

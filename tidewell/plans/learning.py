@@ -73,16 +73,44 @@ def feature_clusters(t: Tables) -> DataFrame:
     return long.withColumn("cluster", label)
 
 
+def _windows(t: Tables, n: int = 2) -> DataFrame:
+    """Years of validation windows of 90 days, each behind all the days before it."""
+    from tidewell.operators import metrics
+
+    return metrics.folds(t.spark, "1996-01-01", n, 1095, 90, 365, 7)
+
+
+ARMS = {"base": ["today", "gap"], "trial": ["today", "gap", "delta_7d"]}
+
+
 @query()
 def paired_backtest(t: Tables) -> DataFrame:
-    """ML12: two arms over two folds, with what each would have paid."""
-    from tidewell.operators import backtest, classify, joins, metrics, simulate
+    """ML12: two arms over two folds, with what each would have paid at its own threshold and at the baseline's."""
+    from tidewell.operators import backtest, simulate
 
-    lag = joins.exact_lag(t.daily, 7).select("station_code", "price_date", (F.col("decicents") - F.col("decicents_lag")).cast("double").alias("delta_7d"))
-    frame = classify.labels(t.daily).join(t.metro, "price_date").join(lag, ["station_code", "price_date"]).withColumn("gap", F.col("today") - F.col("price"))
-    frame = frame.select("station_code", "price_date", "label", "today", "gap", "delta_7d")
-    windows = metrics.folds(t.spark, "1996-01-01", 2, 1095, 90, 365, 7)
-    return backtest.paired_backtest(frame, t.daily, windows, {"base": ["today", "gap"], "trial": ["today", "gap", "delta_7d"]}, "base", simulate.Tank())
+    return backtest.paired_backtest(price_frame(t), t.daily, _windows(t), ARMS, "base", backtest.Setup(simulate.Tank()))
+
+
+@query()
+def cached_backtest(t: Tables) -> DataFrame:
+    """ML12: the same where the first fold's baseline has been fitted and kept before, arms pooled over the folds."""
+    from tidewell.operators import backtest, simulate
+    from tidewell.sources.files import scratch
+
+    frame, setup, cache = price_frame(t), backtest.Setup(simulate.Tank()), backtest.FoldCache(scratch(t.spark, "folds"))
+    backtest.paired_backtest(frame, t.daily, _windows(t, 1), {"base": ARMS["base"]}, "base", setup, cache)
+    got = backtest.paired_backtest(frame, t.daily, _windows(t), ARMS, "base", setup, cache)
+    return backtest.pooled(got, "base")
+
+
+@query()
+def fit_stability(t: Tables) -> DataFrame:
+    """EX5: what the seed of boosted trees alone changes in the realised cost, two pairs of seeds over two folds."""
+    from tidewell.operators import backtest, simulate
+
+    make = lambda use, seed: models.boosted(use, rounds=3, depth=3, seed=seed)
+    setup = backtest.Setup(simulate.Tank(), inner=2, make=make, method="boosted")
+    return backtest.fit_stability(price_frame(t), t.daily, _windows(t), ["today", "gap"], setup, [1, 2], [3, 4])
 
 
 def price_frame(t: Tables) -> DataFrame:
@@ -166,10 +194,9 @@ def frame_artifact(t: Tables) -> DataFrame:
 @query()
 def placebo_floor(t: Tables) -> DataFrame:
     """EX5: what placebo draws of the metro mean change in the realised cost of a fold."""
-    from tidewell.operators import backtest, metrics, simulate
+    from tidewell.operators import backtest, simulate
 
-    windows = metrics.folds(t.spark, "1996-01-01", 1, 1095, 90, 365, 7)
-    return backtest.noise_floor(price_frame(t), t.metro, "price", t.daily, windows, ["today", "gap"], simulate.Tank(), [1, 2])
+    return backtest.noise_floor(price_frame(t), t.metro, "price", t.daily, _windows(t, 1), ["today", "gap"], backtest.Setup(simulate.Tank()), [1, 2])
 
 
 @query()
