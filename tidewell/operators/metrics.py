@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import stats
+from tidewell.functions.stats import safe_corr
+from tidewell.operators.storage import stored
 
 # Cents a decision earns or costs.
 TP, FP, FN = 6.37, 5.80, 11.14
@@ -91,14 +93,32 @@ def attributions(rows: DataFrame, features: list[str], target: str) -> DataFrame
     return rows.agg(F.array(*aggs).alias("x")).select(F.inline("x"))
 
 
-def chunked_interaction(rows: DataFrame, x: str, y: str, by: str, chunks: int = 10) -> DataFrame:
-    """Sum of |r| between x and y over equally filled chunks of `by`: high where x works differently along `by`."""
-    from tidewell.functions.stats import safe_corr
+def positions(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """rows with their places, from 0, in the order of the given columns, which together tell all rows apart.
+
+    Rows are dealt to ranges of the order, numbered in their range, and moved by the rows of the ranges before: the sum over the
+    ranges is the only window over all, a row for each. The ranges are stored, so that both passes see the same ones.
+    """
+    ranges = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn("_place", place).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
-    edges = rows.agg(F.array_distinct(F.percentile(by, F.array(*[F.lit(i / chunks) for i in range(1, chunks)]))).alias("e")).scalar()
-    binned = rows.withColumn("_e", edges).withColumn("_c", F.size(F.filter("_e", lambda e: e <= F.col(by))))
-    r = binned.groupBy("_c").agg(safe_corr(x, y).alias("r"))
-    return r.agg(F.count("r").alias("chunks"), F.round(F.sum(F.abs("r")), 4).alias("strength"))
+
+def chunked_interaction(rows: DataFrame, x: str, partners: list[str], by: str, keys: list[str]) -> DataFrame:
+    """(partner, chunks, strength): the sum of |r| between x and each partner over chunks of equal size in the order of `by`.
+
+    High where x works differently along `by`. A chunk has a tenth of the rows, 1 at least and 50 at most; the last may be
+    shorter. Rows without the partner are left out, and so are chunks of fewer than three rows or where one of both is constant.
+    keys settle the order of equal values; null comes first.
+    """
+    place = positions(rows.select(*dict.fromkeys([x, *partners, by, *keys])), [by, *keys])
+    n = place.agg(F.count(F.lit(1)).alias("n")).scalar()
+    size = F.greatest(F.lit(1), F.least(F.lit(50), F.floor(n / 10)))
+    chunked = place.withColumn("_c", F.floor(F.col("position") / size))
+    r = chunked.groupBy("_c").agg(*[F.when(F.count_if(F.col(p).isNotNull() & F.col(x).isNotNull()) >= 3, safe_corr(x, p)).alias(p) for p in partners])
+    return r.unpivot(["_c"], partners, "partner", "r").groupBy("partner").agg(F.count("r").alias("chunks"), F.round(F.coalesce(F.sum(F.abs("r")), F.lit(0.0)), 4).alias("strength"))
 
 
 def pick_tau(sweep: DataFrame, step: float = 0.05) -> DataFrame:

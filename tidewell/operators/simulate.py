@@ -93,6 +93,95 @@ def attribute_fifo(fills: DataFrame, days: DataFrame, tank: Tank, start_price: f
     return met.groupBy("station_code", "day").agg(F.sum("litres").alias("litres"), F.sum(F.col("litres") * F.col("price")).alias("cost"))
 
 
+def burn(fills: DataFrame, tank: Tank, by: list[str], start_level: float | None = None) -> DataFrame:
+    """A row for each fill and its state until the next one: by, k, day, n, level, prior, litres, price, blend, pool, last.
+
+    A fill leaves the tank full, or half full where it was an emergency. n is the number of intervals to the next fill, zero
+    for the last; prior is what of the level was there before the first fill and has no price; pool is what has one, and blend
+    its mean price with this fill in it. What has no price is burnt first. Fills apart by other than whole intervals are an error, as the
+    number of intervals would be wrong.
+    """
+    rows = fills.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("day", "price", "litres", "emergency"))).alias("f"))
+    number = lambda x: F.lit(float(x))
+    kind = "array<struct<k:int,day:date,n:int,level:double,prior:double,litres:double,price:double,blend:double,pool:double>>"
+    start = F.struct(number(-1).alias("prior"), number(0).alias("pool"), number(0).alias("cost"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, k: Column) -> Column:
+        f, nxt = F.get("f", k), F.get("f", k + 1)
+        level = F.when(f["emergency"], number(tank.size / 2)).otherwise(number(tank.size))
+        prior = F.when(s["prior"] < 0, F.greatest(number(0), level - f["litres"])).otherwise(s["prior"])
+        pool, cost = s["pool"] + f["litres"], s["cost"] + f["litres"] * f["price"]
+        gap = F.datediff(nxt["day"], f["day"])
+        off = F.raise_error(F.concat(F.lit("fills aren't whole intervals apart: "), f["day"].cast("string"), F.lit(" and "), nxt["day"].cast("string"))).cast("int")
+        n = F.when(gap.isNull(), 0).when(gap % tank.interval != 0, off).otherwise((gap / tank.interval).cast("int"))
+        used = F.least(level, n * number(tank.depletion))
+        first = F.least(prior, used)
+        burnt = F.least(pool, used - first)
+        row = F.struct(k.alias("k"), f["day"].alias("day"), n.alias("n"), level.alias("level"), prior.alias("prior"), f["litres"].alias("litres"), f["price"].alias("price"), (cost / pool).alias("blend"), pool.alias("pool"))
+        return F.struct((prior - first).alias("prior"), (pool - burnt).alias("pool"), (cost - burnt * cost / pool).alias("cost"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.size("f") - 1), start, step)
+    out = rows.select(*by, F.size("f").alias("_n"), F.inline(done["out"]))
+    return out.withColumn("last", F.col("k") == F.col("_n") - 1).drop("_n")
+
+
+#: Which day of its interval a consumption is booked on: the first, the middle one or the one after the last.
+STAMPS = {"start": lambda days: 0, "mid": lambda days: days // 2, "end": lambda days: days}
+
+
+def consumption(fills: DataFrame, tank: Tank, by: list[str], mode: str = "fifo", stamp: str = "start") -> DataFrame:
+    """(by, day, litres, spend): what each interval between fills burnt of bought fuel, and at what cost.
+
+    fills has by, day, price, litres and emergency. In mode "average" the tank is one blend and burns at its mean price; in mode
+    "fifo" the litres bought first burn first. Both book the same litres on the same intervals and the same total
+    once all has been burnt. Fuel from before the first fill burns first and costs nothing, and isn't booked; what is in the tank at
+    the last fill isn't either.
+    """
+    if mode not in ("fifo", "average") or stamp not in STAMPS:
+        raise ValueError(f"mode is fifo or average, stamp one of {sorted(STAMPS)}; not {mode!r}, {stamp!r}")
+    state = burn(fills, tank, by)
+    each = state.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("t"))
+    up_to = lambda t: F.least("level", t * F.lit(tank.depletion))
+    priced = lambda t: F.least("pool", up_to(t) - F.least("prior", up_to(t)))
+    day = F.date_add("day", F.col("t") * tank.interval + STAMPS[stamp](tank.interval))
+    each = each.select(*by, "k", "t", day.alias("day"), (priced(F.col("t") + 1) - priced(F.col("t"))).alias("litres"), "blend").where("litres > 1e-12")
+    if mode == "average":
+        return each.select(*by, "day", "litres", (F.col("litres") * F.col("blend")).alias("spend"))
+    # bought and burnt litres are two sequences of intervals on one axis: each stretch between two ends belongs to one of either
+    order, before = Window.partitionBy(*by).orderBy("k", "t"), Window.partitionBy(*by).orderBy("k")
+    used = each.select(*by, (F.sum("litres").over(order) - F.col("litres")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("price"), "day", F.sum("litres").over(order).alias("to"))
+    bought = state.select(*by, (F.sum("litres").over(before) - F.col("litres")).alias("at"), F.lit(0).alias("kind"), "price", F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("to"))
+    along = Window.partitionBy(*by).orderBy("at", "kind")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    ends = used.unionByName(bought).select(
+        *by, "at", F.last("price", ignorenulls=True).over(so_far).alias("price"), F.last("day", ignorenulls=True).over(so_far).alias("day"),
+        F.max("to").over(so_far).alias("to"), F.lead("at").over(along).alias("next"),
+    )
+    litres = F.least(F.coalesce("next", "to"), "to") - F.col("at")
+    return ends.withColumn("litres", litres).where("day is not null and litres > 1e-12").groupBy(*by, "day").agg(F.sum("litres").alias("litres"), F.sum(F.col("litres") * F.col("price")).alias("spend"))
+
+
+def left_over(fills: DataFrame, tank: Tank, by: list[str], mode: str = "fifo") -> DataFrame:
+    """(by, litres, spend): bought fuel that is still in the tank after the last fill."""
+    state = burn(fills, tank, by)
+    if mode == "average":
+        return state.where("last").select(*by, F.col("pool").alias("litres"), (F.col("pool") * F.col("blend")).alias("spend"))
+    # first in, first out: what is left was bought last
+    newest = Window.partitionBy(*by).orderBy(F.desc("k"))
+    pool = F.first("pool").over(newest)
+    kept = F.greatest(F.lit(0.0), F.least(F.col("litres"), pool - (F.sum("litres").over(newest) - F.col("litres"))))
+    return state.select(*by, kept.alias("litres"), "price").groupBy(*by).agg(F.sum("litres").alias("litres"), F.sum(F.col("litres") * F.col("price")).alias("spend"))
+
+
+def reconciled(fills: DataFrame, tank: Tank, by: list[str], mode: str = "fifo") -> DataFrame:
+    """(by, bought, used, left, litres_off, spend_off): litres bought, booked and left, and how far litres and money are from adding up."""
+    bought = fills.groupBy(*by).agg(F.sum("litres").alias("bought"), F.sum(F.col("litres") * F.col("price")).alias("paid"))
+    used = consumption(fills, tank, by, mode).groupBy(*by).agg(F.sum("litres").alias("used"), F.sum("spend").alias("used_spend"))
+    left = left_over(fills, tank, by, mode).withColumnsRenamed({"litres": "left", "spend": "left_spend"})
+    rows = bought.join(used, by, "left").join(left, by, "left").na.fill(0.0, ["used", "used_spend", "left", "left_spend"])
+    return rows.select(*by, "bought", "used", "left", (F.col("bought") - F.col("used") - F.col("left")).alias("litres_off"), (F.col("paid") - F.col("used_spend") - F.col("left_spend")).alias("spend_off"))
+
+
 def never_dry(tank: Tank, most: int = 100_000) -> list[tuple[float, float]]:
     """(level, depletion) of every reachable level that doesn't last to the next evaluation; none if the tank is safe.
 
@@ -152,13 +241,9 @@ def perfect_foresight(calendar: DataFrame, tank: Tank) -> DataFrame:
     return calendar.groupBy("station_code").applyInPandas(solve, "station_code long, spend double, litres double, fills long")
 
 
-def bootstrap(units: DataFrame, draws: int = 200, seed: int = 0) -> DataFrame:
-    """(draw, cpl) over resampled units (unit, spend, litres): every unit has a Poisson(1) weight in each draw, by hash.
-
-    Poisson weights need no total, so that units are never gathered; the sums of a draw are one row.
-    """
-    rows = units.select("unit", "spend", "litres", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = F.pmod(F.xxhash64("unit", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def poisson_weight(unit: str, draw: str, seed: int) -> Column:
+    """Weight of a unit in a draw, Poisson with mean 1, by hash: all rows of the unit have it, wherever they are."""
+    u = F.pmod(F.xxhash64(unit, draw, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     limits, total, term = [], 0.0, 0.36787944117144233
     for k in range(8):
         total += term
@@ -167,10 +252,58 @@ def bootstrap(units: DataFrame, draws: int = 200, seed: int = 0) -> DataFrame:
     weight = F.lit(8)
     for k, limit in reversed(limits):
         weight = F.when(u < limit, k).otherwise(weight)
-    w = rows.withColumn("w", weight)
+    return weight
+
+
+def bootstrap(units: DataFrame, draws: int = 200, seed: int = 0) -> DataFrame:
+    """(draw, cpl) over resampled units (unit, spend, litres): every unit has a Poisson(1) weight in each draw, by hash.
+
+    Poisson weights need no total, so that units are never gathered; the sums of a draw are one row.
+    """
+    rows = units.select("unit", "spend", "litres", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    w = rows.withColumn("w", poisson_weight("unit", "draw", seed))
     return w.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("spend")), F.sum(F.col("w") * F.col("litres"))).alias("cpl"))
 
 
+def headroom(panel: DataFrame, arm: str, bound: str, draws: int = 200, seed: int = 0) -> DataFrame:
+    """(draw, zone, headroom): an arm's cost per litre less the bound's, in each zone of each draw; draw -1 has all units once.
+
+    panel has unit, zone, arm, litres and spend. A unit has one weight in a draw, for all zones and both arms, so that what
+    units have in common in two zones or arms stays in common. Zones without litres of an arm in a draw have none.
+    """
+    sums = panel.groupBy("unit", "zone", "arm").agg(F.sum("litres").alias("litres"), F.sum("spend").alias("spend"))
+    rows = sums.withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))))
+    w = F.when(F.col("draw") < 0, 1).otherwise(poisson_weight("unit", "draw", seed))
+    total = lambda c, a: F.sum(F.when(F.col("arm") == a, w * F.col(c)))
+    each = rows.groupBy("draw", "zone").agg((F.try_divide(total("spend", arm), total("litres", arm)) - F.try_divide(total("spend", bound), total("litres", bound))).alias("headroom"))
+    return each.where("headroom is not null")
+
+
+def zone_intervals(drawn: DataFrame, level: float = 0.95) -> DataFrame:
+    """(zone, headroom, low, high, deviation) of what headroom() gives."""
+    within = F.when(F.col("draw") >= 0, F.col("headroom"))
+    return drawn.groupBy("zone").agg(
+        F.max(F.when(F.col("draw") < 0, F.col("headroom"))).alias("headroom"), F.percentile(within, F.lit((1 - level) / 2)).alias("low"), F.percentile(within, F.lit((1 + level) / 2)).alias("high"), F.stddev_samp(within).alias("deviation")
+    )
+
+
+def zone_contrasts(drawn: DataFrame, level: float = 0.95) -> DataFrame:
+    """(zone_a, zone_b, diff, low, high, separated, share_a_worse) for each two zones, from their differences draw by draw.
+
+    Intervals of two zones may overlap where their difference is clear: in a draw both have the same units. Zones are few; those
+    of a draw are one row.
+    """
+    wide = drawn.groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("zone", "headroom"))).alias("z"))
+    pairs = F.expr("flatten(transform(z, (a, i) -> transform(slice(z, i + 2, size(z)), b -> struct(a.zone as zone_a, b.zone as zone_b, a.headroom - b.headroom as d))))")
+    each = wide.select("draw", F.inline(pairs))
+    within = F.when(F.col("draw") >= 0, F.col("d"))
+    out = each.groupBy("zone_a", "zone_b").agg(
+        F.max(F.when(F.col("draw") < 0, F.col("d"))).alias("diff"), F.percentile(within, F.lit((1 - level) / 2)).alias("low"), F.percentile(within, F.lit((1 + level) / 2)).alias("high"),
+        F.avg((within > 0).cast("int")).alias("share_a_worse"),
+    )
+    return out.select("zone_a", "zone_b", "diff", "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("separated"), "share_a_worse")
+
+
 def interval(draws: DataFrame, level: float = 0.95) -> DataFrame:
     q = F.percentile("cpl", F.array(F.lit((1 - level) / 2), F.lit(0.5), F.lit((1 + level) / 2)))
     return draws.agg(q[0].alias("low"), q[1].alias("median"), q[2].alias("high"))

@@ -318,11 +318,13 @@ def attribution_summary(t: Tables) -> DataFrame:
     return metrics.attributions(t.scores, ["price", "litres", "proba"], "label")
 
 
-@query("""WITH q AS (SELECT list_distinct(quantile_cont(litres, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM scores), b AS (SELECT price, proba, len(list_filter(e, lambda x: x <= litres)) AS c FROM scores, q),
-r AS (SELECT c, corr(price, proba) AS r FROM b GROUP BY 1) SELECT count(r) AS chunks, round(sum(abs(r)), 4) AS strength FROM r""")
+@query("""WITH o AS (SELECT price, proba, label, row_number() OVER (ORDER BY litres, order_key, line_no, price, label) - 1 AS i, count(*) OVER () AS n FROM scores), b AS (SELECT *, i // greatest(1, least(50, n // 10)) AS c FROM o),
+r AS (SELECT c, 'proba' AS partner, CASE WHEN count(*) >= 3 AND stddev_pop(proba) > 0 AND stddev_pop(price) > 0 THEN corr(price, proba) END AS r FROM b GROUP BY 1
+ UNION ALL SELECT c, 'label', CASE WHEN count(*) >= 3 AND stddev_pop(label) > 0 AND stddev_pop(price) > 0 THEN corr(price, label) END FROM b GROUP BY 1)
+SELECT partner, count(r) AS chunks, round(sum(abs(r)), 4) AS strength FROM r GROUP BY 1""")
 def chunked_interaction(t: Tables) -> DataFrame:
-    """WN23."""
-    return metrics.chunked_interaction(t.scores, "price", "proba", "litres")
+    """WN23: chunks of 50 rows in the order of the litres."""
+    return metrics.chunked_interaction(t.scores, "price", ["proba", "label"], "litres", ["order_key", "line_no", "price", "label"])
 
 
 def _window_classes(day: str) -> str:

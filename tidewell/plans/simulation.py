@@ -98,3 +98,36 @@ def bootstrap_units(t: Tables) -> DataFrame:
     """DS13: interval of the pooled cost per litre over resampled stations."""
     units = t.scores.groupBy(F.col("station_code").alias("unit")).agg(F.sum(F.col("litres") * F.col("price")).alias("spend"), F.sum("litres").alias("litres"))
     return sim.interval(sim.bootstrap(units))
+
+
+@query()
+def consumption_ledger(t: Tables) -> DataFrame:
+    """DS11: what each station's days burnt and at what cost, first in, first out and as one blend."""
+    fills = sim.ledger(sim.replay(decisions(t, [172.0]), TANK, ["station_code"], strict=False), ["station_code"])
+    book = lambda mode: sim.consumption(fills, TANK, ["station_code"], mode, "end").withColumnRenamed("spend", f"{mode}_spend")
+    return book("fifo").join(book("average").drop("litres"), ["station_code", "day"])
+
+
+@query()
+def consumption_reconciled(t: Tables) -> DataFrame:
+    """DS12: litres and money of each station's fills against what was burnt and what is left, for both ways to book them."""
+    fills = sim.ledger(sim.replay(decisions(t, [172.0]), TANK, ["station_code"], strict=False), ["station_code"])
+    each = [sim.reconciled(fills, TANK, ["station_code"], mode).withColumn("mode", F.lit(mode)) for mode in ("fifo", "average")]
+    return each[0].unionByName(each[1])
+
+
+def zones(t: Tables) -> DataFrame:
+    """Litres and spend of two arms by station and quarter."""
+    return t.scores.where("arm in ('N', 'A')").select(F.col("station_code").alias("unit"), F.concat(F.lit("Q"), F.quarter("price_date")).alias("zone"), "arm", "litres", (F.col("litres") * F.col("price")).alias("spend"))
+
+
+@query()
+def zone_intervals(t: Tables) -> DataFrame:
+    """DS13: what an arm pays above another in each quarter, with the interval over resampled stations."""
+    return sim.zone_intervals(sim.headroom(zones(t), "N", "A"))
+
+
+@query()
+def zone_contrasts(t: Tables) -> DataFrame:
+    """DS13: differences between quarters, from draws in which each station has one weight."""
+    return sim.zone_contrasts(sim.headroom(zones(t), "N", "A"))

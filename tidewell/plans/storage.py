@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators import joins, storage
+from tidewell.operators import joins, panel, storage, versions
 from tidewell.registry import query
 from tidewell.sources.adapter import Tables
 from tidewell.sources.files import scratch
@@ -75,9 +75,36 @@ def load_ledger(t: Tables) -> DataFrame:
     return storage.unloaded(files.select("file").distinct(), ledger)
 
 
-@query("""SELECT r_regionkey, CASE r_regionkey WHEN 1 THEN 'patched' WHEN 3 THEN 'also' ELSE r_name END AS name FROM region""", prelude=False)
+@query("""SELECT l_orderkey AS order_key, l_suppkey AS station_code, CASE WHEN l_suppkey % 7 = 0 THEN 'patched' ELSE l_returnflag END AS arm, l_quantity AS litres FROM lineitem""", prelude=False)
 def patch_rows(t: Tables) -> DataFrame:
-    return storage.patch(t.table("region").select("r_regionkey", F.col("r_name").alias("name")), "r_regionkey", {1: "patched", 3: "also"}, "name")
+    """SNK8: a column changed in some rows of a stored table, which is replaced in one step."""
+    path, item = scratch(t.spark, "ledger"), t.table("lineitem")
+    versions.replace(item.select(F.col("l_orderkey").alias("order_key"), F.col("l_suppkey").alias("station_code"), F.col("l_returnflag").alias("arm"), F.col("l_quantity").alias("litres")), path)
+    some = t.table("supplier").where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("station_code"), F.lit("patched").alias("arm"))
+    versions.patch(t.spark, path, some, ["station_code"])
+    return versions.read(t.spark, path)
+
+
+@query("""WITH old AS (SELECT s_suppkey AS code, s_name AS name, 'address ' || s_suppkey AS address FROM supplier WHERE s_suppkey % 3 > 0),
+new AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE s_suppkey + 1000000 END AS code, 'New ' || s_name AS name, 'address ' || (s_suppkey - s_suppkey % 4) AS address FROM supplier),
+free AS (SELECT n.*, row_number() OVER (PARTITION BY n.address ORDER BY n.code) AS k FROM new n LEFT JOIN old o USING (address) WHERE o.code IS NULL OR o.code = n.code)
+SELECT code, coalesce(f.name, o.name) AS name, coalesce(f.address, o.address) AS address FROM old o FULL JOIN (SELECT * FROM free WHERE k = 1) f USING (code)""")
+def upsert_unique(t: Tables) -> DataFrame:
+    """SNK2: new rows whose address another key has already are left out, as are later ones of one address."""
+    s, at = t.table("supplier"), lambda c: F.concat(F.lit("address "), c)
+    code = F.col("s_suppkey")
+    old = s.where("s_suppkey % 3 > 0").select(code.alias("code"), F.col("s_name").alias("name"), at(code).alias("address"))
+    new = s.select(F.when(code % 2 == 0, code).otherwise(code + 1000000).alias("code"), F.concat(F.lit("New "), F.col("s_name")).alias("name"), at(code - code % 4).alias("address"))
+    return storage.upsert(old, new, "code", ["name", "address"], [], unique="address")
+
+
+@query("""SELECT station_code, price_date, max(decicents) AS decicents FROM daily GROUP BY 1, 2""")
+def rewritten(t: Tables) -> DataFrame:
+    """SNK4: a table written, and replaced as a whole by rows computed from it."""
+    path = scratch(t.spark, "whole")
+    versions.replace(t.prices, path)
+    versions.replace(panel.gap_fill(versions.read(t.spark, path), t.last_day), path)
+    return versions.read(t.spark, path)
 
 
 @query("""SELECT strftime(price_date, '%Y') AS year, strftime(price_date, '%m') AS month, count(*) AS n FROM prices GROUP BY 1, 2""")
