@@ -240,17 +240,18 @@ def leadership_snapshots(series: DataFrame, by: str, window: int = 730, step: in
 def cycle_state(days: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
     """days with last_peak, previous_peak, days_since, mean_length (2 decimals), pct_through and n_peaks, as known on each day.
 
-    events has by, peak_date and confirmed_on. Both meet in one window ordered by the day a row is known.
+    events has by, peak_date and confirmed_on, and peaks are known in their order. Both meet in one window ordered by the
+    day a row is known.
     """
-    marks = events.select(*by, F.col("confirmed_on").alias("price_date"), F.lit(0).alias("_day"), "peak_date")
-    rows = days.select(*days.columns, F.lit(1).alias("_day"), F.lit(None).cast("date").alias("peak_date")).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("price_date", "_day").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("peak_date").over(Window.partitionBy(*by).orderBy("confirmed_on", "peak_date"))
+    marks = events.select(*by, F.col("confirmed_on").alias("price_date"), F.lit(0).alias("_day"), "peak_date", before.alias("_before"))
+    rows = days.select(*days.columns, F.lit(1).alias("_day"), F.lit(None).cast("date").alias("peak_date"), F.lit(None).cast("date").alias("_before")).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("price_date", "_day", "peak_date").rowsBetween(Window.unboundedPreceding, 0)
     n, last, first = F.count("peak_date").over(w), F.max("peak_date").over(w), F.min("peak_date").over(w)
-    known = F.array_sort(F.collect_list("peak_date").over(w))
-    seen = rows.withColumns({"n_peaks": n, "last_peak": last, "_first": first, "previous_peak": F.get(known, F.size(known) - 2)}).where("_day = 1")
+    seen = rows.withColumns({"n_peaks": n, "last_peak": last, "_first": first, "previous_peak": F.last("_before", ignorenulls=True).over(w)}).where("_day = 1")
     length = F.round(F.try_divide(F.datediff("last_peak", "_first").cast("double"), F.col("n_peaks") - 1), 2)
     since = F.datediff("price_date", "last_peak")
-    return seen.withColumns({"days_since": since, "mean_length": length}).withColumn("pct_through", F.round(F.try_divide(F.col("days_since"), F.col("mean_length")), 4)).drop("_day", "_first", "peak_date")
+    return seen.withColumns({"days_since": since, "mean_length": length}).withColumn("pct_through", F.round(F.try_divide(F.col("days_since"), F.col("mean_length")), 4)).drop("_day", "_first", "peak_date", "_before")
 
 
 def leadership(anchor: DataFrame, events: DataFrame, by: str, reach: int = 60) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.storage import stored
+
 
 def by_station():
     """Rows of a station in the order of days."""
@@ -61,8 +63,8 @@ def leave_one_out(daily: DataFrame, by: str, least: int = 3) -> DataFrame:
     A group has an anchor on days without a row of its own too. The groups are few (councils, brands): their names go
     to each day as one array; days times groups are the rows.
     """
-    own = daily.groupBy("price_date", by).agg(F.sum("decicents").alias("own"), F.count(F.lit(1)).alias("n"))
-    names = daily.agg(F.collect_set(by).alias("names")).scalar()
+    own = stored(daily.groupBy("price_date", by).agg(F.sum("decicents").alias("own"), F.count(F.lit(1)).alias("n")), "group-sums")  # read three times
+    names = own.agg(F.collect_set(by).alias("names")).scalar()
     day = own.groupBy("price_date").agg(F.sum("own").alias("all"), F.sum("n").alias("rows")).select("*", F.explode(names).alias(by))
     others = F.col("rows") - F.coalesce("n", F.lit(0))
     rest = day.join(own, ["price_date", by], "left").select("price_date", by, (F.col("all") - F.coalesce("own", F.lit(0))).alias("rest"), others.alias("others"))

@@ -88,11 +88,26 @@ def attribute_fifo(fills: DataFrame, days: DataFrame, tank: Tank, start_price: f
     first = fills.select("station_code").distinct().select("station_code", F.lit(-1).alias("i"), F.lit(tank.size / 2).alias("litres"), F.lit(start_price).alias("price"))
     bought = first.unionByName(fills.select("station_code", "i", "litres", "price")).withColumn("high", F.sum("litres").over(w)).withColumn("low", F.col("high") - F.col("litres"))
     used = days.where("i > 0").select("station_code", "day", ((F.col("i") - 1) * tank.depletion).alias("from"), (F.col("i") * tank.depletion).alias("to"))
-    overlap = F.least("high", "to") - F.greatest("low", "from")
-    met = bought.join(used, "station_code").where(overlap > 1e-9).select("station_code", "day", overlap.alias("litres"), "price")
+    met = _shared(bought, used, ["station_code"]).where("litres > 1e-9")
     return met.groupBy("station_code", "day").agg(F.sum("litres").alias("litres"), F.sum(F.col("litres") * F.col("price")).alias("cost"))
 
 
+def _shared(bought: DataFrame, used: DataFrame, by: list[str]) -> DataFrame:
+    """(by, day, price, litres): where intervals of bought litres (low, high, price) and of used ones (from, to, day) overlap.
+
+    Both are sequences on one axis of litres, so that each stretch between two starts belongs to one of either: one sort of
+    both sides, and no pair is made.
+    """
+    a = bought.select(*by, F.col("low").alias("at"), F.lit(0).alias("kind"), "price", "high", F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("to"))
+    b = used.select(*by, F.col("from").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("high"), "day", "to")
+    along = Window.partitionBy(*by).orderBy("at", "kind")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far).alias(c)
+    ends = a.unionByName(b).select(*by, "at", last("price"), last("high"), last("day"), last("to"), F.lead("at").over(along).alias("next"))
+    stop = F.least(F.coalesce("next", "to"), "to", "high")
+    return ends.where("day is not null and price is not null").select(*by, "day", "price", (stop - F.col("at")).alias("litres")).where("litres > 0")
+
+
 def burn(fills: DataFrame, tank: Tank, by: list[str], start_level: float | None = None) -> DataFrame:
     """A row for each fill and its state until the next one: by, k, day, n, level, prior, litres, price, blend, pool, last.
 
@@ -147,18 +162,10 @@ def consumption(fills: DataFrame, tank: Tank, by: list[str], mode: str = "fifo",
     each = each.select(*by, "k", "t", day.alias("day"), (priced(F.col("t") + 1) - priced(F.col("t"))).alias("litres"), "blend").where("litres > 1e-12")
     if mode == "average":
         return each.select(*by, "day", "litres", (F.col("litres") * F.col("blend")).alias("spend"))
-    # bought and burnt litres are two sequences of intervals on one axis: each stretch between two ends belongs to one of either
     order, before = Window.partitionBy(*by).orderBy("k", "t"), Window.partitionBy(*by).orderBy("k")
-    used = each.select(*by, (F.sum("litres").over(order) - F.col("litres")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("price"), "day", F.sum("litres").over(order).alias("to"))
-    bought = state.select(*by, (F.sum("litres").over(before) - F.col("litres")).alias("at"), F.lit(0).alias("kind"), "price", F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("to"))
-    along = Window.partitionBy(*by).orderBy("at", "kind")
-    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
-    ends = used.unionByName(bought).select(
-        *by, "at", F.last("price", ignorenulls=True).over(so_far).alias("price"), F.last("day", ignorenulls=True).over(so_far).alias("day"),
-        F.max("to").over(so_far).alias("to"), F.lead("at").over(along).alias("next"),
-    )
-    litres = F.least(F.coalesce("next", "to"), "to") - F.col("at")
-    return ends.withColumn("litres", litres).where("day is not null and litres > 1e-12").groupBy(*by, "day").agg(F.sum("litres").alias("litres"), F.sum(F.col("litres") * F.col("price")).alias("spend"))
+    used = each.select(*by, (F.sum("litres").over(order) - F.col("litres")).alias("from"), F.sum("litres").over(order).alias("to"), "day")
+    bought = state.select(*by, (F.sum("litres").over(before) - F.col("litres")).alias("low"), F.sum("litres").over(before).alias("high"), "price")
+    return _shared(bought, used, by).where("litres > 1e-12").groupBy(*by, "day").agg(F.sum("litres").alias("litres"), F.sum(F.col("litres") * F.col("price")).alias("spend"))
 
 
 def left_over(fills: DataFrame, tank: Tank, by: list[str], mode: str = "fifo") -> DataFrame:

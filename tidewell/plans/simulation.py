@@ -10,7 +10,9 @@ from tidewell.registry import query
 from tidewell.sources.adapter import Tables
 
 TANK = sim.Tank()
+#: A validation window, and all the panel's days.
 START, END = "1999-01-01", "1999-04-30"
+SPAN = ("1995-01-02", "2001-11-04")
 _REPLAY = """cal AS (SELECT station_code, CAST(d AS DATE) AS day, CAST(CAST(d AS DATE) - DATE '1999-01-01' AS INTEGER) AS i FROM (SELECT DISTINCT station_code FROM daily), (SELECT unnest(generate_series(TIMESTAMP '1999-01-01', TIMESTAMP '1999-04-30', INTERVAL 1 DAY)) AS d)),
 ev AS (SELECT station_code, i, day, decicents / 10 AS price, TAU AS tau FROM cal LEFT JOIN daily USING (station_code) WHERE false),
 evals AS MATERIALIZED (SELECT c.station_code, c.i, c.day, d.decicents / 10 AS price, g.tau, coalesce(d.decicents / 10 <= g.tau, false) AS buy FROM cal c LEFT JOIN daily d ON d.station_code = c.station_code AND d.price_date = c.day, GRID g),
@@ -26,9 +28,9 @@ ONE = _REPLAY.replace("GRID g", "(SELECT 172.0::DOUBLE AS tau) g")
 MANY = _REPLAY.replace("GRID g", "(SELECT (160.0 + 5 * range)::DOUBLE AS tau FROM range(7)) g")
 
 
-def decisions(t: Tables, taus: list[float]) -> DataFrame:
+def decisions(t: Tables, taus: list[float], span: tuple[str, str] = (START, END)) -> DataFrame:
     """Buy at or below a price; one row per station, day and threshold."""
-    days = sim.evaluation_days(t.daily, START, END, TANK.interval)
+    days = sim.evaluation_days(t.daily, *span, TANK.interval)
     tau = F.explode(F.array(*[F.lit(float(x)) for x in taus]))
     return days.withColumn("tau", tau).withColumn("buy", F.coalesce(F.col("price") <= F.col("tau"), F.lit(False)))
 
@@ -78,19 +80,28 @@ def fifo_reconciled(t: Tables) -> DataFrame:
     return bought.join(used, "station_code").select("station_code", F.round("bought", 3).alias("bought"), F.round("used", 3).alias("used"), F.round(TANK.size / 2 + F.col("bought") - F.col("used"), 3).alias("leftover"))
 
 
-@query("""WITH a AS (SELECT d.station_code, d.price_date, s.proba FROM daily d LEFT JOIN (SELECT station_code, price_date, max(proba) AS proba FROM scores GROUP BY 1, 2) s USING (station_code, price_date))
-SELECT station_code, count(*) AS always, count(*) FILTER (coalesce(proba >= 0.5, true)) AS model, count(*) FILTER (proba IS NULL) AS defaulted FROM a GROUP BY 1""")
+#: The replay under three rules: always, only what the tank needs, and a model's word.
+RULES = _REPLAY.replace("coalesce(d.decicents / 10 <= g.tau, false) AS buy", "CASE g.tau WHEN 0 THEN true WHEN 1 THEN false ELSE coalesce(s.proba >= 0.5, true) END AS buy").replace(
+    ", GRID g", " CROSS JOIN (SELECT range AS tau FROM range(3)) g LEFT JOIN best s ON s.station_code = c.station_code AND s.price_date = c.day"
+)
+
+
+@query(f"""WITH best AS (SELECT station_code, price_date, max(proba) AS proba FROM scores GROUP BY 1, 2), {RULES}
+SELECT station_code, CASE tau WHEN 0 THEN 'always' WHEN 1 THEN 'never' ELSE 'model' END AS strategy, round(sum(fill * coalesce(price, 0)), 2) AS spend, round(sum(fill), 3) AS litres, count(*) FILTER (fill > 0) AS fills, count(*) FILTER (emergency) AS emergencies FROM run GROUP BY 1, tau""")
 def strategies(t: Tables) -> DataFrame:
-    """DS6: a strategy is a boolean column; a model without a score buys."""
-    best = t.scores.groupBy("station_code", "price_date").agg(F.max("proba").alias("proba"))
-    a = t.daily.join(best, ["station_code", "price_date"], "left")
-    return a.groupBy("station_code").agg(F.count(F.lit(1)).alias("always"), F.count_if(F.coalesce(F.col("proba") >= 0.5, F.lit(True))).alias("model"), F.count_if(F.col("proba").isNull()).alias("defaulted"))
+    """DS6: each rule is a boolean column, and all are replayed at once; a model without a score buys."""
+    best = t.scores.groupBy("station_code", F.col("price_date").alias("day")).agg(F.max("proba").alias("proba"))
+    days = sim.evaluation_days(t.daily, START, END, TANK.interval).join(best, ["station_code", "day"], "left")
+    rules = {"always": F.lit(True), "never": F.lit(False), "model": F.coalesce(F.col("proba") >= 0.5, F.lit(True))}
+    each = days.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("strategy"), v.alias("buy")) for k, v in rules.items()])))
+    r = sim.replay(each, TANK, ["station_code", "strategy"], strict=False)
+    return r.select("station_code", "strategy", F.round("spend", 2).alias("spend"), F.round("litres", 3).alias("litres"), F.size("fills").cast("long").alias("fills"), F.size(F.filter("fills", lambda f: f["emergency"])).cast("long").alias("emergencies"))
 
 
 @query()
 def perfect_foresight(t: Tables) -> DataFrame:
-    """DS8: rows only; tests hold it against every strategy."""
-    return sim.perfect_foresight(sim.evaluation_days(t.daily, START, END, TANK.interval), TANK)
+    """DS8: over all the panel's days; tests hold it against every strategy and every sequence of fills."""
+    return sim.perfect_foresight(sim.evaluation_days(t.daily, *SPAN, TANK.interval), TANK)
 
 
 @query()
@@ -103,7 +114,7 @@ def bootstrap_units(t: Tables) -> DataFrame:
 @query()
 def consumption_ledger(t: Tables) -> DataFrame:
     """DS11: what each station's days burnt and at what cost, first in, first out and as one blend."""
-    fills = sim.ledger(sim.replay(decisions(t, [172.0]), TANK, ["station_code"], strict=False), ["station_code"])
+    fills = sim.ledger(sim.replay(decisions(t, [172.0], SPAN), TANK, ["station_code"], strict=False), ["station_code"])
     book = lambda mode: sim.consumption(fills, TANK, ["station_code"], mode, "end").withColumnRenamed("spend", f"{mode}_spend")
     return book("fifo").join(book("average").drop("litres"), ["station_code", "day"])
 
@@ -111,7 +122,7 @@ def consumption_ledger(t: Tables) -> DataFrame:
 @query()
 def consumption_reconciled(t: Tables) -> DataFrame:
     """DS12: litres and money of each station's fills against what was burnt and what is left, for both ways to book them."""
-    fills = sim.ledger(sim.replay(decisions(t, [172.0]), TANK, ["station_code"], strict=False), ["station_code"])
+    fills = sim.ledger(sim.replay(decisions(t, [172.0], SPAN), TANK, ["station_code"], strict=False), ["station_code"])
     each = [sim.reconciled(fills, TANK, ["station_code"], mode).withColumn("mode", F.lit(mode)) for mode in ("fifo", "average")]
     return each[0].unionByName(each[1])
 
