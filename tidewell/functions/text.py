@@ -87,12 +87,16 @@ def suburb_of(address: Column) -> Column:
     It is what follows the last comma, or, without a comma or with nothing after it, what follows the last street type.
     """
     words, code = _words(address)
-    before = F.array_join(words, " ")
-    tail = F.trim(F.substring_index(before, ",", -1))
-    types = "|".join([*STREETS.values(), *STREETS])
-    after = F.split(F.replace(before, F.lit(" ,"), F.lit(",")), rf"(?i)\b(?:{types})\.?\b")
-    last = F.trim(F.btrim(F.trim(F.element_at(after, -1)), F.lit(",-")))
-    found = F.when(F.contains(before, F.lit(",")) & (tail != ""), tail).otherwise(last)
+    kinds = [*STREETS.values(), *STREETS]
+
+    def behind(listed: Column, mark) -> tuple[Column, Column]:
+        """Place of the last word that mark holds for (0: none), and the words behind it."""
+        at = F.coalesce(F.array_max(F.transform(listed, lambda w, i: F.when(mark(w), i + 1).otherwise(0))), F.lit(0))
+        return at, F.slice(listed, at + 1, F.size(listed) - at)
+
+    comma, tail = behind(words, lambda w: w == ",")
+    _, rest = behind(F.array_remove(words, ","), lambda w: F.upper(F.rtrim(w, F.lit("."))).isin(kinds))
+    found = F.array_join(F.when((comma > 0) & (F.size(tail) > 0), tail).otherwise(rest), " ")
     return title(F.when(code.isNotNull() & (found != ""), found))
 
 
