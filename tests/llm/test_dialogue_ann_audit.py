@@ -246,5 +246,6 @@ def test_audit_counts_every_order(spark):
     assert {x.good_lost for x in audit.audit(df, marks.limit(0)).collect()} == {0}
 
 
-def test_audit_has_the_rows_of_its_sql(spark, sf_dir):
-    assert not harness.check(spark, "op13_filter_audit", queries.op13_filter_audit, queries.SQL["op13_filter_audit"], sf_dir)
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op13_filter_audit"])
+def test_query_has_the_rows_of_its_sql(spark, sf_dir, name):
+    assert not harness.check(spark, name, queries.QUERIES[name], queries.SQL[name], sf_dir)

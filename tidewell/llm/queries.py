@@ -96,6 +96,57 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.digests(*dialogue.repair(table(spark, sf_dir, "conversations")))
 
 
+#: Damage, faults and the cheapest repair, row by row in a recursion that keeps the least (cost, audit) for each end so far.
+OP11_SQL = r"""
+WITH RECURSIVE hit AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+               lambda r, b: list_reduce(list_prepend(xor(r, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), CAST(4294967295 AS BIGINT)) % 20 AS m
+    FROM conversations
+), damaged AS (
+    SELECT conv_id, turn, CASE m WHEN 4 THEN 'user' ELSE role END AS role, CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN m = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM hit WHERE m <> 0
+), ordered AS (
+    SELECT conv_id, turn, role, text, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), found AS MATERIALIZED (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+           WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two
+    FROM ordered
+), counted AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM found GROUP BY conv_id
+), put(node, after, letters, lines) AS (
+    VALUES ('', '', '', ''), ('s', 's', '', ''), ('u', 'u', '', ''), ('a', 'a', '', ''), ('', 'u', 'I', 'user:'), ('', 'a', 'II', 'user:' || chr(10) || 'assistant:'),
+           ('s', 'u', 'I', chr(10) || 'user:'), ('s', 'a', 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('u', 'a', 'I', chr(10) || 'assistant:'),
+           ('u', 'u', 'II', chr(10) || 'assistant:' || chr(10) || 'user:'), ('a', 'u', 'I', chr(10) || 'user:'), ('a', 'a', 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), letters(letter, price) AS (
+    VALUES ('D', 4), ('K', 0), ('R', 3)
+), best AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS node, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS said FROM counted
+    UNION ALL
+    SELECT conv_id, i, node, cost, audit, said FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, node ORDER BY cost, audit) AS k FROM (
+            SELECT f.conv_id, f.i, CASE letter WHEN 'D' THEN p.after WHEN 'K' THEN f.initial ELSE CASE WHEN p.after = 'u' THEN 'a' ELSE 'u' END END AS node,
+                   b.cost + 3 * len(p.letters) + price + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost, b.audit || p.letters || letter AS audit,
+                   b.said || p.lines || CASE WHEN letter = 'D' THEN '' ELSE CASE WHEN p.after = '' THEN '' ELSE chr(10) END
+                       || CASE WHEN letter = 'K' THEN f.role WHEN p.after = 'u' THEN 'assistant' ELSE 'user' END || ':' || f.text END AS said
+            FROM best b JOIN found f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1 JOIN put p ON p.node = b.node CROSS JOIN letters
+            WHERE letter = 'D' OR fault NOT IN ('blank', 'duplicate') AND (letter = 'R' OR p.after || f.initial IN ('s', 'u', 'su', 'ua', 'au'))
+        )
+    ) WHERE k = 1
+), ended AS (
+    SELECT c.conv_id, b.cost + 3 * len(p.letters) AS cost, b.audit || p.letters AS audit, b.said || p.lines AS said,
+           row_number() OVER (PARTITION BY c.conv_id ORDER BY b.cost + 3 * len(p.letters), b.audit || p.letters) AS k
+    FROM best b JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.i JOIN put p ON p.node = b.node WHERE p.after IN ('', 'a')
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id AND k = 1
+"""
+
+
 def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ann
 
@@ -146,4 +197,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_quality, op2_line_dedup, op3_language, op4_arc_to_warc, op5_mixing, op6_suffix_dedup, op7_token_shards, op8_exact_dedup, op9_simhash, op10_packing, op11_conversation_repair, op12_permutation_index, op13_filter_audit)
 }
 
-SQL: dict[str, str] = {"op4_arc_to_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op13_filter_audit": OP13_SQL}
+SQL: dict[str, str] = {"op4_arc_to_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op13_filter_audit": OP13_SQL}
