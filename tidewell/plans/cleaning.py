@@ -247,3 +247,33 @@ def address_match(t: Tables) -> DataFrame:
     history = s.select(text.normalise_address(written).alias("k"))
     known = s.select(text.normalise_address(a).alias("k"), F.lit(True).alias("known")).distinct()
     return history.join(known, "k", "left").agg(F.count_if("known").alias("matched"), F.count_if(F.col("known").isNull()).alias("skipped"))
+
+
+@query("""WITH x AS (SELECT CASE WHEN l_suppkey % 7 = 0 THEN 'address' WHEN l_orderkey % 11 = 0 THEN 'date' WHEN l_orderkey % 13 = 0 THEN 'price' WHEN l_orderkey % 17 = 0 THEN 'fuel' ELSE 'loaded' END AS outcome,
+ l_suppkey, CAST(l_shipdate AS DATE) AS d, CAST(round_even(l_quantity * 10, 0) AS BIGINT) AS p FROM lineitem)
+SELECT outcome, count(*) AS rows, count(DISTINCT CASE WHEN outcome <> 'address' THEN l_suppkey END) AS stations, min(CASE WHEN outcome = 'loaded' THEN d END) AS first_day, sum(CASE WHEN outcome = 'loaded' THEN p END)::BIGINT AS decicents FROM x GROUP BY 1""", prelude=False)
+def cleaned_history(t: Tables) -> DataFrame:
+    """SRC2: cleaned histories written as CSV, matched to stations by address, with what was skipped and why."""
+    o = F.col("l_orderkey")
+    item = t.table("lineitem").join(addresses(t).withColumnRenamed("station_code", "l_suppkey"), "l_suppkey")
+    values = {
+        "ServiceStationName": F.col("name"), "Address": F.upper("address"), "Suburb": F.lit(" "), "Postcode": F.lit("2000"), "Brand": F.lit("B"), "FuelCode": F.when(o % 17 == 0, "").otherwise("E10"),
+        "PriceUpdatedDate": F.when(o % 11 == 0, "").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")), "Price": F.when(o % 13 == 0, "n/a").otherwise(F.col("l_quantity").cast("string")),
+    }
+    path = files.scratch(t.spark, "cleaned")
+    item.select(*[values[c].alias(c) for c in files.RAW]).write.option("header", True).csv(path)
+    prices, _ = files.read_cleaned(t.spark, path, addresses(t).where("station_code % 7 <> 0"))
+    loaded = F.col("skipped").isNull()
+    return prices.groupBy(F.coalesce("skipped", F.lit("loaded")).alias("outcome")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("station_code").alias("stations"), F.min(F.when(loaded, F.col("price_date"))).alias("first_day"), F.sum(F.when(loaded, F.col("decicents"))).alias("decicents")
+    )
+
+
+@query("""SELECT CAST(o_orderdate AS DATE) AS tgp_date, count(*) AS rows, round(sum(CASE WHEN o_orderkey % 9 <> 4 THEN round(o_totalprice, 2) END), 2) AS total FROM orders WHERE o_orderkey % 10 <> 3 GROUP BY 1""", prelude=False)
+def upstream_csv(t: Tables) -> DataFrame:
+    """SRC5: an upstream price CSV with unreadable days and prices."""
+    o, k = t.table("orders"), F.col("o_orderkey")
+    path = files.scratch(t.spark, "upstream")
+    price = F.when(k % 9 == 4, "-").otherwise(F.format_string("%.2f", F.round("o_totalprice", 2)))
+    o.select(F.when(k % 10 == 3, "total").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("Day"), price.alias("Sydney"), F.lit("1").alias("Melbourne")).write.option("header", True).csv(path)
+    return files.read_upstream(t.spark, path).groupBy("tgp_date").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("tgp"), 2).alias("total"))

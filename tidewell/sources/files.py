@@ -50,6 +50,40 @@ def read_snapshot(spark: SparkSession, path: str, postcodes: list[str] | None =
     return stations, prices
 
 
+def read_cleaned(spark: SparkSession, path: str, stations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prices, suburbs) of cleaned price histories: (station_code, fuel_code, price_date, decicents, skipped) and (station_code, suburb).
+
+    A row is of the station (station_code, address) whose address is the same when normalised; of several the smallest code. skipped
+    says why a row isn't loaded, the first that applies of address, date, price and fuel, and is null for rows that are; dates are
+    cut to their day. Suburbs are the first that isn't blank, by file and line of a station's rows, loaded or not.
+    """
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    raw = spark.read.option("header", True).csv(path)
+    rows = raw.select(*[blank(F.col(c) if c in raw.columns else F.lit(None)).alias(c) for c in RAW], F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+    index = stations.select(text.normalise_address(F.col("address")).alias("key"), "station_code").groupBy("key").agg(F.min("station_code").alias("station_code"))
+    met = rows.withColumn("key", text.normalise_address(F.col("Address"))).join(index, "key", "left")
+    price = F.col("Price").try_cast("double")
+    why = F.when(F.col("station_code").isNull(), "address").when(F.col("PriceUpdatedDate") == "", "date").when(price.isNull(), "price").when(F.col("FuelCode") == "", "fuel")
+    prices = met.select("station_code", F.col("FuelCode").alias("fuel_code"), F.substring("PriceUpdatedDate", 1, 10).try_cast("date").alias("price_date"), text.to_decicents(price).alias("decicents"), why.alias("skipped"))
+    suburbs = met.where("station_code is not null").where(F.trim("Suburb") != "").groupBy("station_code").agg(F.min_by(F.trim("Suburb"), F.struct("file", "line")).alias("suburb"))
+    return prices, suburbs
+
+
+def skip_counts(prices: DataFrame) -> DataFrame:
+    """(skipped, rows) of what read_cleaned gives; loaded rows under null."""
+    return prices.groupBy("skipped").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def read_upstream(spark: SparkSession, path: str, city: str = "Sydney") -> DataFrame:
+    """(tgp_date, tgp) of an upstream price CSV: the first column is the day, one column a city. Rows without a readable day are
+    left out; a day without a price is null. A file without the city is refused."""
+    raw = spark.read.option("header", True).csv(path)
+    if city not in raw.columns[1:]:
+        raise ValueError(f"no column {city!r}: the layout may have changed ({raw.columns})")
+    day = F.to_date(text.parse_date(F.col(f"`{raw.columns[0]}`")))
+    return raw.select(day.alias("tgp_date"), F.col(f"`{city}`").try_cast("double").alias("tgp")).where("tgp_date is not null")
+
+
 def unshift(raw: DataFrame) -> DataFrame:
     """Rows whose station name is a number have one field too many in front: all others move to the left."""
     shifted = F.coalesce(F.col(RAW[0]).rlike(r"^\d+$"), F.lit(False))
