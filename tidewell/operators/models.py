@@ -24,7 +24,7 @@ def logistic(features: list[str], label: str = "label", penalty: float = 1e-4) -
 
 def boosted(features: list[str], label: str = "label", rounds: int = 20, depth: int = 4, seed: int = 42) -> Pipeline:
     """Boosted trees on 0.8 of the rows each; missing values are imputed by the median."""
-    filled = [f"_{f}" for f in features]
+    filled = [f"_filled_{f}" for f in features]
     return Pipeline(stages=[
         Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x"),
         GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, subsamplingRate=0.8, seed=seed),
