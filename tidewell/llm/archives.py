@@ -3,7 +3,8 @@
 An ARC file begins with a version block (`filedesc://`) whose second line names the version: version 1 records have
 URL, IP address, 14-digit date, content type and length in their header line, version 2 records also result code,
 checksum, location, offset and file name. The length is the only thing that says where a record ends. Each record
-becomes a WARC record: its identifier is a name-based UUID of the URL, the date, the key and the digest; its date is
+becomes a WARC record: its identifier is a name-based UUID of the URL, the date, the key, the place in the archive and the
+digest, so that repeated records have identifiers of their own and a second conversion gives the same; its date is
 the ARC date in ISO form; HTTP responses become `response` records, or `revisit` records if an equal payload of at
 least 100 bytes has a smaller key, all others `resource`; block and payload digests are computed from the bytes.
 
@@ -18,7 +19,6 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -163,7 +163,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "20000101000000", file_bytes: int = FILE_BYTES) -> str:
-    """Frame pages (page_id, url, html) as ARC files. A null html is an empty payload, a null url the URL `-`."""
+    """Frame pages (page_id, url, html) as ARC files. A null html is an empty payload, a null url the URL `-`.
+
+    Rows are dealt evenly, whatever their keys: no file has more than its share of a page_id that many rows have, or of
+    rows without one. No rows give one file without records.
+    """
     rows = only(pages, "page_id", "url", "html")
     volume = rows.select(F.sum(F.octet_length("html")).alias("n")).first()["n"] or 0
     files = max(1, -(-volume // file_bytes))
@@ -179,7 +183,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "200001
                     out.append(arc_record(version, url or "-", date, "text/html", http_response((html or "").encode(), key)))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    return _save(rows.repartition(files, F.xxhash64("page_id")).mapInArrow(work, "value binary"), path, "\n")
+    return _save(rows.repartition(files).mapInArrow(work, "value binary"), path, "\n")
 
 
 _FACTS = "source string, key long, record_id string, digest string, payload_bytes long, http boolean"
@@ -188,7 +192,6 @@ _FACTS = "source string, key long, record_id string, digest string, payload_byte
 def _arc_rows(files: list) -> Iterator[tuple]:
     """Of each record: (source, key, url, ip, ISO date, mime, HTTP head or None, payload, digest, record id)."""
     for path, content in files:
-        again: Counter = Counter()  # repeated rows are dealt to one file, and get identifiers of their own
         for r in parse_arc(gunzip(content)):
             parts = split_http(r["content"])
             head, payload = parts if parts else (None, r["content"])
@@ -196,10 +199,7 @@ def _arc_rows(files: list) -> Iterator[tuple]:
             name = field(head, KEY) if head else None
             key = key_of(name)
             digest = hashlib.sha256(payload).hexdigest()
-            base = (r["url"], r["date"], name or source, digest)
-            again[base] += 1
-            number = f"#{again[base]}" if again[base] > 1 else ""
-            yield source, key, r["url"], r["ip"], iso(r["date"]), r["mime"], head, payload, digest, record_id(*base[:2], f"{base[2]}{number}", digest)
+            yield source, key, r["url"], r["ip"], iso(r["date"]), r["mime"], head, payload, digest, record_id(r["url"], r["date"], f"{name or ''}@{source}", digest)
 
 
 def convert(spark: SparkSession, arc: str, path: str, least: int = REVISIT_BYTES) -> str:
