@@ -34,3 +34,32 @@ def test_a_target_out_of_reach_is_reported(spark):
         warnings.simplefilter("error", UserWarning)
         _, now, _ = mixing.solve(met, mixing.TARGETS)
     assert np.abs(now / now.sum() - mixing.TARGETS).max() < 1e-3
+
+
+@pytest.mark.parametrize("targets", [(0.5, 0.5, 0.0), (0.9, 0.05, 0.05), (0.2, 0.7, 0.1)])
+def test_the_fit_is_the_best_of_all_supports(spark, targets):
+    """Each set of cells with rates above zero has a least-squares solution; the best of those without a negative rate is the optimum."""
+    p = np.array([[1.0, 0.0, 0.0], [0.75, 0.25, 0.0], [0.5, 0.0, 0.5], [0.125, 0.375, 0.5]])
+    tokens = np.array([600.0, 300.0, 80.0, 20.0])
+    have, scale = tokens @ p, tokens.sum()
+    cells = spark.createDataFrame([(row.tolist(), int(n)) for row, n in zip(p, tokens, strict=True)], "posteriors array<double>, tokens long")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)
+        _, now, want = mixing.solve(cells, targets)
+    inner = (p * tokens[:, None]).T @ p
+    half = np.linalg.cholesky(np.linalg.inv(inner / scale + np.diag(np.clip(have / scale / 8, 1e-6, 1e-3)))).T
+    loss = lambda total: float((((half @ (total - want)) / scale) ** 2).sum())
+    best = np.inf
+    for k in range(1 << len(p)):
+        on = [i for i in range(len(p)) if k >> i & 1]
+        rates = np.linalg.lstsq(half @ (p * tokens[:, None]).T[:, on], half @ want, rcond=None)[0] if on else np.zeros(0)
+        if (rates >= -1e-9).all():
+            best = min(best, loss(rates @ (p * tokens[:, None])[on]) if on else loss(np.zeros(3)))
+    assert loss(now) <= best + 1e-5
+
+
+def test_the_query_meets_its_targets(spark):
+    from tidewell.llm import queries
+
+    got = queries.op5_mixing(spark, "/root/testdata/sf0.01").agg({"missed": "max"}).first()[0]
+    assert got < mixing.MISS

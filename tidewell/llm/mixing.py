@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import only, settle, slices
 
 DOMAINS = ("clean", "low", "toxic")
-#: Shares of the tokens after mixing.
-TARGETS = (0.98, 0.02, 0.0)
+#: Shares of the tokens after mixing. Clean documents have some tokens of the other domains by soft membership, so that shares near
+#: zero are out of reach where all of them are to stay; these aren't.
+TARGETS = (0.95, 0.03, 0.02)
 #: Labelled documents that the classifier is fitted on at most, the least by a hash of doc_id.
 SAMPLE = 20_000
 #: Hash buckets of the words; a word counts once in a document.
@@ -34,7 +35,10 @@ ERRORS = 8.0
 #: Documents' worth of the overall share that smooths both.
 LEAN = 50
 GRID = 256
+#: Rounds at most. The fit ends before, where the totals are met or a round moves next to no tokens any more.
 ROUNDS = 40
+#: A round that changes the rates by less than this share of all tokens finds the fit stationary.
+STILL = 1e-6
 #: Rounds after which the rates so far are stored with the sums, so that no round repeats all before it.
 STORE = 8
 #: A total that is further from its target than this share of all tokens is warned of.
@@ -141,11 +145,14 @@ def rate(posteriors: Column, steps: list[np.ndarray], start: Column | None = Non
     return F.aggregate(F.array(*[_number_array(g) for g in steps]), start, lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
 
-def solve(members: DataFrame, targets: tuple[float, ...] = TARGETS, anchor: float = 1.0, rounds: int = ROUNDS, tolerance: float = 1e-7) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def solve(members: DataFrame, targets: tuple[float, ...] = TARGETS, anchor: float = 1.0, rounds: int = ROUNDS, tolerance: float = 1e-7, still: float = STILL) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(steps, expected totals, target totals) of the fit.
 
     The first domain is to keep `anchor` times its tokens, and sets the scale: the others get tokens by their weights,
-    a scarce one by rates above one. Totals that the rates can't meet, as of a domain without tokens, are warned of.
+    a scarce one by rates above one. The rounds go on until the totals are met or the rates stand still, so that what is
+    missed then no rates can give (in the whitened measure). Totals that the rates can't meet, as of a domain without
+    tokens, are warned of, and so is a fit that `rounds` ended. There are no more cells than steps of 1/GRID allow (33,153
+    of three domains), so that a round is a small job however many documents there are.
     """
     n = len(targets)
     cells = settle(members.groupBy("posteriors").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").withColumn("rate", F.lit(1.0)), "cells")
@@ -164,13 +171,17 @@ def solve(members: DataFrame, targets: tuple[float, ...] = TARGETS, anchor: floa
     # a domain with next to no tokens must not make steps huge, nor a scarce one approach its total too slowly
     whiten = np.linalg.inv(inner / scale + np.diag(np.clip(have / scale / 8, 1e-6, 1e-3)))
     steps: list[np.ndarray] = []
-    now = have
-    while len(steps) < rounds and np.abs(now - want).max() > tolerance * scale:
+    now, moved = have, 1.0
+    while len(steps) < rounds and moved > still and np.abs(now - want).max() > tolerance * scale:
         steps.append(np.where(have > 0, whiten @ ((now - want) / scale), 0.0))
-        r = rate(F.col("posteriors"), steps[-((len(steps) - 1) % STORE + 1) :], F.col("rate"))
-        now = totals(*[x * r for x in p])
+        since = steps[-((len(steps) - 1) % STORE + 1) :]
+        before, r = (rate(F.col("posteriors"), some, F.col("rate")) for some in (since[:-1], since))
+        *sums, change = totals(*[x * r for x in p], F.abs(r - before))
+        now, moved = np.array(sums), change / scale
         if len(steps) % STORE == 0:
             cells = settle(cells.withColumn("rate", r), "cells")
+    if moved > still and np.abs(now - want).max() > tolerance * scale:
+        warnings.warn(f"the fit was ended by its {rounds} rounds: the last one moved {moved:.2g} of all tokens", stacklevel=2)
     if (missed := residual(now, want)) > MISS:
         share = [round(float(x), 4) for x in now / max(now.sum(), 1.0)]
         warnings.warn(f"the mix misses a target by {missed:.4f} of all tokens: shares {share} for {[round(float(x), 4) for x in w]}", stacklevel=2)
