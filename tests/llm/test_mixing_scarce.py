@@ -62,4 +62,4 @@ def test_the_query_meets_its_targets(spark):
     from tidewell.llm import queries
 
     got = queries.op5_mixing(spark, "/root/testdata/sf0.01").agg({"missed": "max"}).first()[0]
-    assert got < mixing.MISS
+    assert got < mixing.MISS  # of WITHIN_REACH, which the query asks for

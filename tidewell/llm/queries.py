@@ -60,7 +60,7 @@ FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coales
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mixing.WITHIN_REACH)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
