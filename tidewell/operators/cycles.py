@@ -93,6 +93,21 @@ def confirmed_peaks(series: DataFrame, by: list[str], value: str = "price", dist
     return series.groupBy(*by).applyInPandas(find, schema)
 
 
+def turning_peaks(series: DataFrame, by: list[str], value: str = "price", least: float = 0.5) -> DataFrame:
+    """by, peak_date, confirmed_on: rows higher than both neighbours by more than `least`, known with the next row. A detector in SQL's reach."""
+    w = Window.partitionBy(*by).orderBy("price_date")
+    rows = series.withColumns({"_b": F.lag(value).over(w), "_a": F.lead(value).over(w), "confirmed_on": F.lead("price_date").over(w)})
+    return rows.where((F.col(value) > F.col("_b") + least) & (F.col(value) > F.col("_a") + least)).select(*by, F.col("price_date").alias("peak_date"), "confirmed_on")
+
+
+def in_time(events: DataFrame, by: list[str]) -> DataFrame:
+    """Events of any detector as by, peak_date and confirmed_on, failing at run time on one that is known before its own day."""
+    if missing := sorted({*by, "peak_date", "confirmed_on"} - set(events.columns)):
+        raise ValueError(f"the detector's events lack columns: {missing}")
+    early = F.raise_error(F.concat(F.lit("a peak is known before its day: "), F.col("peak_date").cast("string"))).cast("date")
+    return events.select(*by, "peak_date", F.when(F.col("confirmed_on") < F.col("peak_date"), early).otherwise(F.col("confirmed_on")).alias("confirmed_on"))
+
+
 def centred_mean(x: np.ndarray, width: int) -> np.ndarray:
     """Mean of the rows within width // 2 of each, fewer at the ends; added in one order, so that a part has the values of the whole."""
     half, n = width // 2, len(x)

@@ -7,6 +7,8 @@ day, or a day and group, and are joined to the rows from the left, so that an ab
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,14 @@ NETWORK = ["network_std", "network_std_delta_3d", "phase_std", "phase_std_delta_
 EXTRA = ["upstream_delta_7d"]
 
 
-def cycle_features(metro: DataFrame) -> DataFrame:
-    """price_date and the CYCLE columns, for days on which two peaks are known. metro has a row a day."""
+#: From a series (by, price_date, price) to its peaks (by, peak_date, confirmed_on).
+Detector = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def cycle_features(metro: DataFrame, detector: Detector = cycles.confirmed_peaks) -> DataFrame:
+    """price_date and the CYCLE columns, for days on which two peaks are known. metro has a row a day; any detector can stand in."""
     series = metro.withColumn("series", F.lit("metro"))
-    state = cycles.cycle_state(series.select("series", "price_date"), cycles.confirmed_peaks(series, ["series"]), ["series"]).where("n_peaks >= 2 and mean_length > 0")
+    state = cycles.cycle_state(series.select("series", "price_date"), cycles.in_time(detector(series, ["series"]), ["series"]), ["series"]).where("n_peaks >= 2 and mean_length > 0")
     whole = state.select("previous_peak", "last_peak").distinct()
     days = whole.select("*", F.explode(F.sequence("previous_peak", F.date_sub("last_peak", 1))).alias("price_date"))
     bounds = days.join(metro, "price_date").groupBy("previous_peak", "last_peak").agg(F.min("price").alias("cycle_last_min"), F.max("price").alias("cycle_last_max"))
@@ -52,7 +58,7 @@ def with_delta(series: DataFrame, value: str, days: int = 3) -> DataFrame:
     return series.withColumn(f"{value}_delta_{days}d", pn.calendar_delta(series, value, days))
 
 
-def assemble(rows: DataFrame, panel: DataFrame, classes: DataFrame, upstream: DataFrame, councils: list[str], brands: list[str]) -> DataFrame:
+def assemble(rows: DataFrame, panel: DataFrame, classes: DataFrame, upstream: DataFrame, councils: list[str], brands: list[str], detector: Detector = cycles.confirmed_peaks) -> DataFrame:
     """rows (station_code, price_date, ...) with the columns of columns(councils, brands).
 
     panel is the gap-filled one with council and brand; classes has snapshot_date, station_code, class and premium, and
@@ -69,7 +75,7 @@ def assemble(rows: DataFrame, panel: DataFrame, classes: DataFrame, upstream: Da
     by_brand = trough_features(pn.mean_price(fair, "brand", least=3), "brand", brands)
     up = pn.lagged_delta(upstream, "tgp_date", "tgp", 7, "upstream_delta_7d").withColumnRenamed("tgp_date", "price_date")
     wide = rows.join(classed.select("station_code", "price_date", "council", "brand", (F.col("decicents") / 10).alias("station_price"), F.col("premium").alias("stickiness")), ["station_code", "price_date"])
-    wide = wide.join(cycle_features(metro), "price_date").join(metro.withColumnRenamed("price", "_metro"), "price_date")
+    wide = wide.join(cycle_features(metro, detector), "price_date").join(metro.withColumnRenamed("price", "_metro"), "price_date")
     wide = wide.join(council, ["price_date", "council"], "left").join(brand, ["price_date", "brand"], "left")
     for part in (troughs, network, with_delta(spread(troughs), "phase_std"), up, by_brand):
         wide = wide.join(part, "price_date", "left")

@@ -33,6 +33,20 @@ def evaluation_days(daily: DataFrame, start: str, end: str, interval: int) -> Da
     return calendar.join(priced, ["station_code", "day"], "left").select("station_code", "i", "day", "price")
 
 
+def decided(days: DataFrame, rules: dict[str, Column], default: bool = True) -> DataFrame:
+    """days once for each rule, with strategy, its name, and buy.
+
+    A rule is a boolean column over the columns of days, so that any can be tried without a change of the replay; one that is null, as
+    where nothing is known yet, takes the default. No rules, or one that isn't boolean, are refused.
+    """
+    if not rules:
+        raise ValueError("no rules")
+    kinds = dict(days.limit(0).select(*[v.alias(k) for k, v in rules.items()]).dtypes)
+    if other := sorted(k for k, kind in kinds.items() if kind != "boolean"):
+        raise ValueError(f"rules that aren't boolean: {other}")
+    return days.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("strategy"), F.coalesce(v, F.lit(default)).alias("buy")) for k, v in rules.items()])))
+
+
 def replay(decisions: DataFrame, tank: Tank, by: list[str], strict: bool = True) -> DataFrame:
     """by, spend, litres, fills: array of (i, day, price, litres, emergency). decisions has by, i, day, price, buy.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import classify as cl
-from tidewell.operators import cycles, features, joins, panel, storage
+from tidewell.operators import cycles, features, joins, metrics, panel, shapes, storage
 from tidewell.registry import query
 from tidewell.sources.adapter import Tables
 
@@ -189,8 +189,6 @@ def locked_features(t: Tables) -> DataFrame:
 @query()
 def frame_contract(t: Tables) -> DataFrame:
     """PRJ19, PRJ20: each column of the feature frame with its role and its values; a column without a role is an error."""
-    from tidewell.operators import metrics
-
     frame = locked_features(t)
     councils, brands = names(t)
     keys, model = ["station_code", "price_date", "label", "today", "future_min"], features.locked(councils)
@@ -200,3 +198,64 @@ def frame_contract(t: Tables) -> DataFrame:
     counts = frame.agg(*[F.count(c).alias(c) for c in frame.columns])
     role = F.when(F.col("column").isin(model), "model").when(F.col("column").isin(keys), "key").otherwise("held out")
     return counts.unpivot([], frame.columns, "column", "values").withColumn("role", role)
+
+
+#: The cycle's state from the metro's turns, and what it makes of every station's day.
+_STATE = _TURNS + """, pk AS (SELECT peak_date, confirmed_on, lag(peak_date) OVER (ORDER BY peak_date) AS prev FROM peaks),
+st AS (SELECT m.price_date, count(*) AS n, max(peak_date) AS last_peak, min(peak_date) AS first_peak, max(prev) AS prev FROM m JOIN pk ON confirmed_on <= m.price_date GROUP BY 1 HAVING count(*) >= 2),
+bd AS (SELECT prev, peak_date, min(price) AS lo, max(price) AS hi FROM pk JOIN m ON price_date >= prev AND price_date < peak_date GROUP BY 1, 2),
+cy AS (SELECT st.price_date, st.price_date - last_peak AS since, n, round(CAST(last_peak - first_peak AS DOUBLE) / (n - 1), 2) AS len, lo, hi FROM st JOIN bd ON bd.prev = st.prev AND bd.peak_date = st.last_peak),
+us AS (SELECT *, round(since / len, 4) AS pct, median(len) OVER (ORDER BY price_date RANGE BETWEEN INTERVAL 730 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS usual FROM cy),
+ds AS (SELECT station_code, price_date, decicents / 10 AS p, since, len, pct, since / usual AS elongation, CASE WHEN since > 0 THEN (decicents / 10 - hi) / since END AS slope FROM daily JOIN us USING (price_date))"""
+
+
+def turn_state(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The metro mean, rounded, and the cycle's state on each day from its turns: a detector in place of the usual one."""
+    metro = storage.stored(t.metro.withColumn("price", F.round("price", 6)), "metro")
+    return metro, storage.stored(features.cycle_features(metro, cycles.turning_peaks), "turn-state")
+
+
+def station_days(t: Tables, state: DataFrame) -> DataFrame:
+    return shapes.descents(t.daily.select("station_code", "price_date", (F.col("decicents") / 10).alias("station_price")).join(state, "price_date"), state)
+
+
+@query(f"""WITH {_STATE} SELECT price_date, pct AS cycle_pct_through, since AS cycle_days_since_peak, len AS cycle_mean_length, lo AS cycle_last_min, hi AS cycle_last_max, n AS cycle_peak_count FROM us""")
+def turn_features(t: Tables) -> DataFrame:
+    """TS17, 2.12: the cycle's feature columns with another detector."""
+    state = turn_state(t)[1]
+    return state.select("price_date", *[F.col(c).cast("long").alias(c) if c in ("cycle_days_since_peak", "cycle_peak_count") else F.col(c) for c in features.CYCLE])
+
+
+@query(f"""WITH {_STATE}, sd AS (SELECT price_date, stddev_samp(decicents / 10) AS a FROM daily GROUP BY 1), k AS (SELECT *, CAST(coalesce(elongation > 1 AND slope > -0.9, false) AS INTEGER) AS corner FROM ds)
+SELECT station_code, price_date, elongation, slope AS slope_so_far, corner AS shallow_long, round(a * corner, 3) AS px_std_corner, round(a * (1 - corner), 3) AS px_std_other,
+ round(CASE WHEN slope IS NOT NULL THEN a * elongation * greatest(0, slope + 0.9) END, 3) AS px_std_smooth FROM k LEFT JOIN sd USING (price_date)""")
+def descent_shapes(t: Tables) -> DataFrame:
+    """TS14: length and slope of each station's descent so far, its long and shallow corner, and the dispersion inside and outside it."""
+    _, state = turn_state(t)
+    rows = shapes.interactions(station_days(t, state).join(panel.dispersion(t.daily), "price_date", "left"), "px_std")
+    return rows.select("station_code", "price_date", "elongation", "slope_so_far", "shallow_long", *[F.round(f"px_std_{c}", 3).alias(f"px_std_{c}") for c in ("corner", "other", "smooth")])
+
+
+@query(f"""WITH {_STATE}, fo AS (SELECT CAST(range AS INTEGER) AS fold, DATE '1996-01-01' + CAST(730 + 90 * range AS INTEGER) AS val_start, DATE '1996-01-01' + CAST(819 + 90 * range AS INTEGER) AS val_end FROM range(12)),
+g AS (SELECT *, (p - lag(p, 14) OVER (PARTITION BY station_code ORDER BY price_date)) / 14 AS back FROM ds), u AS (SELECT fold, station_code, median(len) AS usual FROM g JOIN fo ON price_date < val_start GROUP BY 1, 2)
+SELECT fold, count(*) AS n, round(median(back) FILTER (back < 0), 4) AS gradient, round(avg(CAST(pct < 0.5 AS INTEGER)), 4) AS descent_share, round(median(slope) FILTER (pct < 0.5 AND since > 0), 4) AS cycle_slope, round(median(since / usual), 4) AS elongation
+FROM g JOIN fo ON price_date BETWEEN val_start AND val_end LEFT JOIN u USING (fold, station_code) GROUP BY 1""")
+def fold_descents(t: Tables) -> DataFrame:
+    """WN24: positional and cycle-anchored slopes, descending share and elongation of each fold."""
+    _, state = turn_state(t)
+    found = shapes.fold_shapes(station_days(t, state), metrics.folds(t.spark, "1996-01-01", 12, 730, 90, 90, 7))
+    return found.select("fold", "n", *[F.round(c, 4).alias(c) for c in ("gradient", "descent_share", "cycle_slope", "elongation")])
+
+
+@query(f"""WITH {_TURNS}, e AS (SELECT m.price_date, m.price, last_value(tgp IGNORE NULLS) OVER w AS up, (m.price - lag(m.price, 7) OVER w) / 7 AS slope, anchor_date IS NOT NULL AS low FROM m LEFT JOIN tgp ON tgp_date = m.price_date LEFT JOIN lows ON anchor_date = m.price_date WINDOW w AS (ORDER BY m.price_date)),
+nl AS (SELECT m.price_date, min(anchor_date) AS next FROM m JOIN lows ON anchor_date >= m.price_date GROUP BY 1), arms AS (SELECT DISTINCT m.price_date FROM peaks JOIN nl ON nl.price_date = peak_date JOIN m ON m.price_date BETWEEN peak_date AND next),
+d AS (SELECT e.*, e.price - up AS gap, e.price - x.price AS depth, next - e.price_date AS days, a.price_date IS NOT NULL AS falling FROM e LEFT JOIN nl USING (price_date) LEFT JOIN m x ON x.price_date = next LEFT JOIN arms a ON a.price_date = e.price_date),
+f AS (SELECT *, gap / -slope AS est FROM d WHERE falling AND slope < -0.1 AND gap IS NOT NULL)
+SELECT (SELECT count(*) FROM f) AS descending, (SELECT round(corr(gap, depth) ** 2, 4) FROM f) AS r2_depth, (SELECT round(corr(gap, days) ** 2, 4) FROM f) AS r2_days, (SELECT round(corr(est, days) ** 2, 4) FROM f) AS r2_projection,
+ count(gap) FILTER (low) AS lows, round(avg(gap) FILTER (low), 4) AS kiss_mean, round(stddev_samp(gap) FILTER (low), 4) AS kiss_sd, round(quantile_cont(gap, 0.1) FILTER (low), 4) AS kiss_p10, round(quantile_cont(gap, 0.5) FILTER (low), 4) AS kiss_p50, round(quantile_cont(gap, 0.9) FILTER (low), 4) AS kiss_p90 FROM d""")
+def gap_diagnosis(t: Tables) -> DataFrame:
+    """TS16: what the gap to the upstream price tells of the way down that is left, and the gaps at the lows."""
+    peaks, lows, _ = turns(t)
+    mark = lambda df: df.withColumn("series", F.lit("metro"))
+    rows = shapes.before_troughs(mark(t.metro.withColumn("price", F.round("price", 6))), t.tgp, mark(peaks), mark(lows), ["series"])
+    return shapes.gap_diagnosis(rows, ["series"]).drop("series")

@@ -92,8 +92,7 @@ def strategies(t: Tables) -> DataFrame:
     """DS6: each rule is a boolean column, and all are replayed at once; a model without a score buys."""
     best = t.scores.groupBy("station_code", F.col("price_date").alias("day")).agg(F.max("proba").alias("proba"))
     days = sim.evaluation_days(t.daily, START, END, TANK.interval).join(best, ["station_code", "day"], "left")
-    rules = {"always": F.lit(True), "never": F.lit(False), "model": F.coalesce(F.col("proba") >= 0.5, F.lit(True))}
-    each = days.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("strategy"), v.alias("buy")) for k, v in rules.items()])))
+    each = sim.decided(days, {"always": F.lit(True), "never": F.lit(False), "model": F.col("proba") >= 0.5})
     r = sim.replay(each, TANK, ["station_code", "strategy"], strict=False)
     return r.select("station_code", "strategy", F.round("spend", 2).alias("spend"), F.round("litres", 3).alias("litres"), F.size("fills").cast("long").alias("fills"), F.size(F.filter("fills", lambda f: f["emergency"])).cast("long").alias("emergencies"))
 
