@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text
 from tidewell.registry import query
-from tidewell.sources import files
+from tidewell.sources import files, workbooks
 from tidewell.sources.adapter import Tables
 
 KINDS = list(text.STREETS)
@@ -277,3 +277,27 @@ def upstream_csv(t: Tables) -> DataFrame:
     price = F.when(k % 9 == 4, "-").otherwise(F.format_string("%.2f", F.round("o_totalprice", 2)))
     o.select(F.when(k % 10 == 3, "total").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("Day"), price.alias("Sydney"), F.lit("1").alias("Melbourne")).write.option("header", True).csv(path)
     return files.read_upstream(t.spark, path).groupBy("tgp_date").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("tgp"), 2).alias("total"))
+
+
+@query("""SELECT 'Shell ' || s_suppkey AS name, ['E10', 'P98', 'DL'][s_suppkey % 3 + 1] AS fuel_code, lower(n_name) AS suburb, CAST(3000 + s_suppkey % 300 AS VARCHAR) AS postcode, 'Shell' AS brand,
+ DATE '2001-05-13' + CAST(s_suppkey % 9 AS INTEGER) AS price_date, round_even(least(999.0, s_acctbal), 1) AS price FROM supplier JOIN nation ON n_nationkey = s_nationkey""", prelude=False)
+def workbook_history(t: Tables) -> DataFrame:
+    """SRC4: raw histories in workbooks with one to three header rows, a workbook for a thousand suppliers of a nation; dates are date cells."""
+    import datetime as dt
+
+    import pandas as pd
+
+    def book(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        more = [[], [list(files.RAW)], [None, list(files.RAW)]][int(key[1]) % 3]
+        when = [dt.datetime(2001, 5, 13 + int(k) % 9, 12, 30) for k in pdf["s_suppkey"]]
+        rows = [
+            (f"Shell {k}", f"1 Main St NSW {3000 + k % 300}", n, None, None, ("E10", "P98", "DL")[k % 3], at, float(x))
+            for k, n, x, at in zip(pdf["s_suppkey"].tolist(), pdf["n_name"], pdf["s_acctbal"], when, strict=True)
+        ]
+        return pd.DataFrame({"file": [f"{key[0]}-{key[1]}-{key[2]}"], "content": [workbooks.workbook([files.RAW, *more, *rows])]})
+
+    s = t.table("supplier").join(F.broadcast(t.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    block = F.floor(F.col("s_suppkey") / 1000).alias("block")
+    books = s.select("n_name", "s_nationkey", block, "s_suppkey", "s_acctbal").groupBy("n_name", "s_nationkey", "block").applyInPandas(book, "file string, content binary")
+    clean = files.clean_raw(workbooks.history_rows(workbooks.sheet_cells(books)), [("shell", "Shell")])
+    return clean.select("name", "fuel_code", F.lower("suburb").alias("suburb"), "postcode", "brand", "price_date", "price")

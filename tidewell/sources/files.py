@@ -108,7 +108,11 @@ def read_raw(spark: SparkSession, path: str, brands: list[tuple[str, str]]) -> D
     """
     schema = ", ".join(f"{c} string" for c in (*RAW, "_extra"))
     line = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    raw = spark.read.schema(schema).option("header", True).csv(path).select("*", F.col("_metadata.file_path").alias("file"), line.alias("line"))
+    return clean_raw(spark.read.schema(schema).option("header", True).csv(path).select("*", F.col("_metadata.file_path").alias("file"), line.alias("line")), brands)
+
+
+def clean_raw(raw: DataFrame, brands: list[tuple[str, str]]) -> DataFrame:
+    """What read_raw makes of rows with their file and line, the columns of RAW and _extra, all of them texts."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     rows = unshift(raw).where(~(blank("FuelCode") & blank("Price") & blank("PriceUpdatedDate")))
     above = Window.partitionBy("file").orderBy("line")
