@@ -66,4 +66,7 @@ def lookup(rows: DataFrame, provider: DataFrame, keys: list[str], columns: list[
 
 
 def hit_rate(joined: DataFrame, column: str) -> DataFrame:
-    return joined.agg(F.count_if(F.col(column).isNotNull()).alias("hits"), F.count_if(F.col(column).isNull()).alias("misses"))
+    """(hits, misses) of a lookup's column. Where there are rows and none hits, as when keys of other kinds were met, reading it is an error."""
+    counts = joined.agg(F.count_if(F.col(column).isNotNull()).alias("hits"), F.count_if(F.col(column).isNull()).alias("misses"))
+    nothing = F.raise_error(F.concat(F.lit(f"no row has a value of {column!r}: rows missed: "), F.col("misses")))
+    return counts.select(F.when((F.col("hits") == 0) & (F.col("misses") > 0), nothing).otherwise(F.col("hits")).alias("hits"), "misses")

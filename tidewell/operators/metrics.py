@@ -181,3 +181,15 @@ def hybrid_cutoff(scores: DataFrame, name: str, score: str, least: int = 6, shar
     w = Window.partitionBy().orderBy(F.desc(score), name)
     ranked = scores.withColumns({"k": F.row_number().over(w), "_top": F.max(score).over(Window.partitionBy())})
     return ranked.where((F.col("k") <= least) | (F.col(score) >= share * F.col("_top"))).drop("_top")
+
+
+def summary_orders(rows: DataFrame, name: str = "feature", size: str = "size", r: str = "r", rank: str = "rank") -> DataFrame:
+    """(mode, name, place) of each row in each order of a summary: by size, by name, by sign (positive, unknown or none, negative), by rank (unranked last).
+
+    Of equal ones the larger comes first, then the first by name. A summary has a row a feature, so that an order is one sort.
+    """
+    large, sign = -F.coalesce(F.col(size), F.lit(0.0)).cast("double"), F.signum(F.coalesce(F.nanvl(F.col(r).cast("double"), F.lit(0.0)), F.lit(0.0)))
+    modes = {"size": large, "alpha": F.lit(0.0), "sign": -sign, "rank": F.coalesce(F.col(rank).cast("double"), F.lit(float("inf")))}
+    keys = [F.struct(F.lit(m).alias("mode"), (key + 0.0).alias("a"), (F.lit(0.0) if m == "alpha" else large).alias("b")) for m, key in modes.items()]
+    each = rows.select(F.col(name), F.explode(F.array(*keys)).alias("k")).select("k.*", name)
+    return each.select("mode", name, F.row_number().over(Window.partitionBy("mode").orderBy("a", "b", name)).alias("place"))

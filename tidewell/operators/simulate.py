@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -226,6 +226,21 @@ def never_dry(tank: Tank, most: int = 100_000) -> list[tuple[float, float]]:
     return bad
 
 
+def tank_safety(gaps: DataFrame, tank: Tank) -> DataFrame:
+    """gaps with faults and safe: for each row's gap, the days between its evaluations, the distinct levels that don't last, and whether there are none.
+
+    Each distinct gap is settled once; a null gap, as of a station evaluated once, is safe with no faults.
+    """
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        gap = int(pdf["gap"].iloc[0])
+        bad = never_dry(replace(tank, interval=gap))
+        return pd.DataFrame({"gap": [gap], "faults": [len({round(after, 6) for after, _ in bad})]})
+
+    known = gaps.select("gap").where("gap is not null").distinct().groupBy("gap").applyInPandas(settle, "gap int, faults long")
+    found = gaps.join(known, "gap", "left").na.fill(0, ["faults"])
+    return found.withColumn("safe", F.col("faults") == 0)
+
+
 def perfect_foresight(calendar: DataFrame, tank: Tank) -> DataFrame:
     """(station_code, spend, litres, fills): the cheapest sequence of full and half fills that never runs dry.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,24 @@ def unstamped(document, stamp: str = "cadence", value: str = "cpl") -> list[str]
     return out
 
 
+def unstamped_results(results: DataFrame, document: str = "document", stamp: str = "cadence", value: str = "cpl") -> DataFrame:
+    """results with `path`, a row for each object of their JSON documents that has a cost per litre but no stamp, there or above.
+
+    A document that can't be read has the path `unreadable`; one that is null or blank has none.
+    """
+    @F.pandas_udf("array<string>")
+    def paths(documents: pd.Series) -> pd.Series:
+        def of(x: str | None) -> list[str]:
+            try:
+                return unstamped(json.loads(x), stamp, value) if x and x.strip() else []
+            except ValueError:
+                return ["unreadable"]
+
+        return documents.map(of)
+
+    return results.select("*", F.explode(paths(document)).alias("path")).drop(document)
+
+
 def family_share(level: float, candidates: int) -> float:
     """The percentile that the best of so many candidates must reach."""
     return 1 - (1 - level) / max(1, candidates)

@@ -404,3 +404,13 @@ def frozen_batch(t: Tables) -> DataFrame:
     freeze.freeze(cl.labels(t.daily).select(*keys, "today", "future_min"), path, ["today"], keys, ["future_min"], windows, cadence)
     frame, _ = freeze.thaw(t.spark, path, ["today"], windows, cadence)
     return frame.groupBy(F.year("price_date").alias("year")).agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("buys"), F.round(F.avg("today"), 4).alias("mean_price"))
+
+
+@query("""WITH x AS (SELECT p_brand AS feature, round(avg(p_retailprice), 4) AS s, round(corr(p_size, p_retailprice), 4) AS r, CASE WHEN count(*) % 2 = 0 THEN min(p_partkey) END AS k FROM part GROUP BY 1)
+SELECT 'size' AS mode, feature, CAST(row_number() OVER (ORDER BY s DESC, feature) AS INTEGER) AS place FROM x UNION ALL SELECT 'alpha', feature, row_number() OVER (ORDER BY feature) FROM x
+UNION ALL SELECT 'sign', feature, row_number() OVER (ORDER BY sign(coalesce(r, 0)) DESC, s DESC, feature) FROM x UNION ALL SELECT 'rank', feature, row_number() OVER (ORDER BY k NULLS LAST, s DESC, feature) FROM x""", prelude=False)
+def summary_orders(t: Tables) -> DataFrame:
+    """SO4: a summary in each of its orders."""
+    rank = F.when(F.count(F.lit(1)) % 2 == 0, F.min("p_partkey"))
+    x = t.table("part").groupBy(F.col("p_brand").alias("feature")).agg(F.round(F.avg("p_retailprice"), 4).alias("size"), F.round(F.corr("p_size", "p_retailprice"), 4).alias("r"), rank.alias("rank"))
+    return metrics.summary_orders(x)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.stats import log_loss
 from tidewell.operators import panel, trials
 from tidewell.registry import query
+from tidewell.sources import files
 from tidewell.sources.adapter import Tables
 
 
@@ -88,3 +89,18 @@ def facts(t: Tables) -> DataFrame:
     cells = t.scores.groupBy("arm", "fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(log_loss("label", "proba")), 6).alias("log_loss"))
     doc = cells.groupBy("arm").agg(F.array_sort(F.collect_list(F.struct("fold", "n", "log_loss"))).alias("folds"))
     return doc.select("arm", F.to_json(F.struct(F.lit(Tank().stamp()).alias("cadence"), "arm", "folds")).alias("facts"))
+
+
+@query("""WITH d AS (SELECT DISTINCT fold, arm FROM scores WHERE arm <> 'N')
+SELECT fold, arm, '/run' AS path FROM d WHERE fold % 2 = 1 UNION ALL SELECT fold, arm, '/parts/0' FROM d""")
+def stamp_scan(t: Tables) -> DataFrame:
+    """EX10: results written as JSON documents, a file each, and read back: the costs that don't say at which cadence they hold."""
+    cpl = F.round(F.sum(F.col("price") * F.col("litres")) / F.sum("litres"), 4)
+    said = lambda when: F.when(when, F.lit("1 d")).alias("cadence")
+    part = lambda when: F.struct(F.col("cpl").alias("pooled_cpl"), said(when))
+    run = F.struct("cpl", said(F.col("fold") % 2 == 0)).alias("run")
+    whole = F.struct(run, F.array(part(F.lit(False)), part(F.lit(True))).alias("parts"), said(F.col("arm") == "N"))
+    path = files.scratch(t.spark, "results")
+    t.scores.groupBy("fold", "arm").agg(cpl.alias("cpl")).select("fold", "arm", F.to_json(whole).alias("document")).write.partitionBy("fold", "arm").text(path)
+    found = t.spark.read.schema("document string, fold int, arm string").text(path, wholetext=True)
+    return trials.unstamped_results(found)

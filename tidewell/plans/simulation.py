@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import simulate as sim
@@ -141,3 +141,15 @@ def zone_intervals(t: Tables) -> DataFrame:
 def zone_contrasts(t: Tables) -> DataFrame:
     """DS13: differences between quarters, from draws in which each station has one weight."""
     return sim.zone_contrasts(sim.headroom(zones(t), "N", "A"))
+
+
+@query("""WITH g AS (SELECT station_code, max(gap) AS gap FROM (SELECT station_code, CAST(price_date - lag(price_date) OVER (PARTITION BY station_code ORDER BY price_date) AS INTEGER) AS gap FROM prices) GROUP BY 1),
+lv AS (SELECT DISTINCT gap, gap * 50.0::DOUBLE / 14 AS dep, 25.0::DOUBLE AS level FROM g WHERE gap IS NOT NULL
+ UNION SELECT gap, dep, round(after - dep, 6) FROM (SELECT gap, dep, unnest([50.0::DOUBLE, CASE WHEN level < dep OR level / 50 < 0.15 THEN greatest(level, 25.0::DOUBLE) ELSE level END]) AS after FROM lv) WHERE after >= dep - 1e-9),
+bad AS (SELECT gap, count(DISTINCT round(after, 6)) AS faults FROM (SELECT gap, dep, unnest([50.0::DOUBLE, CASE WHEN level < dep OR level / 50 < 0.15 THEN greatest(level, 25.0::DOUBLE) ELSE level END]) AS after FROM lv) WHERE after < dep - 1e-9 GROUP BY 1)
+SELECT station_code, gap, coalesce(faults, 0) AS faults, coalesce(faults, 0) = 0 AS safe FROM g LEFT JOIN bad USING (gap)""")
+def tank_safety(t: Tables) -> DataFrame:
+    """DS7: whether a tank that is looked at on a station's price days only can run dry, by its longest gap."""
+    gap = F.datediff("price_date", F.lag("price_date").over(Window.partitionBy("station_code").orderBy("price_date")))
+    gaps = t.prices.select("station_code", gap.alias("gap")).groupBy("station_code").agg(F.max("gap").alias("gap"))
+    return sim.tank_safety(gaps, TANK)
