@@ -206,8 +206,11 @@ def sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
         if r.lang not in total or total[r.lang] + r.n <= chars:
             total[r.lang] = total.get(r.lang, 0) + r.n
             picked[r.doc_id, r.lang, r.mark] = r.k
-    wanted = sorted({i for i, _, _ in picked})
-    texts = {(r.lang, picked[r.doc_id, r.lang, r.mark]): r.text for r in rows.where(F.col("doc_id").isin(wanted)).withColumn("mark", F.xxhash64("text")).collect() if (r.doc_id, r.lang, r.mark) in picked}
+    # a doc_id may be repeated without bound, with the same text or with others: a row for each text that was picked comes back
+    ids, marks = sorted({i for i, _, _ in picked}), sorted({m for _, _, m in picked})
+    chosen = rows.withColumn("mark", F.xxhash64("text")).where(F.col("doc_id").isin(ids) & F.col("mark").isin(marks))
+    found = chosen.groupBy("doc_id", "lang", "mark").agg(F.min("text").alias("text")).collect()
+    texts = {(r.lang, picked[r.doc_id, r.lang, r.mark]): r.text for r in found if (r.doc_id, r.lang, r.mark) in picked}
     out: dict[str, list[str]] = {}
     for lang, k in sorted(texts):
         out.setdefault(lang, []).append(texts[lang, k])
