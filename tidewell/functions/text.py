@@ -131,11 +131,15 @@ def clean_price(c: Column, cap: float = 999.0) -> Column:
     return F.when(price.isNotNull(), F.bround(F.least(F.lit(cap), price), 1))
 
 
-def clean_postcode(given: Column, address: Column) -> Column:
-    """The postcode as given, or the address's last word where it is blank, corrected; null for one of another territory."""
-    code = F.coalesce(F.nullif(F.trim(given), F.lit("")), F.nullif(F.regexp_extract(F.trim(address), r"(\S+)$", 1), F.lit("")))
+def clean_postcode(given: Column, address: Column, correct_inferred: bool = True) -> Column:
+    """The postcode as given, or the address's last word where it is blank, corrected; null for one of another territory.
+
+    Without correct_inferred only given postcodes are corrected, and the address's word stands.
+    """
+    said = F.nullif(F.trim(given), F.lit(""))
+    code = F.coalesce(said, F.nullif(F.regexp_extract(F.trim(address), r"(\S+)$", 1), F.lit("")))
     wrong = F.create_map(*[F.lit(x) for kv in POSTCODES.items() for x in kv])
-    return F.when(~code.isin(ELSEWHERE), F.coalesce(F.element_at(wrong, code), code))
+    return F.when(~code.isin(ELSEWHERE), F.coalesce(F.element_at(wrong, code if correct_inferred else said), code))
 
 
 def brand_by_prefix(name: Column, brands: list[tuple[str, str]], other: str = "Independent") -> Column:
