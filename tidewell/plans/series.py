@@ -122,8 +122,8 @@ def feature_frame(t: Tables) -> DataFrame:
 SELECT station_code, price_date, round(p - base, 4) AS elongation, round((p - base) * ((price_date - DATE '1995-01-01') % 28) / 28.0, 4) AS interaction FROM b""")
 def elongation(t: Tables) -> DataFrame:
     """TS14."""
-    rows = t.daily.withColumn("p", F.col("decicents") / 10)
-    gap = F.col("p") - F.percentile("p", F.lit(0.5)).over(panel.days_window("station_code", start=-90, end=-1))
+    rows = panel.usual_price(t.daily, 90).withColumn("p", F.col("decicents") / 10)
+    gap = F.col("p") - F.col("usual")
     phase = F.datediff("price_date", F.lit("1995-01-01")) % 28
     return rows.select("station_code", "price_date", F.round(gap, 4).alias("elongation"), F.round(gap * phase / 28.0, 4).alias("interaction"))
 
