@@ -21,8 +21,9 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, day: str, columns
 
 
 def exact_lag(daily: DataFrame, days: int, key: str = "station_code", day: str = "price_date", value: str = "decicents") -> DataFrame:
+    """daily with the value of exactly so many days before. By merge: a stored panel is small as a file, and would be broadcast with its millions of rows."""
     past = daily.select(key, F.date_add(day, days).alias(day), F.col(value).alias(f"{value}_lag"))
-    return daily.join(past, [key, day], "left")
+    return daily.join(past.hint("merge"), [key, day], "left")
 
 
 def assert_unique(df: DataFrame, *keys: str) -> DataFrame:

@@ -113,7 +113,9 @@ def feature_frame(t: Tables) -> DataFrame:
     council = panel.mean_price(daily, "council", least=3, name="council_mean")
     brand = panel.mean_price(daily, "brand", least=3, name="brand_mean")
     up = t.tgp.select(F.col("tgp_date").alias("price_date"), F.lit(True).alias("up"))
-    j = rows.join(panel.mean_price(daily, name="metro_mean"), "price_date").join(council, ["price_date", "council"], "left").join(brand, ["price_date", "brand"], "left").join(panel.dispersion(daily), "price_date", "left").join(up, "price_date", "left")
+    # a row a day, or a day and group, of a fixed calendar and fixed groups: the panel's rows stay where they are
+    j = rows.join(F.broadcast(panel.mean_price(daily, name="metro_mean")), "price_date").join(F.broadcast(council), ["price_date", "council"], "left").join(F.broadcast(brand), ["price_date", "brand"], "left")
+    j = j.join(F.broadcast(panel.dispersion(daily)), "price_date", "left").join(F.broadcast(up), "price_date", "left")
     today = F.col("decicents") / 10
     return j.select("station_code", "price_date", today.alias("today"), *[F.round(c, 4).alias(c) for c in ("metro_mean", "council_mean", "brand_mean", "px_std")], (F.col("decicents") - F.col("decicents_lag")).alias("delta_7d"), F.round(today - F.col("metro_mean"), 4).alias("premium"), F.col("up").isNotNull().alias("has_upstream"))
 
