@@ -13,11 +13,12 @@ where they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
@@ -122,20 +123,56 @@ def interactions(trees: list[tuple[float, list[Node]]], x: np.ndarray) -> np.nda
     return pairs
 
 
+def by_cell(trees: list[tuple[float, list[Node]]], of: Callable[[np.ndarray], np.ndarray], features: int, most: int = 1 << 16) -> Callable[[np.ndarray], np.ndarray]:
+    """of, worked out once for each cell between the trees' thresholds: rows of one cell go the same ways, and have the same values.
+
+    Thresholds are few (a bin's each), so that most cells have been met after some batches; those of more than `most` are forgotten.
+    A missing value goes to the right everywhere, as one above all thresholds does.
+    """
+    edges = [np.unique([n[1] for _, nodes in trees for n in nodes if n[0] == f]) for f in range(features)]
+    known: dict[str, np.ndarray] = {}
+
+    def look_up(x: np.ndarray) -> np.ndarray:
+        code = np.zeros(len(x), dtype=np.int64)
+        for f, e in enumerate(edges):
+            code = code * (len(e) + 1) + np.searchsorted(e, x[:, f])
+        cells, first, back = np.unique(code, return_index=True, return_inverse=True)
+        old = known.get("cells", np.zeros(0, dtype=np.int64))
+        new = ~np.isin(cells, old, assume_unique=True)
+        if new.any() or not len(x):
+            values = of(x[first[new]])
+            if len(old) and len(old) + len(values) <= most:
+                old, values = np.concatenate([old, cells[new]]), np.concatenate([known["values"], values])
+            elif len(old):
+                old, values = cells, of(x[first])
+            else:
+                old = cells[new]
+            order = np.argsort(old)
+            known["cells"], known["values"] = old[order], values[order]
+        return known["values"][np.searchsorted(known["cells"], cells)][back]
+
+    if np.prod([float(len(e) + 1) for e in edges]) >= 2.0**62:
+        return of
+    return look_up
+
+
 def attributed(model: PipelineModel, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """keys, feature, value, attribution: a row for each row and feature. rows has the features that the last stage was fitted with, in `features`."""
     trees = exported(model)
     kind = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kind[k]}" for k in keys) + ", feature string, value double, attribution double"
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phi_of = by_cell(trees, lambda x: shapley(trees, x)[1], len(features))
         for b in batches:
-            x = b[features].to_numpy(dtype=float)
-            _, phi = shapley(trees, x)
-            yield pd.concat([b[keys].assign(feature=f, value=x[:, i], attribution=phi[:, i]) for i, f in enumerate(features)])
+            x = np.column_stack([b[f].to_numpy(zero_copy_only=False).astype(float) for f in features])
+            phi = phi_of(x)
+            for i, f in enumerate(features):
+                columns = [b[k] for k in keys] + [pa.repeat(f, len(b)), b[f].cast(pa.float64()), pa.array(phi[:, i])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "feature", "value", "attribution"])
 
     ship(rows.sparkSession)
-    return rows.select(*keys, *features).mapInPandas(work, schema)
+    return rows.select(*keys, *features).mapInArrow(work, schema)
 
 
 def partners(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
@@ -143,10 +180,10 @@ def partners(model: PipelineModel, rows: DataFrame, features: list[str]) -> Data
     trees = exported(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs_of = by_cell(trees, lambda x: np.abs(interactions(trees, x)), len(features))
         total, n = np.zeros((len(features), len(features))), 0
         for b in batches:
-            pairs = interactions(trees, b[features].to_numpy(dtype=float))
-            total += np.abs(pairs).sum(axis=0)
+            total += pairs_of(b[features].to_numpy(dtype=float)).sum(axis=0)
             n += len(b)
         yield pd.DataFrame([(a, c, 2 * total[i, j], n) for i, a in enumerate(features) for j, c in enumerate(features) if i < j], columns=["a", "b", "strength", "n"])
 
