@@ -74,7 +74,7 @@ def assemble(rows: DataFrame, panel: DataFrame, classes: DataFrame, upstream: Da
     troughs = stored(trough_features(pn.mean_price(fair, "council", least=3), "council", councils), "features-troughs")
     by_brand = trough_features(pn.mean_price(fair, "brand", least=3), "brand", brands)
     up = pn.lagged_delta(upstream, "tgp_date", "tgp", 7, "upstream_delta_7d").withColumnRenamed("tgp_date", "price_date")
-    wide = rows.join(classed.select("station_code", "price_date", "council", "brand", (F.col("decicents") / 10).alias("station_price"), F.col("premium").alias("stickiness")), ["station_code", "price_date"])
+    wide = rows.join(classed.select("station_code", "price_date", "council", "brand", (F.col("decicents") / 10).alias("station_price"), F.col("premium").alias("stickiness")).hint("merge"), ["station_code", "price_date"])
     wide = wide.join(cycle_features(metro, detector), "price_date").join(metro.withColumnRenamed("price", "_metro"), "price_date")
     wide = wide.join(council, ["price_date", "council"], "left").join(brand, ["price_date", "brand"], "left")
     for part in (troughs, network, with_delta(spread(troughs), "phase_std"), up, by_brand):

@@ -185,7 +185,7 @@ def names(t: Tables) -> tuple[list[str], list[str]]:
 def locked_features(t: Tables) -> DataFrame:
     """TS17: label rows with all feature columns; classes are those of the day itself."""
     classes = cl.classify_every_day(t.panel)
-    return features.assemble(cl.labels(t.daily).select("station_code", "price_date", "label", "today", "future_min"), t.panel, classes, t.tgp, *names(t))
+    return features.assemble(cl.labels(t.stored_daily).select("station_code", "price_date", "label", "today", "future_min"), t.panel, classes, t.tgp, *names(t))
 
 
 @query()
