@@ -8,6 +8,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from tidewell.llm import nearcopies  # noqa: E402
@@ -61,3 +62,30 @@ def test_stage_drops_planted_near_copies(spark, sf_dir):
     assert len(far) > 20
     left = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()}
     assert left == set(want.values())
+
+
+def test_pairs_verified_grow_with_a_cluster_not_with_its_square(spark, monkeypatch):
+    """One cluster in which some pairs are similar and most are not: each class is verified a bounded number of times."""
+    rng = random.Random(5)
+    base = [f"c{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for e in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"z{i}y{e}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = nearcopies.frequent(df)
+    sets = nearcopies.prefixes(df, known).cache()
+    root = F.col("cls").alias("root")
+    cells = nearcopies.met(nearcopies.cells_of(sets, known)).join(sets.select("cls", "parity").distinct(), "cls").select("cell", "cls", "n", "pos", root, "parity").cache()
+    found = {nearcopies.class_of(s): set(s.tolist()) for s in (nearcopies.shingles(t)[0] for _, t in rows)}
+    pairs = {(a, b) for a in found for b in found if a < b}
+    similar = {(a, b) for a, b in pairs if 5 * len(found[a] & found[b]) >= 4 * len(found[a] | found[b])}
+    every = {tuple(r) for r in nearcopies.candidates(cells, None).collect()}
+    assert 10 * len(found) < len(similar) < len(pairs) / 2
+    assert similar <= every and len(every - similar) < len(similar)
+    for turn in (0, 1):
+        some = {tuple(r) for r in nearcopies.candidates(cells, turn).collect()}
+        assert some <= every and len(some) <= nearcopies.PICKS * len(found)
+        assert {x for p in some for x in p} == {x for p in every for x in p}

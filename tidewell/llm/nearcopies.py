@@ -7,9 +7,11 @@ come from a prefix filter: under one order of all shingles, two sets of similari
 shingles of each. The order puts shingles that a bounded sample of documents shows to be frequent last; it decides how
 large cells get, never what is found. Each candidate is verified on the whole sets.
 
-Equal sets are one class. Cells without a second class are dropped at once. Of the other cells the `NEAR` neighbours by
-size are verified first, so that a large cluster becomes one component by a number of pairs in proportion to its
-members; then all pairs that are still in different components.
+Equal sets are one class. Cells without a second class are dropped at once. In the others two classes are candidates if
+their sizes, the places of the shared shingle, and `BITS` bits with the parity of the sets' hashes leave room for the
+similarity: each shingle that only one of two sets has changes one bit. Each class is first verified against `PICKS` candidates
+of other components, those that come first in as many orders, `ROUNDS` times, so that a large cluster becomes one component by a
+number of pairs in proportion to its members, not to their square; then all candidates that are still in different components.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ SAMPLE = 50_000
 FREQUENT = 1 << 20
 #: Classes in a cell, about; a shingle with more is split into pairs of parts.
 CELL = 4_096
-#: Neighbours by size in a cell that are verified first.
-NEAR = 32
+#: Rounds in which each class is verified against so many candidates of other components.
+ROUNDS, PICKS = 2, 4
+#: Bits of a set's parity: a multiple of 64.
+BITS = 512
 
 
 def shingles(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, int]:
@@ -63,6 +67,12 @@ def class_of(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 7) - (1 << 63)
 
 
+def parity(found: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of the hashes are i modulo BITS."""
+    odd = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def frequent(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that two or more documents of the sample have, and about how many of all documents have each."""
     n = docs.count()
@@ -82,18 +92,19 @@ def frequent(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE, most: in
 
 
 def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_hash, cls, fp, n, prefix): class, fingerprint and size of each document's set, and the shingles it must share one of."""
+    """(doc_id, text_hash, cls, fp, n, parity, prefix): class, fingerprint, size and parity of each document's set, and the shingles it must share one of."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, df = shared.value
         for part in slices(batches, "text"):
-            cls, fps, n, first = [], [], [], []
+            cls, fps, n, bits, first = [], [], [], [], []
             for text in part.column(2).to_pylist():
                 s, fp = shingles(text, width)
                 cls.append(class_of(s))
                 fps.append(fp)
                 n.append(len(s))
+                bits.append(parity(s))
                 if len(s) and len(h):
                     at = np.minimum(np.searchsorted(h, s), len(h) - 1)
                     s = s[np.argsort(np.where(h[at] == s, df[at], 0), kind="stable")]
@@ -101,14 +112,16 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], width: int =
             offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first)))
             fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cls, pa.int64()), fp, pa.array(n, pa.int32()), lists], names=["doc_id", "text_hash", "cls", "fp", "n", "prefix"])
+            arrays = [part.column(0), part.column(1), pa.array(cls, pa.int64()), fp, pa.array(n, pa.int32()), pa.array(bits, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "cls", "fp", "n", "parity", "prefix"])
 
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(work, "doc_id long, text_hash long, cls long, fp long, n int, prefix array<long>")
+    return rows.mapInArrow(work, "doc_id long, text_hash long, cls long, fp long, n int, parity binary, prefix array<long>")
 
 
 _CELL = "cell long, cls long, n int, pos int"
 _NAMES = ["cell", "cls", "n", "pos"]
+_NONE = np.int64((1 << 63) - 1)
 
 
 def cells_of(rows: DataFrame, known: tuple[np.ndarray, np.ndarray], cell: int = CELL) -> DataFrame:
@@ -144,13 +157,20 @@ def cells_of(rows: DataFrame, known: tuple[np.ndarray, np.ndarray], cell: int =
     return rows.select("cls", "n", "prefix").mapInArrow(work, _CELL)
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """A column of numbers; one of parities as rows of 64-bit numbers."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy()
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
 def _by_cell(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
     """Columns of whole cells, of rows ordered by cell."""
     held: list[list[np.ndarray]] = []
     size = 0
     for batch in batches:
         if batch.num_rows:
-            held.append([batch.column(i).to_numpy() for i in range(width)])
+            held.append([_numbers(batch.column(i)) for i in range(width)])
             size += batch.num_rows
         if size >= 100_000:
             x = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -181,12 +201,18 @@ def met(cells: DataFrame) -> DataFrame:
     return _sorted(cells).mapInArrow(work, _CELL)
 
 
-def candidates(cells: DataFrame, reach: int | None) -> DataFrame:
-    """(a, b): pairs of a cell's classes with different roots that may be similar; those up to `reach` places apart by size, or all."""
+def candidates(cells: DataFrame, turn: int | None) -> DataFrame:
+    """(a, b): pairs of a cell's classes with different roots that may be similar: all, or for each class `PICKS` that change with the turn."""
+    orders = None if turn is None else [class_of(np.array([turn, i])) for i in range(PICKS)]  # class numbers are hashes: an order for each mask
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, cls, n, pos, root in _by_cell(batches, 5):
+        for x in _by_cell(batches, 6):
+            starts = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
+            several = np.minimum.reduceat(x[4], starts) != np.maximum.reduceat(x[4], starts)
+            apart = np.repeat(several, np.diff(np.r_[starts, len(x[0])]))
+            cell, cls, n, pos, root, bits = (c[apart] for c in x)
             n, pos = n.astype(np.int64), pos.astype(np.int64)
+            best = np.full((PICKS, len(cell)), _NONE)
             live, k = np.arange(len(cell) - 1), 1
             while len(live):
                 live = live[live + k < len(cell)]
@@ -194,14 +220,27 @@ def candidates(cells: DataFrame, reach: int | None) -> DataFrame:
                 i, j = live, live + k
                 # what two sets can share from the first shingle they share on
                 good = (root[i] != root[j]) & (9 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j]))
-                a, b = cls[i[good]], cls[j[good]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-                if k == reach:
-                    break
+                i, j = i[good], j[good]
+                # similar sets have a ninth of all shingles, at most, in one of them alone
+                good = 9 * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+                i, j = i[good], j[good]
+                if orders:
+                    for order, least in zip(orders, best, strict=True):
+                        least[i] = np.minimum(least[i], cls[j] ^ order)
+                        least[j] = np.minimum(least[j], cls[i] ^ order)
+                elif len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["a", "b"])
                 k += 1
+            if orders:
+                found = (best != _NONE).all(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(c[found]) for c in (cls, *best)], names=["cls", *picks])
 
-    return _sorted(cells).mapInArrow(work, "a long, b long").distinct()
+    picks = [f"pick{i}" for i in range(PICKS)]
+    if not orders:
+        return _sorted(cells).mapInArrow(work, "a long, b long").distinct()
+    found = _sorted(cells).mapInArrow(work, ", ".join(f"{c} long" for c in ("cls", *picks))).groupBy("cls").agg(*[F.min(c).alias(c) for c in picks])
+    other = F.explode(F.array(*[F.col(c).bitwiseXOR(F.lit(order)) for c, order in zip(picks, orders, strict=True)]))
+    return found.select("cls", other.alias("other")).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -252,17 +291,17 @@ def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE, cell:
     """
     known = frequent(docs, width, sample)
     rows = settle(prefixes(docs, known, width), "prefixes")
-    classes = settle(rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "classes")
+    classes = settle(rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("parity").alias("parity")), "classes")
     first = settle(by_fingerprint(classes, radius), "by-fingerprint")
     links = settle(verified(docs, classes, first, width), "fingerprint-copies")
     cells = settle(met(cells_of(rows, known, cell)), "cells")
 
     def rooted(roots: DataFrame) -> DataFrame:
-        joined = cells.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        return joined.select("cell", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
+        known_roots = classes.select("cls", "parity").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+        return cells.join(known_roots, "cls").select("cell", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"), "parity")
 
-    for reach in (NEAR, None):
-        pairs = settle(candidates(rooted(settle(components(links), "near-roots")), reach).join(first, ["a", "b"], "left_anti"), "candidates")
+    for turn in (*range(ROUNDS), None):
+        pairs = settle(candidates(rooted(settle(components(links), "near-roots")), turn).join(first, ["a", "b"], "left_anti"), "candidates")
         links = settle(links.unionByName(verified(docs, classes, pairs, width)), "near-links")
         first = settle(first.unionByName(pairs), "tried")
     roots = settle(components(links).withColumnRenamed("node", "cls"), "all-roots")
