@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.sources import files
 
@@ -27,6 +28,21 @@ def test_cleaned_rows_say_why_they_were_skipped(spark, tmp_path):
     assert {r.station_code for r in prices.where("skipped = 'fuel'").collect()} == {2}
 
 
+def test_each_spelling_of_an_address_is_normalised_once(spark, tmp_path, monkeypatch):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def plain(address):
+        asked.add(1)
+        return address.upper()
+
+    monkeypatch.setattr(files.text, "normalise_address", plain)
+    (tmp_path / "a.csv").write_text(HEAD + "".join(f"A,{i % 3} Main St,,2750,B,E10,2020-01-02,150\n" for i in range(600)))
+    prices, _ = files.read_cleaned(spark, str(tmp_path), spark.createDataFrame([(1, "1 main st"), (2, "2 Main St")], "station_code long, address string"))
+    assert {r.station_code: r["count"] for r in prices.groupBy("station_code").count().collect()} == {None: 200, 1: 200, 2: 200}
+    assert asked.value < 30
+
+
 def test_upstream_prices_need_their_city(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Day,Sydney,Perth\n2020-01-02,150.5,1\nMean,9,9\n,7,7\n3/1/2020,,2\n")
     assert sorted(tuple(r) for r in files.read_upstream(spark, str(tmp_path)).select("tgp_date", "tgp").collect()) == [(dt.date(2020, 1, 2), 150.5), (dt.date(2020, 1, 3), None)]
