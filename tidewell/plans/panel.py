@@ -153,7 +153,8 @@ def px_lag_self_join(t: Tables) -> DataFrame:
 
 @query("""SELECT station_code, price_date, decicents - max(decicents) OVER (PARTITION BY station_code ORDER BY price_date RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND INTERVAL 3 DAY PRECEDING) AS delta_3d FROM daily""")
 def calendar_delta(t: Tables) -> DataFrame:
-    return t.daily.select("station_code", "price_date", panel.calendar_delta(t.daily, "decicents", 3, ("station_code",)).alias("delta_3d"))
+    """WN9: change from exactly three days before, from the spans of the prices."""
+    return panel.filled_delta(t.prices, 3, t.last_day, name="delta_3d")
 
 
 @query("""WITH d AS (SELECT CAST(unnest(generate_series(CAST((SELECT min(tgp_date) FROM tgp) AS TIMESTAMP), CAST((SELECT max(tgp_date) FROM tgp) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS tgp_date),
