@@ -20,8 +20,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 
+from tidewell.operators.models import COUNT, counted
 from tidewell.shipping import ship
 
 #: (feature, threshold, left, right, value, rows), feature -1 for a leaf; children by their places.
@@ -29,9 +31,15 @@ Node = tuple[int, float, int, int, float, float]
 
 
 def exported(model: PipelineModel) -> list[tuple[float, list[Node]]]:
-    """(weight, nodes) of each tree of the model's last stage."""
-    trees = model.stages[-1]
-    return [(float(w), _nodes(t._java_obj.rootNode())) for w, t in zip(trees.treeWeights, trees.trees, strict=True)]
+    """(weight, nodes) of each tree of the model's last stage, thresholds as values of the features where the trees have buckets of them."""
+    trees, split = model.stages[-1], [s for s in model.stages if isinstance(s, Bucketizer)]
+    edges = split[0].getSplitsArray() if split else None
+
+    def of_values(n: Node) -> Node:
+        # buckets up to the threshold's have the values below the edge that follows it
+        return n if edges is None or n[0] < 0 else (n[0], float(np.nextafter(edges[n[0]][int(np.floor(n[1])) + 1], -np.inf)), *n[2:])
+
+    return [(float(w), [of_values(n) for n in _nodes(t._java_obj.rootNode())]) for w, t in zip(trees.treeWeights, trees.trees, strict=True)]
 
 
 def _nodes(root) -> list[Node]:
@@ -39,7 +47,7 @@ def _nodes(root) -> list[Node]:
 
     def visit(node) -> int:
         at = len(nodes)
-        nodes.append((-1, 0.0, -1, -1, float(node.prediction()), float(node.impurityStats().rawCount())))
+        nodes.append((-1, 0.0, -1, -1, float(node.prediction()), float(node.impurityStats().count())))
         if node.subtreeDepth() > 0:
             split = node.split()
             left, right = visit(node.leftChild()), visit(node.rightChild())
@@ -176,16 +184,17 @@ def attributed(model: PipelineModel, rows: DataFrame, features: list[str], keys:
 
 
 def partners(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
-    """a, b, strength, n: sums of the absolute interactions of each two features over a task's rows; to be summed up."""
+    """a, b, strength, n: sums of the absolute interactions of each two features over a task's rows (see models.COUNT); to be summed up."""
     trees = exported(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs_of = by_cell(trees, lambda x: np.abs(interactions(trees, x)), len(features))
         total, n = np.zeros((len(features), len(features))), 0
         for b in batches:
-            total += pairs_of(b[features].to_numpy(dtype=float)).sum(axis=0)
-            n += len(b)
+            many = b[COUNT].to_numpy()
+            total += np.tensordot(many.astype(float), pairs_of(b[features].to_numpy(dtype=float)), axes=1)
+            n += int(many.sum())
         yield pd.DataFrame([(a, c, 2 * total[i, j], n) for i, a in enumerate(features) for j, c in enumerate(features) if i < j], columns=["a", "b", "strength", "n"])
 
     ship(rows.sparkSession)
-    return rows.select(*features).mapInPandas(work, "a string, b string, strength double, n long")
+    return rows.select(*features, counted(rows).alias(COUNT)).mapInPandas(work, "a string, b string, strength double, n long")
