@@ -46,9 +46,18 @@ def validate(candidate: Candidate, frame: DataFrame) -> DataFrame:
 
 def leaks(build: Callable[[DataFrame], DataFrame], rows: DataFrame, cut: str, day: str = "price_date") -> DataFrame:
     """Rows up to `cut` that change when the input ends there: none, unless the feature looks ahead. Both ways, with repeats."""
-    whole = build(rows).where(F.col(day) <= cut)
-    short = build(rows.where(F.col(day) <= cut)).where(F.col(day) <= cut)
-    return whole.exceptAll(short).withColumn("side", F.lit("whole")).unionByName(short.exceptAll(whole).withColumn("side", F.lit("cut")))
+    whole, short = (build(r).where(F.col(day) <= cut) for r in (rows, rows.where(F.col(day) <= cut)))
+    columns = [F.col(f"`{c}`") for c in whole.columns]
+    both = whole.withColumn("_more", F.lit(1)).unionByName(short.withColumn("_more", F.lit(-1)))
+    said = [x for c in columns for x in (c, c.isNull())]
+    hashes = [F.xxhash64(F.lit(k), *said) for k in (1, 2)]
+    halves = [x.cast("long") for h in hashes for x in (h.bitwiseAND(0xFFFFFFFF), F.shiftright(h, 32))]
+    # days whose rows agree in number and in the sums of two hashes are the same; only the rows of others meet
+    sums = both.groupBy(day).agg(F.sum("_more").alias("_n"), *[F.sum(x * F.col("_more")).alias(f"_h{i}") for i, x in enumerate(halves)])
+    other = sums.where(" or ".join(f"{c} <> 0" for c in sums.columns[1:])).select(day)
+    rest = both.join(F.broadcast(other), day, "left_semi").groupBy(*columns).agg(F.sum("_more").alias("_more")).where("_more <> 0")
+    side = F.when(F.col("_more") > 0, "whole").otherwise("cut")
+    return rest.select(*columns, F.explode(F.array_repeat(side, F.abs("_more").cast("int"))).alias("side"))
 
 
 def block_placebo(series: DataFrame, value: str, block: int, shift: int, order: str = "price_date", name: str = "placebo") -> DataFrame:
@@ -65,10 +74,10 @@ def block_placebo(series: DataFrame, value: str, block: int, shift: int, order:
     return at.join(moved, "_i").drop("_i", "_n")
 
 
-def pairwise(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, rho) for each two columns, over the rows that have both; all in one pass."""
+def pairwise(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
+    """(a, b, rho) for each two columns, over the rows that have both, each so often as its weight says; all in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*[safe_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[safe_corr(a, b, weight).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("rho")) for i, (a, b) in enumerate(pairs)])))
 
 
